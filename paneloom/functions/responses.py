@@ -185,7 +185,7 @@ def with_strict(df: DataFrame, text: str, out: str = "parsed") -> DataFrame:
         F.coalesce(F.col("_r"), F.array().cast("array<int>")).alias("ranking"),
         F.when(_kind(F.col("_why")) == "STRING", _text(F.col("_why"))).alias("reasoning"),
         _only_int(_field("_o", "general_public_stance")).alias("general_public_stance"),
-    )).drop("_t", "_o", "_r", "_why")
+    ))).drop("_t", "_o", "_r", "_why")
 
 
 def with_probe(df: DataFrame, text: str, out: str = "belief") -> DataFrame:
