@@ -22,17 +22,21 @@ def _add(columns: list[Column]) -> Column:
 def versus_baseline(stats: DataFrame, keys: list[str], baseline: str) -> DataFrame:
     """Candidate rows of a (keys, source, ...) summary with the baseline's columns as *_b.
 
-    `keys` names at least one column; a whole-design summary has 'all' in it.
+    `stats` holds one row per key and source; a window carries the baseline over,
+    so the summary is computed once.
     """
     values = [c for c in stats.columns if c not in (*keys, "source")]
-    base = stats.where(F.col("source") == baseline).select(*keys, *[F.col(c).alias(f"{c}_b") for c in values])
-    return stats.where(F.col("source") != baseline).join(base, keys)
+    peers = Window.partitionBy(*keys)
+    is_base = F.col("source") == baseline
+    carried = stats.withColumns({f"{c}_b": F.max(F.when(is_base, F.col(c))).over(peers) for c in values})
+    return carried.where(~is_base)
 
 
-def chi_square(df: DataFrame, a: list[str], b: list[str]) -> DataFrame:
+def chi_square(df: DataFrame, a: list[str], b: list[str], strict: bool = True) -> DataFrame:
     """Independence of a two-row table given as count columns; no continuity correction.
 
-    An all-zero column leaves the test undefined and stops the job.
+    An all-zero column leaves the test undefined: it stops the job, or gives a
+    null where `strict` is off.
     """
     ra, rb = _add([F.col(c) for c in a]), _add([F.col(c) for c in b])
     total = (ra + rb).cast("double")
@@ -45,7 +49,9 @@ def chi_square(df: DataFrame, a: list[str], b: list[str]) -> DataFrame:
             expected = row * column / total
             chi2 = chi2 + F.when(expected > 0, (cell - expected) * (cell - expected) / expected).otherwise(0.0)
             low = expected if low is None else F.least(low, expected)
-    stop = F.raise_error(F.lit("a level has no rows on either side; no chi-square test is defined")).cast("double")
+    stop = F.lit(None).cast("double")
+    if strict:
+        stop = F.raise_error(F.lit("a level has no rows on either side; no chi-square test is defined")).cast("double")
     dof = len(a) - 1
     checked = df.withColumn("chi2", F.when(empty, stop).otherwise(chi2))
     p = (tails.chi2_tail_even(F.col("chi2"), dof) if dof % 2 == 0
@@ -56,51 +62,49 @@ def chi_square(df: DataFrame, a: list[str], b: list[str]) -> DataFrame:
     })
 
 
-def rank_sums(df: DataFrame, group: list[str], level: str, value: Column, open_domain: bool = False,
-              min_rows: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Per level: n and rank sum. Per group: N and tie term. Levels below min_rows are left out."""
+def _ranked_levels(df: DataFrame, group: list[str], level: str, value: Column, open_domain: bool,
+                   min_rows: int = 1) -> DataFrame:
+    """(group, level, v, n, place, peers); levels below min_rows are left out before ranking."""
     counts = df.where(value.isNotNull() & F.col(level).isNotNull()).groupBy(
         *group, F.col(level), value.alias("v")).agg(F.count("*").alias("n"))
     if min_rows > 1:
-        sizes = counts.groupBy(*group, level).agg(F.sum("n").alias("_s")).where(F.col("_s") >= min_rows)
-        counts = counts.join(sizes.drop("_s"), [*group, level], "left_semi")
-    pooled = counts.groupBy(*group, "v").agg(F.sum("n").alias("n"))
-    ranked = O.average_ranks(None, group, None, open_domain, counts=pooled)
-    per_level = counts.join(ranked.select(*group, "v", "avg_rank"), [*group, "v"]).groupBy(*group, level).agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"))
-    per_group = ranked.groupBy(*group).agg(
-        F.sum("n").alias("N"), F.sum(O.tie_term(F.col("n"))).alias("ties"))
-    return per_level, per_group
+        size = F.sum("n").over(Window.partitionBy(*group, level))
+        counts = counts.withColumn("_size", size).where(F.col("_size") >= min_rows).drop("_size")
+    return O.tied_places(counts, group, "v", "place", "peers", open_domain)
 
 
 def mann_whitney(df: DataFrame, group: list[str], level: str, first: str, second: str, value: Column,
                  open_domain: bool = False) -> DataFrame:
     """Two-sided U test of `first` against `second`; tie and continuity corrected normal p."""
-    two = df.where(F.col(level).isin(first, second))
-    levels, totals = rank_sums(two, group, level, value, open_domain)
-    wide = levels.groupBy(*group).agg(
-        F.sum(F.when(F.col(level) == first, F.col("n"))).alias("n_first"),
-        F.sum(F.when(F.col(level) == second, F.col("n"))).alias("n_second"),
-        F.sum(F.when(F.col(level) == first, F.col("rank_sum"))).alias("r1"))
+    ranked = _ranked_levels(df.where(F.col(level).isin(first, second)), group, level, value, open_domain)
+    is_first = F.col(level) == first
+    wide = ranked.groupBy(*group).agg(
+        F.sum(F.when(is_first, F.col("n"))).alias("n_first"), F.sum(F.when(~is_first, F.col("n"))).alias("n_second"),
+        F.sum(F.when(is_first, F.col("n") * F.col("place"))).alias("r1"),
+        F.sum(O.tie_term(F.col("n"), F.col("peers"))).alias("ties"))
     n1, n2 = F.col("n_first").cast("double"), F.col("n_second").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd
-    return wide.join(totals, group).select(
+    return wide.select(
         *group, "n_first", "n_second", u.alias("u"), (n1 * n2 / 2).alias("u_null"),
         F.least(F.lit(1.0), 2 * tails.normal_tail(z)).alias("p"))
 
 
 def kruskal(df: DataFrame, group: list[str], level: str, value: Column, open_domain: bool = False) -> DataFrame:
     """Tie-corrected H over levels with at least two rows, and the effect H / (N - 1)."""
-    levels, totals = rank_sums(df, group, level, value, open_domain, min_rows=2)
+    ranked = _ranked_levels(df, group, level, value, open_domain, min_rows=2)
+    levels = ranked.groupBy(*group, level).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("place")).alias("rank_sum"),
+        F.sum(O.tie_term(F.col("n"), F.col("peers"))).alias("ties"))
     sums = levels.groupBy(*group).agg(
-        F.count("*").alias("k"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"))
-    n = F.col("N").cast("double")
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("ties").alias("ties"),
+        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"))
+    n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    out = sums.join(totals, group).where(F.col("k") >= 2).withColumn("h", h)
-    return out.select(*group, "k", F.col("N").alias("n"), "h", (F.col("h") / (F.col("N") - 1)).alias("effect"),
+    out = sums.where(F.col("k") >= 2).withColumn("h", h)
+    return out.select(*group, "k", "n", "h", (F.col("h") / (F.col("n") - 1)).alias("effect"),
                       tails.chi2_tail(F.col("h"), F.col("k") - 1).alias("p"))
 
 
@@ -109,18 +113,16 @@ def spearman(df: DataFrame, group: list[str], x: Column, y: Column, min_rows: in
     """Rank correlation with a t-based p; null below `min_rows` rows."""
     joint = df.where(x.isNotNull() & y.isNotNull()).groupBy(*group, x.alias("x"), y.alias("y")).agg(
         F.count("*").alias("n"))
-
-    def side(name):
-        counts = joint.groupBy(*group, F.col(name).alias("v")).agg(F.sum("n").alias("n"))
-        ranked = O.average_ranks(None, group, None, open_domain, counts=counts)
-        return ranked.select(*group, F.col("v").alias(name), F.col("avg_rank").alias(f"r{name}"))
-
-    total = joint.groupBy(*group).agg(F.sum("n").alias("N"))
-    middle = (F.col("N") + 1) / 2
-    dx, dy, n = F.col("rx") - middle, F.col("ry") - middle, F.col("n")
-    sums = (joint.join(side("x"), [*group, "x"]).join(side("y"), [*group, "y"]).join(total, group)
-            .groupBy(*group).agg(F.sum(n).alias("n"), F.sum(n * dx * dy).alias("sxy"),
-                                 F.sum(n * dx * dx).alias("sxx"), F.sum(n * dy * dy).alias("syy")))
+    ranked = O.tied_places(joint, group, "x", "rx", "_px", open_domain)
+    ranked = O.tied_places(ranked, group, "y", "ry", "_py", open_domain)
+    # Centred on the mean rank, which the group's size gives exactly.
+    total = F.col("_total")
+    staged = (ranked.withColumn("_total", F.sum("n").over(Window.partitionBy(*group))) if not open_domain
+              else ranked.join(joint.groupBy(*group).agg(F.sum("n").alias("_total")), group))
+    dx, dy, w = F.col("rx") - (total + 1) / 2, F.col("ry") - (total + 1) / 2, F.col("n")
+    sums = staged.groupBy(*group).agg(
+        F.sum(w).alias("m"), F.sum(w * dx * dy).alias("sxy"), F.sum(w * dx * dx).alias("sxx"),
+        F.sum(w * dy * dy).alias("syy")).withColumnRenamed("m", "n")
     return _correlation(sums, group, "rho", min_rows)
 
 
@@ -143,12 +145,14 @@ def _correlation(sums: DataFrame, group: list[str], name: str, min_rows: int) ->
 
 def brown_forsythe(df: DataFrame, keys: list[str], value: Column, baseline: str) -> DataFrame:
     """Median-centred Levene test of each source's spread against the baseline's."""
+    return brown_forsythe_counts(O.value_counts(df, [*keys, "source"], value), keys, baseline)
+
+
+def brown_forsythe_counts(counts: DataFrame, keys: list[str], baseline: str) -> DataFrame:
+    """The same from value counts (keys, source, v, n); counts of cells can be added up first."""
     group = [*keys, "source"]
-    counts = O.value_counts(df, group, value)
-    ranked = O.counts_below(counts, group, open_domain=False)
-    medians = O.quantile_at(ranked, group, 0.5, "med")
     dev = F.abs(F.col("v") - F.col("med"))
-    stats = counts.join(medians, group).groupBy(*group).agg(
+    stats = O.with_median(counts, group, "med").groupBy(*group).agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * dev).alias("z1"), F.sum(F.col("n") * dev * dev).alias("z2"),
         F.sum(F.col("n") * F.col("v")).alias("v1"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("v2"))
     sd = F.sqrt((F.col("v2") - F.col("v1") * F.col("v1") / F.col("n")) / (F.col("n") - 1))
@@ -175,19 +179,17 @@ def tau_summary(df: DataFrame, group: list[str], tau: Column) -> DataFrame:
     return out.withColumns({"se": se, "ci_low": F.col("mean") - 1.96 * se, "ci_high": F.col("mean") + 1.96 * se})
 
 
-def wilcoxon_less(df: DataFrame, group: list[str], diff: Column, open_domain: bool = True) -> DataFrame:
+def wilcoxon_less(df: DataFrame, group: list[str], diff: Column, open_domain: bool = False) -> DataFrame:
     """Signed-rank test that the difference is below zero; zero differences drop out."""
     signed = df.where(diff.isNotNull() & (diff != 0)).groupBy(
         *group, F.abs(diff).alias("v"), (diff > 0).alias("up")).agg(F.count("*").alias("n"))
-    pooled = signed.groupBy(*group, "v").agg(F.sum("n").alias("n"))
-    ranked = O.average_ranks(None, group, None, open_domain, counts=pooled)
-    plus = signed.where(F.col("up")).join(ranked.select(*group, "v", "avg_rank"), [*group, "v"]).groupBy(*group).agg(
-        F.sum(F.col("n") * F.col("avg_rank")).alias("w_plus"))
-    totals = ranked.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(O.tie_term(F.col("n"))).alias("ties"))
-    n = F.col("n").cast("double")
-    w = F.coalesce("w_plus", F.lit(0.0))
+    ranked = O.tied_places(signed, group, "v", "place", "peers", open_domain)
+    sums = ranked.groupBy(*group).agg(
+        F.sum(F.when(F.col("up"), F.col("n") * F.col("place")).otherwise(0.0)).alias("w_plus"),
+        F.sum(O.tie_term(F.col("n"), F.col("peers"))).alias("ties"), F.sum("n").alias("m")).withColumnRenamed("m", "n")
+    n, w = F.col("n").cast("double"), F.col("w_plus")
     z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return totals.join(plus, group, "left").select(*group, "n", w.alias("w_plus"), (tails.normal_tail(-z)).alias("p"))
+    return sums.select(*group, "n", "w_plus", tails.normal_tail(-z).alias("p"))
 
 
 def paired_t_less(df: DataFrame, group: list[str], diff: Column) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from paneloom.session import cut_lineage
+
 GRID = 1024
 
 
@@ -37,6 +39,8 @@ def counts_below(counts: DataFrame, group: list[str], open_domain: bool) -> Data
     """Adds `below`: rows of the group with a smaller value."""
     if not open_domain:
         return counts.withColumn("below", _total_before("n", _before(*group, order="v")))
+    # The counted values are read several times below, so they are materialised once.
+    counts = cut_lineage(counts)
     limits = counts.groupBy(*group).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     coarse = counts.join(limits, group).withColumn("_c1", _grid_cell(F.col("v"), F.col("_lo"), F.col("_hi")))
     cells = coarse.groupBy(*group, "_c1").agg(
@@ -51,14 +55,44 @@ def counts_below(counts: DataFrame, group: list[str], open_domain: bool) -> Data
         "below", F.col("_b1") + F.col("_b2") + inner).select(*group, "v", "n", "below")
 
 
-def average_ranks(df: DataFrame, group: list[str], value: Column, open_domain: bool = False,
-                  counts: DataFrame | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, group: list[str], value: Column, open_domain: bool = False) -> DataFrame:
     """(group, v, n, below, avg_rank): ties share the mean of their places."""
-    base = counts if counts is not None else value_counts(df, group, value)
-    ranked = counts_below(base, group, open_domain)
+    ranked = counts_below(value_counts(df, group, value), group, open_domain)
     return ranked.withColumn("avg_rank", F.col("below") + (F.col("n") + 1) / 2)
 
 
+def tied_places(counts: DataFrame, group: list[str], value: str, place: str, peers: str,
+                open_domain: bool = False) -> DataFrame:
+    """Adds the average rank of each counted row within its group, and the size of its tie.
+
+    With a closed domain this is two windows over one hash partitioning by group.
+    """
+    if open_domain:
+        pooled = counts.groupBy(*group, F.col(value).alias("v")).agg(F.sum("n").alias("n"))
+        ranked = counts_below(pooled, group, open_domain=True).select(
+            *group, F.col("v").alias(value), F.col("n").alias(peers),
+            (F.col("below") + (F.col("n") + 1) / 2).alias(place))
+        return counts.join(ranked, [*group, value])
+    upto = Window.partitionBy(*group).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    staged = counts.withColumns({
+        "_upto": F.sum("n").over(upto), peers: F.sum("n").over(Window.partitionBy(*group, value))})
+    return staged.withColumn(place, F.col("_upto") - F.col(peers) + (F.col(peers) + 1) / 2).drop("_upto")
+
+
+def with_median(counts: DataFrame, group: list[str], name: str) -> DataFrame:
+    """Adds the group's median to its counted values (closed domain; windows only)."""
+    whole = Window.partitionBy(*group)
+    staged = counts.withColumns({
+        "_below": _total_before("n", _before(*group, order="v")), "_N": F.sum("n").over(whole)})
+    place = (F.col("_N") - 1) / 2
+
+    def at(p):
+        hit = (F.col("_below") <= p) & (p < F.col("_below") + F.col("n"))
+        return F.max(F.when(hit, F.col("v"))).over(whole)
+
+    return staged.withColumn(name, (at(F.floor(place)) + at(F.ceil(place))) / 2).drop("_below", "_N")
+
+
 def quantile_at(ranked: DataFrame, group: list[str], q: float, name: str) -> DataFrame:
     """Linear-interpolation quantile from counts with `below`; two conditional extremes per group."""
     total = ranked.groupBy(*group).agg(F.sum("n").alias("_N"))
@@ -73,10 +107,9 @@ def quantile_at(ranked: DataFrame, group: list[str], q: float, name: str) -> Dat
     return both.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * (place - low)).alias(name))
 
 
-def tie_term(n: Column) -> Column:
-    """t^3 - t as a double."""
-    t = n.cast("double")
-    return t * t * t - t
+def tie_term(n: Column, peers: Column) -> Column:
+    """A counted row's part of the sum of t^3 - t over ties."""
+    return n.cast("double") * (peers.cast("double") * peers - 1)
 
 
 def leave_one_out_median(df: DataFrame, cell: list[str], value: str, levels: list[int]) -> DataFrame:

@@ -195,3 +195,13 @@ def latest_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def rank_within(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Ties share the better rank. For short result tables."""
     return df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate to every row.
+
+    `one_row` is an aggregate without grouping keys and so has exactly one row;
+    that bound is what allows the broadcast.
+    """
+    left, right = df.withColumn("_one", F.lit(1)), one_row.withColumn("_one", F.lit(1))
+    return left.join(F.broadcast(right), "_one").drop("_one")
