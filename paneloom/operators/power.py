@@ -75,14 +75,14 @@ def brown_forsythe_power(cases: DataFrame, value: Column, ratios: list[float], n
     """
     levels = O.value_counts(cases, [], value).withColumn("_k", F.lit(1))
     # One entry per distinct level of the measure.
-    table = levels.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("t"), F.sum("n").alias("N"))
+    table = levels.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("t"), F.sum("n").alias("n_rows"))
     rows = attach_single(cases.where(value.isNotNull()).select(
         R.digest(seed, F.col("subject"), F.col("item")).alias("_id")), table)
     sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
     word = sims.withColumn("_w", R.digest(F.col("_id"), F.col("sim")))
 
     def pick(start):
-        place = R.bits32(F.col("_w"), start) % F.col("N")
+        place = R.bits32(F.col("_w"), start) % F.col("n_rows")
         reached = F.aggregate(
             "t", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("i")),
             lambda acc, x: F.struct((acc["upto"] + x["n"]).alias("upto"),

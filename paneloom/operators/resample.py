@@ -19,6 +19,7 @@ from paneloom.operators.pairing import attach_single
 
 SIGN_ALPHA = 0.0167
 _BLOCK = R.SIGNS_PER_DIGEST
+MANY_BLOCKS = 32
 
 
 def replicate_sums(cases: DataFrame, keys: list[str], unit: list[str], diffs: Column, n_rep: int,
@@ -35,6 +36,11 @@ def replicate_sums(cases: DataFrame, keys: list[str], unit: list[str], diffs: Co
     spread = cases.select(
         *keys, *[c for c in unit if c not in keys], diffs.alias("_diffs"),
         F.explode(F.when(moved, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(0)))).alias("_block"))
+    if blocks >= MANY_BLOCKS:
+        # Many replicates of a modest panel: the work is in the replicates, so they are
+        # what is spread over tasks, and each sum is then complete in one task.
+        tasks = min(blocks, 4 * cases.sparkSession.sparkContext.defaultParallelism)
+        spread = spread.repartition(tasks, "_block")
     word = spread.withColumn("_bits", R.bits32(R.digest(seed, F.col("_block"), *[F.col(c) for c in unit])))
     rows = word.select(*keys, "_block", "_bits", F.explode("_diffs").alias("_x"))
     d = F.col("_x.d")

@@ -212,12 +212,12 @@ def prj19(spark, sf_dir):
 
 def item_columns():
     """Ten personality items derived from the customer key."""
-    return [((_C("c_custkey") * (i + 2) + i) % 5 - 2) for i in range(1, 11)]
+    return [((F.floor(_C("c_custkey") / i) + i) % 5 - 2) for i in range(1, 11)]
 
 
 SQL_TRAITS = """SELECT c_custkey AS subject, (-b1 + b6) / 2 + 3 AS extraversion, (b2 - b7) / 2 + 3 AS agreeableness,
   (-b3 + b8) / 2 + 3 AS conscientiousness, (-b4 + b9) / 2 + 3 AS neuroticism, (-b5 + b10) / 2 + 3 AS openness FROM (
-  SELECT c_custkey, """ + ", ".join(f"(c_custkey * {i + 2} + {i}) % 5 - 2 AS b{i}" for i in range(1, 11)) + " FROM customer)"
+  SELECT c_custkey, """ + ", ".join(f"(c_custkey // {i} + {i}) % 5 - 2 AS b{i}" for i in range(1, 11)) + " FROM customer)"
 
 
 @query("prj20_trait_scores", SQL_TRAITS)
@@ -253,14 +253,12 @@ def prj22(spark, sf_dir):
     return V.table(spark, sf_dir, "customer").select("c_custkey", _profile().alias("block"))
 
 
-@query("prj23_comments_block", """SELECT conv_id, string_agg('Comment ' || (turn + 1) || ':' || chr(10) || trim(text), chr(10) || chr(10)
-  ORDER BY turn, text) AS block FROM conversations GROUP BY conv_id""")
+@query("prj23_comments_block", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)
+SELECT doc_id, list_aggregate(list_transform(range(1, len(t) + 1), lambda i: 'Comment ' || i || ':' || chr(10) || trim(t[i])), 'string_agg', chr(10) || chr(10)) AS block FROM l""")
 def prj23(spark, sf_dir):
-    turns = V.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    messages = F.transform("t", lambda m: F.struct(
-        (m["turn"] + 1).alias("shown_comment_id"), m["text"].alias("text")))
-    return turns.select("conv_id", X.comments_block(messages).alias("block"))
+    messages = F.transform(F.split("text", "\n"), lambda m, i: F.struct(
+        (i + 1).alias("shown_comment_id"), m.alias("text")))
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.comments_block(messages).alias("block"))
 
 
 _TEMPLATES = [
