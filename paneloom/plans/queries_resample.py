@@ -84,11 +84,11 @@ def sta3(spark, sf_dir):
                       r6(_C("p")).alias("p"))
 
 
-@query("sta22b_ablation_shift_and_mae", f"""WITH {V.PANEL}, t AS (SELECT a.subject, a.item, a.y - b.y AS d1, abs(a.h - a.y) - abs(a.h - b.y) AS d2 FROM panel a JOIN panel b USING (subject, item)
+@query("agg22_ablation_permutation", f"""WITH {V.PANEL}, t AS (SELECT a.subject, a.item, a.y - b.y AS d1, abs(a.h - a.y) - abs(a.h - b.y) AS d2 FROM panel a JOIN panel b USING (subject, item)
   WHERE a.src = 2 AND b.src = 3 AND a.y IS NOT NULL AND b.y IS NOT NULL),
 rs AS (SELECT rep, sum(sgn * d1) AS s1, sum(sgn * d2) AS s2, sum(d1) AS o1, sum(d2) AS o2 FROM (SELECT *, {_sign(42, "subject || '|' || item")} AS sgn FROM t CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY rep)
 SELECT {sq6(f'count(CASE WHEN abs(s1) >= abs(o1) THEN 1 END) / {REPS}e0')} AS p_shift, {sq6(f'count(CASE WHEN abs(s2) >= abs(o2) THEN 1 END) / {REPS}e0')} AS p_mae FROM rs""")
-def sta22b(spark, sf_dir):
+def agg22_permutation(spark, sf_dir):
     wide = P.complete_cases(P.assemble(V.panel(spark, sf_dir), ["model_2", "model_3"]), ["model_2", "model_3"])
     a, b, h = _C("model_2"), _C("model_3"), _C("h")
     diffs = F.array(F.struct(F.lit("shift").alias("label"), (a - b).alias("d")),
