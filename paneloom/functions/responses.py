@@ -25,6 +25,9 @@ PUNCTUATION = {"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—"
 
 _ENDS = r"^\s+|\s+$"
 
+# A JSON string literal; possessive, so long strings need no backtracking stack.
+STRING_LITERAL = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
 
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, _ENDS, "")
@@ -88,7 +91,8 @@ def is_one_object(text: Column) -> Column:
     The engine's JSON readers ignore trailing text, so the brackets outside
     string literals are followed: depth may return to zero only at the end.
     """
-    unquoted = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    unquoted = F.regexp_replace(text, STRING_LITERAL, "")
+    flat = unquoted.rlike(r"^\{[^{}]*\}$")
     brackets = F.regexp_replace(unquoted, r"[^{}\[\]]", "")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
     single = F.aggregate(
@@ -101,7 +105,8 @@ def is_one_object(text: Column) -> Column:
         ),
         lambda acc: (acc["depth"] == 0) & (acc["closed"] == 1),
     )
-    return F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & single
+    outer = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    return F.when(~outer, False).when(flat, True).otherwise(single)
 
 
 def parse_object(text: Column) -> Column:

@@ -14,6 +14,7 @@ from paneloom.operators import pairing as P
 from paneloom.plans import tables as V
 from paneloom.plans.queries_scalar import MESSAGES, message_pairs
 from paneloom.plans.registry import query, r6, sq6
+from paneloom.session import materialise
 
 _C = F.col
 
@@ -183,8 +184,8 @@ _MEAN_RANKS = f"""{MESSAGES},
 mr AS (SELECT item, cell, source, message, avg(rank) AS mean_rank, count(*) AS n FROM messages GROUP BY 1, 2, 3, 4)"""
 
 
-def mean_rank_table(spark, sf_dir):
-    return D.mean_ranks(message_pairs(V.responses(spark, sf_dir)), ["item", "cell", "source"], _C("pairs"))
+def mean_rank_table(spark, sf_dir, lines=None):
+    return D.mean_ranks(message_pairs(V.responses(spark, sf_dir, lines)), ["item", "cell", "source"], _C("pairs"))
 
 
 @query("agg15_mean_rank_by_message", f"WITH {_MEAN_RANKS} SELECT item, cell, source, message, {sq6('mean_rank')} AS mean_rank, n FROM mr")
@@ -220,7 +221,7 @@ SELECT source, {sq6('q1')} AS q1, {sq6('median')} AS median, {sq6('q3')} AS q3,
   {sq6('max(CASE WHEN mean_rank <= q3 + 1.5 * (q3 - q1) THEN mean_rank END)')} AS whisker_high
 FROM mr JOIN q USING (source) GROUP BY source, q1, median, q3""")
 def agg19(spark, sf_dir):
-    box = D.tukey_box(mean_rank_table(spark, sf_dir), ["source"], _C("mean_rank"))
+    box = D.tukey_box(materialise(mean_rank_table(spark, sf_dir)), ["source"], _C("mean_rank"))
     return box.select("source", *[r6(_C(c)).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
 
 
@@ -279,13 +280,13 @@ def agg24(spark, sf_dir):
 _SQL_CELLS = "GROUPING SETS ((), (item), (item, cell))"
 
 
-def design_counts(spark, sf_dir):
+def design_counts(spark, sf_dir, lines=None):
     """Observations and distinct subjects per design cell, over the baseline.
 
     Subjects are made distinct by grouping first: a count(distinct) over grouping
     sets would copy every row once per set.
     """
-    base = V.responses(spark, sf_dir).where("src = 1")
+    base = V.responses(spark, sf_dir, lines).where("src = 1")
     per = base.groupBy("item", "cell", "subject").agg(F.count("*").alias("n"))
     full = per.groupBy("item", "cell").agg(F.sum("n").alias("n_obs"), F.count("*").alias("n_subjects")).select(
         "item", "cell", "n_obs", "n_subjects")
@@ -397,19 +398,24 @@ scored AS (SELECT subject, item, cell, source, CAST(y AS DOUBLE) AS y, h, init F
 SCORED_SOURCES = V.CANDIDATES + ["no_change", "cell_median"]
 
 
-def scored_cases(spark, sf_dir):
-    """Complete cases of every candidate and of the two baseline predictors, one row each.
+def scored_wide(spark, sf_dir):
+    """Complete cases with every candidate and the two baseline predictors as columns.
 
     The leave-one-out median is taken over every baseline case, then cases that
     some source missed are dropped, as the complete-case rule asks.
     """
-    wide = P.assemble(V.panel(spark, sf_dir), V.CANDIDATES)
+    wide = materialise(P.assemble(V.panel(spark, sf_dir), V.CANDIDATES), "wide")
     medians = O.leave_one_out_median(wide, ["item", "cell", "init"], "h", S.LIKERT)
     full = P.complete_cases(wide, V.CANDIDATES).join(medians, ["item", "cell", "init", "h"])
-    columns = [_C(s).cast("double").alias(s) for s in V.CANDIDATES]
+    return full.withColumns({"no_change": _C("init"), "cell_median": _C("loo")})
+
+
+def scored_cases(spark, sf_dir):
+    """scored_wide with one row per case and source."""
+    full = scored_wide(spark, sf_dir)
+    columns = [_C(s).cast("double").alias(s) for s in SCORED_SOURCES]
     return P.long_cases(
-        full.select("subject", "item", "cell", "h", "init", *columns, _C("init").cast("double").alias("no_change"),
-                    _C("loo").alias("cell_median")),
+        full.select("subject", "item", "cell", "h", "init", *columns),
         SCORED_SOURCES, ["subject", "item", "cell", "h", "init"])
 
 
@@ -454,9 +460,7 @@ def met4(spark, sf_dir):
 
 @query("met5_leave_one_out_median", f"""WITH {FRAME} SELECT subject, item, y AS loo FROM scored WHERE source = 'cell_median'""")
 def met5(spark, sf_dir):
-    wide = P.assemble(V.panel(spark, sf_dir), V.CANDIDATES)
-    medians = O.leave_one_out_median(wide, ["item", "cell", "init"], "h", S.LIKERT)
-    return P.complete_cases(wide, V.CANDIDATES).join(medians, ["item", "cell", "init", "h"]).select("subject", "item", "loo")
+    return scored_wide(spark, sf_dir).select("subject", "item", "loo")
 
 
 @query("met6_paired_effect_size", f"""WITH {V.PANEL}

@@ -16,7 +16,7 @@ from paneloom.plans.queries_describe import demographics
 from paneloom.plans.queries_tests import traits
 from paneloom.plans.queries_scalar import SQL_SIZES, SQL_TRAITS, sized_names
 from paneloom.plans.registry import query, r6, sq6
-from paneloom.session import work_path
+from paneloom.session import materialise, spread, work_path
 from paneloom.sources import readers as I
 from paneloom.sources import writers as O
 from paneloom.sources.registry import registry_frame
@@ -257,7 +257,7 @@ mp AS (SELECT original, pseudonym FROM old UNION ALL SELECT nw.original, printf(
 def _map(spark, sf_dir):
     old = V.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(
         _id(_C("c_custkey")).alias("original"), F.format_string("P%04d", _C("c_custkey") + 2).alias("pseudonym"))
-    return X.extend_map(old, X.collect_ids(_id_columns(spark, sf_dir)), 5)
+    return X.extend_map(old, materialise(X.collect_ids(_id_columns(spark, sf_dir)), "ids"), 5)
 
 
 @query("pii1_collect_ids", f"WITH {_SQL_IDS} SELECT original FROM ids")
@@ -273,7 +273,8 @@ def pii2(spark, sf_dir):
 def _notes(spark, sf_dir):
     """Whole documents that mention an id twice, an id stuck to other letters, and a look-alike."""
     a = _id(_C("doc_id") % 900)
-    return V.table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(
+    docs = spread(V.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.select("doc_id", "source", F.concat(
         "text", F.lit(" ref "), a, F.lit(", again ("), a, F.lit(") x"), a, F.lit(" RepresentsPayloadHeaders")).alias("note"))
 
 
@@ -283,7 +284,7 @@ _SQL_NOTES = """nt AS (SELECT d.doc_id, d.source, d.text, substr(md5(CAST(doc_id
 @query("pii3_pseudonymise_text", f"""WITH {_SQL_MAP}, {_SQL_NOTES} SELECT doc_id, text || ' ref ' || coalesce(pseudonym, a) || ', again (' || coalesce(pseudonym, a) || ') x' || a || ' RepresentsPayloadHeaders' AS note,
 CASE WHEN pseudonym IS NULL THEN 0 ELSE 2 END AS n_replaced FROM nt LEFT JOIN mp ON mp.original = a""")
 def pii3(spark, sf_dir):
-    return X.pseudonymise(_notes(spark, sf_dir), "doc_id", "note", _map(spark, sf_dir)).select("doc_id", "note", "n_replaced")
+    return X.pseudonymise(_notes(spark, sf_dir), "doc_id", "note", materialise(_map(spark, sf_dir), "map")).select("doc_id", "note", "n_replaced")
 
 
 @query("pii4_surviving_ids", f"""WITH {_SQL_IDS}, {_SQL_NOTES} SELECT source AS dataset, count(*) * 2 AS n_survivors, count(DISTINCT a) AS n_ids FROM nt JOIN ids ON ids.original = a GROUP BY 1""")
@@ -293,7 +294,7 @@ def pii4(spark, sf_dir):
 
 @query("pii4_nothing_survives_the_rewrite", "SELECT source AS dataset, doc_id AS n_survivors, doc_id AS n_ids FROM documents WHERE false")
 def pii4b(spark, sf_dir):
-    mapping = _map(spark, sf_dir)
+    mapping = materialise(_map(spark, sf_dir), "map")
     done = X.pseudonymise(_notes(spark, sf_dir), "doc_id", "note", mapping)
     return X.surviving_ids(done, _C("source"), "note", mapping.select("original"))
 
@@ -319,7 +320,7 @@ _SQL_TEXTS = """tx AS (SELECT 'document' AS field, doc_id AS id, text FROM docum
 
 def _texts(spark, sf_dir):
     def part(name, field, key, text):
-        return V.table(spark, sf_dir, name).select(F.lit(field).alias("field"), key.alias("id"), _C(text).alias("text"))
+        return spread(V.table(spark, sf_dir, name).select(F.lit(field).alias("field"), key.alias("id"), _C(text).alias("text")), "id")
 
     return (part("documents", "document", _C("doc_id"), "text")
             .unionByName(part("conversations", "turn", _C("conv_id") * 100000 + _C("turn"), "text"))
@@ -458,7 +459,7 @@ def reg7(spark, sf_dir):
 
 
 def _design(spark, sf_dir):
-    frame = G.centre(model_frame(spark, sf_dir), ["init", "age", "openness"])
+    frame = G.centre(materialise(model_frame(spark, sf_dir), "frame"), ["init", "age", "openness"])
     names = []
     for column, levels in (("item", V.ITEMS), ("gender", ["Female", "Male", "Other"]), ("polarity", ["1", "-1"])):
         frame, added = G.dummies(frame, column, levels)

@@ -193,11 +193,11 @@ def join11(spark, sf_dir):
     return P.shared_keys(V.responses(spark, sf_dir), P.KEYS, "source", 7)
 
 
-def _rank_match(spark, sf_dir):
+def _rank_match(spark, sf_dir, lines=None):
     """Baseline ranks beside every candidate's, in the baseline convention."""
     from paneloom.functions import ranks as R
 
-    resp = V.responses(spark, sf_dir)
+    resp = V.responses(spark, sf_dir, lines)
     triple = R.triple(_C("r1"), _C("r2"), _C("r3"))
     base = resp.where(_C("src") == 1).select(
         "subject", "item", "cell", R.valid_triple(triple).alias("hb"), _C("order_seen").alias("order_b"))

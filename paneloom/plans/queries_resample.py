@@ -16,18 +16,19 @@ from paneloom.operators import resample as B
 from paneloom.plans import report
 from paneloom.plans import tables as V
 from paneloom.plans.queries_describe import (FRAME, SCORED_SOURCES, WASSERSTEIN, _MEAN_RANKS, design_counts,
-                                             mean_rank_table, scored_cases)
+                                             mean_rank_table, scored_cases, scored_wide)
 from paneloom.plans.queries_pairing import _rank_match
 from paneloom.plans.queries_tests import _BF, _CHI, _TAU
 from paneloom.plans.registry import query, r6, sq6
+from paneloom.session import materialise
 
 _C = F.col
 REPS = 64
 BOOT = 40
 
 
-def _wide(spark, sf_dir):
-    return P.assemble(V.panel(spark, sf_dir), V.CANDIDATES)
+def _wide(spark, sf_dir, lines=None):
+    return P.assemble(V.panel(spark, sf_dir, lines), V.CANDIDATES)
 
 
 def _diffs():
@@ -98,16 +99,8 @@ def agg22_permutation(spark, sf_dir):
                    r6(F.max(F.when(_C("label") == "mae", _C("p")))).alias("p_mae"))
 
 
-def _scored_wide(spark, sf_dir):
-    """Complete cases with every scored source as a column."""
-    wide = _wide(spark, sf_dir)
-    medians = O.leave_one_out_median(wide, ["item", "cell", "init"], "h", S.LIKERT)
-    full = P.complete_cases(wide, V.CANDIDATES).join(medians, ["item", "cell", "init", "h"])
-    return full.withColumns({"no_change": _C("init"), "cell_median": _C("loo")})
-
-
 def _errors(spark, sf_dir):
-    return B.subject_errors(_scored_wide(spark, sf_dir), "subject", SCORED_SOURCES)
+    return materialise(B.subject_errors(scored_wide(spark, sf_dir), "subject", SCORED_SOURCES), "errors")
 
 
 _ORDER = ", ".join(f"('{s}', {i})" for i, s in enumerate(SCORED_SOURCES))
@@ -150,7 +143,7 @@ def _weights(cases):
 
 @query("sta7_cluster_bootstrap", f"WITH {FRAME}, {_BOOT} SELECT rep, source, {sq6('mae')} AS mae, {sq6('bias')} AS bias FROM bm")
 def sta7(spark, sf_dir):
-    cases = scored_cases(spark, sf_dir)
+    cases = materialise(scored_cases(spark, sf_dir), "cases")
     drawn = cases.join(_weights(cases), "subject")
     out = M.error_metrics(drawn, ["rep", "source"], _C("w"))
     return out.select("rep", "source", r6(_C("mae")).alias("mae"), r6(_C("bias")).alias("bias"))
@@ -163,7 +156,7 @@ w1 AS (SELECT rep, source, sum(abs(fh - fy) * gap) AS wasserstein FROM (
   FROM vw WINDOW u AS (PARTITION BY rep, source ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY rep, source)) GROUP BY 1, 2)
 SELECT rep, source, {sq6('mae')} AS mae, {sq6('wasserstein')} AS wasserstein FROM bm JOIN w1 USING (rep, source)""")
 def sta7_all(spark, sf_dir):
-    cases = scored_cases(spark, sf_dir)
+    cases = materialise(scored_cases(spark, sf_dir), "cases")
     out = B.bootstrap_metrics(cases, _weights(cases), "subject")
     return out.select("rep", "source", r6(_C("mae")).alias("mae"), r6(_C("wasserstein")).alias("wasserstein"))
 
@@ -174,7 +167,7 @@ cum AS (SELECT k, sum(t) OVER (ORDER BY k) AS c FROM (SELECT k, exp(-1e0) / gamm
 pw AS (SELECT subject, rep, (SELECT count(*) FROM cum WHERE u.u >= c) AS w FROM u)
 SELECT rep, source, {sq6('sum(w * abs(h - y)) / CAST(sum(w) AS DOUBLE)')} AS mae FROM scored JOIN pw USING (subject) WHERE w > 0 GROUP BY 1, 2""")
 def sta7_poisson(spark, sf_dir):
-    cases = scored_cases(spark, sf_dir)
+    cases = materialise(scored_cases(spark, sf_dir), "cases")
     weights = B.poisson_weights(cases.select("subject").distinct(), "subject", BOOT, 11)
     out = M.error_metrics(cases.join(weights, "subject"), ["rep", "source"], _C("w"))
     return out.select("rep", "source", r6(_C("mae")).alias("mae"))
@@ -190,7 +183,7 @@ _R9 = "bm9 AS (SELECT rep, source, round(mae, 9) AS mae FROM bm)"
 
 @query("sta8_percentile_interval", f"WITH {FRAME}, {_BOOT}, {_R9} SELECT source, {sq6('quantile_disc(mae, 0.025)')} AS lo, {sq6('quantile_disc(mae, 0.975)')} AS hi FROM bm9 GROUP BY source")
 def sta8(spark, sf_dir):
-    out = B.percentile_interval(_mae_reps(scored_cases(spark, sf_dir)), ["source"], "mae")
+    out = B.percentile_interval(_mae_reps(materialise(scored_cases(spark, sf_dir), "cases")), ["source"], "mae")
     return out.select("source", r6(_C("lo")).alias("lo"), r6(_C("hi")).alias("hi"))
 
 
@@ -206,8 +199,8 @@ pr AS (SELECT source, rank() OVER (ORDER BY mae) AS place FROM pt WHERE source I
 SELECT source, {sq6('mae')} AS estimate, {sq6('lo')} AS lo, {sq6('hi')} AS hi, place, rank_lo, rank_hi, {sq6('p_best')} AS p_best
 FROM pt JOIN ci USING (source) LEFT JOIN pr USING (source) LEFT JOIN rc USING (source)""")
 def sta9(spark, sf_dir):
-    cases = scored_cases(spark, sf_dir)
-    out = B.rank_summary(M.error_metrics(cases, ["source"]), _mae_reps(cases), "mae", V.CANDIDATES)
+    cases = materialise(scored_cases(spark, sf_dir), "cases")
+    out = B.rank_summary(M.error_metrics(cases, ["source"]), materialise(_mae_reps(cases), "reps"), "mae", V.CANDIDATES)
     return out.select("source", *[r6(_C(c)).alias(c) for c in ("estimate", "lo", "hi")], "place",
                       "rank_lo", "rank_hi", r6(_C("p_best")).alias("p_best"))
 
@@ -217,7 +210,7 @@ pd AS (SELECT x.source AS a, z.source AS b, quantile_disc(round(x.mae - z.mae, 9
   FROM bm9 x JOIN bm9 z ON x.rep = z.rep JOIN ord ox ON ox.source = x.source JOIN ord oz ON oz.source = z.source WHERE ox.o < oz.o GROUP BY 1, 2)
 SELECT a, b, {sq6('diff')} AS diff, {sq6('lo')} AS lo, {sq6('hi')} AS hi, {sq6('p')} AS p, p < 0.05 / 28 AS significant FROM cf JOIN pd USING (a, b)""")
 def sta6(spark, sf_dir):
-    reps = _mae_reps(scored_cases(spark, sf_dir))
+    reps = _mae_reps(materialise(scored_cases(spark, sf_dir), "cases"))
     flips = B.cluster_sign_flip(_errors(spark, sf_dir), "subject", SCORED_SOURCES, REPS, 7)
     out = B.pairwise(reps, flips, SCORED_SOURCES)
     return out.select("a", "b", *[r6(_C(c)).alias(c) for c in ("diff", "lo", "hi", "p")], "significant")
@@ -236,11 +229,10 @@ SELECT pt.source, pt.source IN ('no_change', 'cell_median') AS is_baseline, vali
   place, {sq6('delta')} AS delta, {sq6('p')} AS p, {sq6('p_holm')} AS p_holm, p_holm < 0.05 AS significant, hp.n AS n_obs, {BOOT} AS n_boot, {REPS} AS n_resamples
 FROM pt JOIN ci USING (source) JOIN hp USING (source) LEFT JOIN pr USING (source) LEFT JOIN rt USING (source)""")
 def sta26(spark, sf_dir):
-    cases = scored_cases(spark, sf_dir)
-    summary = B.rank_summary(M.error_metrics(cases, ["source"]), _mae_reps(cases), "mae", V.CANDIDATES)
-    wide = _scored_wide(spark, sf_dir)
-    diffs = F.array(*[F.struct(F.lit(s).alias("label"), (_C("h") - _C(s)).cast("double").alias("d")) for s in SCORED_SOURCES])
-    flips = B.sign_flip(wide, [], ["subject", "item"], diffs, [[]], REPS).withColumnRenamed("label", "source")
+    cases = materialise(scored_cases(spark, sf_dir), "cases")
+    summary = B.rank_summary(M.error_metrics(cases, ["source"]), materialise(_mae_reps(cases), "reps"), "mae", V.CANDIDATES)
+    diffs = F.array(F.struct(_C("source").alias("label"), (_C("h") - _C("y")).alias("d")))
+    flips = B.sign_flip(cases, [], ["subject", "item"], diffs, [[]], REPS).withColumnRenamed("label", "source")
     tested = H.holm(flips.withColumn("family", F.lit(1)), ["family"]).select(
         "source", _C("n").alias("n_obs"), _C("mean_diff").alias("delta"), "p", "p_holm")
     runs = V.responses(spark, sf_dir).where("src > 1").groupBy("source").agg(
@@ -276,11 +268,11 @@ def sta28(spark, sf_dir):
 
 def full_report(spark, sf_dir, n_rep=REPS):
     """Every analysis of every grouping over the driver's panel."""
-    panel = V.panel(spark, sf_dir)
-    matched = _rank_match(spark, sf_dir).where(_C("reason").isNull())
+    lines = materialise(V.lines_wide(spark, sf_dir), "lines")
+    matched = _rank_match(spark, sf_dir, lines).where(_C("reason").isNull())
     return report.effect_report(
-        panel, V.responses(spark, sf_dir), _wide(spark, sf_dir), matched, mean_rank_table(spark, sf_dir),
-        design_counts(spark, sf_dir), V.CANDIDATES, V.BASELINE, n_rep)
+        V.panel(spark, sf_dir, lines), V.responses(spark, sf_dir, lines), _wide(spark, sf_dir, lines), matched,
+        mean_rank_table(spark, sf_dir, lines), design_counts(spark, sf_dir, lines), V.CANDIDATES, V.BASELINE, n_rep)
 
 
 # Statistics of the report that SQL can state; the F tails are left to the rows-only query.
@@ -300,11 +292,12 @@ SELECT item, cell, source, test, statistic, {sq6('value')} AS value FROM lo"""
 @query("sta29_effect_report", _SQL_REPORT)
 def sta29(spark, sf_dir):
     """The report's difference, stance and change sections over all groupings."""
-    panel = V.panel(spark, sf_dir)
+    lines = materialise(V.lines_wide(spark, sf_dir), "lines")
+    panel = V.panel(spark, sf_dir, lines)
     parts = [
-        report._long(report.difference_test(_wide(spark, sf_dir), V.CANDIDATES, REPS, 42), "difference",
+        report._long(report.difference_test(_wide(spark, sf_dir, lines), V.CANDIDATES, REPS, 42), "difference",
                      ["n", "mean_diff", "sd_diff", "d_z", "p"]),
-        report._long(report.stance_test(V.responses(spark, sf_dir), V.BASELINE), "stance",
+        report._long(report.stance_test(V.responses(spark, sf_dir, lines), V.BASELINE), "stance",
                      ["chi2", "cramers_v", "min_expected", "p"]),
         report._long(report.change_test(panel, V.BASELINE), "change", ["sd_base", "sd", "variance_ratio", "w"]),
     ]

@@ -15,6 +15,7 @@ from paneloom.plans.queries_describe import _MEAN_RANKS, mean_rank_table
 from paneloom.plans.queries_pairing import RANK_MATCH, _rank_match
 from paneloom.plans.queries_scalar import SQL_TRAITS, item_columns
 from paneloom.plans.registry import query, r6, sq6
+from paneloom.session import materialise
 
 _C = F.col
 
@@ -360,6 +361,11 @@ def sta21b(spark, sf_dir):
 
 
 def _half_errors(spark, sf_dir):
+    # A short table (messages x sources x halves) that the tests below read several times.
+    return materialise(_half_error_rows(spark, sf_dir), "halves")
+
+
+def _half_error_rows(spark, sf_dir):
     """Per message: absolute error of each predictor against the baseline's other half."""
     from paneloom.plans.queries_scalar import message_pairs
 

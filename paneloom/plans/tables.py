@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paneloom.functions import ranks as R
+from paneloom.session import spread
 
 BASELINE = "baseline"
 CANDIDATES = [f"model_{n}" for n in range(2, 8)]
@@ -47,7 +47,8 @@ def lines_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     Partial minima run before the only wide shuffle, so a hot subject or item
     is reduced in place.
     """
-    lines = table(spark, sf_dir, "lineitem").select(*_ORDER, "l_linenumber", "l_returnflag")
+    lines = spread(table(spark, sf_dir, "lineitem").select(*_ORDER, "l_linenumber", "l_returnflag"),
+                   "l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     first = F.struct(*_ORDER)
@@ -106,14 +107,17 @@ def _with_design(wide: DataFrame) -> DataFrame:
     })
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source's answer, whether or not the baseline answered."""
-    return _answers(_with_design(lines_wide(spark, sf_dir))).select(*_own_columns())
+def responses(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Every source's answer, whether or not the baseline answered.
+
+    A job that reads the panel several times passes `lines`, materialised once.
+    """
+    return _answers(_with_design(lines_wide(spark, sf_dir) if lines is None else lines)).select(*_own_columns())
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Answers paired with the baseline answer `h` and its initial belief `init`."""
-    wide = _with_design(lines_wide(spark, sf_dir)).where(F.col(BASELINE).isNotNull())
+    wide = _with_design(lines_wide(spark, sf_dir) if lines is None else lines).where(F.col(BASELINE).isNotNull())
     base = F.col(BASELINE)
     return _answers(wide).select(
         *_own_columns(),
@@ -123,16 +127,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paired(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Candidate answers that parsed, with the baseline's."""
-    return panel(spark, sf_dir).where((F.col("src") > 1) & F.col("y").isNotNull())
-
-
-def complete_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per subject and item where every source answered; one column per source."""
-    from paneloom.operators.pairing import assemble, complete_cases
-
-    return complete_cases(assemble(panel(spark, sf_dir), CANDIDATES), CANDIDATES)
+    return panel(spark, sf_dir, lines).where((F.col("src") > 1) & F.col("y").isNotNull())
 
 
 _SQL_TRIPLES = [

@@ -53,3 +53,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a frame once as a table in the shared folder and read it back.
+
+    For frames that several branches of a job read: each branch then scans the
+    columns it needs, and a lost executor costs a re-read, not the frame's history.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a part of a scan that arrives in a few pieces.
+
+    A small table stored in one row group is read by one task. A scan with many
+    splits is left as it is, so nothing is shuffled on large tables.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -66,6 +66,6 @@ T_LIST = f"array<{S.RUN_CONFIG.simpleString()}>"
 
 def csv_fields(record: Column) -> Column:
     """Fields of a CSV record held in one text cell; ragged records keep their own length."""
-    raw = F.regexp_extract_all(record, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), 1)
+    raw = F.regexp_extract_all(record, F.lit(r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), 1)
     return F.transform(raw, lambda f: F.when(
         F.startswith(f, F.lit('"')), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
