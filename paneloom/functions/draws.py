@@ -24,6 +24,3 @@ def below(n: Column, *parts) -> Column:
     """An integer in [0, n)."""
     return bits32(digest(*parts)) % n
 
-
-def bit(word: Column, i: int) -> Column:
-    return F.shiftright(word, i).bitwiseAND(F.lit(1))

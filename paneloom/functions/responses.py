@@ -49,13 +49,17 @@ def _unwrap(text: Column, mark: str, width: int) -> Column:
 
 def clean_response(text: Column) -> Column:
     """Drop paired think blocks, enclosing quotes and fences, smart quotes, a leading 'json'."""
-    out = _strip(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
+    bare = _strip(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
+    # A bare object has nothing to unwrap; most answers take this short way.
+    is_bare = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+    out = bare
     for mark in QUOTE_MARKS:
         out = _staged(out, partial(_unwrap_once, mark))
     out = F.translate(out, "“”‘’", "\"\"''")
     for mark in ("'", '"'):
         out = _staged(out, partial(_unwrap_triple, mark))
-    return _staged(_staged(out, _unwrap_pair), _drop_json_word)
+    unwrapped = _staged(_staged(out, _unwrap_pair), _drop_json_word)
+    return F.when(is_bare, F.translate(bare, "“”‘’", "\"\"''")).otherwise(unwrapped)
 
 
 def _unwrap_once(mark: str, text: Column) -> Column:

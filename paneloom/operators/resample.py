@@ -22,6 +22,17 @@ _BLOCK = R.SIGNS_PER_DIGEST
 MANY_BLOCKS = 32
 
 
+def _fan_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread rows over all tasks before replicates multiply them.
+
+    A small panel arrives coalesced in a partition or two; its replicates are the
+    work. On a large panel this moves narrow rows once, against n_rep digests each.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def replicate_sums(cases: DataFrame, keys: list[str], unit: list[str], diffs: Column, n_rep: int,
                    seed: int) -> DataFrame:
     """(keys, label, rep, s, obs, n, sq): signed sums per replicate.
@@ -32,9 +43,12 @@ def replicate_sums(cases: DataFrame, keys: list[str], unit: list[str], diffs: Co
     difference adds nothing to any replicate and is carried in block 0 only, for n. Replicate 0 also carries the sum of squares.
     """
     blocks = math.ceil(n_rep / _BLOCK)
-    moved = F.exists(diffs, lambda x: x["d"] != 0)
-    spread = cases.select(
-        *keys, *[c for c in unit if c not in keys], diffs.alias("_diffs"),
+    narrow = cases.select(*keys, *[c for c in unit if c not in keys], diffs.alias("_diffs"))
+    if blocks < MANY_BLOCKS:
+        narrow = _fan_out(narrow, unit)
+    moved = F.exists("_diffs", lambda x: x["d"] != 0)
+    spread = narrow.select(
+        *keys, *[c for c in unit if c not in keys], "_diffs",
         F.explode(F.when(moved, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(0)))).alias("_block"))
     if blocks >= MANY_BLOCKS:
         # Many replicates of a modest panel: the work is in the replicates, so they are
@@ -47,10 +61,10 @@ def replicate_sums(cases: DataFrame, keys: list[str], unit: list[str], diffs: Co
     # d is added where the bit is set: d * bit keeps the 32 sums branch-free.
     sums = rows.groupBy(*keys, F.col("_x.label").alias("label"), "_block").agg(
         F.count(d).alias("_n"), F.sum(d).alias("_tot"), F.sum(d * d).alias("_sq"),
-        *[F.sum(d * R.bit(F.col("_bits"), i)).alias(f"_s{i}") for i in range(_BLOCK)])
+        *[F.expr(f"sum(_x.d * (shiftright(_bits, {i}) & 1)) AS _s{i}") for i in range(_BLOCK)])
     table = sums.select(
         *keys, "label", "_block", "_n", "_tot", "_sq",
-        F.posexplode(F.array(*[2 * F.col(f"_s{i}") - F.col("_tot") for i in range(_BLOCK)])).alias("_pos", "s"))
+        F.expr(f"posexplode(array({', '.join(f'2 * _s{i} - _tot' for i in range(_BLOCK))})) AS (_pos, s)"))
     rep = F.col("_block") * _BLOCK + F.col("_pos")
     return table.select(*keys, "label", rep.alias("rep"), "s", F.col("_tot").alias("obs"),
                         F.when(rep == 0, F.col("_n")).otherwise(0).alias("n"),
@@ -121,7 +135,7 @@ def omnibus(errors: DataFrame, subject: str, sources: list[str], n_rep: int, see
     precedes the aggregation.
     """
     k = len(sources)
-    reps = errors.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
+    reps = _fan_out(errors, [subject]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
     digests = reps.withColumns({
         f"_d{c}": R.digest(seed, F.col("rep"), F.col(subject), c) for c in range((k + 7) // 8)})
     keyed = F.array_sort(F.array(*[
@@ -168,7 +182,7 @@ def bootstrap_weights(subjects: DataFrame, subject: str, n_rep: int, seed: int)
     """
     index = numbered(subjects, subject)
     word = F.conv(F.substring(R.digest(seed, F.col("rep"), F.col("idx")), 1, 15), 16, 10).cast("long")
-    drawn = index.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).select(
+    drawn = _fan_out(index, ["idx"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).select(
         "rep", (word % F.col("n")).alias("idx"))
     weights = drawn.groupBy("idx", "rep").agg(F.count("*").alias("w"))
     return weights.join(index.select(subject, "idx"), "idx").select(subject, "rep", "w")
@@ -186,7 +200,7 @@ def poisson_weights(subjects: DataFrame, subject: str, n_rep: int, seed: int) ->
         w = w + F.when(unit >= total, 1).otherwise(0)
         term /= k
         total += term
-    return (subjects.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
+    return (_fan_out(subjects, [subject]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
             .withColumn("w", w).where(F.col("w") > 0).select(subject, "rep", "w"))
 
 

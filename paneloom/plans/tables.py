@@ -7,7 +7,7 @@ number is the source (1 = baseline).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paneloom.session import spread
 
@@ -24,23 +24,10 @@ TOKEN_BUDGET = 4096
 _ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
           "l_discount", "l_tax"]
 
-# Ranking orders used by the view; the last two are malformed on purpose.
-_TRIPLES = [(1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1), (1, 1, 3),
-            (2, 3, None)]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lookup(index: Column, position: int) -> Column:
-    return F.element_at(F.array(*[F.lit(t[position]).cast("int") for t in _TRIPLES]), index + 1)
-
-
-def _triple_index(partkey: Column) -> Column:
-    return F.when(partkey % 13 == 0, 6 + partkey % 2).otherwise(partkey % 6).cast("int")
-
-
 def lines_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per subject and item with the first line of every source.
 
@@ -50,61 +37,47 @@ def lines_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(table(spark, sf_dir, "lineitem").select(*_ORDER, "l_linenumber", "l_returnflag"),
                    "l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    first = F.struct(*_ORDER)
-    return joined.groupBy(
-        F.col("o_custkey").alias("subject"), F.col("l_returnflag").alias("item"),
-    ).agg(*[F.min(F.when(F.col("l_linenumber") == n, first)).alias(s)
-            for n, s in enumerate(SOURCES, start=1)])
+    first = ", ".join(_ORDER)
+    picks = [F.expr(f"min(CASE WHEN l_linenumber = {n} THEN struct({first}) END)").alias(s)
+             for n, s in enumerate(SOURCES, start=1)]
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).groupBy(
+        F.col("o_custkey").alias("subject"), F.col("l_returnflag").alias("item")).agg(*picks)
+
+
+# The view's columns as SQL expressions over the design columns and `o`, one answer.
+_DESIGN = [
+    "*", "concat('package', subject % 3 + 1) AS cell",
+    "IF((subject + ascii(item)) % 2 = 0, 1, -1) AS polarity",
+]
+_STATEMENT = "concat('Option ', item, IF(polarity = 1, ' is a good choice.', ' is a bad choice.')) AS statement"
+_RAW = "IF(o.src > 1 AND o.l.l_suppkey % 11 = 0, NULL, cast(floor(o.l.l_quantity) AS int) % 5 - 2)"
+_INIT = "cast(floor({line}.l_discount * 100 + 0.5) AS int) % 5 - 2"
+_K = "cast(IF(o.l.l_partkey % 13 = 0, 6 + o.l.l_partkey % 2, o.l.l_partkey % 6) AS int)"
+_OWN = [
+    "subject", "item", "o.src AS src", "o.source AS source", "cell", "polarity", "statement",
+    f"{_RAW} AS raw", f"({_RAW}) * polarity AS y", f"{_INIT.format(line='o.l')} AS own_init_raw",
+    "cast(IF(o.l.l_suppkey % 7 = 0, NULL, o.l.l_suppkey % 5 - 2) AS int) AS stance_raw",
+    # Ranking orders; the seventh and eighth are malformed on purpose.
+    f"array(1, 1, 2, 2, 3, 3, 1, 2)[{_K}] AS r1", f"array(2, 3, 1, 3, 1, 2, 1, 3)[{_K}] AS r2",
+    f"array(3, 2, 3, 1, 2, 1, 3, NULL)[{_K}] AS r3",
+    "IF(o.src > 1 AND o.l.l_partkey % 17 = 0, concat('package', (subject + 1) % 3 + 1), cell) AS cell_seen",
+    "cast(IF(o.src > 1 AND o.l.l_partkey % 19 = 0, (subject + 1) % 6, subject % 6) AS int) AS order_seen",
+    "cast(o.l.l_suppkey % 3 + 1 AS int) AS n_tries", "cast(o.l.l_partkey % 23 = 0 AS int) AS n_truncated",
+    f"cast(floor(o.l.l_extendedprice) AS int) % {TOKEN_BUDGET} AS completion_tokens",
+    "o.l.l_partkey % 29 = 0 AS thinking_disabled", "o.l.l_partkey AS l_partkey", "o.l.l_suppkey AS l_suppkey",
+    "o.l.l_orderkey AS l_orderkey",
+]
+_BASE = [
+    f"(cast(floor({BASELINE}.l_quantity) AS int) % 5 - 2) * polarity AS h",
+    f"{_INIT.format(line=BASELINE)} AS init_raw", f"({_INIT.format(line=BASELINE)}) * polarity AS init",
+]
+_OPTIONS = "filter(array(" + ", ".join(
+    f"struct({n} AS src, '{s}' AS source, {s} AS l)" for n, s in enumerate(SOURCES, start=1)) + "), x -> x.l IS NOT NULL)"
 
 
 def _answers(wide: DataFrame) -> DataFrame:
-    """Unpivot the sources of each row; narrow, no shuffle."""
-    options = F.array(*[F.struct(F.lit(n).alias("src"), F.lit(s).alias("source"), F.col(s).alias("l"))
-                        for n, s in enumerate(SOURCES, start=1)])
-    return wide.withColumn("o", F.explode(F.filter(options, lambda o: o["l"].isNotNull())))
-
-
-def _int(c: Column) -> Column:
-    return F.floor(c).cast("int")
-
-
-def _own_columns() -> list[Column]:
-    line = F.col("o.l")
-    triple = _triple_index(line["l_partkey"])
-    pol = F.col("polarity")
-    raw = F.when((F.col("o.src") > 1) & (line["l_suppkey"] % 11 == 0), None).otherwise(
-        _int(line["l_quantity"]) % 5 - 2)
-    return [
-        F.col("subject"), F.col("item"), F.col("o.src").alias("src"), F.col("o.source").alias("source"),
-        F.col("cell"), F.col("polarity"), F.col("statement"),
-        raw.alias("raw"), (raw * pol).alias("y"),
-        (_int(line["l_discount"] * 100 + 0.5) % 5 - 2).alias("own_init_raw"),
-        F.when(line["l_suppkey"] % 7 == 0, None).otherwise(line["l_suppkey"] % 5 - 2)
-        .cast("int").alias("stance_raw"),
-        *[_lookup(triple, k).alias(f"r{k + 1}") for k in range(3)],
-        F.when((F.col("o.src") > 1) & (line["l_partkey"] % 17 == 0),
-               F.concat(F.lit("package"), (F.col("subject") + 1) % 3 + 1))
-        .otherwise(F.col("cell")).alias("cell_seen"),
-        F.when((F.col("o.src") > 1) & (line["l_partkey"] % 19 == 0), (F.col("subject") + 1) % 6)
-        .otherwise(F.col("subject") % 6).cast("int").alias("order_seen"),
-        (line["l_suppkey"] % 3 + 1).cast("int").alias("n_tries"),
-        (line["l_partkey"] % 23 == 0).cast("int").alias("n_truncated"),
-        (_int(line["l_extendedprice"]) % TOKEN_BUDGET).alias("completion_tokens"),
-        (line["l_partkey"] % 29 == 0).alias("thinking_disabled"),
-        line["l_partkey"].alias("l_partkey"), line["l_suppkey"].alias("l_suppkey"),
-        line["l_orderkey"].alias("l_orderkey"),
-    ]
-
-
-def _with_design(wide: DataFrame) -> DataFrame:
-    pol = F.when((F.col("subject") + F.ascii("item")) % 2 == 0, 1).otherwise(-1)
-    return wide.withColumns({
-        "cell": F.concat(F.lit("package"), F.col("subject") % 3 + 1),
-        "polarity": pol,
-        "statement": F.concat(F.lit("Option "), F.col("item"), F.when(pol == 1, F.lit(" is a good choice."))
-                              .otherwise(F.lit(" is a bad choice."))),
-    })
+    """Design columns, then the sources of each row unpivoted; narrow, no shuffle."""
+    return wide.selectExpr(*_DESIGN).selectExpr("*", _STATEMENT, f"explode({_OPTIONS}) AS o")
 
 
 def responses(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
@@ -112,19 +85,13 @@ def responses(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None)
 
     A job that reads the panel several times passes `lines`, materialised once.
     """
-    return _answers(_with_design(lines_wide(spark, sf_dir) if lines is None else lines)).select(*_own_columns())
+    return _answers(lines_wide(spark, sf_dir) if lines is None else lines).selectExpr(*_OWN)
 
 
 def panel(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Answers paired with the baseline answer `h` and its initial belief `init`."""
-    wide = _with_design(lines_wide(spark, sf_dir) if lines is None else lines).where(F.col(BASELINE).isNotNull())
-    base = F.col(BASELINE)
-    return _answers(wide).select(
-        *_own_columns(),
-        (( _int(base["l_quantity"]) % 5 - 2) * F.col("polarity")).alias("h"),
-        (_int(base["l_discount"] * 100 + 0.5) % 5 - 2).alias("init_raw"),
-        ((_int(base["l_discount"] * 100 + 0.5) % 5 - 2) * F.col("polarity")).alias("init"),
-    )
+    wide = (lines_wide(spark, sf_dir) if lines is None else lines).where(f"{BASELINE} IS NOT NULL")
+    return _answers(wide).selectExpr(*_OWN, *_BASE)
 
 
 def paired(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
@@ -186,40 +153,27 @@ def inline(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFr
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def _json_answer(quoted: bool, short: bool, reason: bool) -> Column:
+def _json_answer(quoted: bool, short: bool, reason: bool) -> str:
     def num(c):
-        text = F.coalesce(F.col(c).cast("string"), F.lit("null"))
-        return F.concat(F.lit('"'), text, F.lit('"')) if quoted else text
+        text = f"coalesce(cast({c} AS string), 'null')"
+        return f"""'"', {text}, '"'""" if quoted else text
 
-    ranking = [num("r1"), F.lit(", "), num("r2")] + ([] if short else [F.lit(", "), num("r3")])
-    why = [F.lit(', "reasoning": "they said {no} to \\"'), F.col("item"), F.lit('\\" '),
-           F.col("subject").cast("string"), F.lit('"')] if reason else []
-    return F.concat(F.lit('{"new_belief": '), num("raw"), F.lit(', "ranking": ['), *ranking, F.lit("]"),
-                    *why, F.lit(', "general_public_stance": '), num("stance_raw"), F.lit("}"))
+    third = "" if short else f", ', ', {num('r3')}"
+    why = """, ', "reasoning": "they said {no} to \\\\"', item, '\\\\" ', subject, '"'""" if reason else ""
+    return (f"""concat('{{"new_belief": ', {num('raw')}, ', "ranking": [', {num('r1')}, ', ', {num('r2')}{third}, ']'"""
+            f"""{why}, ', "general_public_stance": ', {num('stance_raw')}, '}}')""")
 
 
 def with_raw_text(df: DataFrame) -> DataFrame:
     """The answer as a response text in one of eleven shapes, good and bad."""
-    v = F.col("l_partkey") % 11
     plain = _json_answer(False, False, True)
-    none = F.lit("none")
-    return df.withColumn(
-        "raw_response",
-        F.when(v == 0, plain)
-        .when(v == 1, F.concat(F.lit("<think>I weigh {this}.</think>\n"), plain))
-        .when(v == 2, F.concat(F.lit("I weigh this.</THINK> "), plain))
-        .when(v == 3, _json_answer(True, False, True))
-        .when(v == 4, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
-        .when(v == 5, F.substring(plain, 1, 30))
-        .when(v == 6, F.concat(plain, F.lit(" Hope this helps {you}")))
-        .when(v == 7, _json_answer(False, True, True))
-        .when(v == 8, _json_answer(False, False, False))
-        .when(v == 9, "I cannot answer.")
-        .otherwise(F.concat(
-            F.coalesce(F.col("raw").cast("string"), none), F.lit("\nRANKING: "),
-            F.concat_ws(", ", "r1", "r2", "r3"), F.lit("\nGENERAL_PUBLIC_STANCE: "),
-            F.coalesce(F.col("stance_raw").cast("string"), none))),
-    )
+    return df.selectExpr("*", f"""CASE l_partkey % 11 WHEN 0 THEN {plain}
+      WHEN 1 THEN concat('<think>I weigh {{this}}.</think>\n', {plain}) WHEN 2 THEN concat('I weigh this.</THINK> ', {plain})
+      WHEN 3 THEN {_json_answer(True, False, True)} WHEN 4 THEN concat('```json\n', {plain}, '\n```')
+      WHEN 5 THEN substring({plain}, 1, 30) WHEN 6 THEN concat({plain}, ' Hope this helps {{you}}')
+      WHEN 7 THEN {_json_answer(False, True, True)} WHEN 8 THEN {_json_answer(False, False, False)} WHEN 9 THEN 'I cannot answer.'
+      ELSE concat(coalesce(cast(raw AS string), 'none'), '\nRANKING: ', concat_ws(', ', r1, r2, r3), '\nGENERAL_PUBLIC_STANCE: ',
+        coalesce(cast(stance_raw AS string), 'none')) END AS raw_response""")
 
 
 def _sql_answer(quoted: bool, short: bool, reason: bool) -> str:
