@@ -62,12 +62,12 @@ def icc_one_way(df: DataFrame, group: list[str], subject: str, value: Column, k:
         F.count(value).alias("m"), F.sum(value).alias("s"), F.sum(value * value).alias("q"))
     tot = per.groupBy(*group).agg(
         F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.sum(F.col("s") * F.col("s") / F.col("m")).alias("sq"))
+        F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("m"))).alias("sq"))
     between = F.col("sq") - F.col("s") * F.col("s") / F.col("m")
     within = F.col("q") - F.col("sq")
-    ms_b, ms_w = between / (F.col("n") - 1), within / (F.col("n") * (k - 1))
+    ms_b, ms_w = F.try_divide(between, F.col("n") - 1), within / (F.col("n") * (k - 1))
     return tot.select(*group, F.col("n").alias("n_subjects"), F.col("m").alias("n_obs"),
-                      ((ms_b - ms_w) / (ms_b + (k - 1) * ms_w)).alias("icc"))
+                      F.try_divide(ms_b - ms_w, ms_b + (k - 1) * ms_w).alias("icc"))
 
 
 def within_subject_sd(df: DataFrame, group: list[str], subject: str, value: Column) -> DataFrame:

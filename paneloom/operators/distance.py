@@ -69,7 +69,7 @@ def spread(cases: DataFrame, group: list[str], weight: Column | None = None) ->
 def paired_effect(diff: Column) -> list[Column]:
     """n, mean difference, its SD and the paired effect size; null pairs drop out."""
     return [F.count(diff).alias("n"), F.avg(diff).alias("mean_diff"), F.stddev_samp(diff).alias("sd_diff"),
-            (F.avg(diff) / F.stddev_samp(diff)).alias("d_z")]
+            F.try_divide(F.avg(diff), F.stddev_samp(diff)).alias("d_z")]
 
 
 def all_metrics(cases: DataFrame, group: list[str], weight: Column | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def chi_square(df: DataFrame, a: list[str], b: list[str], strict: bool = True) -
         column = F.col(ca) + F.col(cb)
         empty = empty | (column == 0)
         for cell, row in ((F.col(ca), ra), (F.col(cb), rb)):
-            expected = row * column / total
+            expected = F.try_divide(row * column, total)
             chi2 = chi2 + F.when(expected > 0, (cell - expected) * (cell - expected) / expected).otherwise(0.0)
             low = expected if low is None else F.least(low, expected)
     stop = F.lit(None).cast("double")
@@ -58,7 +58,7 @@ def chi_square(df: DataFrame, a: list[str], b: list[str], strict: bool = True) -
          else tails.chi2_tail(F.col("chi2"), F.lit(dof)))
     return checked.withColumns({
         "dof": F.lit(dof), "n_total": ra + rb, "min_expected": low, "p": p,
-        "cramers_v": F.sqrt(F.col("chi2") / (ra + rb)),
+        "cramers_v": F.sqrt(F.try_divide(F.col("chi2"), ra + rb)),
     })
 
 
@@ -85,8 +85,8 @@ def mann_whitney(df: DataFrame, group: list[str], level: str, first: str, second
     n1, n2 = F.col("n_first").cast("double"), F.col("n_second").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd)
     return wide.select(
         *group, "n_first", "n_second", u.alias("u"), (n1 * n2 / 2).alias("u_null"),
         F.least(F.lit(1.0), 2 * tails.normal_tail(z)).alias("p"))
@@ -102,7 +102,7 @@ def kruskal(df: DataFrame, group: list[str], level: str, value: Column, open_dom
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("ties").alias("ties"),
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n))
     out = sums.where(F.col("k") >= 2).withColumn("h", h)
     return out.select(*group, "k", "n", "h", (F.col("h") / (F.col("n") - 1)).alias("effect"),
                       tails.chi2_tail(F.col("h"), F.col("k") - 1).alias("p"))
@@ -155,7 +155,7 @@ def brown_forsythe_counts(counts: DataFrame, keys: list[str], baseline: str) ->
     stats = O.with_median(counts, group, "med").groupBy(*group).agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * dev).alias("z1"), F.sum(F.col("n") * dev * dev).alias("z2"),
         F.sum(F.col("n") * F.col("v")).alias("v1"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("v2"))
-    sd = F.sqrt((F.col("v2") - F.col("v1") * F.col("v1") / F.col("n")) / (F.col("n") - 1))
+    sd = F.sqrt(F.try_divide(F.col("v2") - F.col("v1") * F.col("v1") / F.col("n"), F.col("n") - 1))
     pairs = versus_baseline(stats.withColumn("sd", sd), keys, baseline)
     return _levene(pairs).select(*keys, "source", F.col("n_b").alias("n_base"), "n", F.col("sd_b").alias("sd_base"),
                                  "sd", "w", "p")
@@ -168,7 +168,7 @@ def _levene(pairs: DataFrame) -> DataFrame:
     between = (na * (F.col("z1_b") / na - grand) * (F.col("z1_b") / na - grand)
                + nb * (F.col("z1") / nb - grand) * (F.col("z1") / nb - grand))
     within = (F.col("z2_b") - F.col("z1_b") * F.col("z1_b") / na) + (F.col("z2") - F.col("z1") * F.col("z1") / nb)
-    out = pairs.withColumn("w", (n - 2) * between / within)
+    out = pairs.withColumn("w", F.try_divide((n - 2) * between, within))
     return out.withColumn("p", tails.f_tail(F.col("w"), F.lit(1), F.col("n_b") + F.col("n") - 2))
 
 
@@ -188,13 +188,13 @@ def wilcoxon_less(df: DataFrame, group: list[str], diff: Column, open_domain: bo
         F.sum(F.when(F.col("up"), F.col("n") * F.col("place")).otherwise(0.0)).alias("w_plus"),
         F.sum(O.tie_term(F.col("n"), F.col("peers"))).alias("ties"), F.sum("n").alias("m")).withColumnRenamed("m", "n")
     n, w = F.col("n").cast("double"), F.col("w_plus")
-    z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
     return sums.select(*group, "n", "w_plus", tails.normal_tail(-z).alias("p"))
 
 
 def paired_t_less(df: DataFrame, group: list[str], diff: Column) -> DataFrame:
     out = df.groupBy(*group).agg(F.count(diff).alias("n"), F.avg(diff).alias("mean"), F.stddev_samp(diff).alias("sd"))
-    t = F.col("mean") / (F.col("sd") / F.sqrt("n"))
+    t = F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n"))
     return out.withColumn("t", t).select(*group, "n", "t", tails.t_tail(-F.col("t"), F.col("n") - 1).alias("p"))
 
 

@@ -93,8 +93,8 @@ def sign_flip(cases: DataFrame, cells: list[str], unit: list[str], diffs: Column
     out = exceedance(reps, [*keys, "label"])
     p = F.col("exceed") / F.col("n_rep")
     mean = F.col("obs") / F.col("n")
-    sd = F.sqrt((F.col("sq") - F.col("obs") * mean) / (F.col("n") - 1))
-    return out.select(*keys, "label", "n", mean.alias("mean_diff"), sd.alias("sd_diff"), (mean / sd).alias("d_z"),
+    sd = F.sqrt(F.try_divide(F.col("sq") - F.col("obs") * mean, F.col("n") - 1))
+    return out.select(*keys, "label", "n", mean.alias("mean_diff"), sd.alias("sd_diff"), F.try_divide(mean, sd).alias("d_z"),
                       "exceed", p.alias("p"), (p < SIGN_ALPHA).alias("reject"))
 
 

@@ -55,7 +55,7 @@ def change_test(panel: DataFrame, baseline: str) -> DataFrame:
     counts = D.over_groupings(cells, _grids("source", "v"), [F.sum("n").alias("n")]).withColumn(
         "v", F.col("v").cast("int"))
     out = H.brown_forsythe_counts(counts, CELL, baseline)
-    return out.withColumn("variance_ratio", F.pow(F.col("sd_base") / F.col("sd"), 2))
+    return out.withColumn("variance_ratio", F.pow(F.try_divide(F.col("sd_base"), F.col("sd")), 2))
 
 
 def difference_test(wide: DataFrame, sources: list[str], n_rep: int, seed: int) -> DataFrame:
@@ -74,7 +74,7 @@ def tau_test(matched: DataFrame) -> DataFrame:
     rolled = D.over_groupings(cells, _grids("source"), [
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("k")).alias("s1"),
         F.sum(F.col("n") * F.col("k") * F.col("k")).alias("s2")])
-    sd = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)) / 3
+    sd = F.sqrt(F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.col("n") - 1)) / 3
     return rolled.select(*CELL, "source", "n", (F.col("s1") / F.col("n") / 3).alias("mean"), sd.alias("sd"))
 
 
@@ -87,7 +87,7 @@ def message_test(mean_ranks: DataFrame, n_sources: int, baseline: str) -> DataFr
         F.struct(F.col("item"), F.lit("all").alias("cell")), F.struct(F.col("item"), F.col("cell")))
     rows = shared.select("source", "mean_rank", F.explode(everywhere).alias("g")).select("g.*", "source", "mean_rank")
     out = H.brown_forsythe(rows, CELL, F.col("mean_rank"), baseline)
-    return out.withColumn("variance_ratio", F.pow(F.col("sd") / F.col("sd_base"), 2))
+    return out.withColumn("variance_ratio", F.pow(F.try_divide(F.col("sd"), F.col("sd_base")), 2))
 
 
 def effect_report(panel: DataFrame, responses: DataFrame, wide: DataFrame, matched: DataFrame,

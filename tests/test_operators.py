@@ -174,7 +174,7 @@ def test_empty_level_stops_chi_square(spark):
 def test_rank_tests_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x, g = rng.integers(-2, 3, 80), rng.integers(0, 3, 80)
-    df = spark.createDataFrame([("k", str(a), int(b)) for a, b in zip(g, x)], "k string, g string, v int")
+    df = spark.createDataFrame([("k", str(a), int(b)) for a, b in zip(g, x)], "grp string, g string, v int")
     ordered = np.sort(x)
     ranks = np.array([(np.searchsorted(ordered, v, "left") + 1 + np.searchsorted(ordered, v, "right")) / 2 for v in x])
     ties = sum(t ** 3 - t for t in np.unique(x, return_counts=True)[1])
@@ -182,11 +182,11 @@ def test_rank_tests_against_brute_force(spark):
     h = 12 / (n * (n + 1)) * sum(ranks[g == k].sum() ** 2 / (g == k).sum() for k in range(3)) - 3 * (n + 1)
     h /= 1 - ties / (n ** 3 - n)
     for open_domain in (False, True):
-        got = H.kruskal(df, ["k"], "g", F.col("v"), open_domain).collect()[0]
+        got = H.kruskal(df, ["grp"], "g", F.col("v"), open_domain).collect()[0]
         assert got.h == pytest.approx(h) and got.effect == pytest.approx(h / (n - 1))
         assert got.p == pytest.approx(math.exp(-h / 2))
     u = sum((a > b) + (a == b) / 2 for a in x[g == 0] for b in x[g == 1])
-    assert H.mann_whitney(df, ["k"], "g", "0", "1", F.col("v")).collect()[0].u == pytest.approx(u)
+    assert H.mann_whitney(df, ["grp"], "g", "0", "1", F.col("v")).collect()[0].u == pytest.approx(u)
 
 
 def test_brown_forsythe_against_brute_force(spark):
@@ -267,8 +267,8 @@ def test_repair_fills_only_gaps(spark):
     raw = '{"new_belief": 2, "ranking": [3, 1, 2], "reasoning": "why", "general_public_stance": 0}'
     df = spark.createDataFrame([(1, None, None, raw), (None, None, 1, "bad")], "llm_new_belief int, llm_reasoning string, rank_1 int, raw_response string")
     got = C.repair(df).orderBy("raw_response").collect()
-    assert (got[1].llm_new_belief, got[1].llm_reasoning, got[1].rank_1, got[1].repaired) == (None, None, 1, False)
-    assert (got[0].llm_new_belief, got[0].llm_reasoning, got[0].rank_1, got[0].repaired) == (1, "why", 3, True)
+    assert (got[0].llm_new_belief, got[0].llm_reasoning, got[0].rank_1, got[0].repaired) == (None, None, 1, False)
+    assert (got[1].llm_new_belief, got[1].llm_reasoning, got[1].rank_1, got[1].repaired) == (1, "why", 3, True)
 
 
 def test_pseudonyms_are_stable_and_bijective(spark):
