@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paneloom.schema import DELTAS, LIKERT
@@ -103,7 +101,7 @@ def frequency(df: DataFrame, columns: list[str]) -> DataFrame:
         "variable", "category", "n", F.round(100 * F.col("n") / F.col("total"), 2).alias("percent"))
 
 
-def quartiles(df: DataFrame, group: list[str], value: Column, weight: Column | None = None) -> DataFrame:
+def quartiles(df: DataFrame, group: list[str], value: Column) -> DataFrame:
     """Linear-interpolation quartiles from value counts.
 
     Equal values are counted before the percentile, so the state per group is the
@@ -140,7 +138,3 @@ def extremes(df: DataFrame, group: list[str], value: str, label: Column) -> Data
     return df.groupBy(*group).agg(low.alias("a"), high.alias("b")).select(
         *group, F.col("a.l").alias("lowest"), F.col("a.v").alias("lowest_value"),
         F.col("b.l").alias("highest"), (-F.col("b.v")).alias("highest_value"))
-
-
-def unordered_pairs(names: list[str]) -> list[tuple[str, str]]:
-    return list(combinations(names, 2))

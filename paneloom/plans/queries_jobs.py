@@ -14,7 +14,7 @@ from paneloom.operators import regress as G
 from paneloom.plans import tables as V
 from paneloom.plans.queries_describe import demographics
 from paneloom.plans.queries_tests import traits
-from paneloom.plans.queries_scalar import SQL_SIZES, SQL_TRAITS, sized_names
+from paneloom.plans.queries_scalar import SQL_TRAITS
 from paneloom.plans.registry import query, r6, sq6
 from paneloom.session import materialise, spread, work_path
 from paneloom.sources import readers as I

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneloom.operators import describe as D
 from paneloom.operators import pairing as P
 from paneloom.plans import tables as V
 from paneloom.plans.registry import query, r6, sq6
@@ -12,10 +11,6 @@ from paneloom.plans.registry import query, r6, sq6
 _C = F.col
 
 
-def _side(resp, src_filter):
-    return resp.where(src_filter)
-
-
 @query("flagship_delta_mae_by_item_source", f"""WITH {V.PAIRED}
 SELECT item, source, count(*) AS n, {sq6('avg(h - y)')} AS delta, {sq6('avg(abs(h - y))')} AS mae
 FROM paired GROUP BY item, source""")

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneloom import schema as S
-from paneloom.functions import scalars as N
 from paneloom.operators import distance as M
-from paneloom.operators import health as G
 from paneloom.operators import hypothesis as H
-from paneloom.operators import ordering as O
 from paneloom.operators import pairing as P
 from paneloom.operators import power as W
 from paneloom.operators import resample as B
 from paneloom.plans import report
 from paneloom.plans import tables as V
-from paneloom.plans.queries_describe import (FRAME, SCORED_SOURCES, WASSERSTEIN, _MEAN_RANKS, design_counts,
+from paneloom.plans.queries_describe import (FRAME, SCORED_SOURCES, _MEAN_RANKS, design_counts,
                                              mean_rank_table, scored_cases, scored_wide)
 from paneloom.plans.queries_pairing import _rank_match
-from paneloom.plans.queries_tests import _BF, _CHI, _TAU
+from paneloom.plans.queries_tests import _BF, _CHI
 from paneloom.plans.registry import query, r6, sq6
 from paneloom.session import materialise
 

@@ -11,7 +11,7 @@ from paneloom.functions import scalars as N
 from paneloom.functions import text as X
 from paneloom.operators import conform as C
 from paneloom.plans import tables as V
-from paneloom.plans.registry import query, r6, sq6
+from paneloom.plans.registry import query
 
 _C = F.col
 _ID = ["subject", "item", "source"]
