@@ -34,9 +34,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 WINDOW = 5
 FEATURES = ["log_words", "log_word_length", "root_symbols", "log_dup_lines", "root_repeats"]
 # Width of a grid cell, and the resolution added to every spread: a statistic that is the same
-# in most documents of a group has no spread of its own.
+# in most documents of a group has no spread of its own, and length alone is no fault.
 CELL = np.array([0.25, 0.1, 0.05, 0.35, 0.05])
-RESOLUTION = np.array([0.3, 0.1, 0.1, 0.5, 0.1])
+RESOLUTION = np.array([1.0, 0.1, 0.08, 0.5, 0.1])
 _P = len(FEATURES)
 
 
@@ -195,7 +195,7 @@ def estimates(stats: DataFrame, least: int = 50) -> DataFrame:
                          first("center").alias("center"), first("inverse").alias("inverse"))
 
 
-def judge(docs: DataFrame, tail: float = 1e-5, least: int = 50) -> DataFrame:
+def judge(docs: DataFrame, tail: float = 1e-6, least: int = 50) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, the squared distance and kept."""
     counted = per_row(docs.select("doc_id", "lang", "source", "text"), ["text"], {name: LongType() for name in COUNTS},
                       lambda: text_statistics, keep=["doc_id", "lang", "source"])
