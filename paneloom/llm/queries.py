@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from paneloom.llm import decontaminate, langid, licenses, mixture, ngram_join, pii, quality, secrets, warc
+from paneloom.llm import decontaminate, langid, licenses, mixture, ngram_join, pii, quality, secrets, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,11 @@ def op7(spark, sf_dir):
     return pii.digest(found, secrets.KINDS, secrets.BASE_KINDS, True, "secrets")
 
 
+@query("op8_repeated_strings")
+def op8(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _OP9 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
