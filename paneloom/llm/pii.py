@@ -91,7 +91,8 @@ def base_spans(text: str | None):
 def _proposals(text: str):
     """(kind, start, end, confirmed by a checksum) of the kinds beyond the base."""
     for m in _IBAN.finditer(text):
-        yield "iban", m.start(), m.end(), mod97(m[0].replace(" ", ""))
+        if mod97(m[0].replace(" ", "")):
+            yield "iban", m.start(), m.end(), True
     for m in _LOCAL_PHONE.finditer(text):
         yield "local_phone", m.start(), m.end(), False
     for m in _SSN.finditer(text):
