@@ -70,20 +70,39 @@ class Backoff:
                 at += 1
         return total / pieces if pieces else self.nothing
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+
+class Reader:
+    """A model in use: every word seen so far has a row of scores, unseen words join as they come."""
+
+    def __init__(self, model: Backoff, memory: int = 400_000):
+        self.model, self.memory, self.known = model, memory, len(model.rows[0])
+        self._start()
+
+    def _start(self) -> None:
+        self.place = dict(self.model.rows[0])
+        self.table = np.concatenate((self.model.logs[0], np.zeros((1024, len(self.model.langs)))))
+
+    def _row(self, word: str) -> int:
+        row = len(self.place)
+        if row == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[row] = self.model.word(word)
+        self.place[word] = row
+        return row
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(_LETTERS.findall(text.lower())) if text else None
-        if not words or not self.langs:
+        if not words or not self.model.langs:
             return UNDETERMINED, 0.0
-        total = self.nothing.copy()
-        for word, n in words.items():
-            known = cache.get(word)
-            if known is None:
-                if len(cache) >= 200_000:  # a bound on memory only: what was dropped is worked out again
-                    cache.clear()
-                known = cache[word] = self.word(word)
-            total += n * known
+        if len(self.place) > self.known + self.memory:  # a bound on memory only: dropped rows are worked out again
+            self._start()
+        get = self.place.get
+        rows = [get(word) for word in words]
+        if None in rows:
+            rows = [self._row(word) if row is None else row for word, row in zip(words, rows)]
+        total = np.fromiter(words.values(), float, len(rows)) @ self.table[rows]
         best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 4,
@@ -121,7 +140,6 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text", pred: str = "l
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        known, cache = held.value, {}
-        return lambda value: known.predict(value, cache)
+        return Reader(held.value).predict
 
     return per_row(docs, [text], {pred: StringType(), score: DoubleType()}, start, keep)
