@@ -77,7 +77,7 @@ def sainte_lague(units: DataFrame, by: list[str], votes: str, seats: str, name:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64,
-        shard_words: int = 1 << 17, fan: int = 1024, seed: str = "mix") -> DataFrame:
+        shard_words: int = 1 << 17, fan: int = 1024, salts: int = 64, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target of the source, and the words the mix takes of each document."""
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     sized = materialise(docs.select(
@@ -89,7 +89,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
         sources.select("key", "source", "rank", "source_size", "target", "blocks"), [], "target", "blocks", "rank", "quota")
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("bigint"))
 
-    placed = sized.join(sources.select("key", "source_size", "target", "quota", "shards"), "key").withColumn(
+    # One row per source meets every document: dealt by source and a salt, so no source is one task's.
+    salted = sources.select("key", "source_size", "target", "quota", "shards", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spread = sized.withColumn("salt", (F.conv(F.substring("order", 9, 8), 16, 10) % salts).cast("int"))
+    placed = spread.join(salted, ["key", "salt"]).withColumn(
         "shard", F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") % F.col("shards"))
     shards = placed.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota")).withColumn(
         "part", F.floor(F.col("shard") / fan))
