@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paneloom.llm import decontaminate, langid, mixture, ngram_join, secrets
+from paneloom.llm.joins import join_ids
 from paneloom.llm.rows import fresh, quoted
 from paneloom.session import materialise
 
@@ -23,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of exact and near copies: that with the smallest id."""
     classes = ngram_join.near_duplicates(docs.select("doc_id", "text"))
     gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    return join_ids(docs, gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

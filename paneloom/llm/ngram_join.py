@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
 from paneloom.llm.components import connected_components
+from paneloom.llm.joins import join_ids
 from paneloom.llm.rows import per_row
 from paneloom.llm.words import folded_words
 from paneloom.session import materialise
@@ -206,8 +207,10 @@ def verified_links(members: DataFrame, docs: DataFrame, size: int, threshold: fl
             return set_key(grams), grams.view(np.int64)
         return fn
 
-    texts = members.alias("m").join(
-        docs.select(F.col("doc_id").alias("own_id"), "text").alias("t"), F.col("m.rep").eqNullSafe(F.col("t.own_id")))
+    reps = members.select("rep").distinct().withColumnRenamed("rep", "needed")
+    own = docs.select(F.col("doc_id").alias("own_id"), "text")
+    own = join_ids(own, reps, F.col("own_id").eqNullSafe(F.col("needed")), "left_semi")
+    texts = members.alias("m").join(own.alias("t"), F.col("m.rep").eqNullSafe(F.col("t.own_id")))
     sets = per_row(texts.select("m.*", "t.text"), ["text"], {"made": StringType(), "grams": ArrayType(LongType())}, start,
                    keep=members.columns).where("made = set_key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
