@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
+from paneloom.llm.joins import join_ids
 from paneloom.llm.rows import per_row
 from paneloom.session import materialise
 
@@ -171,7 +172,7 @@ def merge(runs: list[_Run]) -> Iterator[tuple[bytes, int, object]]:
 
 
 def equal_windows(keys: list[bytes], rights: list[int], shared: list[int], many: list[bool], length: int,
-                  cells: int = 1 << 22) -> np.ndarray:
+                  cells: int = 1 << 19) -> np.ndarray:
     """For sorted keys (suffix, then reversed left side), which offsets before the anchor start a repeated window.
 
     Row i, column o: the window that starts o bytes before the anchor of key i is
@@ -335,8 +336,8 @@ def _merged_parts(batches: Iterator[pa.RecordBatch], length: int, seed: int) ->
         return _span_batch(spans)
 
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for at, shared, sizes, rest, rights, names, places in zip(*columns):
+        for row in range(batch.num_rows):  # a row is a whole run: one is unpacked at a time
+            at, shared, sizes, rest, rights, names, places = (c[row].as_py() for c in batch.columns)
             if at != part and runs:
                 yield done()
             part = at
@@ -390,7 +391,9 @@ def repeated_spans(docs: DataFrame, signed: DataFrame, length: int, seed: int, h
         F.collect_set(F.when(F.col("is_hot"), F.col("seeds"))).alias("hot_seeds"))
     wanted = materialise(wanted.alias("w").join(reps.alias("r"), (F.col("w.key") == F.col("r.key"))
                          & F.col("w.doc_id").eqNullSafe(F.col("r.rep"))).select("w.*"), "wanted-seeds")
-    texts = wanted.alias("w").join(docs.alias("d"), F.col("w.doc_id").eqNullSafe(F.col("d.doc_id"))).select(
+    needed = wanted.select(F.col("doc_id").alias("needed")).distinct()
+    own = join_ids(docs, needed, F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi")
+    texts = wanted.alias("w").join(own.alias("d"), F.col("w.doc_id").eqNullSafe(F.col("d.doc_id"))).select(
         "d.raw", "w.key", "w.cool_seeds", "w.hot_seeds")
     texts = materialise(texts, "texts")
 
@@ -412,7 +415,7 @@ def repeated_spans(docs: DataFrame, signed: DataFrame, length: int, seed: int, h
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 128, hot: int = 200_000, part_entries: int = 50_000,
-                   run_bytes: int = 1 << 25, text: bool = False) -> DataFrame:
+                   run_bytes: int = 1 << 24, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document; with `text`, also the bytes that stay.
 
     The bytes that stay are given for texts of which something but not all goes; what
