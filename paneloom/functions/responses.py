@@ -131,21 +131,19 @@ def _field(obj: str, name: str) -> Column:
 
 
 def _coerced_int(value: Column) -> Column:
-    """What int() of the JSON value gives; null where int() would fail."""
+    """What int() of the JSON value gives; null where int() would fail or the number needs more than 64 bits."""
     kind, text = _kind(value), _text(value)
-    quoted = F.when(text.rlike(r"^\s*[+-]?\d{1,9}\s*$"), _strip(text).try_cast("int"))
-    fraction = text.try_cast("double")
+    quoted = F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), _strip(text).try_cast("bigint"))
     return (
-        F.when(kind == "BIGINT", text.try_cast("int"))
+        F.when(kind == "BIGINT", text.try_cast("bigint"))
         .when(kind == "STRING", quoted)
-        .when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
-        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"),
-              F.when(F.abs(fraction) < 2147483648.0, fraction).cast("int"))
+        .when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0).cast("bigint"))
+        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), text.try_cast("decimal(38,9)").try_cast("bigint"))
     )
 
 
 def _only_int(value: Column) -> Column:
-    return F.when(_kind(value) == "BIGINT", _text(value).try_cast("int"))
+    return F.when(_kind(value) == "BIGINT", _text(value).try_cast("bigint"))
 
 
 def _once(value: Column) -> Column:
@@ -173,9 +171,11 @@ def with_coerced(df: DataFrame, text: str, out: str = "parsed") -> DataFrame:
     )
     usable = (F.col("_b").isNotNull() & F.col("_s").isNotNull() & (F.size("_r") == 3)
               & ~F.exists("_r", lambda x: x.isNull()))
+    # Whatever the reasoning is becomes text, a JSON null too; then compatibility forms are folded.
+    why = F.when(F.is_variant_null(_field("_o", "reasoning")), "None").otherwise(_text(F.col("_o"), "$.reasoning"))
     parsed = F.when(usable, F.struct(
         F.col("_b").alias("new_belief"), F.col("_r").alias("ranking"),
-        _text(F.col("_o"), "$.reasoning").alias("reasoning"), F.col("_s").alias("general_public_stance")))
+        folded(why).alias("reasoning"), F.col("_s").alias("general_public_stance")))
     return staged.withColumn(out, _once(parsed)).drop("_t", "_o", "_b", "_s", "_r")
 
 
@@ -191,7 +191,7 @@ def with_strict(df: DataFrame, text: str, out: str = "parsed") -> DataFrame:
     )
     return staged.withColumn(out, _once(F.struct(
         _only_int(_field("_o", "new_belief")).alias("new_belief"),
-        F.coalesce(F.col("_r"), F.array().cast("array<int>")).alias("ranking"),
+        F.coalesce(F.col("_r"), F.array().cast("array<bigint>")).alias("ranking"),
         F.when(_kind(F.col("_why")) == "STRING", _text(F.col("_why"))).alias("reasoning"),
         _only_int(_field("_o", "general_public_stance")).alias("general_public_stance"),
     ))).drop("_t", "_o", "_r", "_why")
@@ -245,7 +245,12 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
+def folded(text: Column) -> Column:
+    """NFKC; a text in ASCII is its own form and is not sent to Python."""
+    return F.when(text.rlike(r"\A\p{ASCII}*\z"), text).otherwise(_nfkc(F.when(~text.rlike(r"\A\p{ASCII}*\z"), text)))
+
+
 def normalise_text(text: Column) -> Column:
     """NFKC, then plain punctuation."""
-    folded = F.translate(_nfkc(text), "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
-    return F.replace(folded, F.lit("…"), F.lit("..."))
+    plain = F.translate(_nfkc(text), "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
+    return F.replace(plain, F.lit("…"), F.lit("..."))

@@ -30,15 +30,14 @@ def not_nan(value: Column) -> Column:
 
 
 def lenient_int(text: Column) -> Column:
-    """Read as a number, cut the fraction off; null when unreadable."""
-    number = not_nan(tidy(text).try_cast("double"))
-    return F.when(F.abs(number) < 2147483648.0, number).cast("int")
+    """Read as a number, cut the fraction off; null when unreadable or beyond 64 bits. Exact, not by way of a double."""
+    return tidy(text).try_cast("decimal(38,9)").try_cast("bigint")
 
 
 def strict_int(text: Column) -> Column:
     """Only numbers without a fraction; null otherwise."""
-    number = not_nan(text.cast("string").try_cast("double"))
-    return F.when((number == F.floor(number)) & (F.abs(number) < 2147483648.0), number).cast("int")
+    number = text.cast("string").try_cast("decimal(38,9)")
+    return F.when(number == F.floor(number), number).try_cast("bigint")
 
 
 def number(text: Column) -> Column:
@@ -161,24 +160,40 @@ def size_fields(name: Column) -> dict[str, Column]:
     }
 
 
-def term_label(term: Column, reference: dict[str, str]) -> Column:
-    """Readable name of a regression term such as 'C(gender)[T.Male]'."""
-    low = F.lower(term)
-    name = F.regexp_extract(term, r"^(?:C\()?([^\)\[]+)(?:\))?(?:\[(?:T\.)?(.+?)\])?$", 1)
-    level = F.trim(F.regexp_extract(term, r"^(?:C\()?([^\)\[]+)(?:\))?(?:\[(?:T\.)?(.+?)\])?$", 2))
-    short = F.regexp_replace(name, "_centered", "")
-    code = F.regexp_replace(level, r"\.0$", "")
+# A term that holds all of the first is called the second; the first rule that fits counts.
+TERM_RULES = [
+    (("initial_belief",), "Initial Belief"),
+    (("familiarity",), "Familiarity"),
+    (("topic", "Penalty"), "Topic: Penalty (vs UBI)"),
+    (("topic", "Weight Loss"), "Topic: Weight Loss (vs UBI)"),
+]
+
+
+def term_parts(term: Column) -> tuple[Column, Column]:
+    """Variable and level of 'C(variable)[T.level]', where both wrappings may be missing; no level is null."""
+    head = F.substring_index(term, "[", 1)
+    name = F.when(F.startswith(head, F.lit("C(")), F.substring_index(F.substr(head, F.lit(3)), ")", 1)).otherwise(
+        F.substring_index(head, ")", 1))
+    inside = F.substr(term, F.length(head) + 2, F.length(term) - F.length(head) - 2)
+    marked = F.when(F.startswith(inside, F.lit("T.")), F.substr(inside, F.lit(3))).otherwise(inside)
+    return name, F.when(F.contains(term, F.lit("[")) & F.endswith(term, F.lit("]")), F.trim(marked))
+
+
+def term_label(term: Column, reference: dict[str, str], rules=TERM_RULES) -> Column:
+    """Readable name of a regression term.
+
+    A numbered level is 'Reference' (0) or 'Other'; a level such as 1.0 is no number here and keeps its text.
+    """
+    name, level = term_parts(term)
     against = F.coalesce(F.try_element_at(literal_map(reference), name), F.lit("reference"))
-    other = F.concat(F.lit("Other (vs "), against, F.lit(")"))
-    numeric = level.rlike(r"^\.?\d+$") | level.rlike(r"^\d+\.0$")
-    return (
-        F.when(term == "Intercept", "Intercept")
-        .when(low.contains("initial_belief"), "Initial Belief")
-        .when(low.contains("familiarity"), "Familiarity")
-        .when(low.contains("topic") & term.contains("Penalty"), "Topic: Penalty (vs UBI)")
-        .when(low.contains("topic") & term.contains("Weight Loss"), "Topic: Weight Loss (vs UBI)")
-        .when(level == "", short)
-        .when(numeric, F.concat(name, F.lit(" = "),
-                                F.when(code == "0", F.lit("Reference")).otherwise(other)))
-        .otherwise(F.concat(name, F.lit(" = "), level, F.lit(" (vs "), against, F.lit(")")))
-    )
+    numbered = F.when(level == "0", "Reference").otherwise(F.concat(F.lit("Other (vs "), against, F.lit(")")))
+    named = F.concat(level, F.lit(" (vs "), against, F.lit(")"))
+    shown = F.when(level.isNull(), F.replace(name, F.lit("_centered"))).otherwise(
+        F.concat(name, F.lit(" = "), F.when(level.rlike(r"^\.?[0-9]+$"), numbered).otherwise(named)))
+    for needles, label in reversed([(("Intercept",), "Intercept")] + list(rules)):
+        holds = F.lit(True)
+        for needle in needles:
+            holds = holds & (term == needle if label == "Intercept" else
+                             F.contains(F.lower(term) if needle.islower() else term, F.lit(needle)))
+        shown = F.when(holds, label).otherwise(shown)
+    return shown

@@ -37,15 +37,12 @@ def summarize(df: DataFrame, group: list[str]) -> DataFrame:
     def tokens(fn):
         return F.when(F.count(peak) > 0, fn(peak)).otherwise(fn(last))
 
-    def near(column):
-        if "max_tokens_budget" not in have:
-            return nothing
-        return F.sum(F.when(column >= NEAR_LIMIT * F.col("_budget"), 1).otherwise(0))
+    def near(column, name):
+        """Rows close to the budget, from counts per token number: the budget meets counts, never rows."""
+        counts = df.groupBy(*group, column.alias("_tokens")).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.join(limits, group).groupBy(*group).agg(
+            F.sum(F.when(F.col("_tokens") >= NEAR_LIMIT * F.col("_budget"), F.col("_n")).otherwise(0)).alias(name))
 
-    base = df
-    if "max_tokens_budget" in have:
-        limits = df.groupBy(*group).agg(F.max("max_tokens_budget").alias("_budget"))
-        base = df.join(limits, group)
     no_thinking = (F.sum(F.coalesce("thinking_disabled", F.lit(False)).cast("int"))
                    if "thinking_disabled" in have else nothing)
     tries = F.avg("n_tries") if "n_tries" in have else F.lit(None).cast("double")
@@ -55,12 +52,19 @@ def summarize(df: DataFrame, group: list[str]) -> DataFrame:
                  / F.sum(F.when(both, F.col("completion_tokens"))))
     else:
         think = F.lit(None).cast("double")
-    out = base.groupBy(*group).agg(
+    out = df.groupBy(*group).agg(
         F.count("*").alias("n"), valid.alias("valid"), truncated.alias("truncated"),
         rows_truncated.alias("rows_truncated"), budget.alias("budget"),
         F.floor(tokens(F.median)).cast("int").alias("tok_median"), tokens(F.max).alias("tok_max"),
-        tokens(near).alias("near_limit"), no_thinking.alias("no_thinking"),
+        (F.count(peak) > 0).alias("_by_peak"), no_thinking.alias("no_thinking"),
         tries.alias("mean_tries"), think.alias("think_pct"))
+    if "max_tokens_budget" in have:
+        limits = df.groupBy(*group).agg(F.max("max_tokens_budget").alias("_budget"))
+        out = out.join(near(peak, "_near_peak"), group).join(near(last, "_near_last"), group).withColumn(
+            "near_limit", F.when(F.col("_by_peak"), F.col("_near_peak")).otherwise(F.col("_near_last")))
+    else:
+        out = out.withColumn("near_limit", nothing)
+    out = out.drop("_by_peak", "_near_peak", "_near_last")
     return out.withColumns({
         "valid_pct": 100 * F.col("valid") / F.col("n"),
         "budget_used_pct": F.when(has_budget, 100 * F.col("tok_max") / F.col("budget")),

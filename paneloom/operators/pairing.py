@@ -1,4 +1,4 @@
-"""Pairing of sources on (subject, item): cardinality, coverage and condition checks.
+"""Pairing of sources on (subject, item, round): cardinality, coverage and condition checks.
 
 Long form throughout: one row per case and source. A panel of N sources is
 assembled by one grouped pivot, not by N joins.
@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-KEYS = ["subject", "item"]
+from paneloom.session import materialise
+
+KEYS = ["subject", "item", "round"]
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,9 +21,16 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)
 
 
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df`, which stops the job where a key repeats; it shares the shuffle of a join on the same keys."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    stop = F.raise_error(F.concat(F.lit("key is not unique: "), F.to_json(F.struct(*keys)))).cast("bigint")
+    return df.withColumn("_n", F.when(n > 1, stop).otherwise(n)).where("_n = 1").drop("_n")
+
+
 def pair(base: DataFrame, cand: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join of two sources; every non-key column gets the suffix _b or _c."""
-    left = base.select(*keys, *[F.col(c).alias(f"{c}_b") for c in base.columns if c not in keys])
+    """Equi-join of two sources; every non-key column gets the suffix _b or _c. The base has each key once."""
+    left = once(base, keys).select(*keys, *[F.col(c).alias(f"{c}_b") for c in base.columns if c not in keys])
     right = cand.select(*keys, *[F.col(c).alias(f"{c}_c") for c in cand.columns if c not in keys])
     return left.join(right, keys, how)
 
@@ -69,9 +78,13 @@ def pairing_audit(base: DataFrame, cand: DataFrame, keys: list[str], group: list
 
 def assemble(panel: DataFrame, sources: list[str], keys: list[str] = KEYS,
              carry: tuple[str, ...] = ("cell", "init", "h", "polarity")) -> DataFrame:
-    """One row per case, one column per source holding its belief; one shuffle."""
-    picks = [F.max(F.when(F.col("source") == s, F.col("y"))).alias(s) for s in sources]
-    return panel.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry], *picks)
+    """One row per case, one column per source holding its belief; one shuffle. A repeated answer stops the job."""
+    def only(source: str) -> Column:
+        own = F.col("source") == source
+        stop = F.raise_error(F.lit(f"{source} answers a case twice")).cast(panel.schema["y"].dataType)
+        return F.when(F.count(F.when(own, 1)) > 1, stop).otherwise(F.max(F.when(own, F.col("y")))).alias(source)
+
+    return panel.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry], *[only(s) for s in sources])
 
 
 def complete_cases(wide: DataFrame, sources: list[str]) -> DataFrame:
@@ -139,6 +152,16 @@ def attach_dimension(df: DataFrame, dimension: DataFrame, key: str, how: str = "
     return df.join(dimension.dropDuplicates([key]), key, how)
 
 
+def attach_short(df: DataFrame, short: DataFrame, keys: list[str], how: str = "inner", most_rows: int = 10_000) -> DataFrame:
+    """Join a table of few rows per design, such as one row per cell.
+
+    It is written once and counted. Up to `most_rows` it is broadcast, so rows are
+    not dealt by a key with few values; beyond that it is an ordinary join.
+    """
+    held = materialise(short, "short")
+    return df.join(F.broadcast(held) if held.count() <= most_rows else held, keys, how)
+
+
 def first_text(messages: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
     """First-seen text per key."""
     return messages.groupBy(*keys).agg(F.min_by(text, order).alias(text))

@@ -16,46 +16,56 @@ POWER = 0.80
 TAU_SD_NULL = math.sqrt(11 / 27)  # SD of the three-item tau under independence
 
 
+def _reaches(fn, start: float = 1.0) -> float:
+    """Where an increasing test turns true: the bound is doubled until it does, then halved down to the last bit."""
+    low, high = 0.0, start
+    while not fn(high):
+        low, high = high, 2 * high
+    while low < (low + high) / 2 < high:
+        middle = (low + high) / 2
+        low, high = (low, middle) if fn(middle) else (middle, high)
+    return high
+
+
 def noncentrality_df4(alpha: float, power: float) -> float:
     """Noncentrality of a chi-square with 4 degrees of freedom that reaches the power.
 
-    The noncentral tail is a Poisson mixture of closed forms; a scalar search on
-    parameters only, no data involved.
+    The noncentral tail is a Poisson mixture of closed forms, summed until the
+    weights past its mean no longer count; a scalar search on parameters only.
     """
     def central(x: float, half: int) -> float:
-        term = total = 1.0
-        for k in range(1, half):
-            term *= x / 2 / k
-            total += term
-        return math.exp(-x / 2) * total
+        return math.fsum(math.exp(k * math.log(x / 2) - x / 2 - math.lgamma(k + 1)) if x > 0 else float(k == 0)
+                         for k in range(half))
+
+    critical = _reaches(lambda x: central(x, 2) <= alpha)
 
-    def solve(fn, low, high):
-        for _ in range(200):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fn(mid) else (low, mid)
-        return (low + high) / 2
+    def tail(lam: float) -> float:
+        j, total, closed = 0, 0.0, central(critical, 2)
+        while True:
+            weight = math.exp(j * math.log(lam / 2) - lam / 2 - math.lgamma(j + 1))
+            total += weight * closed
+            if j > lam / 2 and weight < 1e-18:
+                return total
+            closed += math.exp((2 + j) * math.log(critical / 2) - critical / 2 - math.lgamma(3 + j))
+            j += 1
 
-    critical = solve(lambda x: central(x, 2) > alpha, 0.0, 200.0)
+    return _reaches(lambda lam: tail(lam) >= power)
 
-    def reached(lam: float) -> float:
-        weight, total = math.exp(-lam / 2), 0.0
-        for j in range(200):
-            total += weight * central(critical, 2 + j)
-            weight *= lam / 2 / (j + 1)
-        return total
 
-    return solve(lambda lam: reached(lam) < power, 0.0, 200.0)
+def constants(alpha: float = 0.05 / 6, power: float = POWER) -> tuple[float, float, float]:
+    """Squared sum of normal quantiles, small-sample shift and noncentrality behind detectable()."""
+    upper = NormalDist().inv_cdf(1 - alpha / 2)
+    z = upper + NormalDist().inv_cdf(power)
+    return z * z, 2 * (upper ** 2 / 4), noncentrality_df4(alpha, power)
 
 
 def detectable(counts: DataFrame, alpha: float = 0.05 / 6, power: float = POWER) -> DataFrame:
     """Detectable effects at the nominal n (observations) and the independent n (subjects)."""
-    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
-    lam = noncentrality_df4(alpha, power)
-    shift = NormalDist().inv_cdf(1 - alpha / 2) ** 2 / 4
+    z2, shift, lam = constants(alpha, power)
 
     def dz(n: Column) -> Column:
         # Normal approximation with the usual small-sample term for Student's t.
-        return F.sqrt((F.lit(z * z) / (n - F.lit(2 * shift))))
+        return F.sqrt(F.lit(z2) / (n - F.lit(shift)))
 
     out = {}
     for label, n in (("nominal", F.col("n_obs")), ("independent", F.col("n_subjects"))):

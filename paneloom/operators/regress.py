@@ -7,19 +7,14 @@ those p x p results, one source per task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from paneloom.functions.scalars import stars
 from paneloom.operators.pairing import attach_single
 
-MAX_LEVELS = 200
-
-
 def centre(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds <column>_centered: minus the grand mean."""
     means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
@@ -59,10 +54,8 @@ def pool_rare(df: DataFrame, column: str, least: int = 5, other: str = "Other")
 
 
 def levels_of(df: DataFrame, column: str, reference: str | None = None) -> list[str]:
-    """Distinct levels, the reference first. A categorical predictor has few; more is an error."""
-    rows = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
+    """Distinct levels, the reference first; each but that becomes a column of the model."""
+    rows = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct().collect()
     found = sorted(r.v for r in rows)
     return ([reference] if reference in found else []) + [v for v in found if v != reference]
 
@@ -79,32 +72,23 @@ def varying(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(columns) if row[i]]
 
 
-def cross_products(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+def cross_products(df: DataFrame, group: list[str], columns: list[str], at_once: int = 300) -> DataFrame:
     """(group, i, j, value): sums of products of columns i <= j.
 
-    Each task folds its rows into one matrix per group with NumPy and emits only
-    that; the matrices are then added up by Spark.
+    Every sum is a column of one aggregation with map-side combine; designs with
+    very many columns take their sums in blocks of `at_once`.
     """
-    schema = T.StructType([df.schema[g] for g in group] + [
-        T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
-    width = len(columns)
-    upper = [(i, j) for i in range(width) for j in range(i, width)]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, part in batch.groupby(group, dropna=False, sort=False):
-                m = part.iloc[:, len(group):].to_numpy(dtype=float)
-                add = m.T @ m
-                sums[key] = sums[key] + add if key in sums else add
-        for key, m in sums.items():
-            out = pd.DataFrame([(i, j, m[i, j]) for i, j in upper], columns=["i", "j", "value"])
-            for name, part in zip(reversed(group), reversed(key)):
-                out.insert(0, name, part)
-            yield out
-
-    rows = df.select(*group, *[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
-    return rows.mapInPandas(fold, schema).groupBy(*group, "i", "j").agg(F.sum("value").alias("value"))
+    value = [F.col(f"`{c}`").cast("double") for c in columns]
+    upper = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    out = None
+    for low in range(0, len(upper), at_once):
+        block = upper[low:low + at_once]
+        sums = df.groupBy(*group).agg(*[F.sum(value[i] * value[j]).alias(f"_{i}_{j}") for i, j in block])
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{i}_{j}").alias("value"))
+                                    for i, j in block]))
+        part = sums.select(*group, cells.alias("x")).select(*group, "x.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _square(part: pd.DataFrame, width: int) -> np.ndarray:
@@ -143,7 +127,7 @@ def ols(df: DataFrame, group: str, predictors: list[str], y: str) -> DataFrame:
     sums = cross_products(use.withColumn("Intercept", F.lit(1.0)), [group], [*names, y])
     width = len(names)
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, part):
         g = _square(part, width + 1)
         xx, xy, yy, n = g[:width, :width], g[:width, width], g[width, width], g[0, 0]
         inverse = np.linalg.pinv(xx, hermitian=True)
@@ -183,7 +167,7 @@ def random_intercept(df: DataFrame, group: str, subject: str, predictors: list[s
     stacked = rows.unionByName(outer).join(sizes, [group, "m"], "left")
     width = len(names)
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, part):
         base = _square(part[part["m"] == 0], width + 1)
         parts = [(int(m), int(p["n_subjects"].iloc[0]), _square(p, width + 1))
                  for m, p in part[part["m"] > 0].groupby("m")]

@@ -131,15 +131,15 @@ def cluster_sign_flip(errors: DataFrame, subject: str, sources: list[str], n_rep
 def omnibus(errors: DataFrame, subject: str, sources: list[str], n_rep: int, seed: int) -> DataFrame:
     """Do all sources have the same mean absolute error? Labels are permuted within subjects.
 
-    A replicate sorts a subject's short array of sums by hash keys; no shuffle
-    precedes the aggregation.
+    A replicate sorts a subject's short array of sums by 64-bit hash keys, so every
+    order is equally likely; no shuffle precedes the aggregation.
     """
     k = len(sources)
     reps = _fan_out(errors, [subject]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
     digests = reps.withColumns({
-        f"_d{c}": R.digest(seed, F.col("rep"), F.col(subject), c) for c in range((k + 7) // 8)})
+        f"_d{c}": R.digest(seed, F.col("rep"), F.col(subject), c) for c in range((k + 1) // 2)})
     keyed = F.array_sort(F.array(*[
-        F.struct(F.substring(f"_d{i // 8}", 4 * (i % 8) + 1, 4).alias("key"), F.lit(i).alias("i"), F.col(s).alias("e"))
+        F.struct(F.substring(f"_d{i // 2}", 16 * (i % 2) + 1, 16).alias("key"), F.lit(i).alias("i"), F.col(s).alias("e"))
         for i, s in enumerate(sources)]))
     moved = digests.select("rep", "m", keyed.alias("z"))
     stat = moved.groupBy("rep").agg(F.sum("m").alias("n"), *[F.sum(F.col("z")[i]["e"]).alias(f"p{i}") for i in range(k)])
@@ -192,7 +192,8 @@ def poisson_weights(subjects: DataFrame, subject: str, n_rep: int, seed: int) ->
     """(subject, rep, w) with independent Poisson(1) weights: no draw leaves its subject.
 
     The shuffle-free alternative for very many subjects; the multinomial above
-    is this distribution given its total.
+    is this distribution given its total. Weights end at 12: the next has less
+    probability than one step of the 32-bit draw.
     """
     unit = R.bits32(R.digest("poisson", seed, F.col("rep"), F.col(subject))) / F.lit(4294967296.0)
     w, term, total = F.lit(0), math.exp(-1.0), math.exp(-1.0)

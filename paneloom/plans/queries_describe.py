@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -109,7 +111,8 @@ def _by_init(df, group, aggregates):
     """Aggregates by initial level; the full level list is kept."""
     spark = df.sparkSession
     have = df.groupBy(*group, "init").agg(*aggregates)
-    frame = V.inline(spark, ["source"], [(s,) for s in V.SOURCES]).withColumn(
+    names = {"item": V.ITEMS, "source": V.SOURCES}
+    frame = V.inline(spark, group, list(product(*[names[g] for g in group]))).withColumn(
         "init", F.explode(F.array(*[F.lit(v) for v in S.LIKERT])))
     return frame.join(have, [*group, "init"], "left")
 
@@ -118,11 +121,10 @@ _FRAME = f"(SELECT 'baseline' AS source UNION ALL SELECT 'model_' || k FROM (SEL
 
 
 @query("agg9_mean_sd_by_initial_level", f"""WITH {V.PANEL}
-SELECT f.source, CAST(level AS INT) AS init, {sq6('avg(y - init)')} AS mean, {sq6('stddev_samp(y - init)')} AS sd
-FROM {_FRAME} LEFT JOIN panel p ON p.source = f.source AND p.init = level AND p.item = 'A' GROUP BY 1, 2""")
+SELECT i.item, f.source, CAST(level AS INT) AS init, {sq6('avg(y - init)')} AS mean, {sq6('stddev_samp(y - init)')} AS sd
+FROM {_FRAME} CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS item) i LEFT JOIN panel p ON p.source = f.source AND p.init = level AND p.item = i.item GROUP BY 1, 2, 3""")
 def agg9(spark, sf_dir):
-    one = V.panel(spark, sf_dir).where(_C("item") == "A")
-    return _by_init(one, ["source"], [r6(F.avg(_delta())).alias("mean"), r6(F.stddev_samp(_delta())).alias("sd")])
+    return _by_init(V.panel(spark, sf_dir), ["item", "source"], [r6(F.avg(_delta())).alias("mean"), r6(F.stddev_samp(_delta())).alias("sd")])
 
 
 @query("agg10_mean_sem_by_initial_level", f"""WITH {V.PANEL}
@@ -230,28 +232,27 @@ def agg20(spark, sf_dir):
     return V.paired(spark, sf_dir).groupBy("source").agg(r6(D.agreement(_C("h"), _C("y"))).alias("accuracy"))
 
 
-@query("agg21_pairwise_difference", f"""WITH {V.PANEL}, d AS (SELECT a.y - b.y AS d FROM panel a JOIN panel b USING (subject, item)
-  WHERE a.src = 2 AND b.src = 3 AND a.y IS NOT NULL AND b.y IS NOT NULL)
-SELECT count(*) AS n, {sq6('100.0 * avg(CASE WHEN d = 0 THEN 1 ELSE 0 END)')} AS pct_unchanged, {sq6('avg(abs(d))')} AS mean_abs_diff,
-  {sq6('stddev_samp(d)')} AS sd_diff FROM d""")
-def agg21(spark, sf_dir):
-    wide = P.complete_cases(P.assemble(V.panel(spark, sf_dir), ["model_2", "model_3"]), ["model_2", "model_3"])
-    out = wide.agg(*D.difference_summary(_C("model_2") - _C("model_3")))
-    return out.select("n", *[r6(_C(c)).alias(c) for c in ("pct_unchanged", "mean_abs_diff", "sd_diff")])
+_COMPARED = f"""cmp AS (SELECT * FROM (VALUES {V.SQL_PAIRS}) v(base, other)),
+t AS (SELECT cmp.base AS run, cmp.other, a.subject, a.item, a.round, a.h, a.y AS base, b.y AS abl FROM cmp JOIN panel a ON a.source = cmp.base
+  JOIN panel b ON b.source = cmp.other AND b.subject = a.subject AND b.item = a.item AND b.round = a.round WHERE a.y IS NOT NULL AND b.y IS NOT NULL)"""
 
 
-_SCOPES = "GROUPING SETS ((), (item))"
+@query("agg21_pairwise_difference", f"""WITH {V.PANEL}, {_COMPARED}
+SELECT run AS base, other, count(*) AS n, {sq6('100.0 * avg(CASE WHEN base = abl THEN 1 ELSE 0 END)')} AS pct_unchanged, {sq6('avg(abs(base - abl))')} AS mean_abs_diff,
+  {sq6('stddev_samp(base - abl)')} AS sd_diff FROM t GROUP BY 1, 2""")
+def agg21(spark, sf_dir):
+    rows = V.compared(P.assemble(V.panel(spark, sf_dir), V.CANDIDATES))
+    out = rows.groupBy("base", "other").agg(*D.difference_summary(_C("y_base") - _C("y_other")))
+    return out.select("base", "other", "n", *[r6(_C(c)).alias(c) for c in ("pct_unchanged", "mean_abs_diff", "sd_diff")])
 
 
-@query("agg22_direct_cell", f"""WITH {V.PANEL}, t AS (SELECT a.item, a.h, a.y AS base, b.y AS abl FROM panel a JOIN panel b USING (subject, item)
-  WHERE a.src = 2 AND b.src = 3 AND a.y IS NOT NULL AND b.y IS NOT NULL)
-SELECT coalesce(item, 'all') AS item, count(*) AS n, {sq6('avg(CASE WHEN base = abl THEN 1 ELSE 0 END)')} AS agree, {sq6('avg(base - abl)')} AS shift,
+@query("agg22_direct_cell", f"""WITH {V.PANEL}, {_COMPARED}
+SELECT run AS base, other, coalesce(item, 'all') AS item, count(*) AS n, {sq6('avg(CASE WHEN base = abl THEN 1 ELSE 0 END)')} AS agree, {sq6('avg(base - abl)')} AS shift,
   {sq6('avg(abs(h - base))')} AS mae_base, {sq6('avg(abs(h - abl))')} AS mae_ablation, {sq6('avg(abs(h - base) - abs(h - abl))')} AS mae_diff
-FROM t GROUP BY {_SCOPES}""")
+FROM t GROUP BY GROUPING SETS ((run, other), (run, other, item))""")
 def agg22(spark, sf_dir):
-    wide = P.complete_cases(P.assemble(V.panel(spark, sf_dir), ["model_2", "model_3"]), ["model_2", "model_3"])
-    a, b, h = _C("model_2"), _C("model_3"), _C("h")
-    return D.over_groupings(wide, [[], ["item"]], [
+    a, b, h = _C("y_base"), _C("y_other"), _C("h")
+    return D.over_groupings(V.compared(P.assemble(V.panel(spark, sf_dir), V.CANDIDATES)), [["base", "other"], ["base", "other", "item"]], [
         F.count("*").alias("n"), r6(D.agreement(a, b)).alias("agree"), r6(F.avg(a - b)).alias("shift"),
         r6(F.avg(F.abs(h - a))).alias("mae_base"), r6(F.avg(F.abs(h - b))).alias("mae_ablation"),
         r6(F.avg(F.abs(h - a) - F.abs(h - b))).alias("mae_diff")])
@@ -373,12 +374,12 @@ def _top_subjects(spark, sf_dir):
 
 
 @query("agg37_top_variable_subject_matrix", f"""WITH {_TOP}
-SELECT subject, {sq6("avg(CASE WHEN item = 'A' THEN y - init END)")} AS "A", {sq6("avg(CASE WHEN item = 'N' THEN y - init END)")} AS "N",
-  {sq6("avg(CASE WHEN item = 'R' THEN y - init END)")} AS "R" FROM panel WHERE src = 2 AND subject IN (SELECT subject FROM top) GROUP BY 1""")
+SELECT subject, source, {sq6("avg(CASE WHEN item = 'A' THEN y - init END)")} AS "A", {sq6("avg(CASE WHEN item = 'N' THEN y - init END)")} AS "N",
+  {sq6("avg(CASE WHEN item = 'R' THEN y - init END)")} AS "R" FROM panel WHERE src > 1 AND subject IN (SELECT subject FROM top) GROUP BY 1, 2""")
 def agg37(spark, sf_dir):
     top = _top_subjects(spark, sf_dir)
-    one = V.panel(spark, sf_dir).where("src = 2").join(top, "subject", "left_semi")
-    return one.groupBy("subject").pivot("item", V.ITEMS).agg(r6(F.avg(_delta())))
+    candidates = V.panel(spark, sf_dir).where("src > 1").join(top, "subject", "left_semi")
+    return candidates.groupBy("subject", "source").pivot("item", V.ITEMS).agg(r6(F.avg(_delta())))
 
 
 @query("srt3_top_subjects_by_sd", f"WITH {_TOP} SELECT subject, sd FROM top")
@@ -388,11 +389,11 @@ def srt3(spark, sf_dir):
 
 # Complete cases with the two baseline predictors added, in long form.
 FRAME = V.COMPLETE + """,
-loo_base AS (SELECT DISTINCT subject, item, cell, init, h FROM full_cases),
+loo_base AS (SELECT DISTINCT subject, item, round, cell, init, h FROM full_cases),
 cells AS (SELECT item, cell, init, list_sort(list(h)) AS hs FROM (SELECT item, cell, y AS h, init FROM panel WHERE src = 1) GROUP BY 1, 2, 3),
-scored AS (SELECT subject, item, cell, source, CAST(y AS DOUBLE) AS y, h, init FROM full_cases
-  UNION ALL SELECT subject, item, cell, 'no_change', CAST(init AS DOUBLE), h, init FROM loo_base
-  UNION ALL SELECT b.subject, b.item, b.cell, 'cell_median', list_aggregate(list_concat(hs[:list_position(hs, b.h) - 1], hs[list_position(hs, b.h) + 1:]), 'median'), b.h, b.init
+scored AS (SELECT subject, item, round, cell, source, CAST(y AS DOUBLE) AS y, h, init FROM full_cases
+  UNION ALL SELECT subject, item, round, cell, 'no_change', CAST(init AS DOUBLE), h, init FROM loo_base
+  UNION ALL SELECT b.subject, b.item, b.round, b.cell, 'cell_median', list_aggregate(list_concat(hs[:list_position(hs, b.h) - 1], hs[list_position(hs, b.h) + 1:]), 'median'), b.h, b.init
     FROM loo_base b JOIN cells c ON c.item = b.item AND c.cell = b.cell AND c.init = b.init)"""
 
 SCORED_SOURCES = V.CANDIDATES + ["no_change", "cell_median"]
@@ -406,7 +407,7 @@ def scored_wide(spark, sf_dir):
     """
     wide = materialise(P.assemble(V.panel(spark, sf_dir), V.CANDIDATES), "wide")
     medians = O.leave_one_out_median(wide, ["item", "cell", "init"], "h", S.LIKERT)
-    full = P.complete_cases(wide, V.CANDIDATES).join(medians, ["item", "cell", "init", "h"])
+    full = P.attach_short(P.complete_cases(wide, V.CANDIDATES), medians, ["item", "cell", "init", "h"])
     return full.withColumns({"no_change": _C("init"), "cell_median": _C("loo")})
 
 
@@ -415,8 +416,8 @@ def scored_cases(spark, sf_dir):
     full = scored_wide(spark, sf_dir)
     columns = [_C(s).cast("double").alias(s) for s in SCORED_SOURCES]
     return P.long_cases(
-        full.select("subject", "item", "cell", "h", "init", *columns),
-        SCORED_SOURCES, ["subject", "item", "cell", "h", "init"])
+        full.select("subject", "item", "round", "cell", "h", "init", *columns),
+        SCORED_SOURCES, ["subject", "item", "round", "cell", "h", "init"])
 
 
 @query("met1_mae_and_bias", f"""WITH {FRAME} SELECT source, count(*) AS n, {sq6('avg(abs(h - y))')} AS mae, {sq6('avg(h - y)')} AS bias FROM scored GROUP BY source""")
@@ -458,9 +459,9 @@ def met4(spark, sf_dir):
     return M.error_metrics(base, ["item"]).select("item", r6(_C("mae")).alias("mae"))
 
 
-@query("met5_leave_one_out_median", f"""WITH {FRAME} SELECT subject, item, y AS loo FROM scored WHERE source = 'cell_median'""")
+@query("met5_leave_one_out_median", f"""WITH {FRAME} SELECT subject, item, round, y AS loo FROM scored WHERE source = 'cell_median'""")
 def met5(spark, sf_dir):
-    return scored_wide(spark, sf_dir).select("subject", "item", "loo")
+    return scored_wide(spark, sf_dir).select("subject", "item", "round", "loo")
 
 
 @query("met6_paired_effect_size", f"""WITH {V.PANEL}

@@ -16,7 +16,7 @@ from paneloom.plans.queries_describe import demographics
 from paneloom.plans.queries_tests import traits
 from paneloom.plans.queries_scalar import SQL_TRAITS
 from paneloom.plans.registry import query, r6, sq6
-from paneloom.session import materialise, spread, work_path
+from paneloom.session import materialise, work_path
 from paneloom.sources import readers as I
 from paneloom.sources import writers as O
 from paneloom.sources.registry import registry_frame
@@ -158,10 +158,10 @@ def src6(spark, sf_dir):
     return found.select("model", "output", "max_tries", F.row_number().over(order).alias("position"))
 
 
-@query("src7_column_alias_and_defaults", f"""WITH {V.RESP} SELECT subject, item, source, raw AS llm_new_belief, statement AS llm_reasoning, CAST(NULL AS INT) AS rank_1 FROM resp""")
+@query("src7_column_alias_and_defaults", f"""WITH {V.RESP} SELECT subject, item, round, source, raw AS llm_new_belief, statement AS llm_reasoning, CAST(NULL AS INT) AS rank_1 FROM resp""")
 def src7(spark, sf_dir):
     rows = V.responses(spark, sf_dir).select(
-        "subject", "item", "source", _C("raw").alias("llm_new_belief"), _C("statement").alias("free_text"))
+        "subject", "item", "round", "source", _C("raw").alias("llm_new_belief"), _C("statement").alias("free_text"))
     return C.alias_columns(rows, {"free_text": "llm_reasoning", "source_x": "source"}, {"llm_new_belief": "int", "rank_1": "int"})
 
 
@@ -273,7 +273,7 @@ def pii2(spark, sf_dir):
 def _notes(spark, sf_dir):
     """Whole documents that mention an id twice, an id stuck to other letters, and a look-alike."""
     a = _id(_C("doc_id") % 900)
-    docs = spread(V.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.select("doc_id", "source", F.concat(
         "text", F.lit(" ref "), a, F.lit(", again ("), a, F.lit(") x"), a, F.lit(" RepresentsPayloadHeaders")).alias("note"))
 
@@ -320,7 +320,7 @@ _SQL_TEXTS = """tx AS (SELECT 'document' AS field, doc_id AS id, text FROM docum
 
 def _texts(spark, sf_dir):
     def part(name, field, key, text):
-        return spread(V.table(spark, sf_dir, name).select(F.lit(field).alias("field"), key.alias("id"), _C(text).alias("text")), "id")
+        return V.table(spark, sf_dir, name).select(F.lit(field).alias("field"), key.alias("id"), _C(text).alias("text"))
 
     return (part("documents", "document", _C("doc_id"), "text")
             .unionByName(part("conversations", "turn", _C("conv_id") * 100000 + _C("turn"), "text"))
@@ -393,18 +393,18 @@ def model_frame(spark, sf_dir):
     people = demographics(spark, sf_dir).select("subject", "segment", "gender", "country").join(
         traits(spark, sf_dir), "subject")
     rows = V.panel(spark, sf_dir).select(
-        "subject", "item", "source", "polarity", "init", (_C("y") - _C("init")).alias("change"))
+        "subject", "item", "round", "source", "polarity", "init", (_C("y") - _C("init")).alias("change"))
     return rows.join(people, "subject")
 
 
-_SQL_FRAME = f"""{V.PANEL}, tr AS ({SQL_TRAITS}), mf AS (SELECT p.subject, p.item, p.source, p.polarity, p.init, p.y - p.init AS change, c_mktsegment AS segment, c_custkey % 70 + 18 AS age, tr.openness
+_SQL_FRAME = f"""{V.PANEL}, tr AS ({SQL_TRAITS}), mf AS (SELECT p.subject, p.item, p.round, p.source, p.polarity, p.init, p.y - p.init AS change, c_mktsegment AS segment, c_custkey % 70 + 18 AS age, tr.openness
   FROM panel p JOIN customer ON c_custkey = p.subject JOIN tr ON tr.subject = p.subject)"""
 
 
-@query("reg1_grand_mean_centering", f"WITH {_SQL_FRAME} SELECT subject, item, source, {sq6('init - avg(init) OVER ()')} AS init_c, {sq6('age - avg(age) OVER ()')} AS age_c FROM mf")
+@query("reg1_grand_mean_centering", f"WITH {_SQL_FRAME} SELECT subject, item, round, source, {sq6('init - avg(init) OVER ()')} AS init_c, {sq6('age - avg(age) OVER ()')} AS age_c FROM mf")
 def reg1(spark, sf_dir):
     out = G.centre(model_frame(spark, sf_dir), ["init", "age"])
-    return out.select("subject", "item", "source", r6(_C("init_centered")).alias("init_c"), r6(_C("age_centered")).alias("age_c"))
+    return out.select("subject", "item", "round", "source", r6(_C("init_centered")).alias("init_c"), r6(_C("age_centered")).alias("age_c"))
 
 
 @query("reg2_binary_by_label", """SELECT c_custkey AS subject, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE 'Other' END AS segment FROM customer""")
@@ -525,11 +525,12 @@ def reg12(spark, sf_dir):
 
 
 @query("reg13_term_labels", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Intercept' WHEN 1 THEN 'Initial Belief' WHEN 2 THEN 'gender = ' || p_brand || ' (vs Female)'
-  WHEN 3 THEN 'ethnicity = Other (vs reference)' WHEN 4 THEN 'age' ELSE 'Topic: Penalty (vs UBI)' END AS label FROM part""")
+  WHEN 3 THEN CASE p_size % 4 WHEN 0 THEN 'ethnicity = 1.0 (vs reference)' WHEN 1 THEN 'ethnicity = Other (vs reference)' WHEN 2 THEN 'gender = Other (vs Female)' ELSE 'gender = Reference' END WHEN 4 THEN 'age' ELSE 'Topic: Penalty (vs UBI)' END AS label FROM part""")
 def reg13(spark, sf_dir):
     k = _C("p_partkey") % 6
     term = (F.when(k == 0, "Intercept").when(k == 1, "initial_belief_normalized_centered")
-            .when(k == 2, F.concat(F.lit("C(gender)[T."), "p_brand", F.lit("]"))).when(k == 3, "C(ethnicity)[T.1.0]")
+            .when(k == 2, F.concat(F.lit("C(gender)[T."), "p_brand", F.lit("]"))).when(k == 3, F.element_at(F.array(*[F.lit(t) for t in (
+                "C(ethnicity)[T.1.0]", "C(ethnicity)[T.1]", "gender[2]", "C(gender)[0]")]), (_C("p_size") % 4 + 1).cast("int")))
             .when(k == 4, "age_centered").otherwise("C(topic)[T.Penalty]"))
     return V.table(spark, sf_dir, "part").select("p_partkey", N.term_label(term, {"gender": "Female"}).alias("label"))
 

@@ -28,10 +28,10 @@ def flt1(spark, sf_dir):
     return cell.groupBy("source").agg(F.count("*").alias("n"), F.sum(_C("h") - _C("y")).alias("sum_diff"))
 
 
-@query("flt2_complete_case_drops", f"""WITH {V.PANEL}, c AS (SELECT subject, item FROM panel WHERE src = 1),
-w AS (SELECT subject, item, src FROM c CROSS JOIN (SELECT unnest(range(2, 8)) AS src))
+@query("flt2_complete_case_drops", f"""WITH {V.PANEL}, c AS (SELECT subject, item, round FROM panel WHERE src = 1),
+w AS (SELECT subject, item, round, src FROM c CROSS JOIN (SELECT unnest(range(2, 8)) AS src))
 SELECT 'model_' || w.src AS source, count(*) - count(p.y) AS n_dropped
-FROM w LEFT JOIN panel p ON p.subject = w.subject AND p.item = w.item AND p.src = w.src GROUP BY 1""")
+FROM w LEFT JOIN panel p ON p.subject = w.subject AND p.item = w.item AND p.round = w.round AND p.src = w.src GROUP BY 1""")
 def flt2(spark, sf_dir):
     return P.dropped_counts(P.assemble(V.panel(spark, sf_dir), V.CANDIDATES), V.CANDIDATES)
 
@@ -51,21 +51,21 @@ def flt4(spark, sf_dir):
 
 
 @query("flt5_first_subjects", f"""WITH {V.RESP}
-SELECT subject, item, source, raw FROM resp
+SELECT subject, item, round, source, raw FROM resp
 WHERE subject IN (SELECT DISTINCT subject FROM resp ORDER BY subject LIMIT 10)""")
 def flt5(spark, sf_dir):
-    resp = V.responses(spark, sf_dir).select("subject", "item", "source", "raw")
+    resp = V.responses(spark, sf_dir).select("subject", "item", "round", "source", "raw")
     return P.first_subjects(resp, "subject", 10)
 
 
 @query("join1_paired_inner", f"""WITH {V.RESP}
-SELECT b.subject, b.item, c.source AS source_c, b.y AS y_b, c.y AS y_c
-FROM resp b JOIN resp c ON b.subject = c.subject AND b.item = c.item WHERE b.src = 1 AND c.src > 1""")
+SELECT b.subject, b.item, b.round, c.source AS source_c, b.y AS y_b, c.y AS y_c
+FROM resp b JOIN resp c ON b.subject = c.subject AND b.item = c.item AND b.round = c.round WHERE b.src = 1 AND c.src > 1""")
 def join1(spark, sf_dir):
     resp = V.responses(spark, sf_dir)
-    base = resp.where(_C("src") == 1).select("subject", "item", "y")
-    cand = resp.where(_C("src") > 1).select("subject", "item", "source", "y")
-    return P.pair(base, cand, P.KEYS).select("subject", "item", "source_c", "y_b", "y_c")
+    base = resp.where(_C("src") == 1).select("subject", "item", "round", "y")
+    cand = resp.where(_C("src") > 1).select("subject", "item", "round", "source", "y")
+    return P.pair(base, cand, P.KEYS).select("subject", "item", "round", "source_c", "y_b", "y_c")
 
 
 @query("join1_duplicate_key_check", """SELECT l_orderkey, l_linenumber, count(*) AS n_rows
@@ -83,13 +83,14 @@ def join2(spark, sf_dir):
             .agg(F.count("*").alias("n_mismatched")))
 
 
-@query("join3_coverage_gaps", f"""WITH {V.RESP}, b AS (SELECT DISTINCT subject, item FROM resp WHERE src = 1),
-c AS (SELECT DISTINCT subject, item FROM resp WHERE src = 2)
+@query("join3_coverage_gaps", f"""WITH {V.RESP}, b AS (SELECT subject, item, round, 'model_' || k AS source FROM resp CROSS JOIN (SELECT unnest(range(2, 8)) AS k) WHERE src = 1),
+c AS (SELECT subject, item, round, source FROM resp WHERE src > 1)
 SELECT *, 'left' AS only_in FROM (SELECT * FROM b EXCEPT SELECT * FROM c)
 UNION ALL SELECT *, 'right' FROM (SELECT * FROM c EXCEPT SELECT * FROM b)""")
 def join3(spark, sf_dir):
     resp = V.responses(spark, sf_dir)
-    return P.coverage_gaps(resp.where(_C("src") == 1), resp.where(_C("src") == 2), P.KEYS)
+    base = resp.where(_C("src") == 1).select(*P.KEYS, F.explode(F.array(*[F.lit(s) for s in V.CANDIDATES])).alias("source"))
+    return P.coverage_gaps(base, resp.where(_C("src") > 1), [*P.KEYS, "source"])
 
 
 @query("join4_pairing_audit", f"""WITH {V.RESP}, b AS (
@@ -97,7 +98,7 @@ def join3(spark, sf_dir):
 c AS (SELECT * FROM resp WHERE src > 1),
 j AS (SELECT coalesce(b.cand, c.source) AS source, b.subject IS NOT NULL AND c.subject IS NOT NULL AS m,
   b.statement AS sb, c.statement AS sc, b.cell_seen AS kb, c.cell_seen AS kc, b.order_seen AS ob, c.order_seen AS oc
-  FROM b FULL OUTER JOIN c ON b.subject = c.subject AND b.item = c.item AND b.cand = c.source)
+  FROM b FULL OUTER JOIN c ON b.subject = c.subject AND b.item = c.item AND b.round = c.round AND b.cand = c.source)
 SELECT source, CAST(sum(CASE WHEN NOT m THEN 1 ELSE 0 END) AS BIGINT) AS unmatched,
   CAST(sum(CASE WHEN m AND sb IS DISTINCT FROM sc THEN 1 ELSE 0 END) AS BIGINT) AS differs_statement,
   CAST(sum(CASE WHEN m AND kb IS DISTINCT FROM kc THEN 1 ELSE 0 END) AS BIGINT) AS differs_cell_seen,
@@ -112,24 +113,21 @@ def join4(spark, sf_dir):
 
 
 @query("join5_assemble_wide", f"""WITH {V.PANEL}
-SELECT subject, item, max(cell) AS cell, max(init) AS init, max(h) AS h, max(polarity) AS polarity,
+SELECT subject, item, round, max(cell) AS cell, max(init) AS init, max(h) AS h, max(polarity) AS polarity,
 {', '.join(f"max(CASE WHEN source = '{s}' THEN y END) AS {s}" for s in V.CANDIDATES)}
-FROM panel GROUP BY subject, item""")
+FROM panel GROUP BY subject, item, round""")
 def join5(spark, sf_dir):
     return P.assemble(V.panel(spark, sf_dir), V.CANDIDATES)
 
 
-@query("join6_three_way", f"""WITH {V.PANEL}
-SELECT a.subject, a.item, a.h AS baseline, a.y AS base_run, b.y AS ablation FROM panel a
-JOIN panel b ON a.subject = b.subject AND a.item = b.item
-WHERE a.src = 2 AND b.src = 3 AND a.y IS NOT NULL AND b.y IS NOT NULL
-  AND a.cell = a.cell_seen AND b.cell = b.cell_seen""")
+@query("join6_three_way", f"""WITH {V.PANEL}, cmp AS (SELECT * FROM (VALUES {V.SQL_PAIRS}) v(base, other))
+SELECT base, other, a.subject, a.item, a.round, a.h AS baseline, a.y AS base_run, b.y AS ablation FROM cmp JOIN panel a ON a.source = base
+JOIN panel b ON b.source = other AND a.subject = b.subject AND a.item = b.item AND a.round = b.round
+WHERE a.y IS NOT NULL AND b.y IS NOT NULL AND a.cell = a.cell_seen AND b.cell = b.cell_seen""")
 def join6(spark, sf_dir):
-    agreed = V.panel(spark, sf_dir).where(_C("src").isin(2, 3) & (_C("cell") == _C("cell_seen")))
-    wide = P.assemble(agreed, ["model_2", "model_3"])
-    return P.complete_cases(wide, ["model_2", "model_3"]).select(
-        "subject", "item", _C("h").alias("baseline"), _C("model_2").alias("base_run"),
-        _C("model_3").alias("ablation"))
+    agreed = V.panel(spark, sf_dir).where((_C("src") > 1) & (_C("cell") == _C("cell_seen")))
+    return V.compared(P.assemble(agreed, V.CANDIDATES)).select(
+        "base", "other", *P.KEYS, _C("h").alias("baseline"), _C("y_base").alias("base_run"), _C("y_other").alias("ablation"))
 
 
 @query("join7_subject_dimension", f"""WITH {V.PAIRED}
@@ -145,45 +143,38 @@ def join7(spark, sf_dir):
         F.sum("n").alias("n"), r6(F.sum("s") / F.sum("n")).alias("mean_change"))
 
 
-@query("join8_first_seen_text", """WITH f AS (
-  SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2),
-t AS (SELECT f.lang, f.source, d.text AS first_text FROM f JOIN documents d USING (doc_id))
-SELECT d.doc_id, length(t.first_text) AS first_len, md5(t.first_text) AS first_md5
-FROM documents d LEFT JOIN t ON d.lang = t.lang AND d.source = t.source""")
+@query("join8_first_seen_text", """WITH t AS (SELECT lang, source, arg_min(text, doc_id) AS first_text FROM documents GROUP BY 1, 2)
+SELECT d.doc_id, t.first_text FROM documents d LEFT JOIN t ON d.lang = t.lang AND d.source = t.source""")
 def join8(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
-    # Ids pick the first text, so no text travels through the aggregation.
-    firsts = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(firsts, "doc_id").select(
-        "lang", "source", F.length("text").alias("first_len"), F.md5("text").alias("first_md5"))
-    return docs.select("doc_id", "lang", "source").join(texts, ["lang", "source"], "left").select(
-        "doc_id", "first_len", "first_md5")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    firsts = P.first_text(docs, ["lang", "source"], "text", "doc_id").withColumnRenamed("text", "first_text")
+    return P.attach_short(docs.select("doc_id", "lang", "source"), firsts, ["lang", "source"], "left", 1000).select("doc_id", "first_text")
 
 
 @query("join9_exactly_one_prior", f"""WITH {V.PANEL}
-SELECT c.subject, c.item, c.source, b.own_init_raw AS prior_init FROM panel c
-JOIN panel b ON b.subject = c.subject AND b.item = c.item AND b.src = 1 WHERE c.src > 1""")
+SELECT c.subject, c.item, c.round, c.source, b.own_init_raw AS prior_init FROM panel c
+JOIN panel b ON b.subject = c.subject AND b.item = c.item AND b.round = c.round AND b.src = 1 WHERE c.src > 1""")
 def join9(spark, sf_dir):
     panel = V.panel(spark, sf_dir)
-    prior = panel.where(_C("src") == 1).select("subject", "item", _C("own_init_raw").alias("prior_init"))
-    todo = panel.where(_C("src") > 1).select("subject", "item", "source")
+    prior = panel.where(_C("src") == 1).select("subject", "item", "round", _C("own_init_raw").alias("prior_init"))
+    todo = panel.where(_C("src") > 1).select("subject", "item", "round", "source")
     return P.lookup_exactly_one(todo, prior, P.KEYS, "prior_init")
 
 
 @query("join10_left_join_on_statement", f"""WITH {V.PANEL}
-SELECT b.subject, b.statement, b.init, m.y - b.init AS shift_model_2
-FROM panel b LEFT JOIN panel m ON m.subject = b.subject AND m.statement = b.statement AND m.src = 2
-WHERE b.src = 1""")
+SELECT b.subject, b.statement, b.round, 'model_' || k AS source, b.init, m.y - b.init AS shift FROM panel b CROSS JOIN (SELECT unnest(range(2, 8)) AS k)
+LEFT JOIN panel m ON m.subject = b.subject AND m.statement = b.statement AND m.round = b.round AND m.src = k WHERE b.src = 1""")
 def join10(spark, sf_dir):
     panel = V.panel(spark, sf_dir)
-    base = panel.where(_C("src") == 1).select("subject", "statement", "init")
-    model = panel.where(_C("src") == 2).select("subject", "statement", "y")
-    return base.join(model, ["subject", "statement"], "left").select(
-        "subject", "statement", "init", (_C("y") - _C("init")).alias("shift_model_2"))
+    base = panel.where(_C("src") == 1).select(
+        "subject", "statement", "round", "init", F.explode(F.array(*[F.lit(s) for s in V.CANDIDATES])).alias("source"))
+    model = panel.where(_C("src") > 1).select("subject", "statement", "round", "source", "y")
+    return base.join(model, ["subject", "statement", "round", "source"], "left").select(
+        "subject", "statement", "round", "source", "init", (_C("y") - _C("init")).alias("shift"))
 
 
 @query("join11_keys_shared_by_all", f"""WITH {V.RESP}
-SELECT subject, item FROM resp GROUP BY 1, 2 HAVING count(DISTINCT source) = 7""")
+SELECT subject, item, round FROM resp GROUP BY 1, 2, 3 HAVING count(DISTINCT source) = 7""")
 def join11(spark, sf_dir):
     return P.shared_keys(V.responses(spark, sf_dir), P.KEYS, "source", 7)
 
@@ -195,12 +186,12 @@ def _rank_match(spark, sf_dir, lines=None):
     resp = V.responses(spark, sf_dir, lines)
     triple = R.triple(_C("r1"), _C("r2"), _C("r3"))
     base = resp.where(_C("src") == 1).select(
-        "subject", "item", "cell", R.valid_triple(triple).alias("hb"), _C("order_seen").alias("order_b"))
+        "subject", "item", "round", "cell", R.valid_triple(triple).alias("hb"), _C("order_seen").alias("order_b"))
     base = base.withColumn("source", F.explode(F.array(*[F.lit(s) for s in V.CANDIDATES])))
     cand = resp.where(_C("src") > 1).select(
-        "subject", "item", "source", R.invert(triple).alias("mc"), _C("order_seen").alias("order_c"),
+        "subject", "item", "round", "source", R.invert(triple).alias("mc"), _C("order_seen").alias("order_c"),
         F.lit(True).alias("answered"))
-    joined = base.join(cand, ["subject", "item", "source"], "left")
+    joined = base.join(cand, ["subject", "item", "round", "source"], "left")
     return P.skip_reasons(joined, [
         ("missing", _C("answered").isNull()),
         ("invalid_rank", _C("hb").isNull() | _C("mc").isNull()),
@@ -212,13 +203,13 @@ RANK_MATCH = V.RESP + """,
 cand AS (SELECT *, CASE WHEN list_sort([r1, r2, r3]) = [1, 2, 3]
     THEN [list_position([r1, r2, r3], 1), list_position([r1, r2, r3], 2), list_position([r1, r2, r3], 3)] END AS mc
   FROM resp WHERE src > 1),
-basel AS (SELECT subject, item, cell, order_seen AS order_b, 'model_' || k AS source,
+basel AS (SELECT subject, item, round, cell, order_seen AS order_b, 'model_' || k AS source,
     CASE WHEN list_sort([r1, r2, r3]) = [1, 2, 3] THEN [r1, r2, r3] END AS hb
   FROM resp CROSS JOIN (SELECT unnest(range(2, 8)) AS k) WHERE src = 1),
 rank_match AS (SELECT b.*, c.mc,
     CASE WHEN c.subject IS NULL THEN 'missing' WHEN hb IS NULL OR mc IS NULL THEN 'invalid_rank'
       WHEN order_b <> c.order_seen THEN 'other_stimulus' END AS reason
-  FROM basel b LEFT JOIN cand c ON c.subject = b.subject AND c.item = b.item AND c.source = b.source)"""
+  FROM basel b LEFT JOIN cand c ON c.subject = b.subject AND c.item = b.item AND c.round = b.round AND c.source = b.source)"""
 
 
 @query("join12_skip_accounting", f"""WITH {RANK_MATCH}
@@ -228,12 +219,12 @@ def join12(spark, sf_dir):
         F.count("*").alias("n"))
 
 
-@query("join13_resume_remaining", f"""WITH {V.RESP}
-SELECT DISTINCT subject FROM resp WHERE subject NOT IN (
-  SELECT subject FROM resp WHERE src = 2 GROUP BY subject HAVING count(*) >= 2)""")
+@query("join13_resume_remaining", f"""WITH {V.RESP}, todo AS (SELECT DISTINCT subject, 'model_' || k AS source FROM resp CROSS JOIN (SELECT unnest(range(2, 8)) AS k))
+SELECT subject, source FROM todo EXCEPT SELECT subject, source FROM resp WHERE src > 1 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def join13(spark, sf_dir):
     resp = V.responses(spark, sf_dir)
-    return P.remaining(resp.select("subject").distinct(), resp.where(_C("src") == 2), ["subject"], expected=2)
+    todo = resp.select("subject").distinct().select("subject", F.explode(F.array(*[F.lit(s) for s in V.CANDIDATES])).alias("source"))
+    return P.remaining(todo, resp.where(_C("src") > 1), ["subject", "source"], expected=2)
 
 
 @query("join14_registry_coverage", """WITH reg AS (SELECT 'src_' || n_nationkey AS name FROM nation),
@@ -280,7 +271,7 @@ def join17(spark, sf_dir):
 
 
 @query("join18_layout_check", f"""WITH {V.RESP}
-SELECT r.subject, r.item, r.source FROM resp r
+SELECT r.subject, r.item, r.round, r.source FROM resp r
 WHERE r.cell_seen <> 'package' || (r.subject % 3 + 1) OR r.order_seen <> r.subject % 6""")
 def join18(spark, sf_dir):
     resp = V.responses(spark, sf_dir)
@@ -290,7 +281,7 @@ def join18(spark, sf_dir):
         (_C("subject") % 6).alias("assigned_order"))
     return resp.join(study, "subject").where(
         (_C("cell_seen") != _C("assigned_cell")) | (_C("order_seen") != _C("assigned_order"))
-    ).select("subject", "item", "source")
+    ).select("subject", "item", "round", "source")
 
 
 @query("set1_union_sources", f"""WITH {V.RESP}
@@ -303,11 +294,15 @@ def set1(spark, sf_dir):
     return stacked.groupBy("sample", "item").agg(F.count("*").alias("n"))
 
 
-@query("set2_intersect_keys", f"""WITH {V.RESP}
-SELECT subject, item FROM resp WHERE src = 2 INTERSECT SELECT subject, item FROM resp WHERE src = 3""")
+@query("set2_intersect_keys", f"""WITH {V.RESP}, cmp AS (SELECT * FROM (VALUES {V.SQL_PAIRS}) v(base, other))
+SELECT base, other, subject, item, round FROM cmp JOIN resp ON source = base
+INTERSECT SELECT base, other, subject, item, round FROM cmp JOIN resp ON source = other""")
 def set2(spark, sf_dir):
     resp = V.responses(spark, sf_dir)
-    return resp.where(_C("src") == 2).select(*P.KEYS).intersect(resp.where(_C("src") == 3).select(*P.KEYS))
+    sides = [resp.select(F.explode(F.array(*[
+        F.when(_C("source") == pair[side], F.struct(F.lit(pair[0]).alias("base"), F.lit(pair[1]).alias("other"))) for pair in V.PAIRS])).alias("p"),
+        *P.KEYS).where(_C("p").isNotNull()).select("p.*", *P.KEYS) for side in (0, 1)]
+    return sides[0].intersect(sides[1])
 
 
 @query("set3_difference_ids", """SELECT c_custkey AS subject FROM customer

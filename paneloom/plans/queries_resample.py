@@ -11,7 +11,7 @@ from paneloom.operators import power as W
 from paneloom.operators import resample as B
 from paneloom.plans import report
 from paneloom.plans import tables as V
-from paneloom.plans.queries_describe import (FRAME, SCORED_SOURCES, _MEAN_RANKS, design_counts,
+from paneloom.plans.queries_describe import (_COMPARED, FRAME, SCORED_SOURCES, _MEAN_RANKS, design_counts,
                                              mean_rank_table, scored_cases, scored_wide)
 from paneloom.plans.queries_pairing import _rank_match
 from paneloom.plans.queries_tests import _BF, _CHI
@@ -40,9 +40,9 @@ def _sign(seed: int, unit: str, rep: str = "rep") -> str:
 
 
 _FLIP = f"""rp AS (SELECT unnest(range({REPS})) AS rep),
-sg AS (SELECT subject, item, rep, {_sign(42, "subject || '|' || item")} AS sgn FROM (SELECT DISTINCT subject, item FROM paired) CROSS JOIN rp),
+sg AS (SELECT subject, item, round, rep, {_sign(42, "subject || '|' || item || '|' || round")} AS sgn FROM (SELECT DISTINCT subject, item, round FROM paired) CROSS JOIN rp),
 fl AS (SELECT coalesce(p.item, 'all') AS item, coalesce(p.cell, 'all') AS cell, p.source, rep, sum(sgn * (h - y)) AS s, sum(h - y) AS obs, count(*) AS n,
-  sum((h - y) * (h - y)) AS sq FROM paired p JOIN sg USING (subject, item) GROUP BY GROUPING SETS ((p.source, rep), (p.item, p.source, rep), (p.item, p.cell, p.source, rep))),
+  sum((h - y) * (h - y)) AS sq FROM paired p JOIN sg USING (subject, item, round) GROUP BY GROUPING SETS ((p.source, rep), (p.item, p.source, rep), (p.item, p.cell, p.source, rep))),
 sf AS (SELECT item, cell, source, max(n) AS n, max(obs) / CAST(max(n) AS DOUBLE) AS mean_diff, count(CASE WHEN abs(s) >= abs(obs) THEN 1 END) AS exceed,
   sqrt((max(sq) - max(obs) * max(obs) / CAST(max(n) AS DOUBLE)) / (max(n) - 1)) AS sd_diff FROM fl GROUP BY 1, 2, 3)"""
 
@@ -50,14 +50,14 @@ sf AS (SELECT item, cell, source, max(n) AS n, max(obs) / CAST(max(n) AS DOUBLE)
 @query("sta1_sign_flip_grid", f"""WITH {V.PAIRED}, {_FLIP}
 SELECT item, cell, source, n, {sq6('mean_diff')} AS mean_diff, exceed, {sq6(f'exceed / {REPS}e0')} AS p, exceed / {REPS}e0 < 0.0167 AS reject FROM sf""")
 def sta1(spark, sf_dir):
-    out = B.sign_flip(_wide(spark, sf_dir), ["item", "cell"], ["subject", "item"], _diffs(), report.GROUPINGS, REPS)
+    out = B.sign_flip(_wide(spark, sf_dir), ["item", "cell"], ["subject", "item", "round"], _diffs(), report.GROUPINGS, REPS)
     return out.select("item", "cell", _C("label").alias("source"), "n", r6(_C("mean_diff")).alias("mean_diff"),
                       "exceed", r6(_C("p")).alias("p"), "reject")
 
 
 @query("sta2_sign_flip_whole_design", f"""WITH {V.PAIRED}, {_FLIP} SELECT source, n, {sq6('mean_diff')} AS mean_diff, {sq6(f'exceed / {REPS}e0')} AS p FROM sf WHERE item = 'all'""")
 def sta2(spark, sf_dir):
-    out = B.sign_flip(_wide(spark, sf_dir), [], ["subject", "item"], _diffs(), [[]], REPS)
+    out = B.sign_flip(_wide(spark, sf_dir), [], ["subject", "item", "round"], _diffs(), [[]], REPS)
     return out.select(_C("label").alias("source"), "n", r6(_C("mean_diff")).alias("mean_diff"), r6(_C("p")).alias("p"))
 
 
@@ -66,33 +66,33 @@ COMPARISONS = ([("baseline", s) for s in V.CANDIDATES] + [("model_2", s) for s i
 
 
 @query("sta3_comparison_registry", f"""WITH {V.PANEL}, cmp AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in COMPARISONS)}) v(a, b)),
-pd AS (SELECT cmp.a, cmp.b, x.subject, x.item, x.y - z.y AS d FROM cmp JOIN panel x ON x.source = cmp.a JOIN panel z ON z.source = cmp.b AND z.subject = x.subject AND z.item = x.item
+pd AS (SELECT cmp.a, cmp.b, x.subject, x.item, x.round, x.y - z.y AS d FROM cmp JOIN panel x ON x.source = cmp.a JOIN panel z ON z.source = cmp.b AND z.subject = x.subject AND z.item = x.item AND z.round = x.round
   WHERE x.y IS NOT NULL AND z.y IS NOT NULL),
-rs AS (SELECT a, b, rep, sum({_sign(42, "subject || '|' || item")} * d) AS s, sum(d) AS obs, count(*) AS n FROM pd CROSS JOIN (SELECT unnest(range({REPS})) AS rep) GROUP BY 1, 2, 3)
+rs AS (SELECT a, b, rep, sum({_sign(42, "subject || '|' || item || '|' || round")} * d) AS s, sum(d) AS obs, count(*) AS n FROM pd CROSS JOIN (SELECT unnest(range({REPS})) AS rep) GROUP BY 1, 2, 3)
 SELECT a, b, max(n) AS n, {sq6('max(obs) / CAST(max(n) AS DOUBLE)')} AS observed_diff, {sq6(f'count(CASE WHEN abs(s) >= abs(obs) THEN 1 END) / {REPS}e0')} AS p FROM rs GROUP BY 1, 2""")
 def sta3(spark, sf_dir):
     wide = _wide(spark, sf_dir).withColumn(V.BASELINE, _C("h"))
     diffs = F.filter(F.array(*[
         F.struct(F.lit(f"{a}|{b}").alias("label"), (_C(a) - _C(b)).alias("d")) for a, b in COMPARISONS
     ]), lambda x: x["d"].isNotNull())
-    out = B.sign_flip(wide, [], ["subject", "item"], diffs, [[]], REPS)
+    out = B.sign_flip(wide, [], ["subject", "item", "round"], diffs, [[]], REPS)
     names = F.split("label", r"\|")
     return out.select(names[0].alias("a"), names[1].alias("b"), "n", r6(_C("mean_diff")).alias("observed_diff"),
                       r6(_C("p")).alias("p"))
 
 
-@query("agg22_ablation_permutation", f"""WITH {V.PANEL}, t AS (SELECT a.subject, a.item, a.y - b.y AS d1, abs(a.h - a.y) - abs(a.h - b.y) AS d2 FROM panel a JOIN panel b USING (subject, item)
-  WHERE a.src = 2 AND b.src = 3 AND a.y IS NOT NULL AND b.y IS NOT NULL),
-rs AS (SELECT rep, sum(sgn * d1) AS s1, sum(sgn * d2) AS s2, sum(d1) AS o1, sum(d2) AS o2 FROM (SELECT *, {_sign(42, "subject || '|' || item")} AS sgn FROM t CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY rep)
-SELECT {sq6(f'count(CASE WHEN abs(s1) >= abs(o1) THEN 1 END) / {REPS}e0')} AS p_shift, {sq6(f'count(CASE WHEN abs(s2) >= abs(o2) THEN 1 END) / {REPS}e0')} AS p_mae FROM rs""")
+@query("agg22_ablation_permutation", f"""WITH {V.PANEL}, {_COMPARED},
+rs AS (SELECT run, other, rep, sum(sgn * (base - abl)) AS s1, sum(sgn * (abs(h - base) - abs(h - abl))) AS s2, sum(base - abl) AS o1, sum(abs(h - base) - abs(h - abl)) AS o2
+  FROM (SELECT *, {_sign(42, "subject || '|' || item || '|' || round")} AS sgn FROM t CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY 1, 2, 3)
+SELECT run AS base, other, {sq6(f'count(CASE WHEN abs(s1) >= abs(o1) THEN 1 END) / {REPS}e0')} AS p_shift, {sq6(f'count(CASE WHEN abs(s2) >= abs(o2) THEN 1 END) / {REPS}e0')} AS p_mae FROM rs GROUP BY 1, 2""")
 def agg22_permutation(spark, sf_dir):
-    wide = P.complete_cases(P.assemble(V.panel(spark, sf_dir), ["model_2", "model_3"]), ["model_2", "model_3"])
-    a, b, h = _C("model_2"), _C("model_3"), _C("h")
+    a, b, h = _C("y_base"), _C("y_other"), _C("h")
     diffs = F.array(F.struct(F.lit("shift").alias("label"), (a - b).alias("d")),
                     F.struct(F.lit("mae").alias("label"), (F.abs(h - a) - F.abs(h - b)).alias("d")))
-    out = B.sign_flip(wide, [], ["subject", "item"], diffs, [[]], REPS)
-    return out.agg(r6(F.max(F.when(_C("label") == "shift", _C("p")))).alias("p_shift"),
-                   r6(F.max(F.when(_C("label") == "mae", _C("p")))).alias("p_mae"))
+    pair = ["base", "other"]
+    out = B.sign_flip(V.compared(_wide(spark, sf_dir)), pair, ["subject", "item", "round"], diffs, [pair], REPS)
+    return out.groupBy(*pair).agg(r6(F.max(F.when(_C("label") == "shift", _C("p")))).alias("p_shift"),
+                                  r6(F.max(F.when(_C("label") == "mae", _C("p")))).alias("p_mae"))
 
 
 def _errors(spark, sf_dir):
@@ -118,7 +118,7 @@ def sta4(spark, sf_dir):
 se AS (SELECT subject, source, o, sum(abs(h - y)) AS e, count(*) AS m FROM scored JOIN ord USING (source) GROUP BY 1, 2, 3),
 tot AS (SELECT sum(m) / {len(SCORED_SOURCES)}e0 AS n FROM se),
 obs AS (SELECT var_pop(t / n) AS v FROM (SELECT source, sum(e) AS t FROM se GROUP BY source) CROSS JOIN tot),
-pm AS (SELECT rep, row_number() OVER (PARTITION BY rep, subject ORDER BY substr(md5('7|' || rep || '|' || subject || '|' || (o // 8)), CAST(4 * (o % 8) + 1 AS INT), 4), o) AS k, e
+pm AS (SELECT rep, row_number() OVER (PARTITION BY rep, subject ORDER BY substr(md5('7|' || rep || '|' || subject || '|' || (o // 2)), CAST(16 * (o % 2) + 1 AS INT), 16), o) AS k, e
   FROM se CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
 nu AS (SELECT rep, var_pop(t / n) AS v FROM (SELECT rep, k, sum(e) AS t FROM pm GROUP BY 1, 2) CROSS JOIN tot GROUP BY rep)
 SELECT {sq6('max(obs.v)')} AS statistic, {sq6(f'(count(CASE WHEN nu.v >= obs.v - 1e-12 THEN 1 END) + 1) / {REPS + 1}e0')} AS p FROM nu CROSS JOIN obs""")
@@ -214,7 +214,7 @@ def sta6(spark, sf_dir):
 
 _SWEEP_RETRY = f"""rt AS (SELECT source, count(CASE WHEN n_tries = {V.MAX_TRIES} THEN 1 END) AS tries_n, count(raw) AS valid_n, count(*) AS total FROM resp WHERE src > 1 GROUP BY source)"""
 _SWEEP_FLIP = f"""fs AS (SELECT source, rep, sum(sgn * (h - y)) AS s, sum(h - y) AS obs, count(*) AS n FROM (
-  SELECT scored.*, rep, {_sign(42, "subject || '|' || item")} AS sgn FROM scored CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY 1, 2),
+  SELECT scored.*, rep, {_sign(42, "subject || '|' || item || '|' || round")} AS sgn FROM scored CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY 1, 2),
 fp AS (SELECT source, max(n) AS n, max(obs) / max(n) AS delta, count(CASE WHEN abs(s) >= abs(obs) THEN 1 END) / {REPS}e0 AS p FROM fs GROUP BY source),
 hp AS (SELECT *, least(1, max((m - i + 1) * p) OVER (ORDER BY p, source ROWS UNBOUNDED PRECEDING)) AS p_holm FROM (
   SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, source) AS i FROM fp))"""
@@ -228,7 +228,7 @@ def sta26(spark, sf_dir):
     cases = materialise(scored_cases(spark, sf_dir), "cases")
     summary = B.rank_summary(M.error_metrics(cases, ["source"]), materialise(_mae_reps(cases), "reps"), "mae", V.CANDIDATES)
     diffs = F.array(F.struct(_C("source").alias("label"), (_C("h") - _C("y")).alias("d")))
-    flips = B.sign_flip(cases, [], ["subject", "item"], diffs, [[]], REPS).withColumnRenamed("label", "source")
+    flips = B.sign_flip(cases, [], ["subject", "item", "round"], diffs, [[]], REPS).withColumnRenamed("label", "source")
     tested = H.holm(flips.withColumn("family", F.lit(1)), ["family"]).select(
         "source", _C("n").alias("n_obs"), _C("mean_diff").alias("delta"), "p", "p_holm")
     runs = V.responses(spark, sf_dir).where("src > 1").groupBy("source").agg(
@@ -246,9 +246,12 @@ _SQL_COUNTS = """dc AS (SELECT coalesce(item, 'all') AS item, coalesce(cell, 'al
 FROM resp WHERE src = 1 GROUP BY GROUPING SETS ((), (item), (item, cell)))"""
 
 
+_Z2, _SHIFT, _LAMBDA = (f"{c!r}::DOUBLE" for c in W.constants())
+
+
 @query("sta27_detectable_effects", f"""WITH {V.RESP}, {_SQL_COUNTS}
-SELECT item, cell, n_obs, n_subjects, round(sqrt(12.109014 / (n_obs - 3.480011)), 4) + 0.0 AS dz_nominal, round(sqrt(12.109014 / (n_subjects - 3.480011)), 4) + 0.0 AS dz_independent,
-  round(sqrt(17.270443 / (2 * n_obs)), 4) + 0.0 AS v_nominal, round(sqrt(12.109014 / (n_obs - 3.480011)) * sqrt(11e0 / 27), 4) + 0.0 AS tau_nominal FROM dc""")
+SELECT item, cell, n_obs, n_subjects, round(sqrt({_Z2} / (n_obs - {_SHIFT})), 4) + 0.0 AS dz_nominal, round(sqrt({_Z2} / (n_subjects - {_SHIFT})), 4) + 0.0 AS dz_independent,
+  round(sqrt({_LAMBDA} / (2 * n_obs)), 4) + 0.0 AS v_nominal, round(sqrt({_Z2} / (n_obs - {_SHIFT})) * {W.TAU_SD_NULL!r}::DOUBLE, 4) + 0.0 AS tau_nominal FROM dc""")
 def sta27(spark, sf_dir):
     out = W.detectable(design_counts(spark, sf_dir))
     return out.select("item", "cell", "n_obs", "n_subjects", *[

@@ -14,11 +14,11 @@ from paneloom.plans import tables as V
 from paneloom.plans.registry import query
 
 _C = F.col
-_ID = ["subject", "item", "source"]
+_ID = ["subject", "item", "round", "source"]
 
 
 @query("prj1_polarity_flip", f"""WITH {V.RESP}
-SELECT subject, item, source, raw * polarity AS raw, stance_raw * polarity AS stance_raw, r1 FROM resp""")
+SELECT subject, item, round, source, raw * polarity AS raw, stance_raw * polarity AS stance_raw, r1 FROM resp""")
 def prj1(spark, sf_dir):
     resp = V.responses(spark, sf_dir).select(*_ID, "statement", "raw", "stance_raw", "r1")
     return C.flip(resp, ["raw", "stance_raw"], "statement", V.NEGATIVE).drop("statement")
@@ -32,7 +32,7 @@ def prj2(spark, sf_dir):
 
 
 @query("prj3_raw_and_normalised", f"""WITH {V.RESP}
-SELECT subject, item, source, raw AS raw_new_belief, raw * polarity AS normalized_new_belief FROM resp""")
+SELECT subject, item, round, source, raw AS raw_new_belief, raw * polarity AS normalized_new_belief FROM resp""")
 def prj3(spark, sf_dir):
     pol = N.polarity(_C("statement"), V.POSITIVE, V.NEGATIVE)
     return V.responses(spark, sf_dir).select(
@@ -105,7 +105,7 @@ def prj9(spark, sf_dir):
 
 
 @query("prj10_strict_int", f"""WITH m AS (SELECT o_orderkey, o_custkey, TRY_CAST({_SQL_MESSY} AS DOUBLE) AS d FROM orders)
-SELECT o_orderkey, o_custkey, CASE WHEN d = floor(d) THEN CAST(d AS INT) END AS value FROM m""")
+SELECT o_orderkey, o_custkey, CASE WHEN d = floor(d) THEN CAST(d AS BIGINT) END AS value FROM m""")
 def prj10(spark, sf_dir):
     return _messy(spark, sf_dir).select("o_orderkey", "o_custkey", N.strict_int(_C("messy")).alias("value"))
 
@@ -204,7 +204,7 @@ def prj18(spark, sf_dir):
 
 
 @query("prj19_belief_change", f"""WITH {V.PANEL}
-SELECT subject, item, source, y - init AS delta, abs(y - init) AS abs_delta FROM panel""")
+SELECT subject, item, round, source, y - init AS delta, abs(y - init) AS abs_delta FROM panel""")
 def prj19(spark, sf_dir):
     d = _C("y") - _C("init")
     return V.panel(spark, sf_dir).select(*_ID, d.alias("delta"), F.abs(d).alias("abs_delta"))
@@ -295,7 +295,7 @@ def prj24(spark, sf_dir):
 
 
 @query("prj25_statement_override", f"""WITH {V.RESP}
-SELECT subject, item, source, 'Option ' || item || ' is a good choice.' AS all_positive,
+SELECT subject, item, round, source, 'Option ' || item || ' is a good choice.' AS all_positive,
   'Option ' || item || ' is a bad choice.' AS all_negative FROM resp""")
 def prj25(spark, sf_dir):
     rows = [(w, p, n) for p, n in zip(V.POSITIVE, V.NEGATIVE) for w in (p, n)]
@@ -307,7 +307,7 @@ def _raw(spark, sf_dir):
     return V.with_raw_text(V.responses(spark, sf_dir))
 
 
-@query("prj26_strip_reasoning", f"""WITH {V.PARSED} SELECT subject, item, source, t AS body FROM cut""")
+@query("prj26_strip_reasoning", f"""WITH {V.PARSED} SELECT subject, item, round, source, t AS body FROM cut""")
 def prj26(spark, sf_dir):
     return _raw(spark, sf_dir).select(*_ID, parse.drop_reasoning_prefix(_C("raw_response")).alias("body"))
 
@@ -317,13 +317,13 @@ c2 AS (SELECT * REPLACE (CASE WHEN c LIKE '```%```' THEN trim(substr(c, 4, lengt
 clean AS (SELECT * REPLACE (CASE WHEN c LIKE 'json%' THEN trim(substr(c, 5), ' ' || chr(10)) ELSE c END AS c) FROM c2)"""
 
 
-@query("prj27_clean_response", f"""WITH {V.RAW_TEXT}, {_SQL_CLEAN} SELECT subject, item, source, c AS body FROM clean""")
+@query("prj27_clean_response", f"""WITH {V.RAW_TEXT}, {_SQL_CLEAN} SELECT subject, item, round, source, c AS body FROM clean""")
 def prj27(spark, sf_dir):
     return _raw(spark, sf_dir).select(*_ID, parse.clean_response(_C("raw_response")).alias("body"))
 
 
 @query("prj28_coercing_parser", f"""WITH {V.PARSED}
-SELECT subject, item, source, CASE WHEN usable THEN b END AS new_belief, CASE WHEN usable THEN s END AS stance,
+SELECT subject, item, round, source, CASE WHEN usable THEN b END AS new_belief, CASE WHEN usable THEN s END AS stance,
   CASE WHEN usable THEN k1 || ',' || k2 || ',' || k3 END AS ranking, CASE WHEN usable THEN why END AS reasoning FROM parsed""")
 def prj28(spark, sf_dir):
     return parse.with_coerced(_raw(spark, sf_dir), "raw_response").select(
@@ -342,7 +342,7 @@ strict AS (SELECT *,
 
 
 @query("prj29_strict_parser", f"""WITH {V.RAW_TEXT}, {_SQL_STRICT}
-SELECT subject, item, source, b AS new_belief, s AS stance, rk AS ranking, why AS reasoning FROM strict""")
+SELECT subject, item, round, source, b AS new_belief, s AS stance, rk AS ranking, why AS reasoning FROM strict""")
 def prj29(spark, sf_dir):
     return parse.with_strict(_raw(spark, sf_dir), "raw_response").select(
         *_ID, "parsed.new_belief", _C("parsed.general_public_stance").alias("stance"),
@@ -350,9 +350,9 @@ def prj29(spark, sf_dir):
 
 
 @query("prj30_line_parser", f"""WITH {V.RAW_TEXT}
-SELECT subject, item, source, CASE WHEN l_partkey % 11 = 10 THEN raw END AS new_belief,
-  CASE WHEN l_partkey % 11 = 10 THEN stance_raw END AS stance,
-  CASE WHEN l_partkey % 11 = 10 THEN concat_ws(',', r1, r2, r3) ELSE '' END AS ranking FROM texts""")
+SELECT subject, item, round, source, CASE WHEN l_partkey % 13 = 10 THEN raw END AS new_belief,
+  CASE WHEN l_partkey % 13 = 10 THEN stance_raw END AS stance,
+  CASE WHEN l_partkey % 13 = 10 THEN concat_ws(',', r1, r2, r3) ELSE '' END AS ranking FROM texts""")
 def prj30(spark, sf_dir):
     return (_raw(spark, sf_dir).withColumn("p", parse.parse_lines(_C("raw_response")))
             .select(*_ID, "p.new_belief", _C("p.general_public_stance").alias("stance"),
@@ -361,7 +361,7 @@ def prj30(spark, sf_dir):
 
 @query("prj31_pattern_fallback", f"""WITH {V.RAW_TEXT},
 e AS (SELECT *, regexp_extract(raw_response, '(?s)</think>\\s*(\\{{.*\\}})', 1) AS body FROM texts)
-SELECT subject, item, source, coalesce(
+SELECT subject, item, round, source, coalesce(
   CASE WHEN json_valid(body) THEN TRY_CAST(json_extract_string(body, '$.new_belief') AS INT) END,
   TRY_CAST(nullif(regexp_extract(raw_response, '"new_belief"\\s*:\\s*(-?\\d+)', 1), '') AS INT)) AS belief FROM e""")
 def prj31(spark, sf_dir):
@@ -413,7 +413,7 @@ def _stored(spark, sf_dir):
 
 
 _SQL_REPAIRED = V.PARSED + """, st AS (SELECT *, l_suppkey % 3 <> 0 AS keep FROM parsed),
-repaired AS (SELECT subject, item, source,
+repaired AS (SELECT subject, item, round, source,
   CASE WHEN keep AND raw IS NOT NULL THEN raw WHEN usable THEN b END AS llm_new_belief,
   CASE WHEN keep AND stance_raw IS NOT NULL THEN stance_raw WHEN usable THEN s END AS llm_general_public_stance,
   CASE WHEN keep THEN 'kept' WHEN usable THEN why END AS llm_reasoning,
@@ -442,7 +442,7 @@ def prj35(spark, sf_dir):
 
 
 @query("prj36_repair_consistency", f"""WITH {V.PARSED}
-SELECT subject, item, source FROM (SELECT *, CASE WHEN l_suppkey % 10 = 0 THEN 2 ELSE raw END AS stored FROM parsed)
+SELECT subject, item, round, source FROM (SELECT *, CASE WHEN l_suppkey % 10 = 0 THEN 2 ELSE raw END AS stored FROM parsed)
 WHERE usable AND stored IS NOT NULL AND stored IS DISTINCT FROM b""")
 def prj36(spark, sf_dir):
     stored = _raw(spark, sf_dir).withColumn(
@@ -458,7 +458,7 @@ def prj37(spark, sf_dir):
 
 
 @query("prj38_invert_ordering", f"""WITH {V.RESP}
-SELECT subject, item, source, CASE WHEN ok THEN list_position(t, 1) END AS rank_1,
+SELECT subject, item, round, source, CASE WHEN ok THEN list_position(t, 1) END AS rank_1,
   CASE WHEN ok THEN list_position(t, 2) END AS rank_2, CASE WHEN ok THEN list_position(t, 3) END AS rank_3 FROM (
   SELECT *, [r1, r2, r3] AS t, list_sort([r1, r2, r3]) = [1, 2, 3] AS ok FROM resp) WHERE src > 1""")
 def prj38(spark, sf_dir):
@@ -486,13 +486,13 @@ def message_pairs(resp):
 # message_pairs() exploded, as SQL.
 MESSAGES = V.RESP + """,
 triples AS (SELECT *, [r1, r2, r3] AS t FROM resp WHERE list_sort([r1, r2, r3]) = [1, 2, 3]),
-messages AS (SELECT subject, item, source, src, cell, slot,
+messages AS (SELECT subject, item, round, source, src, cell, slot,
   CAST(CASE WHEN src = 1 THEN t[slot] ELSE list_position(t, slot) END AS INT) AS rank,
   CAST(substr(['123', '132', '213', '231', '312', '321'][order_seen + 1], slot, 1) AS INT) AS message
   FROM triples CROSS JOIN (SELECT unnest([1, 2, 3]) AS slot))"""
 
 
-@query("prj40_slot_to_message_rank", f"WITH {MESSAGES} SELECT subject, item, source, message, rank FROM messages")
+@query("prj40_slot_to_message_rank", f"WITH {MESSAGES} SELECT subject, item, round, source, message, rank FROM messages")
 def prj40(spark, sf_dir):
     return message_pairs(V.responses(spark, sf_dir)).select(*_ID, F.explode("pairs").alias("p")).select(
         *_ID, "p.message", "p.rank")
@@ -600,7 +600,7 @@ def prj50(spark, sf_dir):
 
 
 @query("prj50_unique_rank_flags", f"""WITH {V.RESP}
-SELECT subject, item, source, coalesce(r1 <> r2 AND r2 <> r3 AND r1 <> r3, false) AS ranks_unique FROM resp""")
+SELECT subject, item, round, source, coalesce(r1 <> r2 AND r2 <> r3 AND r1 <> r3, false) AS ranks_unique FROM resp""")
 def prj50b(spark, sf_dir):
     triple = F.array_compact(R.triple(_C("r1"), _C("r2"), _C("r3")))
     return V.responses(spark, sf_dir).select(

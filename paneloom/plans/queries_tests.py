@@ -83,12 +83,12 @@ def agg29b(spark, sf_dir):
     return G.verdict(G.summarize(runs, ["source", "grp"])).select("source", "grp", "verdict")
 
 
-@query("agg30_first_failed_rows", f"""WITH {V.RESP} SELECT source, subject, item FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY subject, item) AS k
+@query("agg30_first_failed_rows", f"""WITH {V.RESP} SELECT source, subject, item, round FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY subject, item, round) AS k
 FROM resp WHERE raw IS NULL) WHERE k <= 5""")
 def agg30(spark, sf_dir):
     # A row_number filter becomes a per-partition top-n before the shuffle.
-    w = Window.partitionBy("source").orderBy("subject", "item")
-    failed = V.responses(spark, sf_dir).where(_C("raw").isNull()).select("source", "subject", "item")
+    w = Window.partitionBy("source").orderBy("subject", "item", "round")
+    failed = V.responses(spark, sf_dir).where(_C("raw").isNull()).select("source", "subject", "item", "round")
     return failed.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
 
 

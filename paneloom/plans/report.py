@@ -63,7 +63,7 @@ def difference_test(wide: DataFrame, sources: list[str], n_rep: int, seed: int)
     diffs = F.filter(F.array(*[
         F.struct(F.lit(s).alias("label"), (F.col("h") - F.col(s)).alias("d")) for s in sources
     ]), lambda x: x["d"].isNotNull())
-    return B.sign_flip(wide, CELL, ["subject", "item"], diffs, _grids(), n_rep, seed).withColumnRenamed(
+    return B.sign_flip(wide, CELL, ["subject", "item", "round"], diffs, _grids(), n_rep, seed).withColumnRenamed(
         "label", "source")
 
 

@@ -1,15 +1,14 @@
 """The panel as a view over the driver tables, in Spark and as oracle SQL.
 
-One row per subject, item and source. The line item table gives the answers,
-the order's customer is the subject, the return flag is the item and the line
-number is the source (1 = baseline).
+One row per subject, item, round and source. The line item table gives the
+answers, the order's customer is the subject, the return flag is the item and the
+line number is the source (1 = baseline). A source that answers an item again does
+so in the next round, so every line is an answer of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from paneloom.session import spread
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BASELINE = "baseline"
 CANDIDATES = [f"model_{n}" for n in range(2, 8)]
@@ -18,6 +17,9 @@ ITEMS = ["A", "N", "R"]
 CELLS = ["package1", "package2", "package3"]
 POSITIVE = [f"Option {i} is a good choice." for i in ITEMS]
 NEGATIVE = [f"Option {i} is a bad choice." for i in ITEMS]
+# Named comparisons of a base run with another one.
+PAIRS = [(CANDIDATES[0], other) for other in CANDIDATES[1:]]
+SQL_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
 MAX_TRIES = 3
 TOKEN_BUDGET = 4096
 
@@ -29,19 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per subject and item with the first line of every source.
+    """One row per subject, item and round, one column per source with its line of that round.
 
-    Partial minima run before the only wide shuffle, so a hot subject or item
-    is reduced in place.
+    Lines are dealt once by subject and item; the numbering and the grouping both
+    use that exchange.
     """
-    lines = spread(table(spark, sf_dir, "lineitem").select(*_ORDER, "l_linenumber", "l_returnflag"),
-                   "l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(*_ORDER, "l_linenumber", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     first = ", ".join(_ORDER)
-    picks = [F.expr(f"min(CASE WHEN l_linenumber = {n} THEN struct({first}) END)").alias(s)
+    dealt = lines.join(orders, lines.l_orderkey == orders.o_orderkey).repartition("o_custkey", "l_returnflag")
+    repeat = Window.partitionBy("o_custkey", "l_returnflag", "l_linenumber").orderBy(*_ORDER)
+    picks = [F.expr(f"max(CASE WHEN l_linenumber = {n} THEN struct({first}) END)").alias(s)
              for n, s in enumerate(SOURCES, start=1)]
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).groupBy(
-        F.col("o_custkey").alias("subject"), F.col("l_returnflag").alias("item")).agg(*picks)
+    return dealt.withColumn("round", F.row_number().over(repeat).cast("bigint")).groupBy(
+        F.col("o_custkey").alias("subject"), F.col("l_returnflag").alias("item"), "round").agg(*picks)
 
 
 # The view's columns as SQL expressions over the design columns and `o`, one answer.
@@ -54,7 +57,7 @@ _RAW = "IF(o.src > 1 AND o.l.l_suppkey % 11 = 0, NULL, cast(floor(o.l.l_quantity
 _INIT = "cast(floor({line}.l_discount * 100 + 0.5) AS int) % 5 - 2"
 _K = "cast(IF(o.l.l_partkey % 13 = 0, 6 + o.l.l_partkey % 2, o.l.l_partkey % 6) AS int)"
 _OWN = [
-    "subject", "item", "o.src AS src", "o.source AS source", "cell", "polarity", "statement",
+    "subject", "item", "round", "o.src AS src", "o.source AS source", "cell", "polarity", "statement",
     f"{_RAW} AS raw", f"({_RAW}) * polarity AS y", f"{_INIT.format(line='o.l')} AS own_init_raw",
     "cast(IF(o.l.l_suppkey % 7 = 0, NULL, o.l.l_suppkey % 5 - 2) AS int) AS stance_raw",
     # Ranking orders; the seventh and eighth are malformed on purpose.
@@ -99,6 +102,14 @@ def paired(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) ->
     return panel(spark, sf_dir, lines).where((F.col("src") > 1) & F.col("y").isNotNull())
 
 
+def compared(wide: DataFrame) -> DataFrame:
+    """A wide frame once per named comparison, with the two answers; cases that one of them misses go."""
+    pairs = F.explode(F.array(*[F.struct(
+        F.lit(a).alias("base"), F.lit(b).alias("other"), F.col(a).alias("y_base"), F.col(b).alias("y_other")) for a, b in PAIRS]))
+    rows = wide.withColumn("_pair", pairs).select("*", "_pair.*").drop("_pair")
+    return rows.where("y_base IS NOT NULL AND y_other IS NOT NULL")
+
+
 _SQL_TRIPLES = [
     "CASE WHEN l_partkey%13=0 THEN list_extract([1,2], CAST(l_partkey%2+1 AS INT)) ELSE list_extract([1,1,2,2,3,3], CAST(l_partkey%6+1 AS INT)) END",
     "CASE WHEN l_partkey%13=0 THEN list_extract([1,3], CAST(l_partkey%2+1 AS INT)) ELSE list_extract([2,3,1,3,1,2], CAST(l_partkey%6+1 AS INT)) END",
@@ -110,15 +121,15 @@ RESP = f"""one AS (
   SELECT * FROM (
     SELECT o_custkey AS subject, l_returnflag AS item, l_linenumber AS src, lineitem.*,
       row_number() OVER (PARTITION BY o_custkey, l_returnflag, l_linenumber
-        ORDER BY {', '.join(_ORDER)}) AS rn
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE rn = 1 AND src BETWEEN 1 AND 7),
+        ORDER BY {', '.join(_ORDER)}) AS round
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE src BETWEEN 1 AND 7),
 design AS (
   SELECT *, 'package' || (subject % 3 + 1) AS cell,
     CASE WHEN (subject + ascii(item)) % 2 = 0 THEN 1 ELSE -1 END AS polarity,
     CASE WHEN src > 1 AND l_suppkey % 11 = 0 THEN NULL
       ELSE CAST(floor(l_quantity) AS INT) % 5 - 2 END AS raw FROM one),
 resp AS (
-  SELECT subject, item, src, CASE WHEN src = 1 THEN 'baseline' ELSE 'model_' || src END AS source,
+  SELECT subject, item, round, src, CASE WHEN src = 1 THEN 'baseline' ELSE 'model_' || src END AS source,
     cell, polarity,
     'Option ' || item || CASE WHEN polarity = 1 THEN ' is a good choice.' ELSE ' is a bad choice.' END AS statement,
     raw, raw * polarity AS y, CAST(floor(l_discount * 100 + 0.5) AS INT) % 5 - 2 AS own_init_raw,
@@ -135,7 +146,7 @@ resp AS (
 PANEL = RESP + """,
 panel AS (
   SELECT r.*, b.y AS h, b.own_init_raw AS init_raw, b.own_init_raw * r.polarity AS init
-  FROM resp r JOIN resp b ON b.subject = r.subject AND b.item = r.item AND b.src = 1)"""
+  FROM resp r JOIN resp b ON b.subject = r.subject AND b.item = r.item AND b.round = r.round AND b.src = 1)"""
 
 # paired() as SQL.
 PAIRED = PANEL + """,
@@ -143,8 +154,8 @@ paired AS (SELECT * FROM panel WHERE src > 1 AND y IS NOT NULL)"""
 
 # complete_wide() as SQL, in long form: `frame` has one row per case, `full` one per case and source.
 COMPLETE = PAIRED + """,
-frame AS (SELECT subject, item FROM paired GROUP BY 1, 2 HAVING count(*) = 6),
-full_cases AS (SELECT p.* FROM paired p JOIN frame USING (subject, item))"""
+frame AS (SELECT subject, item, round FROM paired GROUP BY 1, 2, 3 HAVING count(*) = 6),
+full_cases AS (SELECT p.* FROM paired p JOIN frame USING (subject, item, round))"""
 
 
 def inline(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
@@ -153,43 +164,50 @@ def inline(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFr
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def _json_answer(quoted: bool, short: bool, reason: bool) -> str:
+# A reasoning in compatibility forms, and as they are folded.
+WIDE_FORMS, FOLDED_FORMS = '"\ufb01ne \uff11 \u2167"', "fine 1 VIII"
+
+
+def _json_answer(quoted: bool, short: bool, reason: bool | str) -> str:
     def num(c):
         text = f"coalesce(cast({c} AS string), 'null')"
         return f"""'"', {text}, '"'""" if quoted else text
 
     third = "" if short else f", ', ', {num('r3')}"
-    why = """, ', "reasoning": "they said {no} to \\\\"', item, '\\\\" ', subject, '"'""" if reason else ""
+    why = f""", ', "reasoning": {reason}'""" if isinstance(reason, str) else (
+        """, ', "reasoning": "they said {no} to \\\\"', item, '\\\\" ', subject, '"'""" if reason else "")
     return (f"""concat('{{"new_belief": ', {num('raw')}, ', "ranking": [', {num('r1')}, ', ', {num('r2')}{third}, ']'"""
             f"""{why}, ', "general_public_stance": ', {num('stance_raw')}, '}}')""")
 
 
 def with_raw_text(df: DataFrame) -> DataFrame:
-    """The answer as a response text in one of eleven shapes, good and bad."""
+    """The answer as a response text in one of thirteen shapes, good and bad."""
     plain = _json_answer(False, False, True)
-    return df.selectExpr("*", f"""CASE l_partkey % 11 WHEN 0 THEN {plain}
+    return df.selectExpr("*", f"""CASE l_partkey % 13 WHEN 0 THEN {plain}
       WHEN 1 THEN concat('<think>I weigh {{this}}.</think>\n', {plain}) WHEN 2 THEN concat('I weigh this.</THINK> ', {plain})
       WHEN 3 THEN {_json_answer(True, False, True)} WHEN 4 THEN concat('```json\n', {plain}, '\n```')
       WHEN 5 THEN substring({plain}, 1, 30) WHEN 6 THEN concat({plain}, ' Hope this helps {{you}}')
       WHEN 7 THEN {_json_answer(False, True, True)} WHEN 8 THEN {_json_answer(False, False, False)} WHEN 9 THEN 'I cannot answer.'
+      WHEN 11 THEN {_json_answer(False, False, 'null')} WHEN 12 THEN {_json_answer(False, False, WIDE_FORMS)}
       ELSE concat(coalesce(cast(raw AS string), 'none'), '\nRANKING: ', concat_ws(', ', r1, r2, r3), '\nGENERAL_PUBLIC_STANCE: ',
         coalesce(cast(stance_raw AS string), 'none')) END AS raw_response""")
 
 
-def _sql_answer(quoted: bool, short: bool, reason: bool) -> str:
+def _sql_answer(quoted: bool, short: bool, reason: bool | str) -> str:
     def num(c):
         text = f"coalesce(CAST({c} AS VARCHAR), 'null')"
         return f"'\"' || {text} || '\"'" if quoted else text
 
     third = "" if short else f" || ', ' || {num('r3')}"
-    why = """ || ', "reasoning": "they said {no} to \\"' || item || '\\" ' || subject || '"'""" if reason else ""
+    why = f""" || ', "reasoning": {reason}'""" if isinstance(reason, str) else (
+        """ || ', "reasoning": "they said {no} to \\"' || item || '\\" ' || subject || '"'""" if reason else "")
     return (f"""('{{"new_belief": ' || {num('raw')} || ', "ranking": [' || {num('r1')} || ', ' || {num('r2')}"""
             f"""{third} || ']'{why} || ', "general_public_stance": ' || {num('stance_raw')} || '}}')""")
 
 
 # with_raw_text(responses()) as SQL.
 RAW_TEXT = RESP + f""",
-texts AS (SELECT *, CASE l_partkey % 11
+texts AS (SELECT *, CASE l_partkey % 13
   WHEN 0 THEN {_sql_answer(False, False, True)}
   WHEN 1 THEN '<think>I weigh {{this}}.</think>' || chr(10) || {_sql_answer(False, False, True)}
   WHEN 2 THEN 'I weigh this.</THINK> ' || {_sql_answer(False, False, True)}
@@ -200,20 +218,22 @@ texts AS (SELECT *, CASE l_partkey % 11
   WHEN 7 THEN {_sql_answer(False, True, True)}
   WHEN 8 THEN {_sql_answer(False, False, False)}
   WHEN 9 THEN 'I cannot answer.'
+  WHEN 11 THEN {_sql_answer(False, False, 'null')} WHEN 12 THEN {_sql_answer(False, False, WIDE_FORMS)}
   ELSE coalesce(CAST(raw AS VARCHAR), 'none') || chr(10) || 'RANKING: ' || concat_ws(', ', r1, r2, r3) || chr(10)
     || 'GENERAL_PUBLIC_STANCE: ' || coalesce(CAST(stance_raw AS VARCHAR), 'none') END AS raw_response
   FROM resp)"""
 
 # The coercing parse of raw_response as SQL; one row per answer, p_* null where unusable.
-PARSED = RAW_TEXT + """,
+PARSED = RAW_TEXT + f""",
 cut AS (SELECT *, trim(regexp_replace(raw_response, '(?is)^.*?</think>', ''), ' ' || chr(10)) AS t FROM texts),
-obj AS (SELECT *, CASE WHEN json_valid(t) AND t LIKE '{%' THEN t END AS j FROM cut),
+obj AS (SELECT *, CASE WHEN json_valid(t) AND t LIKE '{{%' THEN t END AS j FROM cut),
 num AS (SELECT *, TRY_CAST(json_extract_string(j, '$.new_belief') AS INT) AS b,
   TRY_CAST(json_extract_string(j, '$.general_public_stance') AS INT) AS s,
   json_array_length(j, '$.ranking') AS k,
   TRY_CAST(json_extract_string(j, '$.ranking[0]') AS INT) AS k1,
   TRY_CAST(json_extract_string(j, '$.ranking[1]') AS INT) AS k2,
   TRY_CAST(json_extract_string(j, '$.ranking[2]') AS INT) AS k3,
-  json_extract_string(j, '$.reasoning') AS why FROM obj),
+  CASE WHEN json_type(j, '$.reasoning') = 'NULL' THEN 'None' WHEN l_partkey % 13 = 12 AND json_exists(j, '$.reasoning') THEN '{FOLDED_FORMS}'
+    ELSE json_extract_string(j, '$.reasoning') END AS why FROM obj),
 parsed AS (SELECT *, coalesce(b IS NOT NULL AND s IS NOT NULL AND k = 3 AND k1 IS NOT NULL AND k2 IS NOT NULL
   AND k3 IS NOT NULL, false) AS usable FROM num)"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,24 +30,36 @@ def local_session(cores: str = "8", name: str = "paneloom") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach, as named in spark.checkpoint.dir.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (a
-    local test session) a temporary folder stands in.
+    Only a session whose executors are threads of the driver may do without: it
+    gets a temporary folder, which is removed when Python ends. On a cluster a
+    missing folder stops the job, for a local one would be written to each
+    executor's own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paneloom-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        own = tempfile.mkdtemp(prefix="paneloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         current = spark.sparkContext.getCheckpointDir()
     return current.removeprefix("file:").rstrip("/")
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Remove every table this application has written for itself; its frames cannot be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -65,15 +80,3 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a part of a scan that arrives in a few pieces.
-
-    A small table stored in one row group is read by one task. A scan with many
-    splits is left as it is, so nothing is shuffled on large tables.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, *keys)
