@@ -19,7 +19,10 @@ from paneloom.operators.pairing import attach_single
 
 SIGN_ALPHA = 0.0167
 _BLOCK = R.SIGNS_PER_DIGEST
-MANY_BLOCKS = 32
+# Published budgets.
+N_FLIPS, N_CLUSTER_FLIPS, N_BOOTSTRAPS = 1_000_000, 100_000, 10_000
+# Blocks of signs that a task adds up at once: bounds its table of sums, whatever the number of replicates.
+BLOCKS_AT_ONCE = 64
 
 
 def _fan_out(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,18 +46,20 @@ def replicate_sums(cases: DataFrame, keys: list[str], unit: list[str], diffs: Co
     difference adds nothing to any replicate and is carried in block 0 only, for n. Replicate 0 also carries the sum of squares.
     """
     blocks = math.ceil(n_rep / _BLOCK)
-    narrow = cases.select(*keys, *[c for c in unit if c not in keys], diffs.alias("_diffs"))
-    if blocks < MANY_BLOCKS:
-        narrow = _fan_out(narrow, unit)
+    ranges = math.ceil(blocks / BLOCKS_AT_ONCE)
+    spark = cases.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rest = [c for c in unit if c not in keys]
     moved = F.exists("_diffs", lambda x: x["d"] != 0)
-    spread = narrow.select(
-        *keys, *[c for c in unit if c not in keys], "_diffs",
-        F.explode(F.when(moved, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(0)))).alias("_block"))
-    if blocks >= MANY_BLOCKS:
-        # Many replicates of a modest panel: the work is in the replicates, so they are
-        # what is spread over tasks, and each sum is then complete in one task.
-        tasks = min(blocks, 4 * cases.sparkSession.sparkContext.defaultParallelism)
-        spread = spread.repartition(tasks, "_block")
+    # A task gets a part of the cases and a range of blocks. One row moved serves BLOCKS_AT_ONCE digests.
+    narrow = cases.select(*keys, *rest, diffs.alias("_diffs")).withColumn(
+        "_range", F.explode(F.when(moved, F.sequence(F.lit(0), F.lit(ranges - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.pmod(F.xxhash64(*unit), F.lit(math.ceil(4 * tasks / ranges)))
+    dealt = narrow.withColumn("_salt", salt).repartition(tasks, "_range", "_salt")
+    first = F.col("_range") * BLOCKS_AT_ONCE
+    last = F.least(first + BLOCKS_AT_ONCE, F.lit(blocks)) - 1
+    spread = dealt.select(*keys, *rest, "_diffs", F.explode(
+        F.when(moved, F.sequence(first, last)).otherwise(F.array(F.lit(0)))).alias("_block"))
     word = spread.withColumn("_bits", R.bits32(R.digest(seed, F.col("_block"), *[F.col(c) for c in unit])))
     rows = word.select(*keys, "_block", "_bits", F.explode("_diffs").alias("_x"))
     d = F.col("_x.d")
@@ -86,7 +91,7 @@ def exceedance(replicates: DataFrame, group: list[str], tolerance: float = 0.0)
 
 
 def sign_flip(cases: DataFrame, cells: list[str], unit: list[str], diffs: Column, groupings: list[list[str]],
-              n_rep: int, seed: int = 42) -> DataFrame:
+              n_rep: int = N_FLIPS, seed: int = 42) -> DataFrame:
     """Two-sided paired sign-flip test of a zero mean difference; p can be 0."""
     reps = sum_over_cells(replicate_sums(cases, cells, unit, diffs, n_rep, seed), groupings)
     keys = [k for k in dict.fromkeys(c for g in groupings for c in g)]
@@ -99,9 +104,22 @@ def sign_flip(cases: DataFrame, cells: list[str], unit: list[str], diffs: Column
 
 
 def subject_errors(wide: DataFrame, subject: str, sources: list[str]) -> DataFrame:
-    """Sum of absolute error per subject, one column per source, and the number of cases."""
+    """Per subject the number of cases, and per source the sums of absolute error (its name) and of error (bias_ before it)."""
+    error = {s: (F.col("h") - F.col(s)).cast("double") for s in sources}
     return wide.groupBy(subject).agg(
-        F.count("*").alias("m"), *[F.sum(F.abs(F.col("h") - F.col(s)).cast("double")).alias(s) for s in sources])
+        F.count("*").alias("m"), *[F.sum(F.abs(e)).alias(s) for s, e in error.items()],
+        *[F.sum(e).alias(f"bias_{s}") for s, e in error.items()])
+
+
+def mean_errors(errors: DataFrame, group: list[str], sources: list[str], weight: Column | None = None) -> DataFrame:
+    """(group, source, mae, bias) from subject sums: both are linear in subjects, so no case is looked at again."""
+    w = F.lit(1) if weight is None else weight
+    sums = errors.groupBy(*group).agg(F.sum(w * F.col("m")).alias("_m"), *[
+        F.sum(w * F.col(c)).alias(c) for s in sources for c in (s, f"bias_{s}")])
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(s).alias("source"), (F.col(s) / F.col("_m")).alias("mae"), (F.col(f"bias_{s}") / F.col("_m")).alias("bias"))
+        for s in sources])).alias("x")
+    return sums.where("_m > 0").select(*group, rows).select(*group, "x.*")
 
 
 def cluster_sign_flip(errors: DataFrame, subject: str, sources: list[str], n_rep: int, seed: int) -> DataFrame:
@@ -188,8 +206,8 @@ def bootstrap_weights(subjects: DataFrame, subject: str, n_rep: int, seed: int)
     return weights.join(index.select(subject, "idx"), "idx").select(subject, "rep", "w")
 
 
-def poisson_weights(subjects: DataFrame, subject: str, n_rep: int, seed: int) -> DataFrame:
-    """(subject, rep, w) with independent Poisson(1) weights: no draw leaves its subject.
+def poisson_weights(rows: DataFrame, subject: str, n_rep: int, seed: int) -> DataFrame:
+    """`rows` with rep and an independent Poisson(1) weight w per subject: no draw leaves its row.
 
     The shuffle-free alternative for very many subjects; the multinomial above
     is this distribution given its total. Weights end at 12: the next has less
@@ -201,8 +219,8 @@ def poisson_weights(subjects: DataFrame, subject: str, n_rep: int, seed: int) ->
         w = w + F.when(unit >= total, 1).otherwise(0)
         term /= k
         total += term
-    return (_fan_out(subjects, [subject]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-            .withColumn("w", w).where(F.col("w") > 0).select(subject, "rep", "w"))
+    return (_fan_out(rows, [subject]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
+            .withColumn("w", w).where(F.col("w") > 0))
 
 
 def bootstrap_metrics(cases: DataFrame, weights: DataFrame, subject: str) -> DataFrame:

@@ -19,6 +19,8 @@ from paneloom.plans.registry import query, r6, sq6
 from paneloom.session import materialise
 
 _C = F.col
+# Replicates of the registered queries, a parameter of each: as many as their SQL twins can carry.
+# The operators' own defaults are the published budgets, which bench.py runs.
 REPS = 64
 BOOT = 40
 
@@ -49,8 +51,8 @@ sf AS (SELECT item, cell, source, max(n) AS n, max(obs) / CAST(max(n) AS DOUBLE)
 
 @query("sta1_sign_flip_grid", f"""WITH {V.PAIRED}, {_FLIP}
 SELECT item, cell, source, n, {sq6('mean_diff')} AS mean_diff, exceed, {sq6(f'exceed / {REPS}e0')} AS p, exceed / {REPS}e0 < 0.0167 AS reject FROM sf""")
-def sta1(spark, sf_dir):
-    out = B.sign_flip(_wide(spark, sf_dir), ["item", "cell"], ["subject", "item", "round"], _diffs(), report.GROUPINGS, REPS)
+def sta1(spark, sf_dir, n_rep=REPS):
+    out = B.sign_flip(_wide(spark, sf_dir), ["item", "cell"], ["subject", "item", "round"], _diffs(), report.GROUPINGS, n_rep)
     return out.select("item", "cell", _C("label").alias("source"), "n", r6(_C("mean_diff")).alias("mean_diff"),
                       "exceed", r6(_C("p")).alias("p"), "reject")
 
@@ -109,8 +111,8 @@ cf AS (SELECT a.source AS a, b.source AS b, max(a.obs - b.obs) / max(n_cases) AS
 
 
 @query("sta4_cluster_sign_flip", f"WITH {FRAME}, {_CLUSTER} SELECT a, b, {sq6('diff')} AS diff, {sq6('p')} AS p FROM cf")
-def sta4(spark, sf_dir):
-    out = B.cluster_sign_flip(_errors(spark, sf_dir), "subject", SCORED_SOURCES, REPS, 7)
+def sta4(spark, sf_dir, n_rep=REPS):
+    out = B.cluster_sign_flip(_errors(spark, sf_dir), "subject", SCORED_SOURCES, n_rep, 7)
     return out.select("a", "b", r6(_C("diff")).alias("diff"), r6(_C("p")).alias("p"))
 
 
@@ -133,15 +135,14 @@ wt AS (SELECT subject, rep, w FROM (SELECT pick, rep, count(*) AS w FROM dr GROU
 bm AS (SELECT rep, source, sum(w * abs(h - y)) / sum(w) AS mae, sum(w * (h - y)) / sum(w) AS bias FROM scored JOIN wt USING (subject) GROUP BY 1, 2)"""
 
 
-def _weights(cases):
-    return B.bootstrap_weights(cases.select("subject").distinct(), "subject", BOOT, 11)
+def _weights(subjects, n_boot=BOOT):
+    return B.bootstrap_weights(subjects.select("subject").distinct(), "subject", n_boot, 11)
 
 
 @query("sta7_cluster_bootstrap", f"WITH {FRAME}, {_BOOT} SELECT rep, source, {sq6('mae')} AS mae, {sq6('bias')} AS bias FROM bm")
-def sta7(spark, sf_dir):
-    cases = materialise(scored_cases(spark, sf_dir), "cases")
-    drawn = cases.join(_weights(cases), "subject")
-    out = M.error_metrics(drawn, ["rep", "source"], _C("w"))
+def sta7(spark, sf_dir, n_boot=BOOT):
+    errors = _errors(spark, sf_dir)
+    out = B.mean_errors(errors.join(_weights(errors, n_boot), "subject"), ["rep"], SCORED_SOURCES, _C("w"))
     return out.select("rep", "source", r6(_C("mae")).alias("mae"), r6(_C("bias")).alias("bias"))
 
 
@@ -163,15 +164,14 @@ cum AS (SELECT k, sum(t) OVER (ORDER BY k) AS c FROM (SELECT k, exp(-1e0) / gamm
 pw AS (SELECT subject, rep, (SELECT count(*) FROM cum WHERE u.u >= c) AS w FROM u)
 SELECT rep, source, {sq6('sum(w * abs(h - y)) / CAST(sum(w) AS DOUBLE)')} AS mae FROM scored JOIN pw USING (subject) WHERE w > 0 GROUP BY 1, 2""")
 def sta7_poisson(spark, sf_dir):
-    cases = materialise(scored_cases(spark, sf_dir), "cases")
-    weights = B.poisson_weights(cases.select("subject").distinct(), "subject", BOOT, 11)
-    out = M.error_metrics(cases.join(weights, "subject"), ["rep", "source"], _C("w"))
+    drawn = B.poisson_weights(_errors(spark, sf_dir), "subject", BOOT, 11)
+    out = B.mean_errors(drawn, ["rep"], SCORED_SOURCES, _C("w"))
     return out.select("rep", "source", r6(_C("mae")).alias("mae"))
 
 
-def _mae_reps(cases):
-    return M.error_metrics(cases.join(_weights(cases), "subject"), ["rep", "source"], _C("w")).withColumn(
-        "mae", F.round("mae", 9))
+def _mae_reps(errors, n_boot=BOOT):
+    drawn = errors.join(_weights(errors, n_boot), "subject")
+    return B.mean_errors(drawn, ["rep"], SCORED_SOURCES, _C("w")).withColumn("mae", F.round("mae", 9))
 
 
 _R9 = "bm9 AS (SELECT rep, source, round(mae, 9) AS mae FROM bm)"
@@ -179,7 +179,7 @@ _R9 = "bm9 AS (SELECT rep, source, round(mae, 9) AS mae FROM bm)"
 
 @query("sta8_percentile_interval", f"WITH {FRAME}, {_BOOT}, {_R9} SELECT source, {sq6('quantile_disc(mae, 0.025)')} AS lo, {sq6('quantile_disc(mae, 0.975)')} AS hi FROM bm9 GROUP BY source")
 def sta8(spark, sf_dir):
-    out = B.percentile_interval(_mae_reps(materialise(scored_cases(spark, sf_dir), "cases")), ["source"], "mae")
+    out = B.percentile_interval(_mae_reps(_errors(spark, sf_dir)), ["source"], "mae")
     return out.select("source", r6(_C("lo")).alias("lo"), r6(_C("hi")).alias("hi"))
 
 
@@ -194,9 +194,9 @@ pr AS (SELECT source, rank() OVER (ORDER BY mae) AS place FROM pt WHERE source I
 @query("sta9_rank_summary", f"""WITH {FRAME}, {_BOOT}, {_R9}, {_RANK_SUMMARY}
 SELECT source, {sq6('mae')} AS estimate, {sq6('lo')} AS lo, {sq6('hi')} AS hi, place, rank_lo, rank_hi, {sq6('p_best')} AS p_best
 FROM pt JOIN ci USING (source) LEFT JOIN pr USING (source) LEFT JOIN rc USING (source)""")
-def sta9(spark, sf_dir):
-    cases = materialise(scored_cases(spark, sf_dir), "cases")
-    out = B.rank_summary(M.error_metrics(cases, ["source"]), materialise(_mae_reps(cases), "reps"), "mae", V.CANDIDATES)
+def sta9(spark, sf_dir, n_boot=BOOT):
+    errors = _errors(spark, sf_dir)
+    out = B.rank_summary(B.mean_errors(errors, [], SCORED_SOURCES), materialise(_mae_reps(errors, n_boot), "reps"), "mae", V.CANDIDATES)
     return out.select("source", *[r6(_C(c)).alias(c) for c in ("estimate", "lo", "hi")], "place",
                       "rank_lo", "rank_hi", r6(_C("p_best")).alias("p_best"))
 
@@ -205,9 +205,10 @@ def sta9(spark, sf_dir):
 pd AS (SELECT x.source AS a, z.source AS b, quantile_disc(round(x.mae - z.mae, 9), 0.025) AS lo, quantile_disc(round(x.mae - z.mae, 9), 0.975) AS hi
   FROM bm9 x JOIN bm9 z ON x.rep = z.rep JOIN ord ox ON ox.source = x.source JOIN ord oz ON oz.source = z.source WHERE ox.o < oz.o GROUP BY 1, 2)
 SELECT a, b, {sq6('diff')} AS diff, {sq6('lo')} AS lo, {sq6('hi')} AS hi, {sq6('p')} AS p, p < 0.05 / 28 AS significant FROM cf JOIN pd USING (a, b)""")
-def sta6(spark, sf_dir):
-    reps = _mae_reps(materialise(scored_cases(spark, sf_dir), "cases"))
-    flips = B.cluster_sign_flip(_errors(spark, sf_dir), "subject", SCORED_SOURCES, REPS, 7)
+def sta6(spark, sf_dir, n_boot=BOOT, n_rep=REPS):
+    errors = _errors(spark, sf_dir)
+    reps = _mae_reps(errors, n_boot)
+    flips = B.cluster_sign_flip(errors, "subject", SCORED_SOURCES, n_rep, 7)
     out = B.pairwise(reps, flips, SCORED_SOURCES)
     return out.select("a", "b", *[r6(_C(c)).alias(c) for c in ("diff", "lo", "hi", "p")], "significant")
 
@@ -224,11 +225,12 @@ hp AS (SELECT *, least(1, max((m - i + 1) * p) OVER (ORDER BY p, source ROWS UNB
 SELECT pt.source, pt.source IN ('no_change', 'cell_median') AS is_baseline, valid_n, total AS valid_total, tries_n, {sq6('pt.mae')} AS mae, {sq6('ci.lo')} AS mae_lo, {sq6('ci.hi')} AS mae_hi,
   place, {sq6('delta')} AS delta, {sq6('p')} AS p, {sq6('p_holm')} AS p_holm, p_holm < 0.05 AS significant, hp.n AS n_obs, {BOOT} AS n_boot, {REPS} AS n_resamples
 FROM pt JOIN ci USING (source) JOIN hp USING (source) LEFT JOIN pr USING (source) LEFT JOIN rt USING (source)""")
-def sta26(spark, sf_dir):
-    cases = materialise(scored_cases(spark, sf_dir), "cases")
-    summary = B.rank_summary(M.error_metrics(cases, ["source"]), materialise(_mae_reps(cases), "reps"), "mae", V.CANDIDATES)
-    diffs = F.array(F.struct(_C("source").alias("label"), (_C("h") - _C("y")).alias("d")))
-    flips = B.sign_flip(cases, [], ["subject", "item", "round"], diffs, [[]], REPS).withColumnRenamed("label", "source")
+def sta26(spark, sf_dir, n_boot=BOOT, n_rep=REPS):
+    wide = materialise(scored_wide(spark, sf_dir), "scored")
+    errors = materialise(B.subject_errors(wide, "subject", SCORED_SOURCES), "errors")
+    summary = B.rank_summary(B.mean_errors(errors, [], SCORED_SOURCES), materialise(_mae_reps(errors, n_boot), "reps"), "mae", V.CANDIDATES)
+    diffs = F.array(*[F.struct(F.lit(s).alias("label"), (_C("h") - _C(s).cast("double")).alias("d")) for s in SCORED_SOURCES])
+    flips = B.sign_flip(wide, [], ["subject", "item", "round"], diffs, [[]], n_rep).withColumnRenamed("label", "source")
     tested = H.holm(flips.withColumn("family", F.lit(1)), ["family"]).select(
         "source", _C("n").alias("n_obs"), _C("mean_diff").alias("delta"), "p", "p_holm")
     runs = V.responses(spark, sf_dir).where("src > 1").groupBy("source").agg(
@@ -239,7 +241,7 @@ def sta26(spark, sf_dir):
         "source", _C("source").isin("no_change", "cell_median").alias("is_baseline"), "valid_n", "valid_total", "tries_n",
         r6(_C("estimate")).alias("mae"), r6(_C("lo")).alias("mae_lo"), r6(_C("hi")).alias("mae_hi"), "place",
         r6(_C("delta")).alias("delta"), r6(_C("p")).alias("p"), r6(_C("p_holm")).alias("p_holm"),
-        (_C("p_holm") < 0.05).alias("significant"), "n_obs", F.lit(BOOT).alias("n_boot"), F.lit(REPS).alias("n_resamples"))
+        (_C("p_holm") < 0.05).alias("significant"), "n_obs", F.lit(n_boot).alias("n_boot"), F.lit(n_rep).alias("n_resamples"))
 
 
 _SQL_COUNTS = """dc AS (SELECT coalesce(item, 'all') AS item, coalesce(cell, 'all') AS cell, count(*) AS n_obs, count(DISTINCT subject) AS n_subjects
@@ -305,8 +307,8 @@ def sta29(spark, sf_dir):
 
 
 @query("sta29_effect_report_full")
-def sta29_full(spark, sf_dir):
-    return full_report(spark, sf_dir).withColumn("value", r6(_C("value")))
+def sta29_full(spark, sf_dir, n_rep=REPS):
+    return full_report(spark, sf_dir, n_rep).withColumn("value", r6(_C("value")))
 
 
 @query("sta30_overview")

@@ -11,8 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from paneloom.session import local_session
+    from paneloom.session import drop_work, local_session
 
     session = local_session("8", "tests")
     yield session
+    drop_work(session)
     session.stop()
