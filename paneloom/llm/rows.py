@@ -29,7 +29,10 @@ def per_row(df: DataFrame, inputs: Sequence[str], fields: dict[str, DataType], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = start()
         for batch in batches:
-            out = [fn(*values) for values in zip(*[batch.column(i).to_pylist() for i in places])]
+            out = []
+            for at in range(0, batch.num_rows, 128):  # a few rows at a time as Python values, beside the batch
+                few = batch.slice(at, 128)
+                out += [fn(*values) for values in zip(*[few.column(i).to_pylist() for i in places])]
             new = [pa.array([row[i] for row in out], type=kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + new, names=names)
 

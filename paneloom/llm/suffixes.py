@@ -295,7 +295,8 @@ def _front_runs(batches: Iterator[pa.RecordBatch], length: int, seed: int, parts
                                           names=["part", "shared", "sizes", "rest", "rights", "names", "places"])
 
     for batch in batches:
-        for raw, key, wanted in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+        for row in range(batch.num_rows):
+            raw, key, wanted = (batch.column(i)[row].as_py() for i in range(3))
             if hashlib.md5(raw).hexdigest() != key:  # another text under the same id
                 continue
             places, hashes = anchors.find(raw)
@@ -414,8 +415,8 @@ def repeated_spans(docs: DataFrame, signed: DataFrame, length: int, seed: int, h
         merged.union(hot_spans).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "key")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 128, hot: int = 200_000, part_entries: int = 50_000,
-                   run_bytes: int = 1 << 24, text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 128, hot: int = 200_000, part_entries: int = 1 << 14,
+                   run_bytes: int = 1 << 23, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document; with `text`, also the bytes that stay.
 
     The bytes that stay are given for texts of which something but not all goes; what
