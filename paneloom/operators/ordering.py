@@ -2,8 +2,8 @@
 
 Equal values are counted before anything is ordered, so a group costs its
 number of distinct values. Likert data has a handful. For measures with an
-open domain the distinct values of a group are spread over a two-level grid, so
-no group is ordered by one task.
+open domain the distinct values are dealt by ranges of (group, value), whatever
+their distribution, so no group is ordered by one task.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 
 from paneloom.session import cut_lineage
 
-GRID = 1024
-
 
 def value_counts(df: DataFrame, group: list[str], value: Column) -> DataFrame:
     return (df.where(value.isNotNull()).groupBy(*group, value.alias("v"))
@@ -29,30 +27,24 @@ def _total_before(n: str, window) -> Column:
     return F.coalesce(F.sum(n).over(window), F.lit(0))
 
 
-def _grid_cell(value: Column, low: Column, high: Column) -> Column:
-    """A cell number that never decreases with the value."""
-    place = F.floor((value - low) / (high - low) * (GRID - 1))
-    return F.when(high > low, place).otherwise(0).cast("int")
-
-
 def counts_below(counts: DataFrame, group: list[str], open_domain: bool) -> DataFrame:
-    """Adds `below`: rows of the group with a smaller value."""
+    """Adds `below`: rows of the group with a smaller value.
+
+    Open domain: values are range-partitioned by sampled quantiles, so outliers and
+    heavy tails cut no larger part than any other. A value then has below it what
+    its part holds before it and what the group's earlier parts hold; the latter
+    comes from one row per group and part.
+    """
     if not open_domain:
         return counts.withColumn("below", _total_before("n", _before(*group, order="v")))
-    # The counted values are read several times below, so they are materialised once.
-    counts = cut_lineage(counts)
-    limits = counts.groupBy(*group).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    coarse = counts.join(limits, group).withColumn("_c1", _grid_cell(F.col("v"), F.col("_lo"), F.col("_hi")))
-    cells = coarse.groupBy(*group, "_c1").agg(
-        F.min("v").alias("_lo2"), F.max("v").alias("_hi2"), F.sum("n").alias("_n1"))
-    offsets1 = cells.withColumn("_b1", _total_before("_n1", _before(*group, order="_c1")))
-    fine = coarse.drop("_lo", "_hi").join(offsets1, [*group, "_c1"]).withColumn(
-        "_c2", _grid_cell(F.col("v"), F.col("_lo2"), F.col("_hi2")))
-    offsets2 = fine.groupBy(*group, "_c1", "_c2").agg(F.sum("n").alias("_n2")).withColumn(
-        "_b2", _total_before("_n2", _before(*group, "_c1", order="_c2")))
-    inner = _total_before("n", _before(*group, "_c1", "_c2", order="v"))
-    return fine.join(offsets2.select(*group, "_c1", "_c2", "_b2"), [*group, "_c1", "_c2"]).withColumn(
-        "below", F.col("_b1") + F.col("_b2") + inner).select(*group, "v", "n", "below")
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The part of a value must not change when a task is run again, so it is written down.
+    ranged = cut_lineage(counts.repartitionByRange(parts, *group, "v").withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*group, "_part").agg(F.sum("n").alias("_held"))
+    earlier = totals.withColumn("_earlier", _total_before("_held", _before(*group, order="_part"))).drop("_held")
+    inner = _total_before("n", _before(*group, "_part", order="v"))
+    return ranged.withColumn("_inner", inner).join(earlier, [*group, "_part"]).withColumn(
+        "below", F.col("_earlier") + F.col("_inner")).select(*group, "v", "n", "below")
 
 
 def average_ranks(df: DataFrame, group: list[str], value: Column, open_domain: bool = False) -> DataFrame:

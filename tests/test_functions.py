@@ -96,9 +96,17 @@ def test_message_orders(spark):
 
 
 def test_integer_readers(spark):
-    df = rows(spark, ["3.7", " -2 ", "", "abc", "4.0", None, "nan"])
-    assert column(df, N.lenient_int(F.col("v"))) == [3, -2, None, None, 4, None, None]
-    assert column(df, N.strict_int(F.col("v"))) == [None, -2, None, None, 4, None, None]
+    df = rows(spark, ["3.7", " -2 ", "", "abc", "4.0", None, "nan", "123456789012", "9007199254740993"])
+    assert column(df, N.lenient_int(F.col("v"))) == [3, -2, None, None, 4, None, None, 123456789012, 9007199254740993]
+    assert column(df, N.strict_int(F.col("v"))) == [None, -2, None, None, 4, None, None, 123456789012, 9007199254740993]
+
+
+def test_term_labels(spark):
+    df = rows(spark, ["Intercept", "C(gender)[T.Male]", "C(gender)[T.1]", "C(x)[T.0]", "C(x)[T.1.0]", "age_centered",
+                      "initial_belief_normalized_centered", "C(topic)[T.Weight Loss]", "x[.5]", "C(age_centered)"])
+    assert column(df, N.term_label(F.col("v"), {"gender": "Female"})) == [
+        "Intercept", "gender = Male (vs Female)", "gender = Other (vs Female)", "x = Reference", "x = 1.0 (vs reference)", "age",
+        "Initial Belief", "Topic: Weight Loss (vs UBI)", "x = Other (vs reference)", "age"]
 
 
 def test_unknown_wording_stops(spark):

@@ -18,6 +18,7 @@ from paneloom.operators import power as W
 from paneloom.operators import privacy as X
 from paneloom.operators import regress as L
 from paneloom.operators import resample as B
+from paneloom.plans import tables as V
 from paneloom.sources import readers as I
 
 LEVELS = [-2, -1, 0, 1, 2]
@@ -96,12 +97,12 @@ def test_sign_flip_of_equal_samples(ranking):
     assert got["off"].mean_diff == -1 and got["off"].p == 0.0 and got["off"].reject and got["off"].n == 180
 
 
-def test_many_replicates_take_the_other_path_with_the_same_draws(ranking, monkeypatch):
+def test_draws_do_not_depend_on_the_ranges_of_blocks(ranking, monkeypatch):
     diffs = F.array(F.struct(F.lit("x").alias("label"), (F.col("h") - F.col("init")).alias("d")))
-    first = sorted(map(tuple, B.replicate_sums(ranking, ["item"], ["subject", "item"], diffs, 96, 5).collect()))
-    monkeypatch.setattr(B, "MANY_BLOCKS", 1)
-    again = sorted(map(tuple, B.replicate_sums(ranking, ["item"], ["subject", "item"], diffs, 96, 5).collect()))
-    assert first == again and len(first) == 3 * 96
+    first = sorted(map(tuple, B.replicate_sums(ranking, ["item"], ["subject", "item"], diffs, 300, 5).collect()))
+    monkeypatch.setattr(B, "BLOCKS_AT_ONCE", 2)
+    again = sorted(map(tuple, B.replicate_sums(ranking, ["item"], ["subject", "item"], diffs, 300, 5).collect()))
+    assert first == again and len(first) == 3 * 300
 
 
 def test_sign_flip_p_is_near_the_exact_one(spark):
@@ -235,9 +236,13 @@ def test_empty_levels_stay_in_histograms(spark):
 
 
 def test_pairing_guards(spark):
-    df = spark.createDataFrame([("p1", "a", 1.0), ("p1", "a", None)], "subject string, item string, y double")
+    df = spark.createDataFrame([("p1", "a", 1, "s", 1.0), ("p1", "a", 1, "s", None)], "subject string, item string, round int, source string, y double")
     with pytest.raises(ValueError, match="not unique"):
         P.require_unique(df, P.KEYS)
+    with pytest.raises(Exception, match="not unique"):
+        P.pair(df.drop("source"), df, P.KEYS).collect()
+    with pytest.raises(Exception, match="answers a case twice"):
+        P.assemble(df, ["s"], carry=()).collect()
     with pytest.raises(Exception, match="null in y"):
         P.require_no_nulls(df, ["y"]).collect()
     with pytest.raises(ValueError, match="no rows"):
@@ -343,3 +348,36 @@ def test_design_is_counterbalanced(spark):
     assert len(combos) == 27 and {r["count"] for r in combos} == {4}
     positions = out.groupBy("subject").agg(F.sort_array(F.collect_list("position")).alias("p")).select("p").distinct().collect()
     assert [r.p for r in positions] == [[1, 2, 3]]
+
+
+def test_every_line_item_is_an_answer(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        folder = f"/root/testdata/{sf}"
+        lines = V.table(spark, folder, "lineitem").join(V.table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        resp = V.responses(spark, folder)
+        assert resp.count() == lines.count()
+        assert P.duplicate_keys(resp, [*P.KEYS, "source"]).count() == 0
+
+
+def test_ranks_of_skewed_values_are_dealt_evenly(spark):
+    bulk = [(g, float(i) / 4000) for g in "ab" for i in range(4000)] + [("a", 1e6), ("a", 1e12), ("b", -1e15)]
+    df = spark.createDataFrame(bulk, "g string, v double")
+    ranked = O.average_ranks(df, ["g"], F.col("v"), open_domain=True)
+    assert {(r.g, r.v): r.avg_rank for r in ranked.collect()} == {
+        (g, v): i + 1 for g in "ab" for i, v in enumerate(sorted(x for k, x in bulk if k == g))}
+    dealt = O.value_counts(df, ["g"], F.col("v")).repartitionByRange(8, "g", "v").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in dealt.collect()) < 2 * len(bulk) / 8
+
+
+def test_many_levels_make_many_columns(spark):
+    df = spark.createDataFrame([("s", f"l{i:03d}", float(i % 7), float(i)) for i in range(500)], "source string, level string, x double, y double")
+    assert len(L.levels_of(df, "level", "l100")) == 500 and L.levels_of(df, "level", "l100")[0] == "l100"
+    some, names = L.dummies(df, "level", L.levels_of(df.where("y < 20"), "level"))
+    got = {(r.i, r.j): r.value for r in L.cross_products(some, ["source"], [*names, "x"], at_once=50).collect()}
+    assert len(got) == 20 * 21 // 2 and got[19, 19] == sum((i % 7) ** 2 for i in range(500)) and got[0, 0] == 1
+
+
+def test_noncentrality_holds_for_strict_levels():
+    known = W.noncentrality_df4(0.05, 0.8)
+    assert abs(known - 11.935) < 1e-2
+    assert W.noncentrality_df4(1e-9, 0.999) > W.noncentrality_df4(1e-9, 0.8) > known
