@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneloom.schema import DELTAS, LIKERT
 
@@ -96,8 +96,8 @@ def frequency(df: DataFrame, columns: list[str]) -> DataFrame:
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("category")) for c in columns
     ])).alias("v")).select("v.*").where(F.col("category").isNotNull())
     counts = long.groupBy("variable", "category").agg(F.count("*").alias("n"))
-    totals = long.groupBy("variable").agg(F.count("*").alias("total"))
-    return counts.join(totals, "variable").select(
+    totals = counts.withColumn("total", F.sum("n").over(Window.partitionBy("variable")))
+    return totals.select(
         "variable", "category", "n", F.round(100 * F.col("n") / F.col("total"), 2).alias("percent"))
 
 

@@ -51,12 +51,11 @@ def src2(spark, sf_dir):
         F.lit("package1").alias("package"), index.alias("message_order_index"), messages.alias("shown_messages"))
         for i in ("A", "N")])
     V.table(spark, sf_dir, "supplier").select(
-        _C("s_suppkey").cast("string").alias("participant_id"), topics.alias("topics")).write.option(
-        "ignoreNullFields", False).json(path)
-    lines = spark.read.schema(S.STUDY_DOCUMENT).json(path)
-    return lines.select("participant_id", F.explode("topics").alias("t")).select(
-        _C("participant_id").cast("bigint").alias("subject"), _C("t.topic").alias("item"), "t.init_belief",
-        F.array_join(F.transform("t.shown_messages", lambda m: m["source_message_id"].cast("string")), "").alias("shown"))
+        _C("s_suppkey").alias("subject"), _C("s_suppkey").cast("string").alias("participant_id"), topics.alias("topics")).write.option(
+        "ignoreNullFields", False).partitionBy("subject").json(path)
+    return I.study_topics(spark, path).select(
+        _C("participant_id").cast("bigint").alias("subject"), _C("topic").alias("item"), "init_belief",
+        F.array_join(F.transform("shown_messages", lambda m: m["source_message_id"].cast("string")), "").alias("shown"))
 
 
 @query("src3_panel_file", f"""WITH {V.PANEL} SELECT CAST(subject AS VARCHAR) AS persona_id, item AS topic, init_raw AS initial_belief_unnormalized,
@@ -101,9 +100,10 @@ def src4(spark, sf_dir):
 _REGISTRY = [("source=model_2", "main", "m2", None, None, None), ("source=model_3", "main", "m3", None, None, None),
              ("source=model_4", "simulated_initial", "m2", None, None, None),
              ("source=model_5", "ablations", "m2", "temperature", "t0.0", 0.0),
-             ("source=model_6", "ablations", "m2", "temperature", "t2.0", 2.0)]
+             ("source=model_6", "ablations", "m2", "temperature", "t2.0", 2.0),
+             ("source=model_7", "ablations", "m3", "temperature", "t1.0", 1.0)]
 _SQL_REGISTRY = """reg AS (SELECT * FROM (VALUES ('model_2', 'main', 'm2', NULL, NULL), ('model_3', 'main', 'm3', NULL, NULL), ('model_4', 'simulated_initial', 'm2', NULL, NULL),
-  ('model_5', 'ablations', 'm2', 't0.0', 0.0), ('model_6', 'ablations', 'm2', 't2.0', 2.0)) v(source, split, model, condition, temperature))"""
+  ('model_5', 'ablations', 'm2', 't0.0', 0.0), ('model_6', 'ablations', 'm2', 't2.0', 2.0), ('model_7', 'ablations', 'm3', 't1.0', 1.0)) v(source, split, model, condition, temperature))"""
 # Repaired answers of the response files: stored values win, gaps are filled from the raw text.
 _SQL_FILES = V.PARSED + """, rep AS (SELECT *, CASE WHEN l_suppkey % 3 <> 0 AND raw IS NOT NULL THEN raw WHEN usable THEN b END AS nb,
   CASE WHEN l_suppkey % 3 <> 0 AND stance_raw IS NOT NULL THEN stance_raw WHEN usable THEN s END AS gs,
@@ -552,12 +552,12 @@ def str1(spark, sf_dir):
     return live.read_latest(spark, log, keys, order).select("user_id", "event_type", "event_id", "value")
 
 
-@query("str2_stream_run_health", """SELECT event_type, count(*) AS n, count(CASE WHEN value > 5 THEN 1 END) AS valid, CAST(max(floor(value)) AS BIGINT) AS tok_max FROM events GROUP BY 1""")
+@query("str2_stream_run_health", """SELECT event_type, count(*) AS n, count(CASE WHEN value > 5 THEN 1 END) AS valid, CAST(max(floor(value)) AS BIGINT) AS tok_max, CAST(quantile_disc(floor(value), 0.5) AS BIGINT) AS tok_median FROM events GROUP BY 1""")
 def str2(spark, sf_dir):
     out = work_path(spark, "health")
     stream = _event_stream(spark, sf_dir).select("event_type", F.floor("value").alias("tokens"), (_C("value") > 5).alias("ok"))
     live.health_stream(stream, "event_type", "tokens", "ok", out, work_path(spark, "cp")).awaitTermination()
-    return live.newest_batch(spark, out).drop("tok_median")
+    return live.newest_batch(spark, out)
 
 
 @query("str3_exactly_once_restart", """SELECT event_type, count(*) AS n_keys FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1""")
