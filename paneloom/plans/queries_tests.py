@@ -144,6 +144,17 @@ def _ranks_sql(source: str) -> str:
 tie AS (SELECT k, sum(t * t * t - t) AS ties, sum(t) AS nn FROM (SELECT k, v, CAST(count(*) AS DOUBLE) AS t FROM rk GROUP BY 1, 2) GROUP BY k)"""
 
 
+def _normal_sf_sql(z: str) -> str:
+    """Upper tail of the normal distribution: half minus the density times sum of z^(2k+1) / (2k+1)!!, all terms positive."""
+    a = f"abs({z})"
+    terms = f"lambda k: exp((2 * k + 1) * ln({a}) - lgamma(2 * k + 2) + k * ln(2e0) + lgamma(k + 1) - {a} * {a} / 2)"
+    half = f"list_sum(list_transform(range(0, 200), {terms})) / sqrt(2 * pi())"
+    return f"(CASE WHEN {z} = 0 THEN 0.5e0 WHEN {a} > 8 THEN CASE WHEN {z} > 0 THEN 0e0 ELSE 1e0 END ELSE 0.5e0 - sign({z}) * {half} END)"
+
+
+# Two-sided p of U with ties and continuity.
+_U_P = """zz AS (SELECT k, (greatest(u, n_first * n_second - u) - n_first * n_second / 2e0 - 0.5) / sqrt(n_first * n_second / 12e0 * (nn + 1 - ties / (nn * (nn - 1)))) AS z
+  FROM us JOIN tie USING (k)), up AS (SELECT k, least(1e0, 2 * {tail}) AS p FROM zz)""".format(tail=_normal_sf_sql("z"))
 _U = """us AS (SELECT k, count(CASE WHEN g = 1 THEN 1 END) AS n_first, count(CASE WHEN g = -1 THEN 1 END) AS n_second,
   sum(CASE WHEN g = 1 THEN r END) - count(CASE WHEN g = 1 THEN 1 END) * (count(CASE WHEN g = 1 THEN 1 END) + 1) / 2e0 AS u FROM rk GROUP BY k)"""
 
@@ -155,7 +166,8 @@ def sta16(spark, sf_dir):
     return H.mann_whitney(base, ["item"], "pol", "1", "-1", _C("init")).drop("p")
 
 
-@query("sta16_mann_whitney_p_value")
+@query("sta16_mann_whitney_p_value", f"""WITH {V.PANEL}, {_ranks_sql("SELECT item AS k, polarity AS g, init AS v FROM panel WHERE src = 1")}, {_U}, {_U_P}
+SELECT k AS item, {sq6('p')} AS p FROM up""")
 def sta16p(spark, sf_dir):
     base = V.panel(spark, sf_dir).where("src = 1").withColumn("pol", _C("polarity").cast("string"))
     return H.mann_whitney(base, ["item"], "pol", "1", "-1", _C("init")).select("item", r6(_C("p")).alias("p"))
@@ -184,7 +196,8 @@ def sta15(spark, sf_dir):
         "n_first", "n_second", "u", "u_null")
 
 
-@query("sta15_framing_adjusted_u")
+@query("sta15_framing_adjusted_u", f"""WITH {V.PANEL}, {_ranks_sql("SELECT item AS k, polarity AS g, init AS v FROM panel WHERE src = 1")}, {_U}, {_U_P}
+SELECT k AS item, {sq6('p')} AS u_p, {sq6('least(p * count(*) OVER (), 1)')} AS u_p_bonf FROM up""")
 def sta15p(spark, sf_dir):
     return _framing(spark, sf_dir).select("item", r6(_C("u_p")).alias("u_p"), r6(_C("u_p_bonf")).alias("u_p_bonf"))
 
@@ -201,7 +214,8 @@ def sta17(spark, sf_dir):
     return u.join(means, ["source", "item"])
 
 
-@query("sta17_framing_on_change_p")
+@query("sta17_framing_on_change_p", f"""WITH {V.PAIRED}, {_ranks_sql("SELECT source || '/' || item AS k, polarity AS g, y - init AS v FROM paired")}, {_U}, {_U_P}
+SELECT split_part(k, '/', 1) AS source, split_part(k, '/', 2) AS item, {sq6('p')} AS p, {sq6("least(p * count(*) OVER (PARTITION BY split_part(k, '/', 1)), 1)")} AS p_bonf FROM up""")
 def sta17p(spark, sf_dir):
     paired = V.paired(spark, sf_dir).withColumns({"pol": _C("polarity").cast("string"), "d": _delta()})
     u = H.mann_whitney(paired, ["source", "item"], "pol", "1", "-1", _C("d"))
@@ -279,9 +293,12 @@ def srt5(spark, sf_dir):
     return out.withColumn("position", F.row_number().over(w)).orderBy("position")
 
 
-@query("sta12_kruskal_wallis", f"""WITH {V.PANEL}, sg AS (SELECT source AS k, c_mktsegment AS g, y - init AS v FROM panel JOIN customer ON c_custkey = subject WHERE y IS NOT NULL),
+_SQL_KRUSKAL = f"""{V.PANEL}, sg AS (SELECT source AS k, c_mktsegment AS g, y - init AS v FROM panel JOIN customer ON c_custkey = subject WHERE y IS NOT NULL),
 keep AS (SELECT k, g FROM sg GROUP BY 1, 2 HAVING count(*) >= 2), {_ranks_sql("SELECT sg.* FROM sg JOIN keep USING (k, g)")},
-q AS (SELECT k, count(*) AS lv, sum(rs * rs / n) AS q FROM (SELECT k, g, sum(r) AS rs, count(*) AS n FROM rk GROUP BY 1, 2) GROUP BY k)
+q AS (SELECT k, count(*) AS lv, sum(rs * rs / n) AS q FROM (SELECT k, g, sum(r) AS rs, count(*) AS n FROM rk GROUP BY 1, 2) GROUP BY k)"""
+
+
+@query("sta12_kruskal_wallis", f"""WITH {_SQL_KRUSKAL}
 SELECT q.k AS source, lv AS k, CAST(nn AS BIGINT) AS n, {sq6('(12 / (nn * (nn + 1)) * q - 3 * (nn + 1)) / (1 - ties / (nn * nn * nn - nn))')} AS h,
   {sq6('(12 / (nn * (nn + 1)) * q - 3 * (nn + 1)) / (1 - ties / (nn * nn * nn - nn)) / (nn - 1)')} AS effect FROM q JOIN tie USING (k)""")
 def sta12(spark, sf_dir):
@@ -294,7 +311,9 @@ def _kruskal(spark, sf_dir):
     return H.kruskal(rows, ["source"], "segment", _C("d"))
 
 
-@query("sta12_kruskal_wallis_p")
+@query("sta12_kruskal_wallis_p", f"""WITH {_SQL_KRUSKAL}, hh AS (
+  SELECT q.k, (12 / (nn * (nn + 1)) * q - 3 * (nn + 1)) / (1 - ties / (nn * nn * nn - nn)) AS h FROM q JOIN tie USING (k) WHERE lv = 5)
+SELECT k AS source, {sq6('exp(-h / 2) * (1 + h / 2)')} AS p FROM hh""")
 def sta12p(spark, sf_dir):
     return _kruskal(spark, sf_dir).select("source", r6(_C("p")).alias("p"))
 
@@ -415,7 +434,10 @@ def sta22(spark, sf_dir):
     return H.wilcoxon_less(_err_diffs(spark, sf_dir), ["source"], _C("d")).select("source", "n", r6(_C("w_plus")).alias("w_plus"))
 
 
-@query("sta22_wilcoxon_p_value")
+@query("sta22_wilcoxon_p_value", f"""WITH {_SQL_DIFF}, {_ranks_sql("SELECT k, d, abs(d) AS v FROM ed WHERE d <> 0")},
+ws AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM rk GROUP BY k),
+zz AS (SELECT k, -(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM ws JOIN tie USING (k))
+SELECT k AS source, {sq6(_normal_sf_sql('z'))} AS p FROM zz""")
 def sta22p(spark, sf_dir):
     return H.wilcoxon_less(_err_diffs(spark, sf_dir), ["source"], _C("d")).select("source", r6(_C("p")).alias("p"))
 
