@@ -9,11 +9,11 @@ from paneloom.llm.joins import join_ids
 from paneloom.llm.rows import fresh, quoted
 from paneloom.session import materialise
 
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language that is more likely than all others together."""
+    """Documents whose text has letters, and one language ahead of the even guess."""
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
     pred, score = fresh(docs, "_lang_pred"), fresh(docs, "_lang_score")
     found = langid.identify(docs, model, pred=pred, score=score)

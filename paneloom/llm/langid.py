@@ -59,28 +59,29 @@ class Backoff:
         row = self.rows[0].get(word)
         if row is not None:
             return self.logs[0][row]
-        framed, at, total, pieces = f"<{word}>", 0, self.nothing, 0
+        framed, at, pieces = f"<{word}>", 0, []
         while at < len(framed):
             for n in range(min(self.order, len(framed) - at), 0, -1):
                 row = self.rows[n].get(framed[at:at + n])
                 if row is not None:
-                    total, pieces, at = total + self.logs[n][row], pieces + 1, at + n
+                    pieces.append(self.logs[n][row])
+                    at += n
                     break
             else:
                 at += 1
-        return total / pieces if pieces else self.nothing
+        return sum(pieces[1:], pieces[0]) / len(pieces) if pieces else self.nothing
 
 
 class Reader:
     """A model in use: every word seen so far has a row of scores, unseen words join as they come."""
 
-    def __init__(self, model: Backoff, memory: int = 400_000):
+    def __init__(self, model: Backoff, memory: int = 200_000):
         self.model, self.memory, self.known = model, memory, len(model.rows[0])
         self._start()
 
     def _start(self) -> None:
         self.place = dict(self.model.rows[0])
-        self.table = np.concatenate((self.model.logs[0], np.zeros((1024, len(self.model.langs)))))
+        self.table = np.concatenate((self.model.logs[0], np.zeros((1024, len(self.model.langs))))).astype(np.float32)
 
     def _row(self, word: str) -> int:
         row = len(self.place)
@@ -100,13 +101,13 @@ class Reader:
         rows = [get(word) for word in words]
         if None in rows:
             rows = [self._row(word) if row is None else row for word, row in zip(words, rows)]
-        total = np.fromiter(words.values(), float, len(rows)) @ self.table[rows]
+        total = np.fromiter(words.values(), np.float32, len(rows)) @ self.table[rows]
         best = int(np.argmax(total))
-        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.model.langs[best], float(1.0 / np.exp((total - total[best]).astype(float)).sum())
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 4,
-          sample_docs: int = 10_000, max_terms: int = 20_000) -> Backoff:
+          sample_docs: int = 10_000, max_terms: int = 10_000) -> Backoff:
     """Count terms per language on the sample; per order and language the most frequent ones reach the driver."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     total = rows.count()

@@ -49,7 +49,7 @@ def bands_for(threshold: float, recall: float, most_hashes: int = 128) -> tuple[
 class Shingler:
     """Sets of hashed word n-grams and their band hashes."""
 
-    def __init__(self, size: int, bands: int, rows: int, seed: int = 11, memory: int = 1 << 20):
+    def __init__(self, size: int, bands: int, rows: int, seed: int = 11, memory: int = 1 << 16):
         self.size, self.bands, self.memory, self.cache = size, bands, memory, {}
         draw = np.random.default_rng(seed)
         self.masks = draw.integers(0, _MASK, bands * rows, np.uint64, endpoint=True)
