@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from paneloom.functions import draws as R
 from paneloom.functions.text import PII_PATTERNS, redacted_hit
+from paneloom.operators.pairing import attach_short
 from paneloom.operators.resample import numbered
 
 # What an id looks like, and what is never one.
@@ -133,7 +134,8 @@ def pattern_samples(texts: DataFrame, field: str, key: str, text: str, n: int,
     first = hits.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")
     snippet = reduce(lambda acc, p: F.when(F.col("pattern") == p[0], redacted_hit(F.col(text), p[1])).otherwise(acc),
                      reversed(patterns), F.lit(None).cast("string"))
-    return texts.select(field, key, text).join(first, [field, key]).select(
+    # At most n keys per field and pattern: counted, then sent to the texts, which stay where they are.
+    return attach_short(texts.select(field, key, text), first, [field, key]).select(
         field, key, "pattern", snippet.alias("snippet"))
 
 
