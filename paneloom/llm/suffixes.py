@@ -11,7 +11,8 @@ exchanged. A loser tree merges the runs of a range. It knows of every head how l
 prefix it shares with the last suffix put out: the longer one comes first without a
 look at the bytes, equal ones are compared from there on, so no byte of a known
 prefix is compared again. The shared prefixes of the merged order then tell, for every
-offset before the anchor, which windows are equal.
+offset before the anchor, which windows are equal. An anchor's suffix and left side
+reach as far as the strings that have it as their first smallest anchor, no further.
 
 A seed in more than `hot` documents is not gathered in one range: the windows around
 its anchors are counted by a 128-bit hash, combined before the shuffle. Equal texts
@@ -42,12 +43,16 @@ _SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("en
 
 
 class Anchors:
-    """Places of a text that any equal string of `length` bytes shares, with a hash of their seed."""
+    """Places of a text that any equal string of `length` bytes shares, with a hash of their seed.
 
-    def __init__(self, length: int = 400, seed: int = 128):
+    Seeds that repeat a few bytes over and over come last in the order: where a run
+    of them ends, an anchor outside it is taken, so runs give few different suffixes.
+    """
+
+    def __init__(self, length: int = 400, seed: int = 128, longest_period: int = 24):
         if not 0 < seed <= length:
             raise ValueError("a seed must fit into the length")
-        self.length, self.seed, self.width = length, seed, length - seed + 1
+        self.length, self.seed, self.width, self.longest_period = length, seed, length - seed + 1, longest_period
         self.powers = np.multiply.accumulate(np.full(2 * _CHUNK, _BASE))
         self.unpowers = np.multiply.accumulate(np.full(2 * _CHUNK, _UNBASE))
 
@@ -61,29 +66,62 @@ class Anchors:
         behind = fn.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         return fn(behind[:n - width + 1], ahead[width - 1:n])
 
-    def _part(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _periodic(self, data: np.ndarray) -> np.ndarray | None:
+        """Where the seed repeats itself after a few bytes; None where it does so nowhere."""
+        found = None
+        for shift in range(1, min(self.longest_period, self.seed // 2) + 1):
+            same, need = data[:-shift] == data[shift:], self.seed - shift
+            if b"\x01" * need in same.tobytes():
+                upto = np.concatenate(([0], np.cumsum(same)))
+                here = upto[need:] - upto[:-need] == need
+                found = here if found is None else found | here
+        return found
+
+    def _part(self, data: np.ndarray, owners: bool):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(data * self.powers[:len(data)], out=sums[1:])
         hashes = (sums[self.seed:] - sums[:-self.seed]) * self.unpowers[:len(data) - self.seed + 1]
         hashes ^= hashes >> np.uint64(31)
         hashes *= np.uint64(0xD6E8FEB86659FD93)
-        order = (hashes >> np.uint64(32)).astype(np.uint32)
+        order = (hashes >> np.uint64(33)).astype(np.uint32)
+        periodic = self._periodic(data)
+        if periodic is not None:
+            order[periodic] |= np.uint32(1 << 31)
         least = self._least(order, np.minimum, np.uint32(0xFFFFFFFF))
         edge = np.zeros(self.width - 1, np.uint32)
         highest = self._least(np.concatenate((edge, least, edge)), np.maximum, np.uint32(0))
         places = np.flatnonzero(highest == order)
-        return places, hashes[places].view(np.int64)
+        if not owners:
+            return places, hashes[places].view(np.int64)
+        # The first smallest anchor of every window; its windows are neighbours.
+        owner = np.searchsorted(places, np.arange(len(least)))
+        open_ = np.flatnonzero(order[places[owner]] != least)
+        while len(open_):
+            owner[open_] += 1
+            open_ = open_[order[places[owner[open_]]] != least[open_]]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        own = places[owner[starts]]
+        return own, hashes[own].view(np.int64), starts, np.append(starts[1:], len(least)) - 1
+
+    def _parts(self, raw: bytes, owners: bool):
+        for at in range(0, max(len(raw) - self.length + 1, 0), _CHUNK):
+            found = self._part(np.frombuffer(raw, np.uint8, min(len(raw) - at, _CHUNK + self.length - 1), at), owners)
+            yield found[0] + at, found[1], *[x + at for x in found[2:]]
 
     def find(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Anchor places and seed hashes; long texts in overlapping parts that keep every string whole."""
-        places, hashes = [], []
-        for at in range(0, max(len(raw) - self.length + 1, 0), _CHUNK):
-            p, h = self._part(np.frombuffer(raw, np.uint8, min(len(raw) - at, _CHUNK + self.length - 1), at))
-            places.append(p + at), hashes.append(h)
-        if not places:
+        parts = list(self._parts(raw, False))
+        if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, first = np.unique(np.concatenate(places), return_index=True)
-        return at, np.concatenate(hashes)[first]
+        at, first = np.unique(np.concatenate([p for p, _ in parts]), return_index=True)
+        return at, np.concatenate([h for _, h in parts])[first]
+
+    def owners(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors that some string of `length` bytes has as its first smallest: place, seed hash, and the first and last start of such strings."""
+        parts = list(self._parts(raw, True))
+        if not parts:
+            return (np.zeros(0, np.int64),) * 4
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -232,18 +270,13 @@ def covered(place: int, offsets: np.ndarray, length: int) -> list[tuple[int, int
     return [(place - int(b), place - int(a) + length) for a, b in zip(firsts, lasts)]
 
 
-def _group_spans(group: list[tuple[bytes, int, tuple]], length: int) -> Iterator[tuple[str, int, int]]:
-    """(text, start, end) of the repeated windows around the anchors of one seed."""
+def _group_spans(group: list[tuple[bytes, int, tuple]], length: int, pairs_upto: int = 16) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of the repeated windows around the anchors of one seed.
+
+    Few different keys are compared in pairs, many offset by offset; both find the same bytes.
+    """
     if len(group) < 2 and (not group or len(group[0][2][2]) < 2):
         return
-    if len(group) == 2 and len(group[0][2][2]) == len(group[1][2][2]) == 1:
-        (a, _, (name_a, r_a, at_a)), (b, common, (name_b, r_b, at_b)) = group
-        right = min(common, r_a, r_b, length)
-        left = shared_prefix(a[r_a:], b[r_b:])
-        if left + right >= length:
-            yield name_a, at_a[0] - left, at_a[0] + right
-            yield name_b, at_b[0] - left, at_b[0] + right
-        return
     keys, rights, shared, places = [], [], [], []
     for key, common, (name, r, at) in group:
         if keys and key == keys[-1] and r == rights[-1]:
@@ -251,12 +284,30 @@ def _group_spans(group: list[tuple[bytes, int, tuple]], length: int) -> Iterator
         else:
             keys.append(key), rights.append(r), shared.append(common)
             places.append([(name, p) for p in at])
-    found = equal_windows(keys, rights, shared, [len(p) > 1 for p in places], length)
-    for row, where in zip(found, places):
-        offsets = np.flatnonzero(row)
-        for name, place in where if len(offsets) else ():
-            for start, end in covered(place, offsets, length):
-                yield name, start, end
+    if len(keys) > pairs_upto:
+        found = equal_windows(keys, rights, shared, [len(p) > 1 for p in places], length)
+        for row, where in zip(found, places):
+            offsets = np.flatnonzero(row)
+            for name, place in where if len(offsets) else ():
+                for start, end in covered(place, offsets, length):
+                    yield name, start, end
+        return
+    lefts = [key[r:] for key, r in zip(keys, rights)]
+    extents: list[set[tuple[int, int]]] = [
+        {(len(left), r)} if len(p) > 1 and len(left) + r >= length else set() for left, r, p in zip(lefts, rights, places)]
+    for i in range(len(keys)):
+        common = length
+        for j in range(i + 1, len(keys)):
+            common = min(common, shared[j])
+            right = min(common, rights[i], rights[j])
+            left = shared_prefix(lefts[i], lefts[j])
+            if left + right >= length:
+                extents[i].add((left, right))
+                extents[j].add((left, right))
+    for own, where in zip(extents, places):
+        for left, right in own:
+            for name, place in where:
+                yield name, place - left, place + right
 
 
 def _seed_table(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -299,12 +350,12 @@ def _front_runs(batches: Iterator[pa.RecordBatch], length: int, seed: int, parts
             raw, key, wanted = (batch.column(i)[row].as_py() for i in range(3))
             if hashlib.md5(raw).hexdigest() != key:  # another text under the same id
                 continue
-            places, hashes = anchors.find(raw)
+            places, hashes, first, last = anchors.owners(raw)
             chosen = np.isin(hashes, np.array(wanted, np.int64))
             own: dict[tuple[int, bytes, int], list[int]] = {}
-            for place, hash_ in zip(places[chosen].tolist(), hashes[chosen].tolist()):
-                right = raw[place:place + length]
-                suffix = right + raw[max(0, place - length + seed):place][::-1]
+            for place, hash_, low, high in zip(*[x[chosen].tolist() for x in (places, hashes, first, last)]):
+                right = raw[place:high + length]
+                suffix = right + raw[low:place][::-1]
                 own.setdefault(((hash_ + (1 << 63)) * parts >> 64, suffix, len(right)), []).append(place)
             for (part, suffix, right), at in own.items():
                 held.append((part, suffix, right, key, at))

@@ -120,6 +120,11 @@ def test_anchors_are_shared_by_equal_strings():
         inside.append({int(p) - left for p in places if 0 <= p - left <= 28})
     common = set.intersection(*inside)
     assert common
+    for raw in (raw, b"ab" * 300, b"x" * 90 + passage * 3, b"the " * 40 + passage):
+        places, _, first, last = anchors.owners(raw)
+        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
+        assert starts.tolist() == list(range(len(raw) - 39))  # every string has one anchor, inside it
+        assert all(a <= b <= p <= a + 28 for p, a, b in zip(places, first, last) if b <= p) and (last <= places).all()
     long = bytes(draw.randrange(97, 100) for _ in range(2_300_000))
     whole, _ = anchors.find(long)
     assert (np.diff(whole) <= 29).all() and len(whole) > 100_000
@@ -139,6 +144,22 @@ def test_loser_tree_merges_and_knows_prefixes():
             assert common == suffixes.shared_prefix(a, b)
 
 
+def test_pairs_and_offsets_find_the_same_bytes():
+    draw = random.Random(17)
+    for _ in range(60):
+        length, seed = 30, b"seedseed"
+        group = []
+        for i in range(draw.randint(1, 12)):
+            right = (seed + bytes(draw.choice(b"ab") if draw.random() < 0.1 else 97 for _ in range(22)))[:draw.choice([30, 30, 25])]
+            left = bytes(draw.choice(b"ab") if draw.random() < 0.1 else 97 for _ in range(draw.choice([22, 22, 9])))
+            group.append((right + left, (f"d{i}", len(right), [1000 * k + 500 for k in range(draw.choice([1, 1, 2]))])))
+        group.sort(key=lambda g: g[0])
+        keys = [b""] + [g[0] for g in group]
+        entries = [(key, suffixes.shared_prefix(before, key), ref) for before, (key, ref) in zip(keys, group)]
+        bytes_of = lambda upto: {(n, b) for n, s, e in suffixes._group_spans(entries, length, upto) for b in range(s, e)}
+        assert bytes_of(0) == bytes_of(99)
+
+
 @pytest.mark.parametrize("hot", [200_000, 1])
 def test_repeats_go_and_nothing_else(spark, hot):
     draw = random.Random(hot)
