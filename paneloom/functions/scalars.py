@@ -141,6 +141,12 @@ def trait_scores(items: list[Column], keys: dict) -> dict[str, Column]:
     }
 
 
+def sized(name: Column) -> Column:
+    """The name; one that states no size stops the job, for neither family nor size can be read from it."""
+    stop = F.raise_error(F.concat(F.lit("no size in the source name: "), F.coalesce(name, F.lit("null")))).cast("string")
+    return F.when(F.coalesce(name.rlike(r"\d(?:\.\d+)?B"), F.lit(False)), name).otherwise(stop)
+
+
 def size_fields(name: Column) -> dict[str, Column]:
     """Family, stated and active size (billions) as a source name states them.
 

@@ -547,7 +547,7 @@ def prj44(spark, sf_dir):
     named = sized_names(spark, sf_dir)
     measured = named.where(_C("name").startswith("gem")).groupBy("name").agg(
         F.max(_C("p_size") * 2.0).alias("measured_b"))
-    z = N.size_fields(_C("name"))
+    z = N.size_fields(N.sized(_C("name")))
     total = F.when(z["is_effective"], F.coalesce("measured_b", z["stated_b"])).otherwise(z["stated_b"])
     return named.join(measured, "name", "left").select(
         "p_partkey", "name", z["family"].alias("family"), total.alias("total_b"), z["active_b"].alias("active_b"))

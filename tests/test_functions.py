@@ -134,6 +134,9 @@ def test_sizes_from_names(spark):
     assert column(names, z["stated_b"]) == [9.0, 35.0, 2.0, 0.8, None]
     assert column(names, z["active_b"]) == [9.0, 3.0, 2.0, 0.8, None]
     assert column(names, z["has_size"]) == [True, True, True, True, False]
+    assert column(names.where("v <> 'plain'"), N.sized(F.col("v"))) == column(names.where("v <> 'plain'"), F.col("v"))
+    with pytest.raises(Exception, match="no size in the source name: plain"):
+        column(names, N.sized(F.col("v")))
 
 
 def test_template_is_filled_in_one_pass(spark):
