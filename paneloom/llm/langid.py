@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType
 
 from paneloom.llm.rows import per_row
 
@@ -106,6 +108,28 @@ class Reader:
         return self.model.langs[best], float(1.0 / np.exp((total - total[best]).astype(float)).sum())
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch], order: int, held: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Counts of words (size 0) and n-grams per language, added up in the task and sent on when many are held."""
+    counts: dict[str, Counter] = {}
+
+    def sent() -> pa.RecordBatch:
+        rows = [(lang, int(term[0]), term[1:], n) for lang, terms in counts.items() for term, n in terms.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(
+            (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "size", "term", "n"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            own = counts.setdefault(batch.column(0)[row].as_py(), Counter())
+            for word, n in Counter(_LETTERS.findall(batch.column(1)[row].as_py().lower())).items():
+                own["0" + word] += n
+                for gram in _grams(word, order):
+                    own[f"{len(gram)}{gram}"] += n
+            if sum(map(len, counts.values())) >= held:
+                yield sent()
+    yield sent()
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 4,
           sample_docs: int = 10_000, max_terms: int = 10_000) -> Backoff:
     """Count terms per language on the sample; per order and language the most frequent ones reach the driver."""
@@ -114,21 +138,9 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     share = min(1.0, sample_docs / max(total, 1))
     sample = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
-    def start():
-        def fn(value):
-            words = Counter(_LETTERS.findall(value.lower()))
-            grams = Counter()
-            for w, n in words.items():
-                for gram in _grams(w, order):
-                    grams[gram] += n
-            return ([{"size": 0, "term": w, "n": n} for w, n in words.items()]
-                    + [{"size": len(g), "term": g, "n": n} for g, n in grams.items()],)
-        return fn
-
-    terms = per_row(sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")), ["text"], {"terms": ArrayType(
-        StructType([StructField("size", LongType()), StructField("term", StringType()), StructField("n", LongType())]))}, start, keep=["lang"])
-    counted = terms.select("lang", F.explode("terms").alias("t")).groupBy(
-        "lang", F.col("t.size").alias("size"), F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"))
+    terms = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(
+        lambda batches: _count_terms(batches, order), "lang string, size int, term string, n bigint")
+    counted = terms.groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
     order_by = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
     top = counted.withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= max_terms)
     return Backoff(sorted(
