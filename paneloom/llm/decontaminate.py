@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from paneloom.llm.rows import small_batches
 from paneloom.llm.words import FOLDED_WORD, folded_words, lower_ascii
 
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
@@ -247,7 +248,7 @@ def _pass(docs: DataFrame, held, text: str, words: str, spans: str, items: str,
     fields = {words: LongType(), spans: SPANS, items: ArrayType(LongType())} | ({clean: StringType()} if clean else {})
     taken = {name.lower() for name in fields}
     kept = [c for c in keep if c.lower() not in taken]
-    source = docs.select(*dict.fromkeys(kept + [text] + ([spans, items] if again else [])))
+    source = small_batches(docs).select(*dict.fromkeys(kept + [text] + ([spans, items] if again else [])))
     names, types = source.columns, [to_arrow_type(kind) for kind in fields.values()]
 
     def run(batches):

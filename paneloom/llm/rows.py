@@ -10,6 +10,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 1 << 24) -> DataFrame:
+    """`df`, with its session's Arrow batches held to so many rows and bytes at most.
+
+    Whole texts travel in these batches; a worker and its executor hold a few of
+    them at a time. Results do not depend on it. Smaller settings are left alone.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return df
+
+
 def per_row(df: DataFrame, inputs: Sequence[str], fields: dict[str, DataType], start: Callable[[], Callable],
             keep: Sequence[str] | None = None) -> DataFrame:
     """The kept columns of `df` and one new column per field.
@@ -36,7 +50,7 @@ def per_row(df: DataFrame, inputs: Sequence[str], fields: dict[str, DataType], s
             new = [pa.array([row[i] for row in out], type=kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + new, names=names)
 
-    source = df.select(*[quoted(c) for c in needed])
+    source = small_batches(df).select(*[quoted(c) for c in needed])
     return source.mapInArrow(run, StructType([source.schema[c] for c in kept] + added))
 
 
