@@ -13,6 +13,7 @@ from paneloom.operators import ordering as O
 from paneloom.operators.pairing import attach_single
 
 POWER = 0.80
+N_SIMS = 4_000  # published budget
 TAU_SD_NULL = math.sqrt(11 / 27)  # SD of the three-item tau under independence
 
 

@@ -1,0 +1,24 @@
+"""The resampling queries with a SQL twin, at the published budgets.
+
+The twins stay with the queries of few replicates, which they can follow; these
+run the same functions with the published number of replicates and have no SQL.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from paneloom.operators.resample import N_BOOTSTRAPS, N_CLUSTER_FLIPS, N_FLIPS
+from paneloom.plans import catalog
+
+BUDGETS = {
+    "sta1_sign_flip_grid": {"n_rep": N_FLIPS}, "sta2_sign_flip_whole_design": {"n_rep": N_FLIPS},
+    "sta3_comparison_registry": {"n_rep": N_FLIPS}, "agg22_ablation_permutation": {"n_rep": N_FLIPS},
+    "sta4_cluster_sign_flip": {"n_rep": N_CLUSTER_FLIPS}, "sta5_omnibus": {"n_rep": N_CLUSTER_FLIPS},
+    "sta6_pairwise_mae": {"n_boot": N_BOOTSTRAPS, "n_rep": N_CLUSTER_FLIPS},
+    "sta7_cluster_bootstrap": {"n_boot": N_BOOTSTRAPS}, "sta7_bootstrap_all_metrics": {"n_boot": N_BOOTSTRAPS},
+    "sta7_poisson_bootstrap": {"n_boot": N_BOOTSTRAPS}, "sta8_percentile_interval": {"n_boot": N_BOOTSTRAPS},
+    "sta9_rank_summary": {"n_boot": N_BOOTSTRAPS},
+    "sta26_source_sweep": {"n_boot": N_BOOTSTRAPS, "n_rep": N_CLUSTER_FLIPS}, "sta29_effect_report": {"n_rep": N_FLIPS},
+}
+QUERIES = {f"{name}_published": partial(catalog.QUERIES[name], **budget) for name, budget in BUDGETS.items()}

@@ -19,8 +19,8 @@ from paneloom.plans.registry import query, r6, sq6
 from paneloom.session import materialise
 
 _C = F.col
-# Replicates of the registered queries, a parameter of each: as many as their SQL twins can carry.
-# The operators' own defaults are the published budgets, which bench.py runs.
+# Replicates of the queries with a SQL twin, a parameter of each: as many as the twin can carry.
+# queries_published.py registers them once more at the published budgets; queries without a twin have these by default.
 REPS = 64
 BOOT = 40
 
@@ -58,8 +58,8 @@ def sta1(spark, sf_dir, n_rep=REPS):
 
 
 @query("sta2_sign_flip_whole_design", f"""WITH {V.PAIRED}, {_FLIP} SELECT source, n, {sq6('mean_diff')} AS mean_diff, {sq6(f'exceed / {REPS}e0')} AS p FROM sf WHERE item = 'all'""")
-def sta2(spark, sf_dir):
-    out = B.sign_flip(_wide(spark, sf_dir), [], ["subject", "item", "round"], _diffs(), [[]], REPS)
+def sta2(spark, sf_dir, n_rep=REPS):
+    out = B.sign_flip(_wide(spark, sf_dir), [], ["subject", "item", "round"], _diffs(), [[]], n_rep)
     return out.select(_C("label").alias("source"), "n", r6(_C("mean_diff")).alias("mean_diff"), r6(_C("p")).alias("p"))
 
 
@@ -72,12 +72,12 @@ pd AS (SELECT cmp.a, cmp.b, x.subject, x.item, x.round, x.y - z.y AS d FROM cmp
   WHERE x.y IS NOT NULL AND z.y IS NOT NULL),
 rs AS (SELECT a, b, rep, sum({_sign(42, "subject || '|' || item || '|' || round")} * d) AS s, sum(d) AS obs, count(*) AS n FROM pd CROSS JOIN (SELECT unnest(range({REPS})) AS rep) GROUP BY 1, 2, 3)
 SELECT a, b, max(n) AS n, {sq6('max(obs) / CAST(max(n) AS DOUBLE)')} AS observed_diff, {sq6(f'count(CASE WHEN abs(s) >= abs(obs) THEN 1 END) / {REPS}e0')} AS p FROM rs GROUP BY 1, 2""")
-def sta3(spark, sf_dir):
+def sta3(spark, sf_dir, n_rep=REPS):
     wide = _wide(spark, sf_dir).withColumn(V.BASELINE, _C("h"))
     diffs = F.filter(F.array(*[
         F.struct(F.lit(f"{a}|{b}").alias("label"), (_C(a) - _C(b)).alias("d")) for a, b in COMPARISONS
     ]), lambda x: x["d"].isNotNull())
-    out = B.sign_flip(wide, [], ["subject", "item", "round"], diffs, [[]], REPS)
+    out = B.sign_flip(wide, [], ["subject", "item", "round"], diffs, [[]], n_rep)
     names = F.split("label", r"\|")
     return out.select(names[0].alias("a"), names[1].alias("b"), "n", r6(_C("mean_diff")).alias("observed_diff"),
                       r6(_C("p")).alias("p"))
@@ -87,12 +87,12 @@ def sta3(spark, sf_dir):
 rs AS (SELECT run, other, rep, sum(sgn * (base - abl)) AS s1, sum(sgn * (abs(h - base) - abs(h - abl))) AS s2, sum(base - abl) AS o1, sum(abs(h - base) - abs(h - abl)) AS o2
   FROM (SELECT *, {_sign(42, "subject || '|' || item || '|' || round")} AS sgn FROM t CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY 1, 2, 3)
 SELECT run AS base, other, {sq6(f'count(CASE WHEN abs(s1) >= abs(o1) THEN 1 END) / {REPS}e0')} AS p_shift, {sq6(f'count(CASE WHEN abs(s2) >= abs(o2) THEN 1 END) / {REPS}e0')} AS p_mae FROM rs GROUP BY 1, 2""")
-def agg22_permutation(spark, sf_dir):
+def agg22_permutation(spark, sf_dir, n_rep=REPS):
     a, b, h = _C("y_base"), _C("y_other"), _C("h")
     diffs = F.array(F.struct(F.lit("shift").alias("label"), (a - b).alias("d")),
                     F.struct(F.lit("mae").alias("label"), (F.abs(h - a) - F.abs(h - b)).alias("d")))
     pair = ["base", "other"]
-    out = B.sign_flip(V.compared(_wide(spark, sf_dir)), pair, ["subject", "item", "round"], diffs, [pair], REPS)
+    out = B.sign_flip(V.compared(_wide(spark, sf_dir)), pair, ["subject", "item", "round"], diffs, [pair], n_rep)
     return out.groupBy(*pair).agg(r6(F.max(F.when(_C("label") == "shift", _C("p")))).alias("p_shift"),
                                   r6(F.max(F.when(_C("label") == "mae", _C("p")))).alias("p_mae"))
 
@@ -124,8 +124,8 @@ pm AS (SELECT rep, row_number() OVER (PARTITION BY rep, subject ORDER BY substr(
   FROM se CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
 nu AS (SELECT rep, var_pop(t / n) AS v FROM (SELECT rep, k, sum(e) AS t FROM pm GROUP BY 1, 2) CROSS JOIN tot GROUP BY rep)
 SELECT {sq6('max(obs.v)')} AS statistic, {sq6(f'(count(CASE WHEN nu.v >= obs.v - 1e-12 THEN 1 END) + 1) / {REPS + 1}e0')} AS p FROM nu CROSS JOIN obs""")
-def sta5(spark, sf_dir):
-    out = B.omnibus(_errors(spark, sf_dir), "subject", SCORED_SOURCES, REPS, 7)
+def sta5(spark, sf_dir, n_rep=REPS):
+    out = B.omnibus(_errors(spark, sf_dir), "subject", SCORED_SOURCES, n_rep, 7)
     return out.select(r6(_C("statistic")).alias("statistic"), r6(_C("p")).alias("p"))
 
 
@@ -152,9 +152,9 @@ w1 AS (SELECT rep, source, sum(abs(fh - fy) * gap) AS wasserstein FROM (
   SELECT rep, source, sum(wh) OVER u / sum(wh) OVER a AS fh, sum(wy) OVER u / sum(wy) OVER a AS fy, lead(v) OVER (PARTITION BY rep, source ORDER BY v) - v AS gap
   FROM vw WINDOW u AS (PARTITION BY rep, source ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY rep, source)) GROUP BY 1, 2)
 SELECT rep, source, {sq6('mae')} AS mae, {sq6('wasserstein')} AS wasserstein FROM bm JOIN w1 USING (rep, source)""")
-def sta7_all(spark, sf_dir):
+def sta7_all(spark, sf_dir, n_boot=BOOT):
     cases = materialise(scored_cases(spark, sf_dir), "cases")
-    out = B.bootstrap_metrics(cases, _weights(cases), "subject")
+    out = B.bootstrap_metrics(cases, _weights(cases, n_boot), "subject")
     return out.select("rep", "source", r6(_C("mae")).alias("mae"), r6(_C("wasserstein")).alias("wasserstein"))
 
 
@@ -163,8 +163,8 @@ def sta7_all(spark, sf_dir):
 cum AS (SELECT k, sum(t) OVER (ORDER BY k) AS c FROM (SELECT k, exp(-1e0) / gamma(k + 1e0) AS t FROM (SELECT unnest(range(12)) AS k))),
 pw AS (SELECT subject, rep, (SELECT count(*) FROM cum WHERE u.u >= c) AS w FROM u)
 SELECT rep, source, {sq6('sum(w * abs(h - y)) / CAST(sum(w) AS DOUBLE)')} AS mae FROM scored JOIN pw USING (subject) WHERE w > 0 GROUP BY 1, 2""")
-def sta7_poisson(spark, sf_dir):
-    drawn = B.poisson_weights(_errors(spark, sf_dir), "subject", BOOT, 11)
+def sta7_poisson(spark, sf_dir, n_boot=BOOT):
+    drawn = B.poisson_weights(_errors(spark, sf_dir), "subject", n_boot, 11)
     out = B.mean_errors(drawn, ["rep"], SCORED_SOURCES, _C("w"))
     return out.select("rep", "source", r6(_C("mae")).alias("mae"))
 
@@ -178,8 +178,8 @@ _R9 = "bm9 AS (SELECT rep, source, round(mae, 9) AS mae FROM bm)"
 
 
 @query("sta8_percentile_interval", f"WITH {FRAME}, {_BOOT}, {_R9} SELECT source, {sq6('quantile_disc(mae, 0.025)')} AS lo, {sq6('quantile_disc(mae, 0.975)')} AS hi FROM bm9 GROUP BY source")
-def sta8(spark, sf_dir):
-    out = B.percentile_interval(_mae_reps(_errors(spark, sf_dir)), ["source"], "mae")
+def sta8(spark, sf_dir, n_boot=BOOT):
+    out = B.percentile_interval(_mae_reps(_errors(spark, sf_dir), n_boot), ["source"], "mae")
     return out.select("source", r6(_C("lo")).alias("lo"), r6(_C("hi")).alias("hi"))
 
 
@@ -261,13 +261,13 @@ def sta27(spark, sf_dir):
 
 
 @query("sta28_brown_forsythe_power")
-def sta28(spark, sf_dir):
+def sta28(spark, sf_dir, n_sims=W.N_SIMS):
     base = V.panel(spark, sf_dir).where("src = 1")
     change = F.abs(_C("y") - _C("init"))
-    return W.brown_forsythe_power(base, change, [1.0, 1.05, 1.1, 1.25], 40, 5).withColumn("power", r6(_C("power")))
+    return W.brown_forsythe_power(base, change, [1.0, 1.05, 1.1, 1.25], n_sims, 5).withColumn("power", r6(_C("power")))
 
 
-def full_report(spark, sf_dir, n_rep=REPS):
+def full_report(spark, sf_dir, n_rep=B.N_FLIPS):
     """Every analysis of every grouping over the driver's panel."""
     lines = materialise(V.lines_wide(spark, sf_dir), "lines")
     matched = _rank_match(spark, sf_dir, lines).where(_C("reason").isNull())
@@ -291,12 +291,12 @@ SELECT item, cell, source, test, statistic, {sq6('value')} AS value FROM lo"""
 
 
 @query("sta29_effect_report", _SQL_REPORT)
-def sta29(spark, sf_dir):
+def sta29(spark, sf_dir, n_rep=REPS):
     """The report's difference, stance and change sections over all groupings."""
     lines = materialise(V.lines_wide(spark, sf_dir), "lines")
     panel = V.panel(spark, sf_dir, lines)
     parts = [
-        report._long(report.difference_test(_wide(spark, sf_dir, lines), V.CANDIDATES, REPS, 42), "difference",
+        report._long(report.difference_test(_wide(spark, sf_dir, lines), V.CANDIDATES, n_rep, 42), "difference",
                      ["n", "mean_diff", "sd_diff", "d_z", "p"]),
         report._long(report.stance_test(V.responses(spark, sf_dir, lines), V.BASELINE), "stance",
                      ["chi2", "cramers_v", "min_expected", "p"]),
@@ -307,19 +307,19 @@ def sta29(spark, sf_dir):
 
 
 @query("sta29_effect_report_full")
-def sta29_full(spark, sf_dir, n_rep=REPS):
+def sta29_full(spark, sf_dir, n_rep=B.N_FLIPS):
     return full_report(spark, sf_dir, n_rep).withColumn("value", r6(_C("value")))
 
 
 @query("sta30_overview")
-def sta30(spark, sf_dir):
-    out = report.overview(full_report(spark, sf_dir), 13)
+def sta30(spark, sf_dir, n_rep=B.N_FLIPS):
+    out = report.overview(full_report(spark, sf_dir, n_rep), 13)
     return out.withColumns({c: r6(_C(c)) for c, t in out.dtypes if t == "double"})
 
 
 @query("sta31_reliability_flags")
-def sta31(spark, sf_dir):
-    return report.caveats(full_report(spark, sf_dir), 27)
+def sta31(spark, sf_dir, n_rep=B.N_FLIPS):
+    return report.caveats(full_report(spark, sf_dir, n_rep), 27)
 
 
 @query("sta31_message_and_tau_sections", f"""WITH {_MEAN_RANKS}, sh AS (SELECT item, cell, message FROM mr GROUP BY 1, 2, 3 HAVING count(*) = 7),
