@@ -5,8 +5,9 @@ is signed with bands x rows minima, numbers chosen for the wished recall at the
 threshold; sets that share a band hash meet through the least of them, so a bucket
 of any size gives one candidate edge per member. The components of these edges are
 the groups in which links can be. Inside a group all pairs of sets are verified on
-the full sets; a group above `block_grams` n-grams is dealt out as pairs of blocks, so
-no task holds more than two blocks. Links are counted where they are found and only
+the full sets; a group above `block_grams` n-grams or `block_sets` sets is dealt out as
+pairs of blocks, so no task holds more n-grams than two blocks have, nor a matrix of
+more than about block_sets x block_sets pairs. Links are counted where they are found and only
 the counts and a spanning forest leave the task, never the pairs.
 
 Texts of fewer words than n are one n-gram; null texts and texts without a word have
@@ -223,7 +224,7 @@ def verified_links(members: DataFrame, docs: DataFrame, size: int, threshold: fl
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999,
-                    most_hashes: int = 128, block_grams: int = 1 << 19) -> DataFrame:
+                    most_hashes: int = 128, block_grams: int = 1 << 19, block_sets: int = 1 << 11) -> DataFrame:
     """Per document: doc_id, class_id (smallest id of its linked class), n_links to other documents, copy_of."""
     bands, rows = bands_for(threshold, recall, most_hashes)
     signed = materialise(signatures(docs, size, bands, rows), "signatures")
@@ -238,7 +239,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     groups = connected_components(edges)
 
     placed = sets.select("set_key", "rep", "copies", "n_grams", "node").join(groups, "node").withColumnRenamed("root", "grp")
-    sizes = placed.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_grams") / block_grams)).cast("bigint").alias("blocks"))
+    sizes = placed.groupBy("grp").agg(F.greatest(
+        F.ceil(F.sum("n_grams") / block_grams), F.ceil(F.count(F.lit(1)) / block_sets)).cast("bigint").alias("blocks"))
     members = materialise(placed.join(sizes, "grp").withColumn("block", F.pmod("node", "blocks")).select(
         "set_key", "rep", "copies", "grp", "blocks", "block"), "members")
     links = materialise(verified_links(members, docs, size, threshold), "links")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helpers import SCHEMA, SPACED, awkward, corpus, frame, hits, jaccard_classes, prose, without_repeats, EN
 from paneloom.llm import components, decontaminate, mixture, ngram_join, suffixes, warc
-from paneloom.session import work_path
+from paneloom.session import materialise, work_path
 
 
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
@@ -102,6 +102,29 @@ def test_join_finds_every_link(spark, block_grams):
     assert got == sorted(jaccard_classes(rows))
 
 
+def test_blocks_are_bounded_in_sets(spark, monkeypatch):
+    held = {}
+
+    def kept(df, label="step"):
+        held[label] = materialise(df, label)
+        return held[label]
+
+    monkeypatch.setattr(ngram_join, "materialise", kept)
+    n = 4500  # few n-grams, many sets: one template whose last word differs
+    stem = " ".join(f"t{i}" for i in range(22))
+    rows = [(i, f"{stem} x{i}", "en", "s", 1) for i in range(n)]
+    out = ngram_join.near_duplicates(frame(spark, rows, 8)).collect()
+    assert {(r.class_id, r.n_links) for r in out} == {(0, n - 1)} and len(out) == n
+    sizes = [r["count"] for r in held["members"].groupBy("grp", "block").count().collect()]
+    assert sum(sizes) == n and len(sizes) == 3 and max(sizes) < 2048
+
+
+def test_join_with_small_blocks_of_sets(spark):
+    rows = corpus()
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(frame(spark, rows), block_sets=2).collect())
+    assert got == sorted(jaccard_classes(rows))
+
+
 def test_join_of_odd_tables(spark):
     assert ngram_join.near_duplicates(frame(spark).where("false")).count() == 0
     out = ngram_join.near_duplicates(awkward(spark))
