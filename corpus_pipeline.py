@@ -21,10 +21,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of exact and near copies: that with the smallest id."""
-    classes = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return join_ids(docs, gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    """One row of each class of exact and near copies: the least by (id, digest of the text), null ids last.
+
+    Rows with one id are rows of their own. Rows that agree in id and text are told apart by their other
+    columns; of rows that agree in all of them any one stays. A row without n-grams is its own class.
+    """
+    doc, digest = fresh(docs, "_dup_id"), fresh(docs, "_dup_digest")
+    key = F.col(doc).eqNullSafe(F.col("doc_id")) & F.col(digest).eqNullSafe(F.md5("text"))
+    found = ngram_join.classes(docs.select("doc_id", "text", F.md5("text").alias(digest)), [digest])
+    rows = materialise(found.where("class_key is not null").groupBy(
+        "class_key", F.col("doc_id").alias(doc), digest).agg(F.count(F.lit(1)).alias("copies")), "keys")
+    order = F.struct(F.col(doc).isNull(), F.col(doc), F.col(digest))
+    least = rows.groupBy("class_key").agg(F.min(order).alias("least"), F.sum("copies").alias("size")).where("size > 1")
+    judged = materialise(join_ids(rows, least, "class_key", "inner").select(
+        doc, digest, "copies", (order == F.col("least")).alias("first")), "judged")
+    # Most rows stay by not being named; of a first key with copies one row is chosen apart.
+    out = join_ids(docs, judged.where("not first or copies > 1").select(doc, digest), key, "left_anti").select(*map(quoted, docs.columns))
+    copied = judged.where("first and copies > 1").select(doc, digest)
+    if copied.isEmpty():
+        return out
+    rest = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    ranked = join_ids(docs, copied, key, "inner").groupBy(doc, digest).agg(
+        F.min_by(F.struct(*map(quoted, docs.columns)), F.to_json(F.struct(F.lit(0), *rest))).alias("row"))
+    return out.unionByName(ranked.select("row.*"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

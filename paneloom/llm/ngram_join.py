@@ -94,8 +94,8 @@ def set_key(grams: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(grams.tobytes())
 
 
-def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the key of its n-gram set (null without n-grams), the number of n-grams, the band hashes."""
+def signatures(docs: DataFrame, size: int, bands: int, rows: int, keep: list[str]) -> DataFrame:
+    """doc_id, the kept columns, the key of its n-gram set (null without n-grams), the number of n-grams, the band hashes."""
     def start():
         shingler = Shingler(size, bands, rows)
 
@@ -104,8 +104,8 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             return (set_key(grams), len(grams), shingler.signature(grams)) if len(grams) else (None, 0, [])
         return fn
 
-    return per_row(docs.select("doc_id", "text"), ["text"], {
-        "set_key": StringType(), "n_grams": LongType(), "bands": ArrayType(LongType())}, start, keep=["doc_id"])
+    return per_row(docs.select("doc_id", "text", *keep), ["text"], {
+        "set_key": StringType(), "n_grams": LongType(), "bands": ArrayType(LongType())}, start, keep=["doc_id", *keep])
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -223,11 +223,22 @@ def verified_links(members: DataFrame, docs: DataFrame, size: int, threshold: fl
                             "grp bigint, blocks bigint, set_key string, links bigint, root string")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999,
+def near_duplicates(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """Per document: doc_id, class_id (smallest id of its linked class), n_links to other documents, copy_of.
+
+    The arguments are those of `classes`.
+    """
+    return classes(docs, [], *args, **kwargs).select("doc_id", "class_id", "n_links", "copy_of")
+
+
+def classes(docs: DataFrame, keep: list[str], size: int = 5, threshold: float = 0.8, recall: float = 0.999,
                     most_hashes: int = 128, block_grams: int = 1 << 19, block_sets: int = 1 << 11) -> DataFrame:
-    """Per document: doc_id, class_id (smallest id of its linked class), n_links to other documents, copy_of."""
+    """Per row: doc_id, the kept columns, class_key, class_id, n_links and copy_of.
+
+    `class_key` names the class whatever the ids are; it is null for a row without n-grams, which is its own class.
+    """
     bands, rows = bands_for(threshold, recall, most_hashes)
-    signed = materialise(signatures(docs, size, bands, rows), "signatures")
+    signed = materialise(signatures(docs, size, bands, rows, keep), "signatures")
     sets = materialise(signed.where("n_grams > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"),
         F.first("bands").alias("bands")).withColumn("node", F.xxhash64("set_key")), "sets")
@@ -253,8 +264,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     classed = counted.join(whole.union(joined), "set_key").join(sets.select("set_key", "rep"), "set_key")
     roots = classed.groupBy("root").agg(F.min("rep").alias("class_id"))
     known = sets.select("set_key", "rep", "copies").join(
-        classed.join(roots, "root").select("set_key", "links", "class_id"), "set_key", "left")
-    out = signed.select("doc_id", "set_key").join(known, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "rep", "doc_id").alias("class_id"),
+        classed.join(roots, "root").select("set_key", "root", "links", "class_id"), "set_key", "left")
+    out = signed.select("doc_id", *keep, "set_key").join(known, "set_key", "left")
+    return out.select("doc_id", *keep, F.coalesce("root", "set_key").alias("class_key"), F.coalesce("class_id", "rep", "doc_id").alias("class_id"),
                       F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("bigint").alias("n_links"),
                       F.coalesce("rep", "doc_id").alias("copy_of"))

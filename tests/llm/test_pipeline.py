@@ -38,6 +38,27 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == sorted({c for _, c, _ in jaccard_classes(rows)})
 
 
+def test_rows_of_repeated_and_null_ids(spark):
+    draw = random.Random(8)
+    a, b, c, d, e = (prose(draw, EN, 60) for _ in range(5))
+    near = a + " end"
+    rows = [(1, a, "en", "s", 1), (7, near, "en", "s", 2), (7, b, "en", "s", 3),  # one id, two texts: only the near copy goes
+            (9, c, "en", "s", 4), (9, c, "en", "s", 4), (9, c, "de", "s", 5),  # one id, one text
+            (None, d, "en", "s", 6), (None, d, "en", "s", 6), (None, e, "en", "s", 7), (3, e, "en", "s", 8),
+            (5, None, "en", "s", 9), (5, None, "en", "s", 9), (None, "", "en", "s", 10)]
+    for parts in (1, 4):
+        kept = STAGES["n-gram Jaccard join"](spark, frame(spark, rows, parts), SF_DIR).collect()
+        want = [rows[0], rows[2], rows[5], rows[6], rows[9], *rows[10:]]
+        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
+def test_each_class_of_the_whole_corpus_keeps_one_row(spark):
+    rows = corpus()
+    kept = [tuple(r) for r in STAGES["n-gram Jaccard join"](spark, frame(spark, rows), SF_DIR).collect()]
+    classes = {c if folded(row[1]) else ("alone", i) for i, (row, (_, c, _)) in enumerate(zip(rows, jaccard_classes(rows)))}
+    assert len(kept) == len(classes) and sum(r[0] == 170 for r in kept) <= 1
+
+
 def test_contaminated_documents_go(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     draw = random.Random(5)
