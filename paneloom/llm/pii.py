@@ -38,6 +38,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Characters of an account number by country; others are tried at every length.
+_IBAN_LENGTHS = {country: int(n) for n, countries in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU").split())
+    for country in countries.split(",")}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+-])\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NO_DIGITS = str.maketrans("", "", " ().-+")
@@ -88,11 +94,30 @@ def base_spans(text: str | None):
     return out
 
 
+def _accounts(text: str):
+    """(start, end) of account numbers whose check digits hold, leftmost and non-overlapping.
+
+    What follows a number can look like a part of it, so every end before a blank is tried: first the one that
+    gives the length of the country, then the longest. Without a valid end the search goes on at the next character.
+    """
+    found = _IBAN.search(text)
+    while found:
+        start, stop = found.span()
+        ends = [stop] + [at for at in range(stop - 1, start, -1) if text[at] == " "]
+        known = _IBAN_LENGTHS.get(text[start:start + 2])
+        numbers = [(end, text[start:end].replace(" ", "")) for end in ends]
+        numbers = [(end, number) for end, number in numbers if len(number) >= 15]
+        numbers.sort(key=lambda x: len(x[1]) != known)
+        end = next((end for end, number in numbers if mod97(number)), None)
+        if end is not None:
+            yield start, end
+        found = _IBAN.search(text, start + 1 if end is None else end)
+
+
 def _proposals(text: str):
     """(kind, start, end, confirmed by a checksum) of the kinds beyond the base."""
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end(), True
+    for start, end in _accounts(text):
+        yield "iban", start, end, True
     for m in _LOCAL_PHONE.finditer(text):
         yield "local_phone", m.start(), m.end(), False
     for m in _SSN.finditer(text):

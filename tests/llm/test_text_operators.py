@@ -49,6 +49,20 @@ def test_personal_data_additions_need_checksum_or_context():
     assert pii.luhn("79927398713") and not pii.luhn("79927398714") and pii.mod97("GB82WEST12345698765432")
 
 
+def test_account_numbers_before_capitals_and_digits():
+    def accounts(text):
+        return [(s, e, v) for k, s, e, v, *_ in pii.personal_data(text) if k == "iban"]
+
+    spaced, plain, british = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for number in (spaced, plain, british, "NO93 8601 1117 947"):
+        for after in (" BIC COBADEFF", " EUR 50", " 50", " A", "", "; end", " end", "\n", " X" * 40):
+            assert accounts(f"IBAN {number}{after}") == [(5, 5 + len(number), number)]
+    assert [x[2] for x in accounts(f"{spaced} {british} {plain}")] == [spaced, british, plain]
+    assert [x[2] for x in accounts(f"ID AB12 CODE TEXT HERE {spaced}")] == [spaced]  # a false start before it
+    assert not accounts("DE88 3704 0044 0532 0130 00 ") and not accounts(plain + "A")
+    assert len(accounts(f"{spaced} EUR " * 300)) == 300
+
+
 def test_personal_data_query_columns(spark):
     df = spark.createDataFrame(list(enumerate(PERSONAL)), "doc_id long, text string").repartition(3)
     rows = {r.doc_id: r for r in pii.digest(pii.find_personal_data(df, keep=["doc_id"]), pii.KINDS, pii.BASE_KINDS, False, "pii").collect()}
