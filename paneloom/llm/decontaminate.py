@@ -11,7 +11,8 @@ A window is `size` consecutive words of an item, or the whole item if it has few
 The benchmark is broadcast in parts of at most `part_chars` characters, searched one
 after the other in narrow passes, so a larger one costs passes, not memory. Null and
 empty texts have no words and no hits; items without words have no windows; repeated
-items and documents count as they stand.
+items and documents count as they stand. The passages of an item without an id are hits
+like all others; only the list of items leaves it out.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end
 class Windows:
     """The distinct windows of some items as rows of word numbers, by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int):
+    def __init__(self, items: list[tuple[int | None, str]], size: int):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in folded_words(text)]
             length = min(size, len(ids))
             for i in range(len(ids) - length + 1) if length else ():
-                found.setdefault(tuple(ids[i:i + length]), set()).add(item)
+                owners = found.setdefault(tuple(ids[i:i + length]), set())
+                if item is not None:
+                    owners.add(item)
         self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         for length in sorted({len(w) for w in found}):
             rows = [w for w in found if len(w) == length]
@@ -228,14 +231,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", wor
     With `clean`, also the text without the spans.
     """
     session = docs.sparkSession
-    listed = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    listed = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     chars = listed.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // part_chars) or 1
     keep = list(docs.columns if keep is None else keep)
     out = docs.select(*dict.fromkeys(keep + [text]))
     for part in range(parts):
-        rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
-        held = session.sparkContext.broadcast(Windows(sorted((r[0], r[1]) for r in rows), size))
+        rows = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        held = session.sparkContext.broadcast(Windows(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), size))
         last = part == parts - 1
         out = _pass(out, held, text, words, spans, items, clean if last else None, shard_words, part > 0,
                     keep if last else out.columns)

@@ -237,6 +237,22 @@ def test_passages_are_found_where_they_are(spark, part_chars, shard_words):
     assert decontaminate.find_passages(awkward(spark), bench, words="n_words", spans="spans").count() == frame(spark).count()
 
 
+@pytest.mark.parametrize("part_chars", [1 << 24, 60])
+def test_passages_of_items_without_id_are_hits(spark, part_chars):
+    items = [(None, ITEMS[0][1]), (None, "other short words"), (2, ITEMS[1][1]), (5, ITEMS[1][1]), (None, ITEMS[1][1])]
+    texts = contaminated_texts() + ["some other short words"]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], 2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.judged(decontaminate.find_passages(docs, bench, part_chars=part_chars))
+    rows = {r.doc_id: r for r in found.collect()}
+    for i, (n, hit, ids) in enumerate(hits(texts, items)):
+        ids = sorted(str(x) for x in ids - {None})
+        assert (rows[i].n_words, rows[i].n_hit, rows[i].n_items) == (n, hit, len(ids))
+        assert rows[i].items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+        assert rows[i].contaminated == (hit > 0 and 20 * hit >= n)
+    assert rows[0].contaminated and rows[0].n_items == 0
+
+
 def test_index_counts_and_locates_like_a_scan():
     draw = np.random.default_rng(3)
     for n in (1, 2, 50, 400):
