@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
-from paneloom.llm import decontaminate, langid, licenses, mixture, ngram_join, pii, quality, secrets, suffixes, warc
+from paneloom.llm import (decontaminate, filter_audit, infill, langid, licenses, mixture, ngram_join, packing, pii, quality, secrets, suffixes,
+                          warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,6 +123,40 @@ def op10(spark, sf_dir):
     return pii.digest(found, pii.KINDS, pii.BASE_KINDS, False, "pii")
 
 
+@query("op11_filter_interactions", filter_audit.interactions_sql())
+def op11(spark, sf_dir):
+    counters = filter_audit.count_files(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+    return filter_audit.interactions(counters)
+
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op12_packed_sequences")
+def op12(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_OP13 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, ''))::BIGINT AS n,
+  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, ('0x' || h[1:8])::UBIGINT % (n + 1) AS a, ('0x' || h[9:16])::UBIGINT % (n + 1) AS b,
+  ('0x' || h[17:24])::UBIGINT % 100 AS c, ('0x' || h[25:32])::UBIGINT % 100 AS e FROM d),
+f AS (SELECT doc_id, n, x, least(a, b)::BIGINT AS p, greatest(a, b)::BIGINT AS q,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR c >= 90 THEN 'plain'
+    WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+t AS (SELECT *, substr(x, 1, p) AS pre, substr(x, p + 1, q - p) AS mid, substr(x, q + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN p END AS prefix_chars, CASE WHEN form != 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM t"""
+
+
+@query("op13_fill_in_middle", _OP13)
+def op13(spark, sf_dir):
+    done = infill.assemble(infill.pieces(table(spark, sf_dir, "documents")))
+    return done.select(F.col("id").cast("bigint").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
