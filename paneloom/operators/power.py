@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paneloom.functions import draws as R
-from paneloom.functions import tails
+from paneloom.functions import tails, variates
 from paneloom.operators import ordering as O
-from paneloom.operators.pairing import attach_single
 
 POWER = 0.80
 N_SIMS = 4_000  # published budget
+HELD = 4_000_000  # numbers in a task's largest array
 TAU_SD_NULL = math.sqrt(11 / 27)  # SD of the three-item tau under independence
 
 
@@ -76,51 +77,61 @@ def detectable(counts: DataFrame, alpha: float = 0.05 / 6, power: float = POWER)
     return counts.withColumns(out)
 
 
+def _weighted_median(levels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Median of every simulation; levels ascend, a row of counts per simulation."""
+    upto, n = np.cumsum(counts, axis=1), counts.sum(axis=1)
+
+    def at(place):
+        return levels[(upto <= place[:, None]).sum(axis=1)]
+
+    return (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+def _brown_forsythe(levels: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    """W of every simulation from the level counts of two groups; nan where no value deviates."""
+    sums = []
+    for values, own in zip(levels, counts):
+        deviation = np.abs(values[None, :] - _weighted_median(values, own)[:, None])
+        weighted = own * deviation
+        sums.append((own.sum(axis=1).astype(float), weighted.sum(axis=1), (weighted * deviation).sum(axis=1)))
+    (n0, z0, q0), (n1, z1, q1) = sums
+    grand = (z0 + z1) / (n0 + n1)
+    between = n0 * (z0 / n0 - grand) ** 2 + n1 * (z1 / n1 - grand) ** 2
+    within = q0 - z0 * z0 / n0 + q1 - z1 * z1 / n1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(within > 0, (n0 + n1 - 2) * between / within, np.nan)
+
+
 def brown_forsythe_power(cases: DataFrame, value: Column, ratios: list[float], n_sims: int, seed: int,
                          base_more_variable: bool = True, alpha: float = 0.05 / 6) -> DataFrame:
     """Share of simulations that detect a given SD ratio, at the data's own n.
 
-    Both groups are drawn from the empirical distribution. A draw is a level of
-    that distribution, so a simulation collapses to level counts; the ratios then
-    rescale the levels of those counts, and all share one set of draws.
+    Both groups are drawn from the empirical distribution. The level counts of a simulated group are one multinomial,
+    a chain of conditional binomials over the levels, so a simulation costs the distinct values of the measure and not
+    its cases; the ratios rescale the levels of those counts and share one set of draws. A task gets the level table,
+    one row per distinct value, and a block of simulations that keeps its arrays within `HELD` numbers.
     """
-    levels = O.value_counts(cases, [], value).withColumn("_k", F.lit(1))
-    # One entry per distinct level of the measure.
-    table = levels.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("t"), F.sum("n").alias("n_rows"))
-    rows = attach_single(cases.where(value.isNotNull()).select(
-        R.digest(seed, F.col("subject"), F.col("item")).alias("_id")), table)
-    sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    word = sims.withColumn("_w", R.digest(F.col("_id"), F.col("sim")))
-
-    def pick(start):
-        place = R.bits32(F.col("_w"), start) % F.col("n_rows")
-        reached = F.aggregate(
-            "t", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("i")),
-            lambda acc, x: F.struct((acc["upto"] + x["n"]).alias("upto"),
-                                    (acc["i"] + F.when(acc["upto"] + x["n"] <= place, 1).otherwise(0)).alias("i")))
-        return F.element_at("t", reached["i"] + 1)["v"]
-
-    drawn = word.select("sim", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), pick(1).alias("v")),
-        F.struct(F.lit(1).alias("side"), pick(9).alias("v")))).alias("x")).groupBy(
-        "sim", F.col("x.side").alias("side"), F.col("x.v").cast("double").alias("v")).agg(F.count("*").alias("n"))
-    centre = O.with_median(levels.withColumn("v", F.col("v").cast("double")), ["_k"], "med").agg(
-        F.max("med").alias("med"))
-    scale = F.when(F.col("side") == 0, 1.0).otherwise(
-        1 / F.col("ratio") if base_more_variable else F.col("ratio"))
-    scaled = (attach_single(drawn, centre)
-              .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-              .select("ratio", "sim", "side", "n", (F.col("med") + (F.col("v") - F.col("med")) * scale).alias("v")))
-    group = ["ratio", "sim", "side"]
-    dev = F.abs(F.col("v") - F.col("m"))
-    stats = O.with_median(scaled, group, "m").groupBy("ratio", "sim").agg(*[
-        F.sum(F.when(F.col("side") == s, x)).alias(f"{name}{s}")
-        for s in (0, 1) for name, x in (("n", F.col("n")), ("z", F.col("n") * dev), ("q", F.col("n") * dev * dev))])
-    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-    n, grand = n0 + n1, (F.col("z0") + F.col("z1")) / (n0 + n1)
-    between = n0 * F.pow(F.col("z0") / n0 - grand, 2) + n1 * F.pow(F.col("z1") / n1 - grand, 2)
-    within = F.col("q0") - F.col("z0") * F.col("z0") / n0 + F.col("q1") - F.col("z1") * F.col("z1") / n1
-    tested = stats.withColumn("w", F.when(within > 0, (n - 2) * between / within)).withColumn(
-        "p", tails.f_tail(F.col("w"), F.lit(1), F.col("n0") + F.col("n1") - 2))
-    return tested.groupBy("ratio").agg(
-        F.count("*").alias("n_sims"), F.avg(F.coalesce((F.col("p") < alpha).cast("int"), F.lit(0))).alias("power"))
+    levels = O.value_counts(cases, [], value).select(F.col("v").cast("double").alias("v"), "n")
+    n_levels = levels.count()
+    block = max(1, min(250, HELD // max(n_levels, 1)))
+    blocks = F.sequence(F.lit(0), F.lit(math.ceil(n_sims / block) - 1))
+    sides = [1.0, -1.0 if base_more_variable else 1.0]
+
+    def simulated(frame: pd.DataFrame) -> pd.DataFrame:
+        number = int(frame["_block"].iat[0])
+        sims = min(block, n_sims - number * block)
+        table = frame.sort_values("v")
+        v, n = table["v"].to_numpy(float), table["n"].to_numpy(np.int64)
+        drawn = [variates.generator(seed, "power", number, side).multinomial(n.sum(), n / n.sum(), sims) for side in (0, 1)]
+        centre = float(_weighted_median(v, n[None, :])[0])
+        return pd.concat([pd.DataFrame({
+            "ratio": ratio, "w": _brown_forsythe([v, centre + (v - centre) * ratio ** sides[1]], drawn), "n": int(n.sum())}) for ratio in ratios])
+
+    tests = levels.withColumn("_block", F.explode(blocks)).groupBy("_block").applyInPandas(
+        simulated, "ratio double, w double, n bigint")
+    # F tails are worked out once per distinct statistic of a ratio.
+    counted = tests.withColumn("w", F.nanvl("w", F.lit(None).cast("double"))).groupBy("ratio", "w", "n").agg(F.count("*").alias("sims"))
+    p = tails.f_tail(F.col("w"), F.lit(1), 2 * F.col("n") - 2)
+    hit = F.coalesce((F.col("p") < alpha).cast("int"), F.lit(0))
+    return counted.withColumn("p", p).groupBy("ratio").agg(
+        F.sum("sims").alias("n_sims"), (F.sum(hit * F.col("sims")) / F.sum("sims")).alias("power"))

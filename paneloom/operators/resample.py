@@ -1,18 +1,26 @@
 """Resampling tests: sign flips, label permutation, cluster bootstrap.
 
-Every draw is a function of (seed, replicate, subject), see functions.draws.
-Sums of a replicate are additive over cells, so one pass over the panel serves
-every grouping of the design: cells are added up on the short replicate table.
+Replicates cost what the data's counts cost, not its cases, where counts are enough:
+a sign flip needs the number of cases per difference, a bootstrap replicate the draws
+that fall on a task's own subjects. Every draw is a function of (seed, block of
+replicates, key), see functions.variates, or of (seed, replicate, subject), see
+functions.draws; none depends on partitioning, and none is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from paneloom.functions import draws as R
+from paneloom.functions import variates
 from paneloom.operators import distance as M
 from paneloom.operators.describe import over_groupings
 from paneloom.operators.pairing import attach_single
@@ -23,6 +31,10 @@ _BLOCK = R.SIGNS_PER_DIGEST
 N_FLIPS, N_CLUSTER_FLIPS, N_BOOTSTRAPS = 1_000_000, 100_000, 10_000
 # Blocks of signs that a task adds up at once: bounds its table of sums, whatever the number of replicates.
 BLOCKS_AT_ONCE = 64
+# Replicates that a task holds at once, and numbers in its largest array.
+FLIP_BLOCK, BOOT_BLOCK, ORDER_BLOCK = 16_384, 500, 2_048
+HELD = 4_000_000
+_BUCKETS = 4096  # hash ranges of subjects; bounds the table of their sizes
 
 
 def _fan_out(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,9 +102,78 @@ def exceedance(replicates: DataFrame, group: list[str], tolerance: float = 0.0)
         F.sum(extreme.cast("int")).alias("exceed"))
 
 
+def difference_counts(cases: DataFrame, cells: list[str], diffs: Column, groupings: list[list[str]]) -> DataFrame:
+    """(keys, label, level, n, net): cases per absolute difference, and how many more of them are positive than negative."""
+    d = F.col("_x.d")
+    counted = cases.select(*cells, F.explode(diffs).alias("_x")).where(d.isNotNull()).groupBy(
+        *cells, F.col("_x.label").alias("label"), F.abs(d).cast("double").alias("level")).agg(
+        F.count("*").alias("n"), F.sum(F.signum(d).cast("long")).alias("net"))
+    # The groupings return keys as strings; a double comes back from its string unchanged.
+    return over_groupings(counted, [[*g, "label", "level"] for g in groupings], [
+        F.sum("n").alias("n"), F.sum("net").alias("net")]).withColumn("level", F.col("level").cast("double"))
+
+
+def observed_differences(counts: DataFrame) -> DataFrame:
+    """n, mean difference, its SD and the effect size of every group of `difference_counts`."""
+    keys = [c for c in counts.columns if c not in ("level", "n", "net")]
+    level, n = F.col("level"), F.col("n")
+    sums = counts.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.sum(level * F.col("net")).alias("_obs"), F.sum(level * level * n).alias("_sq"))
+    mean = F.col("_obs") / n
+    sd = F.sqrt(F.try_divide(F.greatest(F.col("_sq") - F.col("_obs") * mean, F.lit(0.0)), n - 1))
+    return sums.select(*keys, "n", mean.alias("mean_diff"), sd.alias("sd_diff"), F.try_divide(mean, sd).alias("d_z"))
+
+
+def _flip_blocks(rows: Iterator[tuple], n_keys: int, n_rep: int, seed: int) -> Iterator[tuple]:
+    """Rows (keys, label, block, level, n, net) sorted by all but the last two: per block the replicates at least as extreme."""
+    for key, levels in groupby(rows, lambda row: row[:n_keys + 2]):
+        reps = min(FLIP_BLOCK, n_rep - key[-1] * FLIP_BLOCK)
+        flipped, observed, size = np.zeros(reps), 0.0, 0.0
+        for *_, level, n, net in levels:
+            draws = variates.heads(variates.generator(seed, *key, level), n, reps)
+            flipped += level * (2 * draws - n)
+            observed += level * net
+            size += level * n
+        # Sums that differ by rounding alone are equal.
+        yield (*key[:-1], int((np.abs(flipped) >= abs(observed) - 1e-12 * size).sum()), reps)
+
+
+def counted_sign_flip(cases: DataFrame, cells: list[str], diffs: Column, groupings: list[list[str]],
+                      n_rep: int = N_FLIPS, seed: int = 42) -> DataFrame:
+    """Two-sided paired sign-flip test of a zero mean difference, drawn from counts; p can be 0.
+
+    Of the n cases with one absolute difference, a replicate makes a binomial number positive, so a replicate costs
+    the distinct differences of a group and not its cases. Each grouping draws from its own pooled counts. Groups and
+    blocks of replicates are dealt over the tasks; a task reads a group's differences one by one, however many they are.
+    """
+    counts = difference_counts(cases, cells, diffs, groupings)
+    keys = [c for c in counts.columns if c not in ("label", "level", "n", "net")]
+    by = [*keys, "label", "_block"]
+    tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.sparkSession.sparkContext.defaultParallelism)
+    blocks = F.sequence(F.lit(0), F.lit(math.ceil(n_rep / FLIP_BLOCK) - 1))
+    dealt = counts.where("level > 0").withColumn("_block", F.explode(blocks)).select(*by, "level", "n", "net").repartition(
+        tasks, *by).sortWithinPartitions(*by, "level")
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        out = list(_flip_blocks(rows, n_keys, n_rep, seed))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[*keys, "label", "exceed", "reps"])
+
+    drawn = dealt.mapInArrow(run, ", ".join([*[f"{k} string" for k in keys], "label string, exceed bigint, reps bigint"]))
+    exceed = drawn.groupBy(*keys, "label").agg(F.sum("exceed").alias("exceed"))
+    joined = observed_differences(counts).join(exceed, [*keys, "label"], "left")
+    # Without a nonzero difference every replicate equals the observed sum.
+    exceeded = F.coalesce("exceed", F.lit(n_rep))
+    p = exceeded / F.lit(n_rep)
+    return joined.select(*keys, "label", "n", "mean_diff", "sd_diff", "d_z", exceeded.alias("exceed"), p.alias("p"),
+                         (p < SIGN_ALPHA).alias("reject"))
+
+
 def sign_flip(cases: DataFrame, cells: list[str], unit: list[str], diffs: Column, groupings: list[list[str]],
               n_rep: int = N_FLIPS, seed: int = 42) -> DataFrame:
-    """Two-sided paired sign-flip test of a zero mean difference; p can be 0."""
+    """The same test with a sign per unit and replicate, which all labels and groupings share; costs cases x replicates."""
     reps = sum_over_cells(replicate_sums(cases, cells, unit, diffs, n_rep, seed), groupings)
     keys = [k for k in dict.fromkeys(c for g in groupings for c in g)]
     out = exceedance(reps, [*keys, "label"])
@@ -146,21 +227,47 @@ def cluster_sign_flip(errors: DataFrame, subject: str, sources: list[str], n_rep
         ((F.col("exceed") + 1) / (F.col("n_rep") + 1)).alias("p"))
 
 
+def _by_block(rows: DataFrame, unit: str, n_rep: int, block: int, per_task: int) -> tuple[DataFrame, list[int]]:
+    """Rows of units dealt to (hash range of units, block of replicates), and the units of every range.
+
+    The number of ranges is a power of two, so that a range holds about `per_task` units; a row goes to every block.
+    """
+    bucket = F.pmod(F.xxhash64(unit), F.lit(_BUCKETS)).cast("int")
+    sizes = [0] * _BUCKETS  # at most 4096 rows reach the driver
+    for row in rows.groupBy(bucket.alias("bucket")).agg(F.count_distinct(unit).alias("n")).collect():
+        sizes[row["bucket"]] = row["n"]
+    total, ranges = sum(sizes), 1
+    while ranges < _BUCKETS and total > ranges * per_task:
+        ranges *= 2
+    width = _BUCKETS // ranges
+    blocks = F.sequence(F.lit(0), F.lit(math.ceil(n_rep / block) - 1))
+    dealt = rows.withColumn("_range", F.floor(bucket / width).cast("int")).withColumn("_block", F.explode(blocks))
+    return dealt, [sum(sizes[i:i + width]) for i in range(0, _BUCKETS, width)]
+
+
 def omnibus(errors: DataFrame, subject: str, sources: list[str], n_rep: int, seed: int) -> DataFrame:
     """Do all sources have the same mean absolute error? Labels are permuted within subjects.
 
-    A replicate sorts a subject's short array of sums by 64-bit hash keys, so every
-    order is equally likely; no shuffle precedes the aggregation.
+    A task holds a range of subjects and a block of replicates: per subject it permutes one small matrix, a row per
+    replicate, with a generator of that subject and block, and adds it up. Sums of a block leave the task, never a
+    row per subject and replicate.
     """
     k = len(sources)
-    reps = _fan_out(errors, [subject]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    digests = reps.withColumns({
-        f"_d{c}": R.digest(seed, F.col("rep"), F.col(subject), c) for c in range((k + 1) // 2)})
-    keyed = F.array_sort(F.array(*[
-        F.struct(F.substring(f"_d{i // 2}", 16 * (i % 2) + 1, 16).alias("key"), F.lit(i).alias("i"), F.col(s).alias("e"))
-        for i, s in enumerate(sources)]))
-    moved = digests.select("rep", "m", keyed.alias("z"))
-    stat = moved.groupBy("rep").agg(F.sum("m").alias("n"), *[F.sum(F.col("z")[i]["e"]).alias(f"p{i}") for i in range(k)])
+    places = [f"p{i}" for i in range(k)]
+    dealt, _ = _by_block(errors.select(F.col(subject).cast("string").alias("_unit"), *sources), "_unit", n_rep, ORDER_BLOCK, 20_000)
+
+    def permuted(frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame["_block"].iat[0])
+        reps = min(ORDER_BLOCK, n_rep - block * ORDER_BLOCK)
+        sums, matrix = np.zeros((reps, k)), np.empty((reps, k))
+        ordered = frame.sort_values("_unit")
+        for unit, values in zip(ordered["_unit"], ordered[sources].to_numpy(float)):
+            matrix[:] = values
+            sums += variates.generator(seed, "order", block, unit).permuted(matrix, axis=1, out=matrix)
+        return pd.DataFrame(sums, columns=places).assign(rep=block * ORDER_BLOCK + np.arange(reps))
+
+    stat = dealt.groupBy("_block", "_range").applyInPandas(permuted, ", ".join(f"{p} double" for p in places) + ", rep bigint").groupBy(
+        "rep").agg(*[F.sum(p).alias(p) for p in places])
 
     def variance(columns, n):
         means = [c / n for c in columns]
@@ -168,9 +275,9 @@ def omnibus(errors: DataFrame, subject: str, sources: list[str], n_rep: int, see
         return sum([(m - centre) * (m - centre) for m in means[1:]], (means[0] - centre) * (means[0] - centre)) / k
 
     observed = errors.agg(F.sum("m").alias("n"), *[F.sum(s).alias(s) for s in sources]).select(
-        variance([F.col(s) for s in sources], F.col("n")).alias("statistic"))
-    null = stat.select(variance([F.col(f"p{i}") for i in range(k)], F.col("n")).alias("v"))
-    return attach_single(null, observed).groupBy("statistic").agg(
+        "n", variance([F.col(s) for s in sources], F.col("n")).alias("statistic"))
+    null = attach_single(stat, observed).select("statistic", variance([F.col(p) for p in places], F.col("n")).alias("v"))
+    return null.groupBy("statistic").agg(
         ((F.sum((F.col("v") >= F.col("statistic") - 1e-12).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
@@ -192,18 +299,93 @@ def numbered(ids: DataFrame, key: str) -> DataFrame:
         key, (F.col("_in") + F.col("_shift")).alias("idx"), "n")
 
 
+def _drawn(frame: pd.DataFrame, sizes: list[int], n_rep: int, seed: int, held: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(replicates, weights of the frame's units in their order) in pieces of at most about `held` weights."""
+    block, leaf, units = int(frame["_block"].iat[0]), int(frame["_range"].iat[0]), len(frame)
+    reps = block * BOOT_BLOCK + np.arange(min(BOOT_BLOCK, n_rep - block * BOOT_BLOCK))
+    draws = variates.descend(seed, block, np.full(len(reps), sum(sizes)), sizes, leaf)
+    rng = variates.generator(seed, "units", block, leaf, len(sizes))
+    step = max(1, held // max(units, 1))
+    for at in range(0, len(reps), step):
+        yield reps[at:at + step], variates.spread_draws(rng, draws[at:at + step], units)
+
+
+def _per_task(width: int) -> int:
+    """Units of a task whose rows are so wide."""
+    return max(1000, min(50_000, HELD // max(width, 1)))
+
+
 def bootstrap_weights(subjects: DataFrame, subject: str, n_rep: int, seed: int) -> DataFrame:
-    """(subject, rep, w): how often each subject is drawn; n draws per replicate.
+    """(subject, rep, w): how often each subject is drawn, as rows; w is never 0 and adds up to the subjects in each replicate.
+
+    The draws of a replicate are split down a tree of hash ranges by seeded binomials, and a task deals those that
+    reach its own range over its subjects, so no draw is shuffled.
+    """
+    kind = dict(subjects.dtypes)[subject]
+    dealt, sizes = _by_block(subjects.select(F.col(subject).alias("_unit")), "_unit", n_rep, BOOT_BLOCK, _per_task(1))
 
-    Subject number j makes the j-th draw of every replicate. The draws are keyed
-    by the drawn number and combined before they meet the subject table.
+    def drawn(frame: pd.DataFrame) -> pd.DataFrame:
+        units, out = np.sort(frame["_unit"].to_numpy()), []
+        for reps, weights in _drawn(frame, sizes, n_rep, seed, HELD):
+            rep, unit = np.nonzero(weights)
+            out.append(pd.DataFrame({"unit": units[unit], "rep": reps[rep], "w": weights[rep, unit]}))
+        return pd.concat(out)
+
+    return dealt.groupBy("_block", "_range").applyInPandas(drawn, f"unit {kind}, rep bigint, w bigint").withColumnRenamed("unit", subject)
+
+
+def bootstrap_sums(rows: DataFrame, subject: str, columns: list[str], n_rep: int, seed: int) -> DataFrame:
+    """(rep, columns): sums of one row per subject under the draws of every replicate.
+
+    A task multiplies the weights of its own subjects with their rows; what leaves it is one row per replicate.
+    """
+    dealt, sizes = _by_block(rows.select(F.col(subject).alias("_unit"), *[F.col(c).cast("double").alias(c) for c in columns]),
+                             "_unit", n_rep, BOOT_BLOCK, _per_task(len(columns)))
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame.sort_values("_unit")[columns].to_numpy(float)
+        return pd.concat([pd.DataFrame(weights @ values, columns=columns).assign(rep=reps)
+                          for reps, weights in _drawn(frame, sizes, n_rep, seed, HELD)])
+
+    schema = ", ".join([*[f"`{c}` double" for c in columns], "rep bigint"])
+    return dealt.groupBy("_block", "_range").applyInPandas(summed, schema).groupBy("rep").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def bootstrap_counts(cases: DataFrame, subject: str, keys: list[str], n_rep: int, seed: int) -> DataFrame:
+    """(rep, keys, w): how many drawn cases have each combination of the keys; for keys of a closed domain.
+
+    Cases are counted per subject first. A task holds its subjects' counts as a matrix, a column per combination.
     """
-    index = numbered(subjects, subject)
-    word = F.conv(F.substring(R.digest(seed, F.col("rep"), F.col("idx")), 1, 15), 16, 10).cast("long")
-    drawn = _fan_out(index, ["idx"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).select(
-        "rep", (word % F.col("n")).alias("idx"))
-    weights = drawn.groupBy("idx", "rep").agg(F.count("*").alias("w"))
-    return weights.join(index.select(subject, "idx"), "idx").select(subject, "rep", "w")
+    entries = cases.groupBy(F.col(subject).alias("_unit"), *keys).agg(F.count("*").alias("_n"))
+    combinations = entries.select(*keys).distinct().count()
+    listed = entries.groupBy("_unit").agg(F.collect_list(F.struct(*keys, "_n")).alias("_entries"))
+    dealt, sizes = _by_block(listed, "_unit", n_rep, BOOT_BLOCK, _per_task(combinations))
+    fields = {f.name: f.dataType.simpleString() for f in entries.schema if f.name in keys}
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        places: dict[tuple, int] = {}
+        cells = [(unit, places.setdefault(tuple(entry[k] for k in keys), len(places)), entry["_n"])
+                 for unit, entries in enumerate(frame.sort_values("_unit")["_entries"]) for entry in entries]
+        unit, place, n = map(np.array, zip(*cells))
+        matrix = np.zeros((len(frame), len(places)))
+        matrix[unit, place] = n
+        names = list(places)
+        out = []
+        for reps, weights in _drawn(frame, sizes, n_rep, seed, HELD // 4):
+            sums = weights @ matrix
+            rep, column = np.nonzero(sums)
+            out.append(pd.DataFrame({
+                **{k: [names[c][i] for c in column] for i, k in enumerate(keys)}, "rep": reps[rep], "w": sums[rep, column].astype(np.int64)}))
+        return pd.concat(out)
+
+    schema = ", ".join([*[f"`{k}` {fields[k]}" for k in keys], "rep bigint, w bigint"])
+    return dealt.groupBy("_block", "_range").applyInPandas(counted, schema).groupBy("rep", *keys).agg(F.sum("w").alias("w"))
+
+
+def bootstrap_errors(errors: DataFrame, subject: str, sources: list[str], n_rep: int, seed: int) -> DataFrame:
+    """(rep, source, mae, bias): subject sums under the draws of every replicate."""
+    columns = ["m", *[c for s in sources for c in (s, f"bias_{s}")]]
+    return mean_errors(bootstrap_sums(errors, subject, columns, n_rep, seed), ["rep"], sources)
 
 
 def poisson_weights(rows: DataFrame, subject: str, n_rep: int, seed: int) -> DataFrame:
@@ -223,13 +405,13 @@ def poisson_weights(rows: DataFrame, subject: str, n_rep: int, seed: int) -> Dat
             .withColumn("w", w).where(F.col("w") > 0))
 
 
-def bootstrap_metrics(cases: DataFrame, weights: DataFrame, subject: str) -> DataFrame:
-    """Every metric per replicate and source, all sources on the same draw.
+def bootstrap_metrics(cases: DataFrame, subject: str, n_rep: int, seed: int) -> DataFrame:
+    """Every metric per replicate and source, all sources on the same draws.
 
-    Weighted cases collapse to joint counts of (h, y, init) before any metric.
+    Drawn cases are joint counts of (h, y, init) before any metric.
     """
-    drawn = cases.join(weights, subject)
-    return M.all_metrics(drawn, ["rep", "source"], F.col("w"))
+    counts = bootstrap_counts(cases, subject, ["source", "h", "y", "init"], n_rep, seed)
+    return M.all_metrics(counts, ["rep", "source"], F.col("w"))
 
 
 def percentile_interval(df: DataFrame, group: list[str], value: str, alpha: float = 0.05) -> DataFrame:
@@ -245,6 +427,12 @@ def rank_replicates(reps: DataFrame, metric: str) -> DataFrame:
     return reps.withColumn("place", F.rank().over(Window.partitionBy("rep").orderBy(value)))
 
 
+def point_ranks(point: DataFrame, metric: str, ranked: list[str]) -> DataFrame:
+    """(source, place) among the ranked sources; ties share the better rank, null goes last."""
+    order = Window.partitionBy(F.lit(1)).orderBy(F.coalesce(F.col(metric), F.lit(float("inf"))))
+    return point.where(F.col("source").isin(ranked)).select("source", F.rank().over(order).alias("place"))
+
+
 def rank_summary(point: DataFrame, reps: DataFrame, metric: str, ranked: list[str]) -> DataFrame:
     """Estimate, interval, rank, rank interval and the share of replicates ranked first."""
     among = F.col("source").isin(ranked)
@@ -252,8 +440,7 @@ def rank_summary(point: DataFrame, reps: DataFrame, metric: str, ranked: list[st
     ci = percentile_interval(reps, ["source"], metric)
     rank_ci = percentile_interval(places, ["source"], "place").withColumnsRenamed({"lo": "rank_lo", "hi": "rank_hi"})
     best = places.groupBy("source").agg(F.avg((F.col("place") == 1).cast("int")).alias("p_best"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.coalesce(F.col(metric), F.lit(float("inf"))))
-    rank = point.where(among).select("source", F.rank().over(order).alias("place"))
+    rank = point_ranks(point, metric, ranked)
     return (point.select("source", F.col(metric).alias("estimate")).join(ci, "source").join(rank, "source", "left")
             .join(rank_ci, "source", "left").join(best, "source", "left"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from paneloom.operators import distance as M
@@ -19,11 +21,6 @@ from paneloom.plans.registry import query, r6, sq6
 from paneloom.session import materialise
 
 _C = F.col
-# Replicates of the queries with a SQL twin, a parameter of each: as many as the twin can carry.
-# queries_published.py registers them once more at the published budgets; queries without a twin have these by default.
-REPS = 64
-BOOT = 40
-
 
 def _wide(spark, sf_dir, lines=None):
     return P.assemble(V.panel(spark, sf_dir, lines), V.CANDIDATES)
@@ -35,31 +32,29 @@ def _diffs():
     ]), lambda x: x["d"].isNotNull())
 
 
-def _sign(seed: int, unit: str, rep: str = "rep") -> str:
-    """The +1/-1 sign of a replicate as SQL."""
-    word = f"('0x' || substr(md5('{seed}|' || ({rep} // 32) || '|' || {unit}), 1, 8))::UBIGINT"
-    return f"(2 * CAST(({word} >> CAST({rep} % 32 AS UBIGINT)) & 1 AS INT) - 1)"
-
+# Numpy's binomial draws have no SQL. What the tests observe has: these twins check the counts that the draws start from.
+_OBSERVED = """sf AS (SELECT coalesce(item, 'all') AS item, coalesce(cell, 'all') AS cell, source, count(*) AS n, avg(h - y) AS mean_diff, stddev_samp(h - y) AS sd_diff
+  FROM paired GROUP BY GROUPING SETS ((source), (item, source), (item, cell, source)))"""
 
-_FLIP = f"""rp AS (SELECT unnest(range({REPS})) AS rep),
-sg AS (SELECT subject, item, round, rep, {_sign(42, "subject || '|' || item || '|' || round")} AS sgn FROM (SELECT DISTINCT subject, item, round FROM paired) CROSS JOIN rp),
-fl AS (SELECT coalesce(p.item, 'all') AS item, coalesce(p.cell, 'all') AS cell, p.source, rep, sum(sgn * (h - y)) AS s, sum(h - y) AS obs, count(*) AS n,
-  sum((h - y) * (h - y)) AS sq FROM paired p JOIN sg USING (subject, item, round) GROUP BY GROUPING SETS ((p.source, rep), (p.item, p.source, rep), (p.item, p.cell, p.source, rep))),
-sf AS (SELECT item, cell, source, max(n) AS n, max(obs) / CAST(max(n) AS DOUBLE) AS mean_diff, count(CASE WHEN abs(s) >= abs(obs) THEN 1 END) AS exceed,
-  sqrt((max(sq) - max(obs) * max(obs) / CAST(max(n) AS DOUBLE)) / (max(n) - 1)) AS sd_diff FROM fl GROUP BY 1, 2, 3)"""
 
-
-@query("sta1_sign_flip_grid", f"""WITH {V.PAIRED}, {_FLIP}
-SELECT item, cell, source, n, {sq6('mean_diff')} AS mean_diff, exceed, {sq6(f'exceed / {REPS}e0')} AS p, exceed / {REPS}e0 < 0.0167 AS reject FROM sf""")
-def sta1(spark, sf_dir, n_rep=REPS):
-    out = B.sign_flip(_wide(spark, sf_dir), ["item", "cell"], ["subject", "item", "round"], _diffs(), report.GROUPINGS, n_rep)
+@query("sta1_sign_flip_grid")
+def sta1(spark, sf_dir, n_rep=B.N_FLIPS):
+    out = B.counted_sign_flip(_wide(spark, sf_dir), ["item", "cell"], _diffs(), report.GROUPINGS, n_rep)
     return out.select("item", "cell", _C("label").alias("source"), "n", r6(_C("mean_diff")).alias("mean_diff"),
                       "exceed", r6(_C("p")).alias("p"), "reject")
 
 
-@query("sta2_sign_flip_whole_design", f"""WITH {V.PAIRED}, {_FLIP} SELECT source, n, {sq6('mean_diff')} AS mean_diff, {sq6(f'exceed / {REPS}e0')} AS p FROM sf WHERE item = 'all'""")
-def sta2(spark, sf_dir, n_rep=REPS):
-    out = B.sign_flip(_wide(spark, sf_dir), [], ["subject", "item", "round"], _diffs(), [[]], n_rep)
+@query("sta1_observed_differences", f"""WITH {V.PAIRED}, {_OBSERVED}
+SELECT item, cell, source, n, {sq6('mean_diff')} AS mean_diff, {sq6('sd_diff')} AS sd_diff, {sq6('mean_diff / sd_diff')} AS d_z FROM sf""")
+def sta1_observed(spark, sf_dir):
+    """Effects of every grouping from counts per difference, as the sign flips see them."""
+    out = B.observed_differences(B.difference_counts(_wide(spark, sf_dir), ["item", "cell"], _diffs(), report.GROUPINGS))
+    return out.select("item", "cell", _C("label").alias("source"), "n", *[r6(_C(c)).alias(c) for c in ("mean_diff", "sd_diff", "d_z")])
+
+
+@query("sta2_sign_flip_whole_design")
+def sta2(spark, sf_dir, n_rep=B.N_FLIPS):
+    out = B.counted_sign_flip(_wide(spark, sf_dir), [], _diffs(), [[]], n_rep)
     return out.select(_C("label").alias("source"), "n", r6(_C("mean_diff")).alias("mean_diff"), r6(_C("p")).alias("p"))
 
 
@@ -67,32 +62,43 @@ def sta2(spark, sf_dir, n_rep=REPS):
 COMPARISONS = ([("baseline", s) for s in V.CANDIDATES] + [("model_2", s) for s in V.CANDIDATES[1:4]])
 
 
-@query("sta3_comparison_registry", f"""WITH {V.PANEL}, cmp AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in COMPARISONS)}) v(a, b)),
-pd AS (SELECT cmp.a, cmp.b, x.subject, x.item, x.round, x.y - z.y AS d FROM cmp JOIN panel x ON x.source = cmp.a JOIN panel z ON z.source = cmp.b AND z.subject = x.subject AND z.item = x.item AND z.round = x.round
-  WHERE x.y IS NOT NULL AND z.y IS NOT NULL),
-rs AS (SELECT a, b, rep, sum({_sign(42, "subject || '|' || item || '|' || round")} * d) AS s, sum(d) AS obs, count(*) AS n FROM pd CROSS JOIN (SELECT unnest(range({REPS})) AS rep) GROUP BY 1, 2, 3)
-SELECT a, b, max(n) AS n, {sq6('max(obs) / CAST(max(n) AS DOUBLE)')} AS observed_diff, {sq6(f'count(CASE WHEN abs(s) >= abs(obs) THEN 1 END) / {REPS}e0')} AS p FROM rs GROUP BY 1, 2""")
-def sta3(spark, sf_dir, n_rep=REPS):
+def _comparisons(spark, sf_dir):
     wide = _wide(spark, sf_dir).withColumn(V.BASELINE, _C("h"))
     diffs = F.filter(F.array(*[
         F.struct(F.lit(f"{a}|{b}").alias("label"), (_C(a) - _C(b)).alias("d")) for a, b in COMPARISONS
     ]), lambda x: x["d"].isNotNull())
-    out = B.sign_flip(wide, [], ["subject", "item", "round"], diffs, [[]], n_rep)
+    return wide, diffs
+
+
+def _named(out):
     names = F.split("label", r"\|")
-    return out.select(names[0].alias("a"), names[1].alias("b"), "n", r6(_C("mean_diff")).alias("observed_diff"),
-                      r6(_C("p")).alias("p"))
+    return out.withColumns({"a": names[0], "b": names[1]})
+
+
+@query("sta3_comparison_registry")
+def sta3(spark, sf_dir, n_rep=B.N_FLIPS):
+    wide, diffs = _comparisons(spark, sf_dir)
+    out = _named(B.counted_sign_flip(wide, [], diffs, [[]], n_rep))
+    return out.select("a", "b", "n", r6(_C("mean_diff")).alias("observed_diff"), r6(_C("p")).alias("p"))
 
 
-@query("agg22_ablation_permutation", f"""WITH {V.PANEL}, {_COMPARED},
-rs AS (SELECT run, other, rep, sum(sgn * (base - abl)) AS s1, sum(sgn * (abs(h - base) - abs(h - abl))) AS s2, sum(base - abl) AS o1, sum(abs(h - base) - abs(h - abl)) AS o2
-  FROM (SELECT *, {_sign(42, "subject || '|' || item || '|' || round")} AS sgn FROM t CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY 1, 2, 3)
-SELECT run AS base, other, {sq6(f'count(CASE WHEN abs(s1) >= abs(o1) THEN 1 END) / {REPS}e0')} AS p_shift, {sq6(f'count(CASE WHEN abs(s2) >= abs(o2) THEN 1 END) / {REPS}e0')} AS p_mae FROM rs GROUP BY 1, 2""")
-def agg22_permutation(spark, sf_dir, n_rep=REPS):
+@query("sta3_observed_differences", f"""WITH {V.PANEL}, cmp AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in COMPARISONS)}) v(a, b)),
+pd AS (SELECT cmp.a, cmp.b, x.y - z.y AS d FROM cmp JOIN panel x ON x.source = cmp.a JOIN panel z ON z.source = cmp.b AND z.subject = x.subject AND z.item = x.item AND z.round = x.round
+  WHERE x.y IS NOT NULL AND z.y IS NOT NULL)
+SELECT a, b, count(*) AS n, {sq6('avg(d)')} AS observed_diff, {sq6('stddev_samp(d)')} AS sd_diff FROM pd GROUP BY 1, 2""")
+def sta3_observed(spark, sf_dir):
+    wide, diffs = _comparisons(spark, sf_dir)
+    out = _named(B.observed_differences(B.difference_counts(wide, [], diffs, [[]])))
+    return out.select("a", "b", "n", r6(_C("mean_diff")).alias("observed_diff"), r6(_C("sd_diff")).alias("sd_diff"))
+
+
+@query("agg22_ablation_permutation")
+def agg22_permutation(spark, sf_dir, n_rep=B.N_FLIPS):
     a, b, h = _C("y_base"), _C("y_other"), _C("h")
     diffs = F.array(F.struct(F.lit("shift").alias("label"), (a - b).alias("d")),
                     F.struct(F.lit("mae").alias("label"), (F.abs(h - a) - F.abs(h - b)).alias("d")))
     pair = ["base", "other"]
-    out = B.sign_flip(V.compared(_wide(spark, sf_dir)), pair, ["subject", "item", "round"], diffs, [pair], n_rep)
+    out = B.counted_sign_flip(V.compared(_wide(spark, sf_dir)), pair, diffs, [pair], n_rep)
     return out.groupBy(*pair).agg(r6(F.max(F.when(_C("label") == "shift", _C("p")))).alias("p_shift"),
                                   r6(F.max(F.when(_C("label") == "mae", _C("p")))).alias("p_mae"))
 
@@ -101,111 +107,94 @@ def _errors(spark, sf_dir):
     return materialise(B.subject_errors(scored_wide(spark, sf_dir), "subject", SCORED_SOURCES), "errors")
 
 
-_ORDER = ", ".join(f"('{s}', {i})" for i, s in enumerate(SCORED_SOURCES))
-_CLUSTER = f"""ord AS (SELECT * FROM (VALUES {_ORDER}) v(source, o)),
-se AS (SELECT subject, source, sum(abs(h - y)) AS e, count(*) AS m FROM scored GROUP BY 1, 2),
-nc AS (SELECT count(*) / {len(SCORED_SOURCES)}e0 AS n_cases FROM scored),
-rs AS (SELECT source, o, rep, sum(sgn * e) AS s, sum(e) AS obs FROM (SELECT se.*, rep, {_sign(7, "subject")} AS sgn FROM se CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) JOIN ord USING (source) GROUP BY 1, 2, 3),
-cf AS (SELECT a.source AS a, b.source AS b, max(a.obs - b.obs) / max(n_cases) AS diff, (count(CASE WHEN abs(a.s - b.s) >= abs(a.obs - b.obs) - 1e-9 THEN 1 END) + 1) / {REPS + 1}e0 AS p
-  FROM rs a JOIN rs b ON a.rep = b.rep AND a.o < b.o CROSS JOIN nc GROUP BY 1, 2)"""
+_N = len(SCORED_SOURCES)
+# One digest per subject and 32 flips, subjects wide: the twin follows the published number of flips.
+_CLUSTER = f"""se AS (SELECT subject, {', '.join(f"sum(abs(h - y)) FILTER (source = '{s}') AS e{i}" for i, s in enumerate(SCORED_SOURCES))} FROM scored GROUP BY subject),
+nc AS (SELECT count(*) / {_N}e0 AS n_cases, {', '.join(f"(SELECT sum(e{i}) FROM se) AS o{i}" for i in range(_N))} FROM scored),
+dg AS (SELECT blk, {', '.join(f'e{i}' for i in range(_N))}, ('0x' || substr(md5('7|' || blk || '|' || subject), 1, 8))::UBIGINT AS word
+  FROM se CROSS JOIN (SELECT unnest(range({math.ceil(B.N_CLUSTER_FLIPS / 32)})) AS blk)),
+rs AS (SELECT blk, pos, {', '.join(f"sum((2 * CAST((word >> CAST(pos AS UBIGINT)) & 1 AS INT) - 1) * e{i}) AS s{i}" for i in range(_N))}
+  FROM dg CROSS JOIN (SELECT unnest(range(32)) AS pos) WHERE blk * 32 + pos < {B.N_CLUSTER_FLIPS} GROUP BY 1, 2),
+cf AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, max(o{i} - o{j}) / max(n_cases) AS diff, (count(CASE WHEN abs(s{i} - s{j}) >= abs(o{i} - o{j}) - 1e-9 THEN 1 END) + 1) / {B.N_CLUSTER_FLIPS + 1}e0 AS p FROM rs CROSS JOIN nc"
+                           for i, a in enumerate(SCORED_SOURCES) for j, b in enumerate(SCORED_SOURCES) if i < j)})"""
 
 
 @query("sta4_cluster_sign_flip", f"WITH {FRAME}, {_CLUSTER} SELECT a, b, {sq6('diff')} AS diff, {sq6('p')} AS p FROM cf")
-def sta4(spark, sf_dir, n_rep=REPS):
+def sta4(spark, sf_dir, n_rep=B.N_CLUSTER_FLIPS):
     out = B.cluster_sign_flip(_errors(spark, sf_dir), "subject", SCORED_SOURCES, n_rep, 7)
     return out.select("a", "b", r6(_C("diff")).alias("diff"), r6(_C("p")).alias("p"))
 
 
-@query("sta5_omnibus", f"""WITH {FRAME}, ord AS (SELECT * FROM (VALUES {_ORDER}) v(source, o)),
-se AS (SELECT subject, source, o, sum(abs(h - y)) AS e, count(*) AS m FROM scored JOIN ord USING (source) GROUP BY 1, 2, 3),
-tot AS (SELECT sum(m) / {len(SCORED_SOURCES)}e0 AS n FROM se),
-obs AS (SELECT var_pop(t / n) AS v FROM (SELECT source, sum(e) AS t FROM se GROUP BY source) CROSS JOIN tot),
-pm AS (SELECT rep, row_number() OVER (PARTITION BY rep, subject ORDER BY substr(md5('7|' || rep || '|' || subject || '|' || (o // 2)), CAST(16 * (o % 2) + 1 AS INT), 16), o) AS k, e
-  FROM se CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
-nu AS (SELECT rep, var_pop(t / n) AS v FROM (SELECT rep, k, sum(e) AS t FROM pm GROUP BY 1, 2) CROSS JOIN tot GROUP BY rep)
-SELECT {sq6('max(obs.v)')} AS statistic, {sq6(f'(count(CASE WHEN nu.v >= obs.v - 1e-12 THEN 1 END) + 1) / {REPS + 1}e0')} AS p FROM nu CROSS JOIN obs""")
-def sta5(spark, sf_dir, n_rep=REPS):
+@query("sta5_omnibus")
+def sta5(spark, sf_dir, n_rep=B.N_CLUSTER_FLIPS):
     out = B.omnibus(_errors(spark, sf_dir), "subject", SCORED_SOURCES, n_rep, 7)
     return out.select(r6(_C("statistic")).alias("statistic"), r6(_C("p")).alias("p"))
 
 
-_BOOT = f"""ids AS (SELECT subject, row_number() OVER (ORDER BY md5(CAST(subject AS VARCHAR)), subject) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT subject FROM scored)),
-dr AS (SELECT rep, CAST(('0x' || substr(md5('11|' || rep || '|' || idx), 1, 15))::UBIGINT % n AS BIGINT) AS pick FROM ids CROSS JOIN (SELECT unnest(range({BOOT})) AS rep)),
-wt AS (SELECT subject, rep, w FROM (SELECT pick, rep, count(*) AS w FROM dr GROUP BY 1, 2) JOIN ids ON idx = pick),
-bm AS (SELECT rep, source, sum(w * abs(h - y)) / sum(w) AS mae, sum(w * (h - y)) / sum(w) AS bias FROM scored JOIN wt USING (subject) GROUP BY 1, 2)"""
-
+@query("sta5_observed_variance", f"""WITH {FRAME} SELECT {sq6('var_pop(mae)')} AS statistic FROM (SELECT avg(abs(h - y)) AS mae FROM scored GROUP BY source)""")
+def sta5_observed(spark, sf_dir):
+    """The omnibus statistic from subject sums."""
+    errors = B.mean_errors(_errors(spark, sf_dir), [], SCORED_SOURCES)
+    return errors.agg(r6(F.var_pop("mae")).alias("statistic"))
 
-def _weights(subjects, n_boot=BOOT):
-    return B.bootstrap_weights(subjects.select("subject").distinct(), "subject", n_boot, 11)
 
-
-@query("sta7_cluster_bootstrap", f"WITH {FRAME}, {_BOOT} SELECT rep, source, {sq6('mae')} AS mae, {sq6('bias')} AS bias FROM bm")
-def sta7(spark, sf_dir, n_boot=BOOT):
-    errors = _errors(spark, sf_dir)
-    out = B.mean_errors(errors.join(_weights(errors, n_boot), "subject"), ["rep"], SCORED_SOURCES, _C("w"))
+@query("sta7_cluster_bootstrap")
+def sta7(spark, sf_dir, n_boot=B.N_BOOTSTRAPS):
+    out = B.bootstrap_errors(_errors(spark, sf_dir), "subject", SCORED_SOURCES, n_boot, 11)
     return out.select("rep", "source", r6(_C("mae")).alias("mae"), r6(_C("bias")).alias("bias"))
 
 
-@query("sta7_bootstrap_all_metrics", f"""WITH {FRAME}, {_BOOT}, vw AS (SELECT rep, source, v, CAST(sum(wh) AS DOUBLE) AS wh, CAST(sum(wy) AS DOUBLE) AS wy FROM (
-  SELECT rep, source, CAST(h AS DOUBLE) AS v, w AS wh, 0 AS wy FROM scored JOIN wt USING (subject) UNION ALL SELECT rep, source, y, 0, w FROM scored JOIN wt USING (subject)) GROUP BY 1, 2, 3),
-w1 AS (SELECT rep, source, sum(abs(fh - fy) * gap) AS wasserstein FROM (
-  SELECT rep, source, sum(wh) OVER u / sum(wh) OVER a AS fh, sum(wy) OVER u / sum(wy) OVER a AS fy, lead(v) OVER (PARTITION BY rep, source ORDER BY v) - v AS gap
-  FROM vw WINDOW u AS (PARTITION BY rep, source ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY rep, source)) GROUP BY 1, 2)
-SELECT rep, source, {sq6('mae')} AS mae, {sq6('wasserstein')} AS wasserstein FROM bm JOIN w1 USING (rep, source)""")
-def sta7_all(spark, sf_dir, n_boot=BOOT):
+@query("sta7_bootstrap_all_metrics")
+def sta7_all(spark, sf_dir, n_boot=B.N_BOOTSTRAPS):
     cases = materialise(scored_cases(spark, sf_dir), "cases")
-    out = B.bootstrap_metrics(cases, _weights(cases, n_boot), "subject")
+    out = B.bootstrap_metrics(cases, "subject", n_boot, 11)
     return out.select("rep", "source", r6(_C("mae")).alias("mae"), r6(_C("wasserstein")).alias("wasserstein"))
 
 
-@query("sta7_poisson_bootstrap", f"""WITH {FRAME}, u AS (SELECT subject, rep, ('0x' || substr(md5('poisson|11|' || rep || '|' || subject), 1, 8))::UBIGINT / 4294967296e0 AS u
-  FROM (SELECT DISTINCT subject FROM scored) CROSS JOIN (SELECT unnest(range({BOOT})) AS rep)),
-cum AS (SELECT k, sum(t) OVER (ORDER BY k) AS c FROM (SELECT k, exp(-1e0) / gamma(k + 1e0) AS t FROM (SELECT unnest(range(12)) AS k))),
-pw AS (SELECT subject, rep, (SELECT count(*) FROM cum WHERE u.u >= c) AS w FROM u)
-SELECT rep, source, {sq6('sum(w * abs(h - y)) / CAST(sum(w) AS DOUBLE)')} AS mae FROM scored JOIN pw USING (subject) WHERE w > 0 GROUP BY 1, 2""")
-def sta7_poisson(spark, sf_dir, n_boot=BOOT):
+@query("sta7_poisson_bootstrap", f"""WITH {FRAME}, se AS (SELECT subject, count(*) / {_N} AS m, {', '.join(f"sum(abs(h - y)) FILTER (source = '{s}') AS e{i}" for i, s in enumerate(SCORED_SOURCES))} FROM scored GROUP BY subject),
+cum AS (SELECT list(c ORDER BY k) AS cs FROM (SELECT k, sum(t) OVER (ORDER BY k) AS c FROM (SELECT k, exp(-1e0) / gamma(k + 1e0) AS t FROM (SELECT unnest(range(12)) AS k)))),
+u AS (SELECT se.*, rep, ('0x' || substr(md5('poisson|11|' || rep || '|' || subject), 1, 8))::UBIGINT / 4294967296e0 AS u FROM se CROSS JOIN (SELECT unnest(range({B.N_BOOTSTRAPS})) AS rep)),
+w AS (SELECT *, {' + '.join(f'CASE WHEN u >= cs[{k}] THEN 1 ELSE 0 END' for k in range(1, 13))} AS w FROM u CROSS JOIN cum),
+t AS (SELECT rep, sum(w * m) AS n, {', '.join(f'sum(w * e{i}) AS t{i}' for i in range(_N))} FROM w GROUP BY rep)
+{' UNION ALL '.join(f"SELECT rep, '{s}' AS source, {sq6(f't{i} / CAST(n AS DOUBLE)')} AS mae FROM t WHERE n > 0" for i, s in enumerate(SCORED_SOURCES))}""")
+def sta7_poisson(spark, sf_dir, n_boot=B.N_BOOTSTRAPS):
     drawn = B.poisson_weights(_errors(spark, sf_dir), "subject", n_boot, 11)
     out = B.mean_errors(drawn, ["rep"], SCORED_SOURCES, _C("w"))
     return out.select("rep", "source", r6(_C("mae")).alias("mae"))
 
 
-def _mae_reps(errors, n_boot=BOOT):
-    drawn = errors.join(_weights(errors, n_boot), "subject")
-    return B.mean_errors(drawn, ["rep"], SCORED_SOURCES, _C("w")).withColumn("mae", F.round("mae", 9))
+def _mae_reps(errors, n_boot=B.N_BOOTSTRAPS):
+    return B.bootstrap_errors(errors, "subject", SCORED_SOURCES, n_boot, 11).withColumn("mae", F.round("mae", 9))
 
 
-_R9 = "bm9 AS (SELECT rep, source, round(mae, 9) AS mae FROM bm)"
-
-
-@query("sta8_percentile_interval", f"WITH {FRAME}, {_BOOT}, {_R9} SELECT source, {sq6('quantile_disc(mae, 0.025)')} AS lo, {sq6('quantile_disc(mae, 0.975)')} AS hi FROM bm9 GROUP BY source")
-def sta8(spark, sf_dir, n_boot=BOOT):
+@query("sta8_percentile_interval")
+def sta8(spark, sf_dir, n_boot=B.N_BOOTSTRAPS):
     out = B.percentile_interval(_mae_reps(_errors(spark, sf_dir), n_boot), ["source"], "mae")
     return out.select("source", r6(_C("lo")).alias("lo"), r6(_C("hi")).alias("hi"))
 
 
 _RANKED = ", ".join(f"'{s}'" for s in V.CANDIDATES)
-_RANK_SUMMARY = f"""pt AS (SELECT source, avg(abs(h - y)) AS mae FROM scored GROUP BY source),
-ci AS (SELECT source, quantile_disc(mae, 0.025) AS lo, quantile_disc(mae, 0.975) AS hi FROM bm9 GROUP BY source),
-pl AS (SELECT source, rank() OVER (PARTITION BY rep ORDER BY mae) AS place FROM bm9 WHERE source IN ({_RANKED})),
-rc AS (SELECT source, quantile_disc(place, 0.025) AS rank_lo, quantile_disc(place, 0.975) AS rank_hi, avg(CASE WHEN place = 1 THEN 1 ELSE 0 END) AS p_best FROM pl GROUP BY source),
+_POINT = f"""pt AS (SELECT source, avg(abs(h - y)) AS mae FROM scored GROUP BY source),
 pr AS (SELECT source, rank() OVER (ORDER BY mae) AS place FROM pt WHERE source IN ({_RANKED}))"""
 
 
-@query("sta9_rank_summary", f"""WITH {FRAME}, {_BOOT}, {_R9}, {_RANK_SUMMARY}
-SELECT source, {sq6('mae')} AS estimate, {sq6('lo')} AS lo, {sq6('hi')} AS hi, place, rank_lo, rank_hi, {sq6('p_best')} AS p_best
-FROM pt JOIN ci USING (source) LEFT JOIN pr USING (source) LEFT JOIN rc USING (source)""")
-def sta9(spark, sf_dir, n_boot=BOOT):
+@query("sta9_rank_summary")
+def sta9(spark, sf_dir, n_boot=B.N_BOOTSTRAPS):
     errors = _errors(spark, sf_dir)
     out = B.rank_summary(B.mean_errors(errors, [], SCORED_SOURCES), materialise(_mae_reps(errors, n_boot), "reps"), "mae", V.CANDIDATES)
     return out.select("source", *[r6(_C(c)).alias(c) for c in ("estimate", "lo", "hi")], "place",
                       "rank_lo", "rank_hi", r6(_C("p_best")).alias("p_best"))
 
 
-@query("sta6_pairwise_mae", f"""WITH {FRAME}, {_BOOT}, {_R9}, {_CLUSTER},
-pd AS (SELECT x.source AS a, z.source AS b, quantile_disc(round(x.mae - z.mae, 9), 0.025) AS lo, quantile_disc(round(x.mae - z.mae, 9), 0.975) AS hi
-  FROM bm9 x JOIN bm9 z ON x.rep = z.rep JOIN ord ox ON ox.source = x.source JOIN ord oz ON oz.source = z.source WHERE ox.o < oz.o GROUP BY 1, 2)
-SELECT a, b, {sq6('diff')} AS diff, {sq6('lo')} AS lo, {sq6('hi')} AS hi, {sq6('p')} AS p, p < 0.05 / 28 AS significant FROM cf JOIN pd USING (a, b)""")
-def sta6(spark, sf_dir, n_boot=BOOT, n_rep=REPS):
+@query("sta9_point_ranks", f"WITH {FRAME}, {_POINT} SELECT source, {sq6('mae')} AS estimate, place FROM pt LEFT JOIN pr USING (source)")
+def sta9_point(spark, sf_dir):
+    """Estimates and ranks without replicates, from subject sums."""
+    point = B.mean_errors(_errors(spark, sf_dir), [], SCORED_SOURCES)
+    return point.join(B.point_ranks(point, "mae", V.CANDIDATES), "source", "left").select("source", r6(_C("mae")).alias("estimate"), "place")
+
+
+@query("sta6_pairwise_mae")
+def sta6(spark, sf_dir, n_boot=B.N_BOOTSTRAPS, n_rep=B.N_CLUSTER_FLIPS):
     errors = _errors(spark, sf_dir)
     reps = _mae_reps(errors, n_boot)
     flips = B.cluster_sign_flip(errors, "subject", SCORED_SOURCES, n_rep, 7)
@@ -214,29 +203,39 @@ def sta6(spark, sf_dir, n_boot=BOOT, n_rep=REPS):
 
 
 _SWEEP_RETRY = f"""rt AS (SELECT source, count(CASE WHEN n_tries = {V.MAX_TRIES} THEN 1 END) AS tries_n, count(raw) AS valid_n, count(*) AS total FROM resp WHERE src > 1 GROUP BY source)"""
-_SWEEP_FLIP = f"""fs AS (SELECT source, rep, sum(sgn * (h - y)) AS s, sum(h - y) AS obs, count(*) AS n FROM (
-  SELECT scored.*, rep, {_sign(42, "subject || '|' || item || '|' || round")} AS sgn FROM scored CROSS JOIN (SELECT unnest(range({REPS})) AS rep)) GROUP BY 1, 2),
-fp AS (SELECT source, max(n) AS n, max(obs) / max(n) AS delta, count(CASE WHEN abs(s) >= abs(obs) THEN 1 END) / {REPS}e0 AS p FROM fs GROUP BY source),
-hp AS (SELECT *, least(1, max((m - i + 1) * p) OVER (ORDER BY p, source ROWS UNBOUNDED PRECEDING)) AS p_holm FROM (
-  SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, source) AS i FROM fp))"""
-
-
-@query("sta26_source_sweep", f"""WITH {FRAME}, {_BOOT}, {_R9}, {_RANK_SUMMARY}, {_SWEEP_RETRY}, {_SWEEP_FLIP}
-SELECT pt.source, pt.source IN ('no_change', 'cell_median') AS is_baseline, valid_n, total AS valid_total, tries_n, {sq6('pt.mae')} AS mae, {sq6('ci.lo')} AS mae_lo, {sq6('ci.hi')} AS mae_hi,
-  place, {sq6('delta')} AS delta, {sq6('p')} AS p, {sq6('p_holm')} AS p_holm, p_holm < 0.05 AS significant, hp.n AS n_obs, {BOOT} AS n_boot, {REPS} AS n_resamples
-FROM pt JOIN ci USING (source) JOIN hp USING (source) LEFT JOIN pr USING (source) LEFT JOIN rt USING (source)""")
-def sta26(spark, sf_dir, n_boot=BOOT, n_rep=REPS):
+@query("sta26_sweep_estimates", f"""WITH {FRAME}, {_POINT}, {_SWEEP_RETRY}
+SELECT source, source IN ('no_change', 'cell_median') AS is_baseline, valid_n, total AS valid_total, tries_n, {sq6('mae')} AS mae, place, {sq6('delta')} AS delta, n_obs
+FROM pt JOIN (SELECT source, avg(h - y) AS delta, count(*) AS n_obs FROM scored GROUP BY source) USING (source) LEFT JOIN pr USING (source) LEFT JOIN rt USING (source)""")
+def sta26_estimates(spark, sf_dir):
+    """The sweep without its resampled columns."""
+    wide = materialise(scored_wide(spark, sf_dir), "scored")
+    point = B.mean_errors(B.subject_errors(wide, "subject", SCORED_SOURCES), [], SCORED_SOURCES)
+    observed = B.observed_differences(B.difference_counts(wide, [], _scored_diffs(), [[]])).withColumnRenamed("label", "source")
+    out = (point.join(B.point_ranks(point, "mae", V.CANDIDATES), "source", "left").join(observed, "source")
+           .join(_retries(spark, sf_dir), "source", "left"))
+    return out.select("source", _C("source").isin("no_change", "cell_median").alias("is_baseline"), "valid_n", "valid_total", "tries_n",
+                      r6(_C("mae")).alias("mae"), "place", r6(_C("mean_diff")).alias("delta"), _C("n").alias("n_obs"))
+
+
+def _scored_diffs():
+    return F.array(*[F.struct(F.lit(s).alias("label"), (_C("h") - _C(s).cast("double")).alias("d")) for s in SCORED_SOURCES])
+
+
+def _retries(spark, sf_dir):
+    return V.responses(spark, sf_dir).where("src > 1").groupBy("source").agg(
+        F.count(F.when(_C("n_tries") == V.MAX_TRIES, 1)).alias("tries_n"), F.count("raw").alias("valid_n"),
+        F.count("*").alias("valid_total"))
+
+
+@query("sta26_source_sweep")
+def sta26(spark, sf_dir, n_boot=B.N_BOOTSTRAPS, n_rep=B.N_CLUSTER_FLIPS):
     wide = materialise(scored_wide(spark, sf_dir), "scored")
     errors = materialise(B.subject_errors(wide, "subject", SCORED_SOURCES), "errors")
     summary = B.rank_summary(B.mean_errors(errors, [], SCORED_SOURCES), materialise(_mae_reps(errors, n_boot), "reps"), "mae", V.CANDIDATES)
-    diffs = F.array(*[F.struct(F.lit(s).alias("label"), (_C("h") - _C(s).cast("double")).alias("d")) for s in SCORED_SOURCES])
-    flips = B.sign_flip(wide, [], ["subject", "item", "round"], diffs, [[]], n_rep).withColumnRenamed("label", "source")
+    flips = B.counted_sign_flip(wide, [], _scored_diffs(), [[]], n_rep).withColumnRenamed("label", "source")
     tested = H.holm(flips.withColumn("family", F.lit(1)), ["family"]).select(
         "source", _C("n").alias("n_obs"), _C("mean_diff").alias("delta"), "p", "p_holm")
-    runs = V.responses(spark, sf_dir).where("src > 1").groupBy("source").agg(
-        F.count(F.when(_C("n_tries") == V.MAX_TRIES, 1)).alias("tries_n"), F.count("raw").alias("valid_n"),
-        F.count("*").alias("valid_total"))
-    out = summary.join(tested, "source").join(runs, "source", "left")
+    out = summary.join(tested, "source").join(_retries(spark, sf_dir), "source", "left")
     return out.select(
         "source", _C("source").isin("no_change", "cell_median").alias("is_baseline"), "valid_n", "valid_total", "tries_n",
         r6(_C("estimate")).alias("mae"), r6(_C("lo")).alias("mae_lo"), r6(_C("hi")).alias("mae_hi"), "place",
@@ -267,6 +266,14 @@ def sta28(spark, sf_dir, n_sims=W.N_SIMS):
     return W.brown_forsythe_power(base, change, [1.0, 1.05, 1.1, 1.25], n_sims, 5).withColumn("power", r6(_C("power")))
 
 
+@query("sta28_power_less_variable_base")
+def sta28_reverse(spark, sf_dir, n_sims=W.N_SIMS):
+    """The other direction: the source varies more than the baseline."""
+    base = V.panel(spark, sf_dir).where("src = 1")
+    out = W.brown_forsythe_power(base, F.abs(_C("y") - _C("init")), [1.0, 1.05, 1.1, 1.25], n_sims, 5, base_more_variable=False)
+    return out.withColumn("power", r6(_C("power")))
+
+
 def full_report(spark, sf_dir, n_rep=B.N_FLIPS):
     """Every analysis of every grouping over the driver's panel."""
     lines = materialise(V.lines_wide(spark, sf_dir), "lines")
@@ -277,27 +284,25 @@ def full_report(spark, sf_dir, n_rep=B.N_FLIPS):
 
 
 # Statistics of the report that SQL can state; the F tails are left to the rows-only query.
-_SQL_REPORT = f"""WITH {V.PAIRED}, {_FLIP}, gs AS (SELECT * FROM (VALUES ('all', 'all'), ('i', 'all'), ('i', 'c')) v(gi, gc)),
+_SQL_REPORT = f"""WITH {V.PAIRED}, {_OBSERVED}, gs AS (SELECT * FROM (VALUES ('all', 'all'), ('i', 'all'), ('i', 'c')) v(gi, gc)),
 rg AS (SELECT CASE WHEN gi = 'all' THEN 'all' ELSE item END AS item, CASE WHEN gc = 'all' THEN 'all' ELSE cell END AS cell, source, src, y FROM resp CROSS JOIN gs),
 lv AS (SELECT item || '/' || cell AS g, source, y AS level, count(*) AS o FROM rg WHERE y IS NOT NULL GROUP BY 1, 2, 3),
 tab AS (SELECT g || '/' || source AS k, level, o, 'c' AS side FROM lv WHERE source <> 'baseline' UNION ALL
   SELECT s.g || '/' || s.source, l.level, l.o, 'b' FROM lv l JOIN (SELECT DISTINCT g, source FROM lv WHERE source <> 'baseline') s ON s.g = l.g WHERE l.source = 'baseline'),
 {_CHI.format(keys='k')},
 bv AS (SELECT CASE WHEN gi = 'all' THEN 'all' ELSE item END || '/' || CASE WHEN gc = 'all' THEN 'all' ELSE cell END AS k, source, abs(y - init) AS v FROM panel CROSS JOIN gs WHERE y IS NOT NULL), {_BF},
-lo AS (SELECT item, cell, source, 'difference' AS test, unnest(['n', 'mean_diff', 'sd_diff', 'd_z', 'p']) AS statistic, unnest([CAST(n AS DOUBLE), mean_diff, sd_diff, mean_diff / sd_diff, exceed / {REPS}e0]) AS value FROM sf
+lo AS (SELECT item, cell, source, 'difference' AS test, unnest(['n', 'mean_diff', 'sd_diff', 'd_z']) AS statistic, unnest([CAST(n AS DOUBLE), mean_diff, sd_diff, mean_diff / sd_diff]) AS value FROM sf
 UNION ALL SELECT split_part(k, '/', 1), split_part(k, '/', 2), split_part(k, '/', 3), 'stance', unnest(['chi2', 'cramers_v', 'min_expected', 'p']), unnest([chi2, sqrt(chi2 / n_total), min_expected, exp(-chi2 / 2) * (1 + chi2 / 2)]) FROM chi
 UNION ALL SELECT split_part(k, '/', 1), split_part(k, '/', 2), source, 'change', unnest(['sd_base', 'sd', 'variance_ratio', 'w']), unnest([sd_base, sd, (sd_base / sd) * (sd_base / sd), w]) FROM bf)
 SELECT item, cell, source, test, statistic, {sq6('value')} AS value FROM lo"""
 
 
-@query("sta29_effect_report", _SQL_REPORT)
-def sta29(spark, sf_dir, n_rep=REPS):
+def _sections(spark, sf_dir, difference, statistics):
     """The report's difference, stance and change sections over all groupings."""
     lines = materialise(V.lines_wide(spark, sf_dir), "lines")
     panel = V.panel(spark, sf_dir, lines)
     parts = [
-        report._long(report.difference_test(_wide(spark, sf_dir, lines), V.CANDIDATES, n_rep, 42), "difference",
-                     ["n", "mean_diff", "sd_diff", "d_z", "p"]),
+        report._long(difference(_wide(spark, sf_dir, lines)), "difference", statistics),
         report._long(report.stance_test(V.responses(spark, sf_dir, lines), V.BASELINE), "stance",
                      ["chi2", "cramers_v", "min_expected", "p"]),
         report._long(report.change_test(panel, V.BASELINE), "change", ["sd_base", "sd", "variance_ratio", "w"]),
@@ -306,6 +311,22 @@ def sta29(spark, sf_dir, n_rep=REPS):
     return out.withColumn("value", r6(_C("value")))
 
 
+@query("sta29_effect_report")
+def sta29(spark, sf_dir, n_rep=B.N_FLIPS):
+    return _sections(spark, sf_dir, lambda wide: report.difference_test(wide, V.CANDIDATES, n_rep, 42),
+                     ["n", "mean_diff", "sd_diff", "d_z", "p"])
+
+
+@query("sta29_effect_statistics", _SQL_REPORT)
+def sta29_statistics(spark, sf_dir):
+    """The same without the resampled p."""
+    def observed(wide):
+        counts = B.difference_counts(wide, report.CELL, report.paired_diffs(V.CANDIDATES), report.GROUPINGS)
+        return B.observed_differences(counts).withColumnRenamed("label", "source")
+
+    return _sections(spark, sf_dir, observed, ["n", "mean_diff", "sd_diff", "d_z"])
+
+
 @query("sta29_effect_report_full")
 def sta29_full(spark, sf_dir, n_rep=B.N_FLIPS):
     return full_report(spark, sf_dir, n_rep).withColumn("value", r6(_C("value")))

@@ -58,13 +58,16 @@ def change_test(panel: DataFrame, baseline: str) -> DataFrame:
     return out.withColumn("variance_ratio", F.pow(F.try_divide(F.col("sd_base"), F.col("sd")), 2))
 
 
-def difference_test(wide: DataFrame, sources: list[str], n_rep: int, seed: int) -> DataFrame:
-    """Paired difference, effect size and sign-flip p of every source in every grouping."""
-    diffs = F.filter(F.array(*[
+def paired_diffs(sources: list[str]):
+    """(label, d) of every source that answered, on a wide row."""
+    return F.filter(F.array(*[
         F.struct(F.lit(s).alias("label"), (F.col("h") - F.col(s)).alias("d")) for s in sources
     ]), lambda x: x["d"].isNotNull())
-    return B.sign_flip(wide, CELL, ["subject", "item", "round"], diffs, _grids(), n_rep, seed).withColumnRenamed(
-        "label", "source")
+
+
+def difference_test(wide: DataFrame, sources: list[str], n_rep: int, seed: int) -> DataFrame:
+    """Paired difference, effect size and sign-flip p of every source in every grouping."""
+    return B.counted_sign_flip(wide, CELL, paired_diffs(sources), _grids(), n_rep, seed).withColumnRenamed("label", "source")
 
 
 def tau_test(matched: DataFrame) -> DataFrame:

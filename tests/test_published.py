@@ -1,33 +1,28 @@
-"""Resampling queries: the published budgets are registered, and every query follows the number it is given."""
+"""Resampling queries have the published budgets by default and follow the number they are given."""
 
 import inspect
 import os
 
 import pytest
 
-import __spark_entry__ as entry
 from paneloom.operators.power import N_SIMS
 from paneloom.operators.resample import N_BOOTSTRAPS, N_CLUSTER_FLIPS, N_FLIPS
-from paneloom.plans import catalog, queries_published
+from paneloom.plans import catalog
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+CLUSTERED = {"sta4_cluster_sign_flip", "sta5_omnibus", "sta6_pairwise_mae", "sta26_source_sweep"}
 
 
-def default(name, parameter):
-    return inspect.signature(catalog.QUERIES[name]).parameters[parameter].default
-
-
-def test_published_budgets_are_registered():
+def test_published_budgets_are_the_defaults():
     assert (N_FLIPS, N_CLUSTER_FLIPS, N_BOOTSTRAPS, N_SIMS) == (1_000_000, 100_000, 10_000, 4_000)
-    assert default("sta28_brown_forsythe_power", "n_sims") == N_SIMS
-    for name in ("sta29_effect_report_full", "sta30_overview", "sta31_reliability_flags"):
-        assert default(name, "n_rep") == N_FLIPS
-    for name, budget in queries_published.BUDGETS.items():
-        assert set(budget) <= set(inspect.signature(catalog.QUERIES[name]).parameters)
-        assert entry.queries()[f"{name}_published"].keywords == budget and f"{name}_published" not in entry.oracle_sql()
-    few = {n for n in catalog.QUERIES for p in ("n_rep", "n_boot", "n_sims")
-           if p in inspect.signature(catalog.QUERIES[n]).parameters and n in catalog.ORACLES}
-    assert few == set(queries_published.BUDGETS)
+    found = {}
+    for name, fn in catalog.QUERIES.items():
+        for p in ("n_rep", "n_boot", "n_sims"):
+            if p in inspect.signature(fn).parameters:
+                found[name] = True
+                want = {"n_rep": N_CLUSTER_FLIPS if name in CLUSTERED else N_FLIPS, "n_boot": N_BOOTSTRAPS, "n_sims": N_SIMS}[p]
+                assert inspect.signature(fn).parameters[p].default == want, name
+    assert len(found) == 19
 
 
 @pytest.mark.parametrize("name", ["sta2_sign_flip_whole_design", "sta5_omnibus"])
