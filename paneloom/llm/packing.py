@@ -23,12 +23,16 @@ encoded whole, so memory grows with the longest word.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -39,65 +43,70 @@ from paneloom.llm.rows import quoted, small_batches
 
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
-_POINTS = frozenset(b".,;:!?")
+# The pre-tokens of the vocabulary: a fixed pattern of its file.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_LATIN = "\u024f"
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 _SENTENCE_ENDS = ".!?。！？…"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the rest for the code points from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([b for b in range(256) if b not in printable], map(chr, range(256, 512))))
+
+
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, for vocabularies that drop white space.
 
     Words between ASCII white space never share a token, so each distinct word is encoded once and looked up afterwards;
-    `memory` bounds the words held. Texts that may hold a special token's string are not lower-cased first.
+    `memory` bounds the words held. Lower-case Latin words in composed form need no normalisation: their parts go to the
+    model's merges directly. Any other word takes the tokenizer's whole way. Texts that may hold a special token's string
+    are not lower-cased first.
     """
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 500_000):
         self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
         self.tokenizer.encode_special_tokens = False
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of letters only are encoded as one text: each ends with its first token that closes a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = np.flatnonzero(self.closes[ids]) + 1
-        if len(stops) != len(words):  # normalisation split a word; none is ever joined with another
-            return self._ids(words)
-        raw, starts = ids.tobytes(), [0, *(4 * stops[:-1]).tolist()]
-        return [raw[a:b] for a, b in zip(starts, (4 * stops).tolist())]
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        # A point behind an ASCII letter or digit is a token of its own, so the word before it serves all such words.
-        split = [w for w in words if len(w) > 1 and w[-1] in _POINTS and w[-2] in _ALNUM]
-        whole = words.difference(split)
-        whole.update(x for w in split for x in (w[:-1], w[-1:]) if x not in known)
-        letters = [w for w in whole if w.decode().isalpha()]
-        rest = list(whole.difference(letters))
-        if letters:
-            known.update(zip(letters, self._letters(letters)))
-        if rest:
-            known.update(zip(rest, self._ids(rest)))
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in split)
+        self.merges, self.alphabet = self.tokenizer.model, _byte_letters()
+        largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.four = [i.to_bytes(4, "little") for i in range(largest + 1)]
+
+    def _part(self, part: str) -> bytes:
+        tokens = self.merges.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet))
+        four = self.four
+        return b"".join([four[t.id] for t in tokens])
+
+    def _known_part(self, part: str) -> bytes:
+        key = part.encode()
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.known[key] = self._part(part)
+        return ids
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        plain = _PLAIN.fullmatch(word)
+        if plain is not None:
+            stem, point = plain.groups()
+            return self._known_part(stem) + self._known_part(point) if point else self._part(word)
+        if max(word) > _LATIN or not word.isprintable() or "<|" in word or word != word.lower() or not is_normalized("NFC", word):
+            return b"".join([self.four[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+        return b"".join(map(self._known_part, _PARTS.findall(word)))
 
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode()
         words = raw.split() if b"<|" in raw else raw.translate(_LOWER).split()
         if len(self.known) > self.memory:
             self.known = {}
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        known = self.known
+        for word in set(words).difference(known):
+            known[word] = self._word(word)
+        return b"".join(map(known.__getitem__, words))
 
     def sentence_ends(self) -> np.ndarray:
         """For every id, whether a sentence may end behind it: tokens of closing marks only, with a full stop among them."""
-        table = np.zeros_like(self.closes)
+        table = np.zeros(len(self.four), dtype=bool)
         for end in _SENTENCE_ENDS:
             for tail in ("", '"', "'", ")", "”", "»", ".", "..", "!", "?"):
                 ids = self.tokenizer.encode(end + tail, add_special_tokens=False).ids
@@ -120,31 +129,39 @@ def candidates(ids: np.ndarray, ends: np.ndarray, stretch: int, sentence_cost: f
     return places[order], costs[order]
 
 
+def _exact_lengths(at: np.ndarray, size: int) -> dict[int, list[int]]:
+    """For every place the earlier ones that lie a power of two below it."""
+    found: dict[int, list[int]] = {}
+    for k in range(size.bit_length()):
+        if 1 << k <= size:
+            j = np.searchsorted(at, at - (1 << k))
+            for i in np.flatnonzero(at[j] == at - (1 << k)).tolist():
+                found.setdefault(i, []).append(int(j[i]))
+    return found
+
+
 def best_cuts(places: Sequence[int], costs: Sequence[float], size: int, sequence_cost: float, closed: bool) -> list[int]:
     """Cuts of least cost among ascending places, from 0; neighbours are at most `size` apart.
 
     Closed: the last cut is the last place. Else it is the cheapest place within `size` of the last one, and what lies
     behind it stays open.
     """
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    total = [0.0]
-    at, back = [0], [0]
-    index = {0: 0}
+    at = [0, *places]
+    exact = _exact_lengths(np.array(at), size)
+    total, back = [0.0], [0]
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # ascending f + place, places within the window
-    for i, (place, cost) in enumerate(zip(places, costs), 1):
+    for i, cost in enumerate(costs, 1):
+        place = at[i]
         while at[queue[0][1]] < place - size:
             queue.popleft()
         least, source = queue[0]
         least += size - place
-        for power in powers:
-            j = index.get(place - power)
-            if j is not None and total[j] < least:
+        for j in exact.get(i, ()):
+            if total[j] < least:
                 least, source = total[j], j
         least += cost + sequence_cost
         total.append(least)
-        at.append(place)
         back.append(source)
-        index[place] = i
         key = least + place
         while queue and queue[-1][0] > key:
             queue.pop()
@@ -159,6 +176,13 @@ def best_cuts(places: Sequence[int], costs: Sequence[float], size: int, sequence
     return cuts[::-1]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> tuple[Encoder, np.ndarray]:
+    """One per worker process: the words of one task serve the next."""
+    encoder = Encoder(path)
+    return encoder, encoder.sentence_ends()
+
+
 class _Packer:
     """Documents of a stream, held until their windows are chosen."""
 
@@ -219,8 +243,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", size: int = 2048,
     names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
-        ends = encoder.sentence_ends()
+        encoder, ends = _encoder(vocabulary)
         closing = np.array([close_id], dtype="<u4").tobytes()
         packer = _Packer(size, sequence_cost, hard_cost, TaskContext.get().partitionId() << 40)
 
