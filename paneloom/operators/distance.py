@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from paneloom.operators import ordering as O
+
 METRICS = ["mae", "wasserstein", "spread"]
 
 
@@ -29,11 +31,15 @@ def value_weights(cases: DataFrame, group: list[str], weight: Column | None = No
             .agg(F.sum("s.wh").alias("wh"), F.sum("s.wy").alias("wy")))
 
 
-def wasserstein(weights: DataFrame, group: list[str]) -> DataFrame:
+def wasserstein(weights: DataFrame, group: list[str], open_domain: bool = False) -> DataFrame:
     """Area between the two cumulative distributions over the pooled support.
 
-    Runs on value weights, so a window partition holds the distinct values of a group.
+    Runs on value weights. With a closed domain a window partition holds the distinct values of a group. With an open
+    one the values are dealt by ranges: a range starts from the weights of the group's earlier ranges, and its last
+    value meets the first of the next range, so the gap across a cut is counted once.
     """
+    if open_domain:
+        return _ranged_wasserstein(weights, group)
     by_value = Window.partitionBy(*group).orderBy("v")
     upto = by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*group)
@@ -44,6 +50,26 @@ def wasserstein(weights: DataFrame, group: list[str]) -> DataFrame:
             .agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("wasserstein")))
 
 
+def _ranged_wasserstein(weights: DataFrame, group: list[str]) -> DataFrame:
+    dealt = O.ranged(weights, group)
+    # One row per group and range: what lies before it, the group's totals, and where the next range begins.
+    by_part, whole = Window.partitionBy(*group).orderBy("_part"), Window.partitionBy(*group)
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*group, "_part").agg(F.min("v").alias("_first"), F.sum("wh").alias("_ph"), F.sum("wy").alias("_py"))
+    bounds = ends.select(
+        *group, "_part", F.lead("_first").over(by_part).alias("_next"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"{c}_before") for c in ("_ph", "_py")],
+        *[F.sum(c).over(whole).alias(f"{c}_all") for c in ("_ph", "_py")])
+    inside = Window.partitionBy(*group, "_part").orderBy("v")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.withColumns({
+        "_ch": F.sum("wh").over(upto), "_cy": F.sum("wy").over(upto), "_lead": F.lead("v").over(inside)}).join(bounds, [*group, "_part"])
+    fh = (F.col("_ph_before") + F.col("_ch")) / F.col("_ph_all")
+    fy = (F.col("_py_before") + F.col("_cy")) / F.col("_py_all")
+    area = F.abs(fh - fy) * (F.coalesce("_lead", "_next") - F.col("v"))
+    return placed.groupBy(*group).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("wasserstein"))
+
+
 def _sd_pop(s1: Column, s2: Column, w: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), s2 / w - (s1 / w) * (s1 / w)))
 

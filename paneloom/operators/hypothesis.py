@@ -143,16 +143,16 @@ def _correlation(sums: DataFrame, group: list[str], name: str, min_rows: int) ->
     return out.select(*group, "n", name, F.when(c.isNotNull(), tails.t_two_sided(t, F.col("n") - 2)).alias("p"))
 
 
-def brown_forsythe(df: DataFrame, keys: list[str], value: Column, baseline: str) -> DataFrame:
+def brown_forsythe(df: DataFrame, keys: list[str], value: Column, baseline: str, open_domain: bool = False) -> DataFrame:
     """Median-centred Levene test of each source's spread against the baseline's."""
-    return brown_forsythe_counts(O.value_counts(df, [*keys, "source"], value), keys, baseline)
+    return brown_forsythe_counts(O.value_counts(df, [*keys, "source"], value), keys, baseline, open_domain)
 
 
-def brown_forsythe_counts(counts: DataFrame, keys: list[str], baseline: str) -> DataFrame:
+def brown_forsythe_counts(counts: DataFrame, keys: list[str], baseline: str, open_domain: bool = False) -> DataFrame:
     """The same from value counts (keys, source, v, n); counts of cells can be added up first."""
     group = [*keys, "source"]
     dev = F.abs(F.col("v") - F.col("med"))
-    stats = O.with_median(counts, group, "med").groupBy(*group).agg(
+    stats = O.with_median(counts, group, "med", open_domain).groupBy(*group).agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * dev).alias("z1"), F.sum(F.col("n") * dev * dev).alias("z2"),
         F.sum(F.col("n") * F.col("v")).alias("v1"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("v2"))
     sd = F.sqrt(F.try_divide(F.col("v2") - F.col("v1") * F.col("v1") / F.col("n"), F.col("n") - 1))

@@ -27,23 +27,29 @@ def _total_before(n: str, window) -> Column:
     return F.coalesce(F.sum(n).over(window), F.lit(0))
 
 
+def ranged(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Counted values dealt by ranges of (group, v), with the number of their part as `_part`.
+
+    Ranges are cut at sampled quantiles, so outliers and heavy tails make no part larger than another. The part of a
+    value must not change when a task is run again, so it is written down.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(counts.repartitionByRange(parts, *group, "v").withColumn("_part", F.spark_partition_id()))
+
+
 def counts_below(counts: DataFrame, group: list[str], open_domain: bool) -> DataFrame:
     """Adds `below`: rows of the group with a smaller value.
 
-    Open domain: values are range-partitioned by sampled quantiles, so outliers and
-    heavy tails cut no larger part than any other. A value then has below it what
-    its part holds before it and what the group's earlier parts hold; the latter
-    comes from one row per group and part.
+    Open domain: a value has below it what its range holds before it and what the
+    group's earlier ranges hold; the latter comes from one row per group and range.
     """
     if not open_domain:
         return counts.withColumn("below", _total_before("n", _before(*group, order="v")))
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The part of a value must not change when a task is run again, so it is written down.
-    ranged = cut_lineage(counts.repartitionByRange(parts, *group, "v").withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy(*group, "_part").agg(F.sum("n").alias("_held"))
+    dealt = ranged(counts, group)
+    totals = dealt.groupBy(*group, "_part").agg(F.sum("n").alias("_held"))
     earlier = totals.withColumn("_earlier", _total_before("_held", _before(*group, order="_part"))).drop("_held")
     inner = _total_before("n", _before(*group, "_part", order="v"))
-    return ranged.withColumn("_inner", inner).join(earlier, [*group, "_part"]).withColumn(
+    return dealt.withColumn("_inner", inner).join(earlier, [*group, "_part"]).withColumn(
         "below", F.col("_earlier") + F.col("_inner")).select(*group, "v", "n", "below")
 
 
@@ -71,8 +77,15 @@ def tied_places(counts: DataFrame, group: list[str], value: str, place: str, pee
     return staged.withColumn(place, F.col("_upto") - F.col(peers) + (F.col(peers) + 1) / 2).drop("_upto")
 
 
-def with_median(counts: DataFrame, group: list[str], name: str) -> DataFrame:
-    """Adds the group's median to its counted values (closed domain; windows only)."""
+def with_median(counts: DataFrame, group: list[str], name: str, open_domain: bool = False) -> DataFrame:
+    """Adds the group's median to its counted values.
+
+    Closed domain: windows over one hash partitioning by group. Open domain: the
+    median is read off ranges of values, and one row per group goes back to them.
+    """
+    if open_domain:
+        pooled = counts.groupBy(*group, "v").agg(F.sum("n").alias("n"))
+        return counts.join(quantile_at(counts_below(pooled, group, True), group, 0.5, name), group)
     whole = Window.partitionBy(*group)
     staged = counts.withColumns({
         "_below": _total_before("n", _before(*group, order="v")), "_N": F.sum("n").over(whole)})

@@ -446,6 +446,18 @@ def met2(spark, sf_dir):
     return out.withColumn("wasserstein", r6(_C("wasserstein")))
 
 
+@query("met2_wasserstein_open_domain", f"""WITH w AS (SELECT l_returnflag AS flag, l_extendedprice AS v, sum(CASE WHEN l_linestatus = 'O' THEN 1e0 ELSE 0e0 END) AS wh,
+  sum(CASE WHEN l_linestatus = 'F' THEN 1e0 ELSE 0e0 END) AS wy FROM lineitem GROUP BY 1, 2)
+SELECT flag, {sq6('sum(abs(fh - fy) * gap)')} AS wasserstein FROM (SELECT flag, sum(wh) OVER u / sum(wh) OVER a AS fh, sum(wy) OVER u / sum(wy) OVER a AS fy,
+  lead(v) OVER (PARTITION BY flag ORDER BY v) - v AS gap FROM w WINDOW u AS (PARTITION BY flag ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY flag)) GROUP BY flag""")
+def met2_open(spark, sf_dir):
+    """Prices of open against closed line items, a measure with as many values as rows."""
+    weights = V.table(spark, sf_dir, "lineitem").groupBy(_C("l_returnflag").alias("flag"), _C("l_extendedprice").alias("v")).agg(
+        *[F.sum(F.when(_C("l_linestatus") == status, 1.0).otherwise(0.0)).alias(name) for name, status in (("wh", "O"), ("wy", "F"))])
+    out = M.wasserstein(weights, ["flag"], open_domain=True)
+    return out.select("flag", r6(_C("wasserstein")).alias("wasserstein"))
+
+
 @query("met3_spread", f"""WITH {FRAME}, s AS (SELECT source, stddev_pop(abs(y - init)) AS sy, stddev_pop(abs(h - init)) AS sh FROM scored GROUP BY source)
 SELECT source, CASE WHEN sy = 0 OR sh = 0 THEN CAST('inf' AS DOUBLE) ELSE {sq6('abs(ln(sy / sh))')} END AS spread FROM s""")
 def met3(spark, sf_dir):

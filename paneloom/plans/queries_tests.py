@@ -339,6 +339,17 @@ def sta18p(spark, sf_dir):
     return out.select("item", "source", r6(_C("p")).alias("p"))
 
 
+@query("sta18_brown_forsythe_open_domain", f"""WITH bv AS (SELECT l_returnflag AS k, CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE l_linestatus END AS source, l_extendedprice AS v FROM lineitem), {_BF}
+SELECT k AS flag, source, n, {sq6('w')} AS w FROM bf""")
+def sta18_open(spark, sf_dir):
+    """Spread of prices of open line items against closed ones; medians come from ranges of values."""
+    rows = V.table(spark, sf_dir, "lineitem").select(
+        _C("l_returnflag").alias("flag"), F.when(_C("l_linestatus") == "F", "baseline").otherwise(_C("l_linestatus")).alias("source"),
+        _C("l_extendedprice").alias("v"))
+    out = H.brown_forsythe(rows, ["flag"], _C("v"), "baseline", open_domain=True)
+    return out.select("flag", "source", "n", r6(_C("w")).alias("w"))
+
+
 @query("sta19_brown_forsythe_mean_ranks", f"""WITH {_MEAN_RANKS}, sh AS (SELECT item, cell, message FROM mr GROUP BY 1, 2, 3 HAVING count(*) = 7),
 bv AS (SELECT 'all' AS k, source, mean_rank AS v FROM mr JOIN sh USING (item, cell, message)), {_BF}
 SELECT source, n, {sq6('sd_base')} AS sd_base, {sq6('sd')} AS sd, {sq6('(sd / sd_base) * (sd / sd_base)')} AS variance_ratio, {sq6('w')} AS w FROM bf""")

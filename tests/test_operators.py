@@ -380,3 +380,43 @@ def test_noncentrality_holds_for_strict_levels():
     known = W.noncentrality_df4(0.05, 0.8)
     assert abs(known - 11.935) < 1e-2
     assert W.noncentrality_df4(1e-9, 0.999) > W.noncentrality_df4(1e-9, 0.8) > known
+
+
+def plain_area(rows):
+    """Area between two weighted cumulative distributions, value by value."""
+    h, y = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    area = fh = fy = 0.0
+    ordered = sorted(rows)
+    for (v, a, b), (after, *_) in zip(ordered, ordered[1:]):
+        fh, fy = fh + a / h, fy + b / y
+        area += abs(fh - fy) * (after - v)
+    return area
+
+
+def test_distances_over_ranges_of_values(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(v), float(a), float(b)) for v, a, b in zip(
+        np.unique(np.concatenate((rng.normal(0, 1, 4000), rng.pareto(0.5, 1000)))), rng.integers(0, 3, 5000), rng.integers(0, 4, 5000))]
+    rows += [("few", 1.0, 2.0, 0.0), ("few", 4.0, 0.0, 1.0), ("one", 3.0, 1.0, 5.0)]
+    weights = spark.createDataFrame(rows, "g string, v double, wh double, wy double").repartition(7)
+    want = {g: plain_area([r[1:] for r in rows if r[0] == g]) for g in ("hot", "few", "one")}
+    for open_domain in (True, False):
+        got = {r.g: r.wasserstein for r in M.wasserstein(weights, ["g"], open_domain).collect()}
+        assert got == pytest.approx(want)
+    assert M.wasserstein(weights.where("v > 1e300"), ["g"], open_domain=True).count() == 0
+
+
+def test_ranges_of_a_hot_group_are_even(spark):
+    values = spark.range(400_000).select(F.lit("g").alias("g"), F.exp(F.col("id") % 200_000 / 2000.0).alias("v")).distinct().withColumn("n", F.lit(1))
+    sizes = [r["count"] for r in O.ranged(values, ["g"]).groupBy("_part").count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_medians_over_ranges_of_values(spark):
+    rng = np.random.default_rng(6)
+    data = {"a": rng.normal(0, 1, 999), "b": rng.pareto(1, 800), "c": np.array([2.0])}
+    rows = [(g, float(v), int(k)) for g, x in data.items() for v, k in zip(x, rng.integers(1, 4, len(x)))]
+    counts = spark.createDataFrame(rows, "g string, v double, n long")
+    for open_domain in (True, False):
+        got = {r.g: r.med for r in O.with_median(counts, ["g"], "med", open_domain).select("g", "med").distinct().collect()}
+        assert got == pytest.approx({g: np.median(np.repeat([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g])) for g in data})
