@@ -3,14 +3,16 @@
 Filters, on the whole text: A under 100 words, B distinct words under 80 %, C capitals over 10 % of the code points,
 D a symbol of `#$%&*|`, E the text of a smaller id anywhere in the table. A to D are judged where a file is read; E
 cannot be, for a smaller id may come in a later file. So a stream processes all files as available-now micro-batches
-and keeps, keyed by the text's digest, the least id so far and what its rows count as. When a smaller id arrives, the
+and keeps, for every text by its digest, the least id so far and what its rows count as. When a smaller id arrives, the
 earlier rows are retracted from their part's counters and counted again as failing E. Counters are per part (language)
 and code, a set of filters failed plus the labels; a micro-batch writes the change of its counters into a folder of its
 own id, so a batch that is replayed overwrites itself, and their sum is exact after every batch.
 
 Scale: texts never leave the task that reads them; a digest, an id, a part and a code travel. Before that shuffle each
 task counts its copies of a text, so a group of copies of any size sends a row per task. State is a short entry per
-distinct text, in RocksDB, on disk beyond the bound of its memory. `interactions` works on at most 128 counters per
+distinct text, in RocksDB, on disk beyond the bound of its memory. A state key is a hash range of about `TEXTS_PER_KEY`
+digests, for calling Python per text would cost more than reading it; the number of ranges follows the row counts in the
+files' footers when a folder is first used, and stays. `interactions` works on at most 128 counters per
 part. A lost executor costs a replayed batch: offsets, state and counters are in the shared folder.
 
 Odd inputs: a null text is empty; a null or empty language is the part ''; a null id is neither smaller nor larger than
@@ -42,12 +44,14 @@ _GOOD, _TOXIC = 1 << 5, 1 << 6
 _CAPITALS = bytes(range(65, 91))
 _SYMBOLS = re.compile(r"[#$%&*|]")
 _JUDGED = "doc_id bigint, part string, code int, twin binary"
-_DEALT = "twin binary, doc_id bigint, settled boolean, part string, code int, n bigint"
+_DEALT = "bucket bigint, twin binary, doc_id bigint, settled boolean, part string, code int, n bigint"
 _CHANGES = "part string, code int, n bigint"
-_STATE = "least bigint, parts array<string>, codes array<int>, counts array<bigint>"
+_STATE = "twins array<binary>, leasts array<bigint>, parts array<string>, codes array<int>, counts array<bigint>"
+TEXTS_PER_KEY = 64
 # RocksDB's memory, per executor, and state that grows on disk instead of on the heap.
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -75,19 +79,23 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "part", "code", "twin"])
 
 
-def _count_copies(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _bucket(twin: bytes, buckets: int) -> int:
+    return int.from_bytes(twin[:8], "big") % buckets
+
+
+def _count_copies(batches: Iterator[pa.RecordBatch], buckets: int = 1, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Per text the rows of its least id here, and counts of its other rows, whose codes are settled."""
     held: dict[bytes, tuple[int, Counter]] = {}
     settled: Counter = Counter()
 
     def sent() -> pa.RecordBatch:
-        rows = [(twin, least, False, *cell, n) for twin, (least, cells) in held.items() for cell, n in cells.items()]
-        rows += [(twin, 0, True, part, code, n) for (twin, part, code), n in settled.items()]
+        rows = [(_bucket(twin, buckets), twin, least, False, *cell, n) for twin, (least, cells) in held.items() for cell, n in cells.items()]
+        rows += [(_bucket(twin, buckets), twin, 0, True, part, code, n) for (twin, part, code), n in settled.items()]
         held.clear()
         settled.clear()
-        types = (pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64())
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)],
-                                          names=["twin", "doc_id", "settled", "part", "code", "n"])
+                                          names=["bucket", "twin", "doc_id", "settled", "part", "code", "n"])
 
     for batch in batches:
         for doc_id, part, code, twin in zip(*[batch.column(i).to_pylist() for i in range(4)]):
@@ -108,35 +116,37 @@ def _count_copies(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Ite
     yield sent()
 
 
-def changes(rows: Iterator[tuple], least: int | None, cells: Counter) -> tuple[int | None, Counter, Counter]:
-    """State of one text after more rows (doc_id, settled, part, code, n), and the change of its counters."""
+def changes(rows: Iterator[tuple], held: dict[bytes, tuple[int, Counter]]) -> Counter:
+    """The change of the counters by more rows (twin, doc_id, settled, part, code, n); `held` has the rows of every text's least id."""
     change: Counter = Counter()
-    for doc_id, settled, part, code, n in rows:
+    for twin, doc_id, settled, part, code, n in rows:
+        known = held.get(twin)
         if settled:
             change[part, code] += n
-        elif least is None or doc_id < least:
-            for (old_part, old_code), old_n in cells.items():  # a smaller id has come: retract, and count as copies
+        elif known is None or doc_id < known[0]:
+            for (old_part, old_code), old_n in known[1].items() if known else ():  # a smaller id has come: retract, and count as copies
                 change[old_part, old_code] -= old_n
                 change[old_part, old_code | _E] += old_n
-            least, cells = doc_id, Counter({(part, code): n})
+            held[twin] = (doc_id, Counter({(part, code): n}))
             change[part, code] += n
-        elif doc_id == least:
-            cells[part, code] += n
+        elif doc_id == known[0]:
+            known[1][part, code] += n
             change[part, code] += n
         else:
             change[part, code | _E] += n
-    return least, cells, change
+    return change
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    least, cells = None, Counter()
+    held: dict[bytes, tuple[int, Counter]] = {}
     if state.exists:
-        least, parts, codes, counts = state.get
-        cells = Counter(dict(zip(zip(parts, codes), counts)))
-    rows = (row for frame in frames for row in zip(*[frame[c].tolist() for c in ("doc_id", "settled", "part", "code", "n")]))
-    now, cells, change = changes(rows, least, cells)
-    if now is not None:
-        state.update((now, [c[0] for c in cells], [c[1] for c in cells], list(cells.values())))
+        for twin, least, *cell, n in zip(*state.get):
+            held.setdefault(bytes(twin), (least, Counter()))[1][tuple(cell)] = n
+    rows = (row for frame in frames for row in zip(*[frame[c].tolist() for c in ("twin", "doc_id", "settled", "part", "code", "n")]))
+    change = changes(rows, held)
+    kept = [(twin, least, *cell, n) for twin, (least, cells) in held.items() for cell, n in cells.items()]
+    if kept:
+        state.update(tuple(map(list, zip(*kept))))
     out = [(part, code, n) for (part, code), n in change.items() if n]
     yield pd.DataFrame({"part": [r[0] for r in out], "code": [r[1] for r in out], "n": [r[2] for r in out]})
 
@@ -148,14 +158,21 @@ def label_codes(labels: DataFrame) -> DataFrame:
         (good.cast("int") * _GOOD + toxic.cast("int") * _TOXIC).alias("label"))
 
 
-def count_stream(docs: DataFrame, labels: DataFrame, folder: str) -> StreamingQuery:
+def _ranges(spark: SparkSession, folder: str, rows: int) -> int:
+    """How many hash ranges of texts the state of a folder has: chosen once, then read."""
+    wanted = max(1, rows // TEXTS_PER_KEY)
+    spark.range(1).select(F.lit(wanted).cast("bigint").alias("ranges")).write.mode("ignore").parquet(f"{folder}/layout")
+    return spark.read.schema("ranges bigint").parquet(f"{folder}/layout").first()["ranges"]
+
+
+def count_stream(docs: DataFrame, labels: DataFrame, folder: str, ranges: int) -> StreamingQuery:
     """Start counting a stream of documents (doc_id, text, lang) into `folder`; started again there, it goes on where it stopped."""
     part = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part")
     judged = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), part, F.col("text").cast("string").alias("text"))
                            ).mapInArrow(_judge, _JUDGED)
     coded = judged.join(label_codes(labels), "doc_id", "left").select(
         "doc_id", "part", (F.col("code") + F.coalesce("label", F.lit(0))).alias("code"), "twin")
-    moved = coded.mapInArrow(_count_copies, _DEALT).groupBy("twin").applyInPandasWithState(
+    moved = coded.mapInArrow(lambda batches: _count_copies(batches, ranges), _DEALT).groupBy("bucket").applyInPandasWithState(
         _update, _CHANGES, _STATE, "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -177,14 +194,16 @@ def count_files(spark: SparkSession, path: str, labels: DataFrame, files_per_bat
     A micro-batch takes a file per core unless told otherwise: more batches cost time, never results.
     """
     folder, path = folder or work_path(spark, "filter-audit"), path.rstrip("/")
-    schema = spark.read.parquet(path).select(*[quoted(c) for c in ("doc_id", "text", "lang")]).schema
+    table = spark.read.parquet(path)
+    schema = table.select(*[quoted(c) for c in ("doc_id", "text", "lang")]).schema
+    ranges = _ranges(spark, folder, table.count())  # of the footers
     before = {key: spark.conf.get(key, None) for key in _STORE}
     try:
         for key, value in _STORE.items():
             spark.conf.set(key, value)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch or spark.sparkContext.defaultParallelism)
         # As a pattern, a path may name a folder or a single file; a stream refuses the latter by its plain name.
-        count_stream(stream.parquet(f"{path[:-1]}[{path[-1]}]"), labels, folder).awaitTermination()
+        count_stream(stream.parquet(f"{path[:-1]}[{path[-1]}]"), labels, folder, ranges).awaitTermination()
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
