@@ -29,6 +29,27 @@ PII_PATTERNS = [
     ("prolific_mention", r"(?iU)\bprolific\b"),
 ]
 
+# What a text must hold for a pattern to match at all: tests that are cheap, made once per text, and shared by patterns.
+_HINTS = [
+    (("email", "social_handle"), lambda text: text.contains("@")),
+    (("phone", "uk_postcode", "uk_nino", "long_digit_run"), lambda text: text.rlike(r"(?U)\d")),
+    (("url",), lambda text: text.contains("://") | text.contains("www.")),
+    (("date_of_birth",), lambda text: text.rlike(r"(?iU)\b(?:born|dob|date of birth)\b")),
+    (("self_names_me", "names_employer", "names_location", "prolific_mention"),
+     lambda text: text.rlike(r"(?iU)\b(?:my (?:[naepcb])|i(?:'m| am| work| live) |call me|prolific)")),
+]
+
+
+def pattern_hints(text: Column) -> Column:
+    """A bit per hint that the text gives; without its bit no pattern of a hint can match."""
+    return sum([F.when(test(text), 1 << i).otherwise(0) for i, (_, test) in enumerate(_HINTS)], F.lit(0))
+
+
+def pattern_found(text: Column, hints: Column, name: str, pattern: str) -> Column:
+    """Whether a pattern matches; its expression runs only on texts whose hints allow it."""
+    bits = sum(1 << i for i, (names, _) in enumerate(_HINTS) if name in names)
+    return (hints.bitwiseAND(bits) != 0) & text.rlike(pattern) if bits else text.rlike(pattern)
+
 
 def profile_block(fields: dict[str, Column]) -> Column:
     """'name: value' lines, known names first in their fixed order, the rest sorted."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from paneloom.functions import draws as R
-from paneloom.functions.text import PII_PATTERNS, redacted_hit
+from paneloom.functions.text import PII_PATTERNS, pattern_found, pattern_hints, redacted_hit
 from paneloom.operators.pairing import attach_short
 from paneloom.operators.resample import numbered
 
@@ -112,11 +112,12 @@ def pattern_counts(texts: DataFrame, field: str, text: str) -> DataFrame:
     """(field, pattern, n, n_scanned): one hit per pattern and text.
 
     All patterns are counted as columns of one aggregation; only its few result
-    rows are unpivoted.
+    rows are unpivoted. A text's hints decide which expressions run on it.
     """
-    counts = texts.where(_not_blank(F.col(text))).groupBy(field).agg(
+    hinted = texts.where(_not_blank(F.col(text))).select(field, text, pattern_hints(F.col(text)).alias("_hints"))
+    counts = hinted.groupBy(field).agg(
         F.count("*").alias("n_scanned"),
-        *[F.sum(F.col(text).rlike(p).cast("int")).alias(name) for name, p in PII_PATTERNS])
+        *[F.sum(pattern_found(F.col(text), F.col("_hints"), name, p).cast("int")).alias(name) for name, p in PII_PATTERNS])
     return counts.unpivot([field, "n_scanned"], [name for name, _ in PII_PATTERNS], "pattern", "n")
 
 
@@ -127,8 +128,9 @@ def pattern_samples(texts: DataFrame, field: str, key: str, text: str, n: int,
     The first n keys are chosen before any snippet is made; the row-number filter
     is applied inside every partition before the shuffle.
     """
-    hits = texts.where(_not_blank(F.col(text))).select(field, key, F.explode(F.filter(
-        F.array(*[F.when(F.col(text).rlike(p), F.lit(name)) for name, p in patterns]),
+    hinted = texts.where(_not_blank(F.col(text))).select(field, key, text, pattern_hints(F.col(text)).alias("_hints"))
+    hits = hinted.select(field, key, F.explode(F.filter(
+        F.array(*[F.when(pattern_found(F.col(text), F.col("_hints"), name, p), F.lit(name)) for name, p in patterns]),
         lambda x: x.isNotNull())).alias("pattern"))
     place = F.row_number().over(Window.partitionBy(field, "pattern").orderBy(key))
     first = hits.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")

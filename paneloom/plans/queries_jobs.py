@@ -17,6 +17,7 @@ from paneloom.plans.queries_tests import traits
 from paneloom.plans.queries_scalar import SQL_TRAITS
 from paneloom.plans.registry import query, r6, sq6
 from paneloom.session import materialise, work_path
+from paneloom.sources import buckets
 from paneloom.sources import readers as I
 from paneloom.sources import writers as O
 from paneloom.sources.registry import registry_frame
@@ -204,6 +205,17 @@ def snk3(spark, sf_dir):
     return O.upsert(old, new, ["user_id", "event_type"], "event_id")
 
 
+@query("snk3_bucketed_upsert", """WITH e AS (SELECT user_id, event_type, event_id, value FROM events)
+SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM e GROUP BY 1, 2""")
+def snk3_buckets(spark, sf_dir):
+    """The same kept in a store of hash buckets: each upsert reads and replaces the buckets of its own keys."""
+    rows = V.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    path = work_path(spark, "store")
+    buckets.create(rows.where("event_id % 2 = 0"), path, ["user_id", "event_type"], ["event_id"], buckets=64)
+    buckets.upsert(rows.where("event_id % 2 = 1"), path)
+    return buckets.read(spark, path)
+
+
 @query("snk4_progress_log", """SELECT event_type, count(*) AS n FROM events GROUP BY 1""")
 def snk4(spark, sf_dir):
     path = work_path(spark, "progress")
@@ -552,6 +564,16 @@ def str1(spark, sf_dir):
     return live.read_latest(spark, log, keys, order).select("user_id", "event_type", "event_id", "value")
 
 
+@query("str1_compacted_log", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2""")
+def str1_compacted(spark, sf_dir):
+    """The same with several micro-batches, folded into generations while the stream goes on."""
+    log, fed, keys, order = work_path(spark, "log"), work_path(spark, "fed"), ["user_id", "event_type"], ["ts", "event_id"]
+    V.table(spark, sf_dir, "events").drop("props").repartition(6, "event_id").write.parquet(fed)
+    stream = spark.readStream.schema(spark.read.parquet(fed).schema).option("maxFilesPerTrigger", 2).parquet(fed)
+    live.upsert_stream(stream, keys, order, log, work_path(spark, "cp"), compact_every=2).awaitTermination()
+    return live.read_latest(spark, log, keys, order).select("user_id", "event_type", "event_id", "value")
+
+
 @query("str2_stream_run_health", """SELECT event_type, count(*) AS n, count(CASE WHEN value > 5 THEN 1 END) AS valid, CAST(max(floor(value)) AS BIGINT) AS tok_max, CAST(quantile_disc(floor(value), 0.5) AS BIGINT) AS tok_median FROM events GROUP BY 1""")
 def str2(spark, sf_dir):
     out = work_path(spark, "health")

@@ -176,3 +176,21 @@ def test_tails_against_known_values(spark):
     assert value(T.chi2_tail(F.lit(3.841459), F.lit(1))) == pytest.approx(0.05, rel=1e-5)
     assert value(T.t_two_sided(F.lit(2.228139), F.lit(10))) == pytest.approx(0.05, rel=1e-5)
     assert value(T.normal_two_sided(F.lit(1.959964))) == pytest.approx(0.05, rel=1e-5)
+
+
+def test_hints_never_hide_a_match(spark):
+    import random
+
+    from paneloom.functions.text import PII_PATTERNS, pattern_found, pattern_hints
+
+    draw = random.Random(9)
+    parts = ["a@b.co", "@handle", "+44 (0)20 7946 0958", "https://x.y", "www.z", "SW1A 1AA", "AB123456C", "123456789", "born in 1980", "DOB: 1 2 1999",
+             "date of birth 2001", "MY NAME IS", "ı am called", "I'm called", "call me", "i worK for", "my boſs", "my employer", "my company", "i lİve in",
+             "i'm from", "i am from", "My Address", "my postcode", "prolıfic", "Prolific", "٣٤٥٦٧٨٩٠١٢", "x", "", " ", "\n", ".", "reborn 1980", "dob"]
+    rows = [(i, "".join(draw.choice(parts) + draw.choice(["", " ", "\n", "x", "."]) for _ in range(draw.randint(1, 4)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, t string").select("t", pattern_hints(F.col("t")).alias("h"))
+    wrong = 0
+    for name, p in PII_PATTERNS:
+        wrong += df.where(pattern_found(F.col("t"), F.col("h"), name, p) != F.col("t").rlike(p)).count()
+        assert df.where(F.col("t").rlike(p)).count() > 10, name
+    assert wrong == 0
