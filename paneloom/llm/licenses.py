@@ -9,13 +9,14 @@ Null and empty texts have no words and no spans; repeated rows give repeated row
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from paneloom.llm.rows import per_row
+from paneloom.llm.spans import Covered
 from paneloom.llm.words import FOLDED_WORD, folded_words, lower_ascii
 
 # Phrases that count wherever their words stand together.
@@ -72,10 +73,15 @@ class Notices:
             m = pattern.search(joined, low, high)
             if m:
                 found.add((sum(m.fuzzy_counts), m.start(), m.end(), label, length))
-        kept = []
-        for edits, start, end, label, length in sorted(found):
-            if not any(s < end and start < e for s, e, *_ in kept):
-                kept.append((start, end, edits, label, length))
+        kept, covered = [], Covered()
+        for _, group in groupby(sorted(found), key=lambda x: x[0]):  # fewest edits first, from left to right
+            own, reached = [], -1
+            for edits, start, end, label, length in group:
+                if start >= reached and not covered.meets(start, end):
+                    own.append((start, end, edits, label, length))
+                    reached = max(reached, end)
+            kept += own
+            covered.add((start, end) for start, end, *_ in own)
         return sorted(kept)
 
 
@@ -86,9 +92,9 @@ def license_spans(text: str | None, notices: Notices, phrases: dict[str, str]) -
     framed = f" {joined} "
     exact = []
     for phrase, label in phrases.items():
-        at = framed.find(f" {phrase} ")
+        at, first, counted = framed.find(f" {phrase} "), 0, 0
         while at >= 0:
-            first = framed.count(" ", 0, at)
+            first, counted = first + framed.count(" ", counted, at), at
             exact.append((first, first + phrase.count(" ") + 1, label, len(phrase)))
             at = framed.find(f" {phrase} ", at + 1)
     fuzzy = notices.search(joined)

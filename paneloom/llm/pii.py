@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from paneloom.llm.rows import per_row
+from paneloom.llm.spans import Covered
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 ADDED_KINDS = ["iban", "local_phone", "ssn"]
@@ -115,13 +116,10 @@ def _accounts(text: str):
 
 
 def _proposals(text: str):
-    """(kind, start, end, confirmed by a checksum) of the kinds beyond the base."""
-    for start, end in _accounts(text):
-        yield "iban", start, end, True
-    for m in _LOCAL_PHONE.finditer(text):
-        yield "local_phone", m.start(), m.end(), False
-    for m in _SSN.finditer(text):
-        yield "ssn", m.start(), m.end(), False
+    """(kind, its spans from left to right, confirmed by a checksum) of the kinds beyond the base, in the order of their claims."""
+    yield "iban", _accounts(text), True
+    yield "local_phone", (m.span() for m in _LOCAL_PHONE.finditer(text)), False
+    yield "ssn", (m.span() for m in _SSN.finditer(text)), False
 
 
 def _score(text: str, kind: str, start: int, end: int, confirmed: bool, reach: int) -> float:
@@ -136,12 +134,14 @@ def personal_data(text: str | None, reach: int = 40, least: float = 0.6) -> list
     out = [(k, s, e, text[s:e], True, _score(text, k, s, e, k == "card", reach)) for k, s, e in base]
     if not text or len(text.encode().translate(None, _DIGITS)) == len(text.encode()):
         return out
-    held = [(s, e) for _, s, e in base]
-    for kind, start, end, confirmed in _proposals(text):
-        score = _score(text, kind, start, end, confirmed, reach)
-        if score >= least and not any(s < end and start < e for s, e in held):
-            held.append((start, end))
-            out.append((kind, start, end, text[start:end], False, score))
+    held = Covered((s, e) for _, s, e in base)
+    for kind, proposed, confirmed in _proposals(text):
+        own = []  # spans of one kind do not overlap
+        for start, end in proposed:
+            if not held.meets(start, end) and (score := _score(text, kind, start, end, confirmed, reach)) >= least:
+                own.append((start, end))
+                out.append((kind, start, end, text[start:end], False, score))
+        held.add(own)
     return out
 
 

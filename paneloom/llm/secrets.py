@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from paneloom.llm.rows import per_row
+from paneloom.llm.spans import Covered
 
 BASE_KINDS = ["assign", "access", "hex"]
 KINDS = BASE_KINDS + ["learned"]
@@ -203,8 +204,9 @@ def secret_spans(text: str | None, grammar: Grammar, least: float = 0.9) -> list
     base = base_spans(text)
     out = [(k, s, e, v, True, 1.0) for k, s, e, v in base]
     if grammar.automata:
+        held = Covered((s, e) for _, s, e, _ in base)
         for start, end, token in candidates(text):
-            if not any(s < end and start < e for _, s, e, _ in base) and (score := grammar.score(token)) >= least:
+            if not held.meets(start, end) and (score := grammar.score(token)) >= least:
                 out.append(("learned", start, end, token, False, score))
     return out
 

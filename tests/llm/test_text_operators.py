@@ -228,3 +228,41 @@ def test_extra_columns_and_repeated_rows(spark, name):
 
 def test_schema_is_what_documents_have(spark):
     assert frame(spark).schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
+
+
+def test_overlaps_are_those_of_a_plain_comparison():
+    from paneloom.llm.spans import Covered
+
+    draw = random.Random(6)
+    for _ in range(300):
+        spans = [(a, a + draw.randint(1, 9)) for a in (draw.randint(0, 80) for _ in range(draw.randint(0, 12)))]
+        covered = Covered(spans[::2])
+        covered.add(spans[1::2])
+        for start in range(95):
+            for end in (start + 1, start + 5):
+                assert covered.meets(start, end) == any(s < end and start < e for s, e in spans)
+
+
+@pytest.mark.parametrize("megabytes", [1, 4])
+def test_long_texts_full_of_matches_take_linear_time(megabytes):
+    import time
+
+    notices, names = licenses.Notices(licenses.NOTICES, 12), list(licenses.NOTICES)
+    near = [n[:9] + "q" + n[10:] for n in names]
+    grammar = secrets.Grammar([("assign", f"abc{i}defGHI{i}jkl0") for i in range(300)], {})
+    made = {
+        "op10": (lambda k: f"phone 555 {k % 900 + 100}-{k % 9000 + 1000} mail a{k}@b.co host 10.0.{k % 255}.1 social 078-05-{k % 9000 + 1000}; ",
+                 lambda text: pii.personal_data(text)),
+        "op7": (lambda k: f"token=abc{k}defGHI{k}jkl0 sk_{k:08x}{k * 7919 % 99991:05d}AbCd Zq{k * 31 % 9973:04d}xx{k:06d}Yy ",
+                lambda text: secrets.secret_spans(text, grammar)),
+        "op4": (lambda k: near[k % len(near)] + " under the mit license filler words ", lambda text: licenses.license_spans(text, notices, licenses.PHRASES)[1]),
+    }
+    for name, (piece, search) in made.items():
+        parts, size = [], 0
+        while size < megabytes * 1_000_000 // (4 if name == "op4" else 1):
+            parts.append(piece(len(parts)))
+            size += len(parts[-1])
+        start = time.process_time()
+        spans = search("".join(parts))
+        # Each span costs a bounded amount; a quadratic search takes some fifty times this at four megabytes.
+        assert len(spans) >= len(parts) and time.process_time() - start < 2e-3 * len(spans) + 5, name
