@@ -484,6 +484,36 @@ def _rounded(table):
                         "significance", "n")
 
 
+_ABSORBED = f"""{_SQL_FRAME}, ab AS (SELECT source, subject, CAST(init AS DOUBLE) AS x, CAST(change AS DOUBLE) AS y FROM mf WHERE change IS NOT NULL),
+wi AS (SELECT source, regr_slope(y - my, x - mx) AS b, count(*) AS n FROM (SELECT *, avg(x) OVER (PARTITION BY source, subject) AS mx, avg(y) OVER (PARTITION BY source, subject) AS my FROM ab) GROUP BY source),
+le AS (SELECT source, subject, avg(y) - max(b) * avg(x) AS a, max(n) AS n FROM ab JOIN wi USING (source) GROUP BY 1, 2),
+fs AS (SELECT min(subject) AS first FROM ab)"""
+
+
+@query("reg7_absorbed_subjects", f"""WITH {_ABSORBED} SELECT source, 'init' AS variable, {sq6('b')} AS coefficient, n FROM wi
+UNION ALL SELECT le.source, 'Intercept', {sq6('le.a')}, le.n FROM le, fs WHERE subject = first
+UNION ALL SELECT le.source, 'C(subject)[T.' || le.subject || ']', {sq6('le.a - z.a')}, le.n FROM le JOIN (SELECT source, a FROM le, fs WHERE subject = first) z USING (source), fs WHERE subject <> first""")
+def reg7_absorbed(spark, sf_dir):
+    """Change on the initial belief with an effect of every subject: as many levels as subjects, none of them listed."""
+    frame = materialise(model_frame(spark, sf_dir).select("source", "subject", "init", "change"), "frame")
+    first = frame.where("change is not null").agg(F.min("subject").cast("string").alias("v")).first()["v"]
+    out = G.absorbed_ols(frame, "source", ["init"], {}, "subject", first, "change")
+    return out.select("source", "variable", r6(_C("coefficient")).alias("coefficient"), "n")
+
+
+_PROFILE = [-6.0, -4.0, -2.0, 0.0, 2.0]
+
+
+@query("reg8_profile_deviance", f"""WITH {_SQL_FRAME}, g AS (SELECT source, subject, count(*) AS m, CAST(sum(change) AS DOUBLE) AS s, CAST(sum(change * change) AS DOUBLE) AS q FROM mf WHERE change IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT unnest({_PROFILE!r}) AS log_theta), w AS (SELECT *, exp(log_theta) AS th FROM g, t),
+p AS (SELECT source, log_theta, sum(m) AS n, sum(m / (1 + th * m)) AS a, sum(s / (1 + th * m)) AS b, sum(q - th * s * s / (1 + th * m)) AS c, sum(ln(1 + th * m)) AS pen FROM w GROUP BY 1, 2)
+SELECT source, log_theta, {sq6('(n - 1) * ln((c - b * b / a) / (n - 1)) + pen + ln(a)')} AS deviance FROM p""")
+def reg8_profile(spark, sf_dir):
+    """The REML profile of the model with an intercept only."""
+    out = G.profile_deviance(model_frame(spark, sf_dir), "source", "subject", [], "change", _PROFILE)
+    return out.withColumn("deviance", r6(_C("deviance")))
+
+
 @query("reg9_variance_component_as_least_squares")
 def reg9(spark, sf_dir):
     frame, names = _design(spark, sf_dir)
