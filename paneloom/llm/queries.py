@@ -87,7 +87,21 @@ def op7(spark, sf_dir):
     return pii.digest(found, secrets.KINDS, secrets.BASE_KINDS, True, "secrets")
 
 
-@query("op8_repeated_strings")
+# Windows of 400 bytes that start at two places or more; covered bytes and runs from the order of their starts.
+_OP8 = """WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+w AS (SELECT r, i, md5(hex(raw[i:i + 399])) AS h FROM (SELECT r, raw, unnest(range(1, octet_length(raw) - 398)) AS i FROM b WHERE octet_length(raw) >= 400)),
+t AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true) AS fresh FROM t),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS e FROM (SELECT r, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM g) GROUP BY r, n),
+k AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 1) AS from_, a AS upto FROM s UNION ALL SELECT r, max(e), NULL FROM s GROUP BY r),
+p AS (SELECT k.r, string_agg(CASE WHEN coalesce(upto, octet_length(raw) + 1) > from_ THEN hex(raw[from_:coalesce(upto, octet_length(raw) + 1) - 1]) ELSE '' END, '' ORDER BY from_) AS kept
+  FROM k JOIN b USING (r) GROUP BY k.r),
+c AS (SELECT r, sum(e - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY r)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(coalesce(unhex(kept), raw)) AS kept_sha256 FROM b LEFT JOIN c USING (r) LEFT JOIN p USING (r)"""
+
+
+@query("op8_repeated_strings", _OP8)
 def op8(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -160,3 +174,75 @@ def op13(spark, sf_dir):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+# The exact base of operators whose verdict or additions have no SQL, each from its operator's own output.
+
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, {_SPACED} AS ws FROM documents),
+n AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT r, unnest(string_split(x, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+w AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+t AS (SELECT r, i FROM w JOIN (SELECT r, win FROM w GROUP BY r, win HAVING count(*) > 1) USING (r, win)),
+p AS (SELECT r, count(DISTINCT q) AS n_rep FROM (SELECT r, unnest(range(i, i + 5)) AS q FROM t) GROUP BY r),
+c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN n USING (r) LEFT JOIN p USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
+
+
+@query("llm_quality_base", _QUALITY)
+def quality_base(spark, sf_dir):
+    return op1(spark, sf_dir).drop("kept")
+
+
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PHRASES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS ws FROM documents),
+f AS (SELECT * FROM (VALUES {', '.join(f"('{p}', '{label}', {p.count(' ') + 1})" for p, label in licenses.PHRASES.items())}) v(phrase, label, n)),
+m AS (SELECT r, label, i - 1 AS place FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) JOIN f ON array_to_string(ws[i:i + n - 1], ' ') = phrase)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m GROUP BY r) USING (r)"""
+
+
+@query("llm_license_base", _PHRASES)
+def license_base(spark, sf_dir):
+    return op4(spark, sf_dir).drop("labels", "score")
+
+
+def _matches(kind: str, order: int, pattern: str, holds: str, group: int = 0) -> str:
+    """Leftmost non-overlapping matches of a pattern with their places: what stands between them has known lengths."""
+    return f"""SELECT r, '{kind}' AS kind, {order} AS o, s, s + length(m) AS e, v FROM (
+  SELECT r, ms[k] AS m, vs[k] AS v, list_sum(list_transform(between[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda y: length(y))), 0) AS s
+  FROM (SELECT r, ms, vs, between, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT r, regexp_extract_all(x, '{pattern}') AS ms, regexp_extract_all(x, '{pattern}', {group}) AS vs,
+    string_split_regex(x, '{pattern}') AS between FROM d))) WHERE {holds}"""
+
+
+def _base_sql(kinds: list[str], matches: list[str], by: str) -> str:
+    counts = ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END)::BIGINT AS n_{k}" for k in kinds)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({' UNION ALL '.join(matches)})
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in kinds)}, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN (SELECT r, {counts}, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY {by}) AS spans FROM m GROUP BY r) USING (r)"""
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+@query("llm_secret_base", _base_sql(["assign", "access", "hex"], [
+    _matches("assign", 1, _ASSIGN, "length(v) >= 12", 1), _matches("access", 2, "AKIA[A-Z0-9]+", "length(m) >= 18"),
+    _matches("hex", 3, "[0-9a-f]+", "length(m) >= 16")], "s, o"))
+def secret_base(spark, sf_dir):
+    return op7(spark, sf_dir).drop("spans")
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""(list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT
+  ELSE (2 * substr(reverse({_DIGITS}), i, 1)::INT) // 10 + (2 * substr(reverse({_DIGITS}), i, 1)::INT) % 10 END)) % 10 = 0)"""
+
+
+@query("llm_personal_base", _base_sql(["email", "ip", "card", "phone"], [
+    _matches("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    _matches("ip", 2, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda y: y::HUGEINT)) <= 255"),
+    _matches("card", 3, r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    _matches("phone", 4, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")], "o, s"))
+def personal_base(spark, sf_dir):
+    return op10(spark, sf_dir).drop("spans")
