@@ -42,7 +42,7 @@ def src1(spark, sf_dir):
 
 
 @query("src2_study_documents_exploded", """SELECT s_suppkey AS subject, item, CAST(s_suppkey % 5 - 2 AS INT) AS init_belief,
-CAST(['123', '132', '213', '231', '312', '321'][CAST(s_suppkey % 6 + 1 AS INT)] AS VARCHAR) AS shown FROM supplier CROSS JOIN (SELECT unnest(['A', 'N']) AS item)""")
+CAST(['123', '132', '213', '231', '312', '321'][CAST(s_suppkey % 6 + 1 AS INT)] AS VARCHAR) AS shown FROM supplier CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS item)""")
 def src2(spark, sf_dir):
     path = work_path(spark, "study")
     index = (_C("s_suppkey") % 6).cast("int")
@@ -50,7 +50,7 @@ def src2(spark, sf_dir):
     topics = F.array(*[F.struct(
         F.lit(i).alias("topic"), F.lit("w").alias("statement_formulation"), (_C("s_suppkey") % 5 - 2).alias("init_belief"),
         F.lit("package1").alias("package"), index.alias("message_order_index"), messages.alias("shown_messages"))
-        for i in ("A", "N")])
+        for i in V.ITEMS])
     V.table(spark, sf_dir, "supplier").select(
         _C("s_suppkey").alias("subject"), _C("s_suppkey").cast("string").alias("participant_id"), topics.alias("topics")).write.option(
         "ignoreNullFields", False).partitionBy("subject").json(path)
@@ -311,6 +311,15 @@ def pii4b(spark, sf_dir):
     return X.surviving_ids(done, _C("source"), "note", mapping.select("original"))
 
 
+@query("pii4_survivors_of_a_partial_map", f"""WITH {_SQL_MAP}, {_SQL_NOTES} SELECT source AS dataset, count(*) * 2 AS n_survivors, count(DISTINCT a) AS n_ids
+FROM nt JOIN mp ON mp.original = a WHERE CAST(substr(pseudonym, 2) AS BIGINT) % 2 = 1 GROUP BY 1""")
+def pii4_partial(spark, sf_dir):
+    """Half of the map is withheld from the rewrite: its ids, and no others, are found."""
+    mapping = materialise(_map(spark, sf_dir), "map")
+    done = X.pseudonymise(_notes(spark, sf_dir), "doc_id", "note", mapping.where("cast(substr(pseudonym, 2) as bigint) % 2 = 0"))
+    return X.surviving_ids(done, _C("source"), "note", mapping.select("original"))
+
+
 _W = r"\p{L}\p{N}_"
 _SQL_PATTERNS = {
     "email": rf"[{_W}][{_W}.+-]*@[{_W}-]+\.[{_W}.]+[{_W}]",

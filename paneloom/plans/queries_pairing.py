@@ -24,10 +24,24 @@ def flagship(spark, sf_dir):
 SELECT source, count(*) AS n, CAST(sum(h - y) AS BIGINT) AS sum_diff FROM paired
 WHERE item = 'A' AND cell = 'package2' GROUP BY source""")
 def flt1(spark, sf_dir):
-    cell = P.restrict(V.paired(spark, sf_dir), item="A", cell="package2", must_hold=False)
+    cell = P.restrict(V.paired(spark, sf_dir), item="A", cell="package2")
     return cell.groupBy("source").agg(F.count("*").alias("n"), F.sum(_C("h") - _C("y")).alias("sum_diff"))
 
 
+@query("flt1_empty_cell_stops", f"""WITH {V.PAIRED} SELECT c.item, c.cell, (SELECT count(*) FROM paired p WHERE p.item = c.item AND p.cell = c.cell) = 0 AS stopped
+FROM (SELECT unnest(['A', 'N', 'A', 'none']) AS item, unnest(['package1', 'package3', 'package9', 'package1']) AS cell) c""")
+def flt1_empty(spark, sf_dir):
+    """Which of some asked cells stop the job."""
+    paired, out = V.paired(spark, sf_dir), []
+    for item, cell in (("A", "package1"), ("N", "package3"), ("A", "package9"), ("none", "package1")):
+        try:
+            P.restrict(paired, item, cell)
+            out.append((item, cell, False))
+        except ValueError:
+            out.append((item, cell, True))
+    return spark.createDataFrame(out, "item string, cell string, stopped boolean")
+
+
 @query("flt2_complete_case_drops", f"""WITH {V.PANEL}, c AS (SELECT subject, item, round FROM panel WHERE src = 1),
 w AS (SELECT subject, item, round, src FROM c CROSS JOIN (SELECT unnest(range(2, 8)) AS src))
 SELECT 'model_' || w.src AS source, count(*) - count(p.y) AS n_dropped

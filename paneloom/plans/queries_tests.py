@@ -247,10 +247,10 @@ rr AS (SELECT source, predictor, rank() OVER (PARTITION BY source, predictor ORD
   rank() OVER (PARTITION BY source, predictor ORDER BY d) + (count(*) OVER (PARTITION BY source, predictor, d) - 1) / 2e0 AS ry FROM lp)"""
 
 
-@query("sta10_spearman", f"""WITH {V.PANEL}, {_SQL_PREDICTORS} SELECT source, {sq6('corr(rx, ry)')} AS rho, count(*) AS n FROM rr WHERE predictor = 'extraversion' GROUP BY source""")
+@query("sta10_spearman", f"""WITH {V.PANEL}, {_SQL_PREDICTORS} SELECT source, predictor, {sq6('corr(rx, ry)')} AS rho, count(*) AS n FROM rr GROUP BY source, predictor""")
 def sta10(spark, sf_dir):
-    rows = predictor_rows(spark, sf_dir).where("predictor = 'extraversion'")
-    return H.spearman(rows, ["source"], _C("x"), _C("d")).select("source", r6(_C("rho")).alias("rho"), "n")
+    out = H.spearman(predictor_rows(spark, sf_dir), ["source", "predictor"], _C("x"), _C("d"))
+    return out.select("source", "predictor", r6(_C("rho")).alias("rho"), "n")
 
 
 @query("sta10_spearman_open_domain", f"""WITH r AS (SELECT c_mktsegment AS segment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2e0 AS rx,
