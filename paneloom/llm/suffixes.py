@@ -6,7 +6,7 @@ is the smallest of a window so wide that every string of `length` bytes has an a
 at the same offset wherever it occurs. Anchors whose seed occurs once in the corpus are
 dropped after a count. Of the others, each task sorts the suffixes, followed by what
 stands before the anchor in reverse, into runs; runs are front-coded (length of the
-prefix shared with the one before, and the rest), cut by ranges of the seed's hash and
+prefix shared with the one before, and the rest), cut by ranges of the seed's spread hash and
 exchanged. A loser tree merges the runs of a range. It knows of every head how long a
 prefix it shares with the last suffix put out: the longer one comes first without a
 look at the bytes, equal ones are compared from there on, so no byte of a known
@@ -14,8 +14,9 @@ prefix is compared again. The shared prefixes of the merged order then tell, for
 offset before the anchor, which windows are equal. An anchor's suffix and left side
 reach as far as the strings that have it as their first smallest anchor, no further.
 
-A seed in more than `hot` documents is not gathered in one range: the windows around
-its anchors are counted by a 128-bit hash, combined before the shuffle. Equal texts
+A seed in more documents than a range is meant to hold anchors (`hot`) is not gathered in one
+range: its anchors share their bytes on both sides, so no cut by what follows would part them.
+The windows around them are counted by a 128-bit hash, combined before the shuffle. Equal texts
 are searched once and repeat each other; no match crosses documents. A null text is
 empty and keeps nothing to remove; rows that repeat a doc_id are documents of their own.
 """
@@ -324,6 +325,11 @@ def _seed_table(docs: DataFrame, length: int, seed: int) -> DataFrame:
                                    "seeds": ArrayType(LongType()), "twice": ArrayType(BooleanType())}, start, keep=["doc_id"])
 
 
+def _range_of(hash_: int, parts: int) -> int:
+    """The range of a seed's hash. Anchors are places of small hashes, so the hash is spread out again first."""
+    return (hash_ * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) * parts >> 64
+
+
 def _front_runs(batches: Iterator[pa.RecordBatch], length: int, seed: int, parts: int, run_bytes: int) -> Iterator[pa.RecordBatch]:
     """Sorted front-coded runs of the anchors with repeated seeds, cut by ranges of the seed's hash."""
     anchors = Anchors(length, seed)
@@ -356,7 +362,7 @@ def _front_runs(batches: Iterator[pa.RecordBatch], length: int, seed: int, parts
             for place, hash_, low, high in zip(*[x[chosen].tolist() for x in (places, hashes, first, last)]):
                 right = raw[place:high + length]
                 suffix = right + raw[low:place][::-1]
-                own.setdefault(((hash_ + (1 << 63)) * parts >> 64, suffix, len(right)), []).append(place)
+                own.setdefault((_range_of(hash_, parts), suffix, len(right)), []).append(place)
             for (part, suffix, right), at in own.items():
                 held.append((part, suffix, right, key, at))
                 size += len(suffix) + 8 * len(at)
@@ -466,7 +472,7 @@ def repeated_spans(docs: DataFrame, signed: DataFrame, length: int, seed: int, h
         merged.union(hot_spans).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "key")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 128, hot: int = 200_000, part_entries: int = 1 << 14,
+def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 128, hot: int = 1 << 14, part_entries: int = 1 << 14,
                    run_bytes: int = 1 << 23, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document; with `text`, also the bytes that stay.
 
