@@ -77,12 +77,15 @@ def sainte_lague(units: DataFrame, by: list[str], votes: str, seats: str, name:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64,
-        shard_words: int = 1 << 17, fan: int = 1024, salts: int = 64, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target of the source, and the words the mix takes of each document."""
+        shard_words: int = 1 << 17, fan: int = 1024, salts: int = 64, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target of the source, and the words the mix takes of each document.
+
+    `keep` names short columns that go along with their rows.
+    """
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     sized = materialise(docs.select(
         "doc_id", "source", words_of(F.col("text")).alias("size"), key.alias("key"),
-        F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string"))).alias("order")), "mix-sizes")
+        F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string"))).alias("order"), *keep), "mix-sizes")
     sources = targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")), weights, most)
     sources = sources.withColumn("blocks", F.round(F.sum("source_size").over(Window.partitionBy()) / block).cast("bigint"))
     sources = sainte_lague(
@@ -119,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
         return block * chosen(i) + (chosen(i + 1) - chosen(i)) * (x - i * block)
 
     taken = F.col("each") * F.col("size") + extra(F.col("upto")) - extra(F.col("upto") - F.col("size"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *keep)
 
 
 # mix() in the order of its steps; divisions are of doubles, as above.
