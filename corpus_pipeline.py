@@ -63,8 +63,15 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes from, with their source's target and the words taken."""
-    return mixture.mix(docs).where("taken > 0")
+    """The documents that the mix takes from, whole, with their size, source's size and target, and the words taken.
+
+    Rows get a number that is written down with them, so rows that share an id or are equal meet their own share.
+    """
+    row = fresh(docs, "_mix_row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    added = {c: fresh(docs, c) for c in ("size", "source_size", "target", "taken")}
+    taken = mixture.mix(numbered, keep=(row,)).where("taken > 0").select(row, *[F.col(c).alias(name) for c, name in added.items()])
+    return join_ids(numbered, taken, row, "inner").select(*map(quoted, docs.columns), *added.values())
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark),
