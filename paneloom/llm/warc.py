@@ -118,18 +118,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
                                       names=[c.split()[0] for c in _MANIFEST.split(", ")])
 
 
-def _bounds(pages: DataFrame, shard_bytes: int, samples: int = 32) -> np.ndarray:
-    """First ids of the shards after the first: equal bytes, from about `samples` hashed ids a shard."""
-    total, count = pages.agg(F.sum("bytes"), F.count(F.lit(1))).first()
-    shards = -(-(total or 0) // shard_bytes) or 1
-    if shards == 1:
-        return np.zeros(0, np.int64)
-    share = min(1.0, samples * shards / count)
-    rows = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(
-        "at", "bytes").orderBy("at", "bytes").collect()
-    upto = np.cumsum([r["bytes"] + 1 for r in rows])
-    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards) if rows else []
-    return np.unique(np.array([rows[i]["at"] for i in cuts], np.int64))
+class _Shards:
+    """Shard of an id: ranges of about equal bytes, from a hash sample whose size does not grow with the pages.
+
+    The sample cuts the ids into at most `knots` ranges. More shards than that divide each range evenly by id.
+    """
+
+    def __init__(self, pages: DataFrame, shard_bytes: int, samples: int = 32, knots: int = 4096):
+        total, count, low, high = pages.agg(F.sum("bytes"), F.count(F.lit(1)), F.min("at"), F.max("at")).first()
+        self.count = -(-(total or 0) // shard_bytes) or 1
+        self.low, self.high, ranges = low, high, min(self.count, knots)
+        self.bounds = np.zeros(0, np.int64)
+        if ranges > 1:
+            share = min(1.0, samples * ranges / count)
+            rows = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(
+                "at", "bytes").orderBy("at", "bytes").collect()  # about samples x knots ids at most
+            upto = np.cumsum([r["bytes"] + 1 for r in rows])
+            cuts = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges) if rows else []
+            self.bounds = np.unique(np.array([rows[i]["at"] for i in cuts], np.int64))
+        if self.count <= knots:
+            self.count = len(self.bounds) + 1
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.bounds, ids, side="right")
+        if self.count == len(self.bounds) + 1:
+            return place.astype(np.int32)
+        edges = np.concatenate(([self.low], self.bounds, [self.high])).astype(float)
+        width = np.maximum(edges[place + 1] - edges[place], 1.0)
+        inside = np.clip((ids.astype(float) - edges[place]) / width, 0.0, np.nextafter(1.0, 0.0))
+        return np.minimum((place + inside) * self.count / (len(self.bounds) + 1), self.count - 1).astype(np.int32)
+
+
+def _by_file(files: DataFrame, most_tasks: int = 100_000) -> DataFrame:
+    """Listed files dealt by their number, a task each: adaptive execution would put so few rows into one."""
+    shards, width = files.agg(F.coalesce(F.max("shard"), F.lit(0)) + 1, F.coalesce(F.max("seq"), F.lit(0)) + 1).first()
+    tasks = min(shards * width, most_tasks)
+    return files.repartitionById(tasks, ((F.col("shard").cast("bigint") * width + F.col("seq")) % tasks).cast("int"))
 
 
 def write_archive(pages: DataFrame, folder: str, prefix: str = "pages", shard_bytes: int = 1 << 25, roll_bytes: int = 1 << 24,
@@ -143,17 +167,17 @@ def write_archive(pages: DataFrame, folder: str, prefix: str = "pages", shard_by
         F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeats = slim.join(groups, ["digest", "bytes"]).select("page_id", "at", "digest", "original")
 
-    bounds = _bounds(slim, shard_bytes)
+    shards = _Shards(slim, shard_bytes)
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(shards.of(ids.to_numpy()))
 
     # Decisions sort before the pages they are about: the writer meets both in one pass over one shuffle.
     none = lambda kind: F.lit(None).cast(kind)
     rows = repeats.select("page_id", "at", F.lit(0).alias("kind"), "digest", "original", none("string").alias("url"), none("binary").alias("payload")).union(
         pages.select("page_id", at, F.lit(1), none("string"), none("bigint"), "url", payload))
-    dealt = rows.withColumn("shard", shard_of("at")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(
+    dealt = rows.withColumn("shard", shard_of("at")).repartitionById(shards.count, F.col("shard")).sortWithinPartitions(
         "shard", "at", "kind", "digest", "url", "payload")
     stamp = date.strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -184,7 +208,7 @@ def write_archive(pages: DataFrame, folder: str, prefix: str = "pages", shard_by
     attempt = f"{folder}/_written"
     dealt.mapInArrow(write, _MANIFEST).write.parquet(attempt)
     manifest = f"{folder}/_manifest"
-    spark.read.schema(_MANIFEST).parquet(attempt).repartition("name").mapInArrow(_committer(folder), _MANIFEST).write.parquet(manifest)
+    _by_file(spark.read.schema(_MANIFEST).parquet(attempt)).mapInArrow(_committer(folder), _MANIFEST).write.parquet(manifest)
     return spark.read.schema(_MANIFEST).parquet(manifest)
 
 
@@ -257,8 +281,8 @@ def read_archive(spark: SparkSession, folder: str, payload: bool = False) -> Dat
                             rows, held = [], 0
                 yield emit(rows)
 
-    names = spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest").select("name")
-    return names.repartition(F.col("name")).mapInArrow(read, _READ + ", payload binary" * payload)
+    files = _by_file(spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest"))
+    return files.select("name").mapInArrow(read, _READ + ", payload binary" * payload)
 
 
 def _row(headers: dict[str, str], block: bytes, payload: bool) -> tuple:

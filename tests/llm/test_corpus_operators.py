@@ -321,3 +321,37 @@ def test_uncommitted_files_are_not_read(spark):
 def test_empty_schema_is_kept(spark):
     assert frame(spark, []).schema == spark.createDataFrame([], SCHEMA).schema
     assert F.lit(1) is not None
+
+
+def test_shards_of_more_ranges_than_knots_keep_the_order(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ids = np.unique(np.concatenate((rng.integers(0, 10**6, 4000), rng.integers(10**12, 10**12 + 5000, 2000), [-5, 2**62])))
+    pages = spark.createDataFrame([(int(i), int(i), 100) for i in ids], "page_id long, at long, bytes long")
+    few, many = warc._Shards(pages, 20_000), warc._Shards(pages, 20_000, knots=4)
+    assert few.count == len(few.bounds) + 1 and many.count == -(-100 * len(ids) // 20_000) and len(many.bounds) == 3
+    for shards in (few, many):
+        got = shards.of(ids)
+        assert (np.diff(got) >= 0).all() and got.min() >= 0 and got.max() < shards.count
+    sizes = np.bincount(few.of(ids), minlength=few.count)
+    assert sizes.max() < 3 * sizes.mean()
+
+
+def test_files_are_read_a_task_each(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.createDataFrame([(f"n{i}-{k}", i, k) for i in range(7) for k in range(2)], "name string, shard int, seq int")
+    dealt = warc._by_file(files).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert dealt == 14
+    assert warc._by_file(files.where("false")).count() == 0
+
+
+def test_ranges_of_seeds_are_even():
+    import numpy as np
+
+    # Anchors have small hashes; their ranges are none the less of like size.
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 200_000, dtype=np.uint64))[:20_000].view(np.int64)
+    sizes = np.bincount([suffixes._range_of(int(h), 16) for h in hashes], minlength=16)
+    assert len(sizes) == 16 and sizes.max() < 1.3 * sizes.mean()
+    assert all(0 <= suffixes._range_of(h, 3) < 3 for h in (-(1 << 63), -1, 0, (1 << 63) - 1))

@@ -76,6 +76,23 @@ def test_secrets_are_replaced_and_documents_stay(spark):
     assert tuple(out[2]) == rows[1] and tuple(out[3]) == rows[2]
 
 
+def test_the_mix_keeps_whole_rows(spark):
+    from paneloom.llm import mixture
+
+    for docs in (frame(spark), awkward(spark)):
+        out = STAGES["mixing sources to target weights"](spark, docs, SF_DIR)
+        assert columns_of(out)[:len(docs.columns)] == columns_of(docs)
+        taken = out.columns[-1]
+        want = sorted((repr(r.doc_id), r.size, r.taken) for r in mixture.mix(docs).where("taken > 0").collect())
+        size = out.columns[-4]
+        assert sorted((repr(r.doc_id), r[size], r[taken]) for r in out.collect()) == want and want
+        texts = {(r.doc_id, r.text) for r in docs.collect()}
+        assert {(r.doc_id, r.text) for r in out.collect()} <= texts
+    equal = frame(spark, [(1, "one two three " * 40, "en", "s", 1)] * 5 + [(1, "four " * 90, "en", "s", 1), (2, None, "en", "s", 1)])
+    assert 0 < STAGES["mixing sources to target weights"](spark, equal, SF_DIR).count() <= 6
+    assert STAGES["mixing sources to target weights"](spark, equal.where("false"), SF_DIR).count() == 0
+
+
 def test_pipeline_runs_its_stages_in_order(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
@@ -100,5 +117,5 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) <= set(entry.queries()) and importlib.util.find_spec("corpus_pipeline")
-    assert all(any(n.startswith(f"op{k}_") for n in entry.queries()) for k in range(1, 11)) and "pipeline" in entry.queries()
+    assert all(any(n.startswith(f"op{k}_") for n in entry.queries()) for k in range(1, 14)) and "pipeline" in entry.queries()
     assert folded("A b") == ["a", "b"]
