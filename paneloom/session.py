@@ -18,6 +18,7 @@ def local_session(cores: str = "8", name: str = "paneloom") -> SparkSession:
         .appName(name)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", cores if cores.isdigit() else "8")  # small tables are read by every core
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
