@@ -9,6 +9,7 @@ functions.draws; none depends on partitioning, and none is shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import groupby
@@ -203,6 +204,39 @@ def mean_errors(errors: DataFrame, group: list[str], sources: list[str], weight:
     return sums.where("_m > 0").select(*group, rows).select(*group, "x.*")
 
 
+def flipped_sums(rows: DataFrame, unit: str, columns: list[str], n_rep: int, seed: int) -> DataFrame:
+    """(rep, columns): sums over units, each unit's row taken with its sign of the replicate.
+
+    A digest gives a unit 32 signs, the same in any engine. A task holds a range of units and of replicates, and
+    multiplies a matrix of signs with its rows; one row per replicate leaves it.
+    """
+    per_block = _BLOCK * BLOCKS_AT_ONCE
+    dealt, _ = _by_block(rows.select(F.col(unit).cast("string").alias("_unit"), *[F.col(c).cast("double").alias(c) for c in columns]),
+                         "_unit", n_rep, per_block, 50_000)
+    places = np.arange(_BLOCK, dtype=np.uint32)
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        first = int(frame["_block"].iat[0]) * BLOCKS_AT_ONCE
+        ordered = frame.sort_values("_unit")
+        units, values, out = [u.encode() for u in ordered["_unit"]], ordered[columns].to_numpy(float), []
+        for block in range(first, min(first + BLOCKS_AT_ONCE, math.ceil(n_rep / _BLOCK))):
+            head = hashlib.md5(f"{seed}|{block}|".encode())
+            words = np.frombuffer(b"".join([_digest(head, u) for u in units]), dtype=">u4")[::4].astype(np.uint32)
+            signs = 2.0 * ((words[None, :] >> places[:, None]) & 1) - 1.0
+            out.append(signs @ values)
+        sums = pd.DataFrame(np.concatenate(out), columns=columns)
+        return sums.assign(rep=first * _BLOCK + np.arange(len(sums))).query(f"rep < {n_rep}")
+
+    schema = ", ".join([*[f"`{c}` double" for c in columns], "rep bigint"])
+    return dealt.groupBy("_block", "_range").applyInPandas(summed, schema).groupBy("rep").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def _digest(head, rest: bytes) -> bytes:
+    own = head.copy()
+    own.update(rest)
+    return own.digest()
+
+
 def cluster_sign_flip(errors: DataFrame, subject: str, sources: list[str], n_rep: int, seed: int) -> DataFrame:
     """All source pairs on mean absolute error, flipping whole subjects; p is never 0.
 
@@ -210,19 +244,13 @@ def cluster_sign_flip(errors: DataFrame, subject: str, sources: list[str], n_rep
     so subjects carry one value per source and pairs are formed from replicate
     sums.
     """
-    parts = F.array(*[F.struct(F.lit(s).alias("label"), F.col(s).alias("d")) for s in sources])
-    per_source = replicate_sums(errors, [], [subject], parts, n_rep, seed)
-    cases = errors.agg(F.sum("m").alias("n_cases"))
-    order = F.array(*[F.lit(s) for s in sources])
-    by_rep = per_source.groupBy("rep").agg(F.collect_list(F.struct(
-        F.array_position(order, F.col("label")).alias("ord"), "label", "s", "obs")).alias("v"))
-    # One row per replicate holds a short array (one entry per source); pairs come from it.
-    pairs = F.flatten(F.transform("v", lambda a: F.transform(
-        F.filter("v", lambda b: b["ord"] > a["ord"]),
-        lambda b: F.struct(a["label"].alias("a"), b["label"].alias("b"), (a["s"] - b["s"]).alias("s"),
-                           (a["obs"] - b["obs"]).alias("obs")))))
-    rows = by_rep.select("rep", F.explode(pairs).alias("p")).select("rep", "p.*").withColumns({"n": F.lit(0), "sq": F.lit(0)})
-    return attach_single(exceedance(rows, ["a", "b"], 1e-9), cases).select(
+    totals = errors.agg(F.sum("m").alias("n_cases"), *[F.sum(c).cast("double").alias(f"obs_{c}") for c in sources])
+    sums = attach_single(flipped_sums(errors, subject, sources, n_rep, seed), totals)
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) - F.col(b)).alias("s"), (F.col(f"obs_{a}") - F.col(f"obs_{b}")).alias("obs"))
+        for i, a in enumerate(sources) for b in sources[i + 1:]])).alias("x")
+    rows = sums.select("rep", "n_cases", pairs).select("rep", "n_cases", "x.*").withColumns({"n": F.lit(0), "sq": F.lit(0)})
+    return exceedance(rows, ["a", "b", "n_cases"], 1e-9).select(
         "a", "b", (F.col("obs") / F.col("n_cases")).alias("diff"),
         ((F.col("exceed") + 1) / (F.col("n_rep") + 1)).alias("p"))
 

@@ -197,3 +197,18 @@ def test_power_is_that_of_simulated_rows(spark, more):
 def test_power_of_a_constant_measure_is_zero(spark):
     df = spark.createDataFrame([(1,)] * 20, "v int")
     assert [r.power for r in W.brown_forsythe_power(df, F.col("v"), [1.5], 100, 3).collect()] == [0.0]
+
+
+def test_flipped_sums_take_the_signs_of_the_digests(spark, monkeypatch):
+    import hashlib
+
+    rows, errors = frame_of_errors(spark, 40)
+    want = np.zeros((70, 3))
+    for subject, _, *values in rows:
+        for rep in range(70):
+            word = int(hashlib.md5(f"5|{rep // 32}|{subject}".encode()).hexdigest()[:8], 16)
+            want[rep] += (2 * (word >> (rep % 32) & 1) - 1) * np.array(values)
+    for at_once in (1, 64):
+        monkeypatch.setattr(B, "BLOCKS_AT_ONCE", at_once)
+        got = {r.rep: (r.a, r.b, r.c) for r in B.flipped_sums(errors, "subject", ["a", "b", "c"], 70, 5).collect()}
+        assert len(got) == 70 and np.array([got[i] for i in range(70)]) == pytest.approx(want)
