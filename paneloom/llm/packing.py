@@ -65,7 +65,7 @@ class Encoder:
     are not lower-cased first.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 1_000_000):
         self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
         self.tokenizer.encode_special_tokens = False
         self.merges, self.alphabet = self.tokenizer.model, _byte_letters()
@@ -118,7 +118,7 @@ class Encoder:
 def candidates(ids: np.ndarray, ends: np.ndarray, stretch: int, sentence_cost: float, hard_cost: float) -> tuple[np.ndarray, np.ndarray]:
     """Places in a document behind which a sequence may end, and the cost of ending there; the last is its end, at no cost."""
     n = len(ids)
-    soft = np.flatnonzero(ends[np.minimum(ids[:-1], len(ends) - 1)]) + 1
+    soft = np.flatnonzero(ends[ids[:-1]]) + 1
     bounds = np.concatenate(([0], soft, [n]))
     gaps = np.diff(bounds)
     long = np.flatnonzero(gaps > stretch)
@@ -129,14 +129,17 @@ def candidates(ids: np.ndarray, ends: np.ndarray, stretch: int, sentence_cost: f
     return places[order], costs[order]
 
 
-def _exact_lengths(at: np.ndarray, size: int) -> dict[int, list[int]]:
-    """For every place the earlier ones that lie a power of two below it."""
+def _exact_lengths(at: np.ndarray, lengths: list[int]) -> dict[int, list[int]]:
+    """For every place the earlier ones that lie one of some lengths below it."""
     found: dict[int, list[int]] = {}
-    for k in range(size.bit_length()):
-        if 1 << k <= size:
-            j = np.searchsorted(at, at - (1 << k))
-            for i in np.flatnonzero(at[j] == at - (1 << k)).tolist():
-                found.setdefault(i, []).append(int(j[i]))
+    index = np.full(int(at[-1]) + 1, -1, dtype=np.int64)
+    index[at] = np.arange(len(at))
+    for length in lengths:
+        first = int(np.searchsorted(at, length))
+        j = index[at[first:] - length]
+        here = np.flatnonzero(j >= 0)
+        for i, source in zip((here + first).tolist(), j[here].tolist()):
+            found.setdefault(i, []).append(source)
     return found
 
 
@@ -144,10 +147,12 @@ def best_cuts(places: Sequence[int], costs: Sequence[float], size: int, sequence
     """Cuts of least cost among ascending places, from 0; neighbours are at most `size` apart.
 
     Closed: the last cut is the last place. Else it is the cheapest place within `size` of the last one, and what lies
-    behind it stays open.
+    behind it stays open; exact lengths then start at a sixteenth of `size`.
     """
     at = [0, *places]
-    exact = _exact_lengths(np.array(at), size)
+    # A full window has no padding anyway; short ones only help where nothing follows.
+    powers = [1 << k for k in range(size.bit_length()) if (size >> 4 if not closed else 1) <= 1 << k < size]
+    exact = _exact_lengths(np.array(at), powers)
     total, back = [0.0], [0]
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # ascending f + place, places within the window
     for i, cost in enumerate(costs, 1):
