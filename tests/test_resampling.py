@@ -212,3 +212,34 @@ def test_flipped_sums_take_the_signs_of_the_digests(spark, monkeypatch):
         monkeypatch.setattr(B, "BLOCKS_AT_ONCE", at_once)
         got = {r.rep: (r.a, r.b, r.c) for r in B.flipped_sums(errors, "subject", ["a", "b", "c"], 70, 5).collect()}
         assert len(got) == 70 and np.array([got[i] for i in range(70)]) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("keys", [[b"1", b"22", b"", b"p|3" * 9], [b"x" * 70, b"y"], [str(7919 * i).encode() for i in range(300)]])
+def test_digests_are_those_of_hashlib(keys):
+    import hashlib
+
+    digests = variates.Digests(keys)
+    for prefix in (b"", b"7|0|", b"7|3124|", b"poisson|11|9999|", b"z" * 16, b"7|1|"):
+        assert digests.words(prefix).tolist() == [int(hashlib.md5(prefix + k).hexdigest()[:8], 16) for k in keys]
+
+
+def test_poisson_sums_are_those_of_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(B, "DIGESTED_AT_ONCE", 16)
+    rows, errors = frame_of_errors(spark)
+    errors = errors.withColumn("subject", F.when(F.col("subject") != "p7", F.col("subject")))
+    values = {None if r[0] == "p7" else r[0]: np.array(r[2:]) for r in rows}
+    want = np.zeros((600, 3))
+    for r in B.poisson_weights(errors, "subject", 600, 2).collect():
+        want[r.rep] += r.w * values[r.subject]
+    got = {r.rep: (r.a, r.b, r.c) for r in B.poisson_sums(errors, "subject", ["a", "b", "c"], 600, 2).collect()}
+    assert len(got) == 600 and np.array([got[i] for i in range(600)]) == pytest.approx(want)
+
+
+def test_bootstrap_counts_leave_a_task_once_per_replicate_and_combination(spark, monkeypatch):
+    monkeypatch.setattr(B, "_per_task", lambda width: 4)
+    rows = [(s, "a" if s % 2 else "b", s % 3) for s in range(300)]
+    cases = spark.createDataFrame(rows, "subject long, source string, h int").repartition(4)
+    got = B.bootstrap_counts(cases, "subject", ["source", "h"], 20, 6)
+    assert got.groupBy("rep").agg(F.sum("w").alias("w")).where("w <> 300").count() == 0
+    before = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in before and "FlatMapGroupsInPandas" not in before
