@@ -145,3 +145,28 @@ def test_an_unfinished_batch_is_not_read(spark, tmp_path):
     os.remove(f"{log}/batch_id=1/_SUCCESS")
     assert live.compact(spark, log, KEYS, ["seq"]) == 0
     assert got(live.read_latest(spark, log, KEYS, ["seq"])) == plain_latest(rows(20, 0, ["a", "b"], 1))
+
+
+def test_document_tree_is_written_by_every_task(spark, tmp_path):
+    from paneloom.sources import readers, writers
+
+    docs = spark.createDataFrame([(f"p{i}", str(i), i) for i in range(60)] + [("a b/c", "x", None)], "subject string, participant_id string, age long").coalesce(1)
+    assert writers.write_document_tree(docs, str(tmp_path / "tree"), "subject") == 61
+    assert len(list((tmp_path / "tree").iterdir())) == 61
+    back = readers.persona_documents(spark, str(tmp_path / "tree"))
+    got = {r.participant_id: (r.subject, r.age) for r in back.select("subject", "participant_id", "age").collect()}
+    assert len(got) == 61 and got["7"] == ("p7", 7) and got["x"][1] is None
+    writers.write_document_tree(docs, str(tmp_path / "tree"), "subject")  # a repeated task replaces its files
+    assert back.count() == 61
+
+
+def test_compressed_dataset_reads_back_the_same(spark, tmp_path):
+    from paneloom.sources import writers
+
+    df = spark.createDataFrame([(i, "long text " * 20, "a" if i % 2 else "b") for i in range(200)], "i long, t string, split string").coalesce(1)
+    sizes = []
+    for name, codec in (("plain", None), ("packed", "gzip")):
+        writers.write_dataset(df, str(tmp_path / name), compression=codec)
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / name).rglob("part-*")))
+        assert spark.read.schema(df.schema).json(str(tmp_path / name)).exceptAll(df).count() == 0
+    assert sizes[1] < sizes[0] / 5
