@@ -36,7 +36,7 @@ def src1(spark, sf_dir):
         _C("s_suppkey").alias("subject"), _C("s_suppkey").cast("string").alias("participant_id"),
         (_C("s_suppkey") % 60 + 18).alias("age"), F.concat(F.lit("g"), "s_nationkey").alias("gender"),
         F.create_map(F.lit("survey.big1"), _C("s_suppkey") % 5 - 2).alias("personality"))
-    docs.write.partitionBy("subject").json(path)
+    O.write_document_tree(docs, path, "subject")
     return I.persona_documents(spark, path).select(
         "subject", "age", "gender", _C("personality")["survey.big1"].alias("big1"))
 
@@ -51,9 +51,9 @@ def src2(spark, sf_dir):
         F.lit(i).alias("topic"), F.lit("w").alias("statement_formulation"), (_C("s_suppkey") % 5 - 2).alias("init_belief"),
         F.lit("package1").alias("package"), index.alias("message_order_index"), messages.alias("shown_messages"))
         for i in V.ITEMS])
-    V.table(spark, sf_dir, "supplier").select(
-        _C("s_suppkey").alias("subject"), _C("s_suppkey").cast("string").alias("participant_id"), topics.alias("topics")).write.option(
-        "ignoreNullFields", False).partitionBy("subject").json(path)
+    docs = V.table(spark, sf_dir, "supplier").select(
+        _C("s_suppkey").alias("subject"), _C("s_suppkey").cast("string").alias("participant_id"), topics.alias("topics"))
+    O.write_document_tree(docs, path, "subject", ignoreNullFields="false")
     return I.study_topics(spark, path).select(
         _C("participant_id").cast("bigint").alias("subject"), _C("topic").alias("item"), "init_belief",
         F.array_join(F.transform("shown_messages", lambda m: m["source_message_id"].cast("string")), "").alias("shown"))
@@ -93,7 +93,7 @@ def _response_rows(spark, sf_dir, with_text: bool = True):
 CASE WHEN l_suppkey % 3 <> 0 THEN raw * polarity END AS new_belief, CASE WHEN l_suppkey % 3 <> 0 THEN stance_raw * polarity END AS general_public_stance FROM resp WHERE src > 1""")
 def src4(spark, sf_dir):
     path = work_path(spark, "responses")
-    _response_rows(spark, sf_dir, with_text=False).drop("source").write.json(path)
+    _response_rows(spark, sf_dir, with_text=False).drop("source").write.option("compression", "snappy").json(path)
     out = I.normalised_responses(I.response_files(spark, [path]), V.POSITIVE, V.NEGATIVE)
     return out.select("persona_id", "topic", "model", "init_stance", "new_belief", "general_public_stance")
 
@@ -115,7 +115,7 @@ _SQL_FILES = V.PARSED + """, rep AS (SELECT *, CASE WHEN l_suppkey % 3 <> 0 AND
 
 def conformed(spark, sf_dir):
     path = work_path(spark, "files")
-    _response_rows(spark, sf_dir).write.partitionBy("source").json(path)
+    _response_rows(spark, sf_dir).write.partitionBy("source").option("compression", "snappy").json(path)
     paths = [f"{path}/{row[0]}" for row in _REGISTRY]
     files = I.response_files(spark, paths).withColumn("file", F.element_at(F.split("file", "/"), -2))
     return C.conform_responses(files, registry_frame(spark, _REGISTRY), V.POSITIVE, V.NEGATIVE)
@@ -135,7 +135,7 @@ def src5(spark, sf_dir):
 @query("snk1_conformed_dataset_by_split", f"""WITH {V.RESP}, {_SQL_REGISTRY} SELECT split, model, count(*) AS n FROM resp JOIN reg USING (source) GROUP BY 1, 2""")
 def snk1(spark, sf_dir):
     path = work_path(spark, "dataset")
-    O.write_dataset(conformed(spark, sf_dir).drop("repaired", "file"), path)
+    O.write_dataset(conformed(spark, sf_dir).drop("repaired", "file"), path, compression="gzip")
     fields = [f for f in S.CONFORMED if f.name != "split"]
     back = spark.read.schema(S.T.StructType([*fields, S.CONFORMED["split"]])).json(path)
     return back.groupBy("split", "model").agg(F.count("*").alias("n"))
@@ -519,7 +519,8 @@ p AS (SELECT source, log_theta, sum(m) AS n, sum(m / (1 + th * m)) AS a, sum(s /
 SELECT source, log_theta, {sq6('(n - 1) * ln((c - b * b / a) / (n - 1)) + pen + ln(a)')} AS deviance FROM p""")
 def reg8_profile(spark, sf_dir):
     """The REML profile of the model with an intercept only."""
-    out = G.profile_deviance(model_frame(spark, sf_dir), "source", "subject", [], "change", _PROFILE)
+    frame = materialise(model_frame(spark, sf_dir).select("source", "subject", "change"), "frame")
+    out = G.profile_deviance(frame, "source", "subject", [], "change", _PROFILE)
     return out.withColumn("deviance", r6(_C("deviance")))
 
 
