@@ -214,16 +214,21 @@ def with_fallback_belief(df: DataFrame, text: str, out: str = "belief") -> DataF
         _coerced_int(_field("_o", "new_belief")), by_pattern.try_cast("int"))).drop("_t", "_o")
 
 
-def parse_lines(text: Column) -> Column:
-    """Line format: a bare belief, a RANKING line, a GENERAL_PUBLIC_STANCE line."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), _strip), lambda s: s != "")
+# A line's start with the blanks that are stripped from it; a line ends at either of \r and \n.
+_LINE = r"(?:\A|[\r\n])[ \t\x0B\f]*+"
+# Whatever upper-cases to the word.
+_RANKING = r"[Rr][Aa][Nn][Kk][Ii\u0131][Nn][Gg]"
+_STANCE = r"[Gg][Ee][Nn][Ee][Rr][Aa][Ll]_[Pp][Uu][Bb][Ll][Ii\u0131][Cc]_(?:[Ss\u017F][Tt]|[\uFB05\uFB06])[Aa][Nn][Cc][Ee]"
+
 
-    def first(keep):
-        return F.try_element_at(F.filter(lines, keep), F.lit(1))
+def parse_lines(text: Column) -> Column:
+    """Line format: a bare belief, a RANKING line, a GENERAL_PUBLIC_STANCE line; the first line of each kind counts.
 
-    belief = first(lambda s: s.rlike(r"^(-2|-1|0|1|2)$"))
-    rank_line = first(lambda s: F.startswith(F.upper(s), F.lit("RANKING")))
-    stance_line = first(lambda s: F.startswith(F.upper(s), F.lit("GENERAL_PUBLIC_STANCE")))
+    Lines are found in the text by one pattern each, so no list of lines is made and filtered.
+    """
+    belief = F.regexp_extract(text, _LINE + r"(-2|-1|0|1|2)[ \t\x0B\f]*+(?=[\r\n]|\z)", 1)
+    rank_line = F.regexp_extract(text, _LINE + f"({_RANKING}[^\\r\\n]*+)", 1)
+    stance_line = _strip(F.regexp_extract(text, _LINE + f"({_STANCE}[^\\r\\n]*+)", 1))
     stance = F.regexp_extract(stance_line, r"^[^:]*:\s*(-2|-1|0|1|2)\s*$", 1)
     ids = F.transform(F.regexp_extract_all(rank_line, F.lit(r"(\d+)"), 1), lambda s: s.try_cast("int"))
     return F.struct(

@@ -194,3 +194,21 @@ def test_hints_never_hide_a_match(spark):
         wrong += df.where(pattern_found(F.col("t"), F.col("h"), name, p) != F.col("t").rlike(p)).count()
         assert df.where(F.col("t").rlike(p)).count() > 10, name
     assert wrong == 0
+
+
+def test_lines_of_odd_texts(spark):
+    from paneloom.functions import responses as parse
+
+    texts = ["\t-2 \r\n  rankıng: 3, 1,2\r\nGeneral_Public_Stance : 1 \n2", "x 1\n1 \n 0\x0b\nRANKING 99999999999 2", "general_public_ﬆance: a: 1\nGENERAL_PUBLIC_STANCE: 2",
+             "no RANKING: 1", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string").select("i", parse.parse_lines(F.col("v")).alias("p"))
+    got = [(r.p.new_belief, r.p.ranking, r.p.general_public_stance) for r in df.orderBy("i").collect()]
+    assert got == [(-2, [3, 1, 2], 1), (0, [None, 2], None), (None, [], None), (None, [], None), (None, [], None), (None, [], None)]
+
+
+def test_the_panel_is_unpivoted_and_its_text_made_without_a_lambda_per_row(spark):
+    from paneloom.plans import tables as V
+
+    plan = V.with_raw_text(V.responses(spark, "/root/testdata/sf0.001")).select("raw_response", F.length("raw_response"))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan"):]
+    assert "lambdafunction" not in physical and physical.count("I cannot answer.") == 1
