@@ -158,6 +158,55 @@ def test_omnibus_p_is_near_the_exact_one(spark):
     assert abs(got.p - exact) < 5 * math.sqrt(exact * (1 - exact) / 20_000) + 1e-4
 
 
+@pytest.mark.parametrize("k", [2, 3, 5, 8, 9])
+def test_permuted_sums_are_the_same_in_lanes_and_as_doubles(monkeypatch, k):
+    rng = np.random.default_rng(k)
+    units = [rng.integers(0, 12_000, k) / 2 for _ in range(40)]  # lanes are carried over several times
+
+    def sums():
+        held = B._PermutedSums(k, 20_001)
+        for i, values in enumerate(units):
+            held.add(values, variates.generator(3, "order", 0, i, kind=np.random.SFC64))
+        held.carry()
+        return held.sums
+
+    packed = sums()
+    monkeypatch.setattr(B, "_steps", lambda values: None)
+    assert (packed == sums()).all() and packed.sum(axis=1) == pytest.approx(np.full(20_001, sum(u.sum() for u in units)))
+    spread = np.sqrt(sum(u.var() for u in units) / 20_001)
+    assert packed.mean(axis=0) == pytest.approx(np.full(k, packed.sum() / packed.size), abs=5 * spread)
+    assert np.cov(packed.T)[0, 1] == pytest.approx(-sum(u.var() for u in units) / (k - 1), rel=0.15)
+
+
+@pytest.mark.parametrize("step", [1.0, 0.1])
+def test_every_order_is_equally_likely(step):
+    for k in (3, 4, 5):
+        held, n = B._PermutedSums(k, 60_000), 60_000 / math.factorial(k)
+        held.add(np.arange(k) * step, variates.generator(7, "order", k, kind=np.random.SFC64))
+        held.carry()
+        draws = Counter(map(tuple, held.sums))
+        assert len(draws) == math.factorial(k) and all(abs(c - n) < 5 * math.sqrt(n) for c in draws.values())
+    full = B._PermutedSums(8, 1)
+    table = full._packed(B._steps(np.arange(8.0))).view(np.uint16)
+    assert len(set(map(tuple, table))) == 40_320 and (np.sort(table, axis=1) == 2 * np.arange(8)).all()
+
+
+def test_omnibus_sums_leave_a_task_once_per_replicate(spark, monkeypatch):
+    monkeypatch.setattr(B, "UNITS_A_PART", 30)
+    rows, errors = frame_of_errors(spark)
+    errors = errors.withColumn("subject", F.when(F.col("subject") != "p7", F.col("subject"))).withColumn("c", F.col("b") + 0.25)
+    found = []
+    for block in (131_072, 1000):
+        monkeypatch.setattr(B, "ORDER_BLOCK", block)
+        out = B.omnibus(errors, "subject", ["a", "b", "c"], 2500, 4)
+        plan = out._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+        found.append(out.collect()[0])
+    again = B.omnibus(errors.repartition(5), "subject", ["a", "b", "c"], 2500, 4).collect()[0]
+    assert again == found[1] and found[0].statistic == pytest.approx(np.var([sum(r[2] for r in rows) / 270, *[sum(r[3] for r in rows) / 270] * 2] + np.array([0, 0, 0.25 * 90 / 270])))
+    assert abs(found[0].p - found[1].p) < 0.1
+
+
 def plain_w(a, b):
     za, zb = np.abs(a - np.median(a)), np.abs(b - np.median(b))
     z = np.concatenate([za, zb])
