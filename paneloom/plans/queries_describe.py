@@ -14,7 +14,7 @@ from paneloom.operators import distance as M
 from paneloom.operators import ordering as O
 from paneloom.operators import pairing as P
 from paneloom.plans import tables as V
-from paneloom.plans.queries_scalar import MESSAGES, message_pairs
+from paneloom.plans.queries_scalar import MESSAGES, counted_pairs
 from paneloom.plans.registry import query, r6, sq6
 from paneloom.session import materialise
 
@@ -187,7 +187,8 @@ mr AS (SELECT item, cell, source, message, avg(rank) AS mean_rank, count(*) AS n
 
 
 def mean_rank_table(spark, sf_dir, lines=None):
-    return D.mean_ranks(message_pairs(V.responses(spark, sf_dir, lines)), ["item", "cell", "source"], _C("pairs"))
+    group = ["item", "cell", "source"]
+    return D.mean_ranks(counted_pairs(V.responses(spark, sf_dir, lines), group), group, _C("pairs"), _C("n"))
 
 
 @query("agg15_mean_rank_by_message", f"WITH {_MEAN_RANKS} SELECT item, cell, source, message, {sq6('mean_rank')} AS mean_rank, n FROM mr")
@@ -212,8 +213,8 @@ def agg17(spark, sf_dir):
 
 @query("agg18_grand_mean_rank", f"WITH {MESSAGES} SELECT source, {sq6('avg(rank)')} AS mean_rank, count(*) AS n FROM messages GROUP BY source")
 def agg18(spark, sf_dir):
-    m = message_pairs(V.responses(spark, sf_dir)).select("source", F.explode("pairs").alias("p"))
-    return m.groupBy("source").agg(r6(F.avg("p.rank")).alias("mean_rank"), F.count("*").alias("n"))
+    m = counted_pairs(V.responses(spark, sf_dir), ["source"]).select("source", "n", F.explode("pairs").alias("p"))
+    return m.groupBy("source").agg(r6(F.sum(_C("n") * _C("p.rank")) / F.sum("n")).alias("mean_rank"), F.sum("n").alias("n"))
 
 
 @query("agg19_tukey_box", f"""WITH {_MEAN_RANKS}, q AS (SELECT source, quantile_cont(mean_rank, 0.25) AS q1, quantile_cont(mean_rank, 0.5) AS median,

@@ -483,6 +483,14 @@ def message_pairs(resp):
             .withColumn("pairs", R.ranks_by_message(R.message_order(_C("order_seen")), _C("ranks"))))
 
 
+def counted_pairs(resp, group):
+    """The same with `n` equal answers of a group to a row, so an ordering is taken apart once and not on every row."""
+    kept = [*group, "src", "order_seen", "n"]
+    counted = resp.groupBy(*group, "src", "r1", "r2", "r3", "order_seen").agg(F.count("*").alias("n"))
+    # Behind a generator, so that the filter on whole orderings sees counted rows and is not moved below the count.
+    return message_pairs(counted.select(*kept, F.explode(F.array(F.struct("r1", "r2", "r3"))).alias("_r")).select(*kept, "_r.*"))
+
+
 # message_pairs() exploded, as SQL.
 MESSAGES = V.RESP + """,
 triples AS (SELECT *, [r1, r2, r3] AS t FROM resp WHERE list_sort([r1, r2, r3]) = [1, 2, 3]),

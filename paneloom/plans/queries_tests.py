@@ -397,11 +397,11 @@ def _half_errors(spark, sf_dir):
 
 def _half_error_rows(spark, sf_dir):
     """Per message: absolute error of each predictor against the baseline's other half."""
-    from paneloom.plans.queries_scalar import message_pairs
+    from paneloom.plans.queries_scalar import counted_pairs
 
-    rows = message_pairs(V.responses(spark, sf_dir))
     half = F.when(F.substring(F.md5(F.concat_ws("|", F.lit("half"), "subject")), 1, 1) < "8", "a").otherwise("b")
-    means = D.mean_ranks(rows.withColumn("half", half), ["half", "item", "cell", "source"], _C("pairs"))
+    group = ["half", "item", "cell", "source"]
+    means = D.mean_ranks(counted_pairs(V.responses(spark, sf_dir).withColumn("half", half), group), group, _C("pairs"), _C("n"))
     base = _C("source") == V.BASELINE
     target = means.where(base & (_C("half") == "b")).select("item", "cell", "message", _C("mean_rank").alias("target"))
     predictors = means.where((base & (_C("half") == "a")) | (~base & (_C("half") == "b")))

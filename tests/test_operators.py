@@ -420,3 +420,35 @@ def test_medians_over_ranges_of_values(spark):
     for open_domain in (True, False):
         got = {r.g: r.med for r in O.with_median(counts, ["g"], "med", open_domain).select("g", "med").distinct().collect()}
         assert got == pytest.approx({g: np.median(np.repeat([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g])) for g in data})
+
+
+def test_orderings_are_counted_before_they_are_taken_apart(spark):
+    from paneloom.plans.queries_scalar import counted_pairs, message_pairs
+
+    rows = [(("A", "B", None)[i % 3], "baseline" if i % 4 == 0 else "model_2", 1 if i % 4 == 0 else 2, *ranks, i % 5 if i % 7 else None)
+            for i in range(240) for ranks in ((1, 2, 3), (3, 1, 2), (2, 2, 1), (1, None, 2), (9, 1, 2))]
+    resp = spark.createDataFrame(rows, "item string, source string, src int, r1 int, r2 int, r3 int, order_seen int").repartition(5)
+    group = ["item", "source"]
+    counted = counted_pairs(resp, group)
+    plain = D.mean_ranks(message_pairs(resp), group, F.col("pairs"))
+    weighted = D.mean_ranks(counted, group, F.col("pairs"), F.col("n"))
+    assert sorted(map(str, weighted.collect())) == sorted(map(str, plain.collect()))
+    assert counted.agg(F.sum("n")).collect()[0][0] == 480 and counted.count() <= 2 * 3 * 2 * 6
+    # No filter on whole orderings has been moved below the count.
+    below = counted._jdf.queryExecution().optimizedPlan().toString().rpartition("Aggregate [")[2]
+    assert "array_sort" not in below and "zip" not in below
+
+
+def test_mean_ranks_of_a_weightless_group_and_empty_input(spark):
+    df = spark.createDataFrame([("a", [(1, 2), (2, None)], 3), ("a", [(1, 1)], 1)], "g string, pairs array<struct<message:int,rank:int>>, w int")
+    got = {r.message: (r.mean_rank, r.n) for r in D.mean_ranks(df, ["g"], F.col("pairs"), F.col("w")).collect()}
+    assert got == {1: (1.75, 4), 2: (None, 3)}
+    assert D.mean_ranks(df.where("w > 9"), ["g"], F.col("pairs"), F.col("w")).count() == 0
+
+
+def test_mean_rank_table_counts_answers_first(spark):
+    from paneloom.plans.queries_describe import mean_rank_table
+
+    plan = mean_rank_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    counts = [at for at in range(len(plan)) if plan.startswith("count(1)", at)]
+    assert counts and "zip" in plan[:counts[-1]] and "zip" not in plan[counts[-1]:]
