@@ -452,3 +452,22 @@ def test_mean_rank_table_counts_answers_first(spark):
     plan = mean_rank_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     counts = [at for at in range(len(plan)) if plan.startswith("count(1)", at)]
     assert counts and "zip" in plan[:counts[-1]] and "zip" not in plan[counts[-1]:]
+
+
+def test_answers_without_a_part_have_no_order_and_stop_no_report(spark, tmp_path):
+    from paneloom.plans import report
+    from paneloom.plans.queries_describe import mean_rank_table
+
+    lines = [(o, None if o % 5 == 0 else o + n, 3 + n, n, float(o % 50), 10.0 * o, 0.01 * (o % 10), 0.0, "ANR"[o % 3])
+             for o in range(1, 121) for n in range(1, 8) if (o + n) % 6]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 10) for o in range(1, 121)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    held = V.responses(spark, str(tmp_path)).where("l_partkey IS NULL")
+    assert held.count() == sum(row[1] is None for row in lines)
+    assert held.where("r1 IS NOT NULL OR r2 IS NOT NULL OR r3 IS NOT NULL").count() == 0
+    table = mean_rank_table(spark, str(tmp_path))
+    # Of 13 parts, one has malformed orders; each whole order gives every one of the three messages a rank.
+    whole = sum(row[1] is not None and row[1] % 13 != 0 for row in lines)
+    assert table.agg(F.sum("n")).collect()[0][0] == 3 * whole
+    assert report.message_test(table, 7, V.BASELINE).count() > 0
