@@ -195,17 +195,24 @@ def join11(spark, sf_dir):
 
 def _rank_match(spark, sf_dir, lines=None):
     """Baseline ranks beside every candidate's, in the baseline convention."""
+    return _matched(V.rankings(spark, sf_dir, lines))
+
+
+def counted_rank_match(spark, sf_dir, lines=None):
+    """The same with `n` equal pairs of orderings of a cell and source to a row, so a pair is taken apart once and not per case."""
+    both = V.rankings(spark, sf_dir, lines).drop("subject", "round")
+    pairs = [c for c in both.columns if c not in ("item", "cell", "source")]
+    counted = both.groupBy(*both.columns).agg(F.count("*").alias("n"))
+    # Behind a generator, so that filters on whole orderings see counted rows and are not moved below the count.
+    kept = ["item", "cell", "source", "n"]
+    return _matched(counted.select(*kept, F.explode(F.array(F.struct(*pairs))).alias("_p")).select(*kept, "_p.*"))
+
+
+def _matched(both):
     from paneloom.functions import ranks as R
 
-    resp = V.responses(spark, sf_dir, lines)
-    triple = R.triple(_C("r1"), _C("r2"), _C("r3"))
-    base = resp.where(_C("src") == 1).select(
-        "subject", "item", "round", "cell", R.valid_triple(triple).alias("hb"), _C("order_seen").alias("order_b"))
-    base = base.withColumn("source", F.explode(F.array(*[F.lit(s) for s in V.CANDIDATES])))
-    cand = resp.where(_C("src") > 1).select(
-        "subject", "item", "round", "source", R.invert(triple).alias("mc"), _C("order_seen").alias("order_c"),
-        F.lit(True).alias("answered"))
-    joined = base.join(cand, ["subject", "item", "round", "source"], "left")
+    base, cand = R.triple(_C("r1_b"), _C("r2_b"), _C("r3_b")), R.triple(_C("r1"), _C("r2"), _C("r3"))
+    joined = both.withColumns({"hb": R.valid_triple(base), "mc": R.invert(cand)}).drop("r1_b", "r2_b", "r3_b", "r1", "r2", "r3")
     return P.skip_reasons(joined, [
         ("missing", _C("answered").isNull()),
         ("invalid_rank", _C("hb").isNull() | _C("mc").isNull()),

@@ -471,3 +471,62 @@ def test_answers_without_a_part_have_no_order_and_stop_no_report(spark, tmp_path
     whole = sum(row[1] is not None and row[1] % 13 != 0 for row in lines)
     assert table.agg(F.sum("n")).collect()[0][0] == 3 * whole
     assert report.message_test(table, 7, V.BASELINE).count() > 0
+
+
+@pytest.fixture(scope="module")
+def odd_lines(spark, tmp_path_factory):
+    """A folder of lines with subjects, items, parts, suppliers and candidates missing, and a line that is there twice; its wide rows."""
+    from paneloom.session import materialise
+
+    folder = tmp_path_factory.mktemp("odd")
+    lines = [(o, None if o % 9 == 0 else 7 * o + 5 * n, 3 + n, n, float(o % 50), 10.0 * o, 0.01 * (o % 10), 0.0, ("A", "N", "R", None)[o % 4])
+             for o in range(1, 161) for n in range(1, 8) if (o + n) % 6]
+    lines.append(lines[0])
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 11 or None) for o in range(1, 161)], "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    return materialise(V.lines_wide(spark, str(folder)), "odd")
+
+
+def test_rankings_of_a_case_are_read_from_its_row(spark, odd_lines):
+    from paneloom.plans.queries_pairing import _rank_match, counted_rank_match
+
+    rows = V.responses(spark, "", odd_lines).collect()
+    given = {(r.subject, r.item, r.round, r.source): r for r in rows if r.src > 1 and r.subject is not None and r.item is not None}
+    want = {}
+    for b in (r for r in rows if r.src == 1):
+        for source in V.CANDIDATES:
+            c = given.get((b.subject, b.item, b.round, source))
+            hb, mc = [b.r1, b.r2, b.r3], c and [c.r1, c.r2, c.r3]
+            whole = mc is not None and sorted(hb, key=str) == sorted(mc, key=str) == [1, 2, 3]
+            reason = "missing" if c is None else "invalid_rank" if not whole else "other_stimulus" if b.order_seen != c.order_seen else None
+            pair = (tuple(hb), tuple(mc.index(i) + 1 for i in (1, 2, 3))) if reason is None else None
+            key = (b.item, b.cell, source, reason, pair)
+            want[key] = want.get(key, 0) + 1
+    assert {k[3] for k in want} == {None, "missing", "invalid_rank", "other_stimulus"}
+    assert any(k[0] is None for k in want) and any(k[1] is None for k in want)
+
+    def found(df, n):
+        got = {}
+        for r in df.withColumn("n", n).collect():
+            key = (r.item, r.cell, r.source, r.reason, None if r.reason else (tuple(r.hb), tuple(r.mc)))
+            got[key] = got.get(key, 0) + r.n
+        return got
+
+    matched, counted = _rank_match(spark, "", odd_lines), counted_rank_match(spark, "", odd_lines)
+    assert found(matched, F.lit(1)) == want == found(counted, F.col("n"))
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    below = counted.where("reason IS NULL")._jdf.queryExecution().optimizedPlan().toString().rpartition("Aggregate [")[2]
+    assert "array_sort" not in below and "array_position" not in below
+
+
+def test_cases_are_assembled_without_a_sort(spark, odd_lines):
+    from paneloom.plans.queries_resample import _wide
+
+    cases = _wide(spark, "", odd_lines)
+    plain = P.assemble(V.panel(spark, "", odd_lines), V.CANDIDATES)
+    names = sorted(plain.columns)
+    assert sorted(cases.columns) == names
+    assert sorted(map(str, cases.select(names).collect())) == sorted(map(str, plain.select(names).collect()))
+    assert "Sort" not in cases._jdf.queryExecution().executedPlan().toString()
