@@ -188,7 +188,8 @@ mr AS (SELECT item, cell, source, message, avg(rank) AS mean_rank, count(*) AS n
 
 def mean_rank_table(spark, sf_dir, lines=None):
     group = ["item", "cell", "source"]
-    return D.mean_ranks(counted_pairs(V.responses(spark, sf_dir, lines), group), group, _C("pairs"), _C("n"))
+    answers = V.responses(spark, sf_dir, lines, [*group, "src", "r1", "r2", "r3", "order_seen"])
+    return D.mean_ranks(counted_pairs(answers, group), group, _C("pairs"), _C("n"))
 
 
 @query("agg15_mean_rank_by_message", f"WITH {_MEAN_RANKS} SELECT item, cell, source, message, {sq6('mean_rank')} AS mean_rank, n FROM mr")
@@ -288,7 +289,7 @@ def design_counts(spark, sf_dir, lines=None):
     Subjects are made distinct by grouping first: a count(distinct) over grouping
     sets would copy every row once per set.
     """
-    base = V.responses(spark, sf_dir, lines).where("src = 1")
+    base = V.responses(spark, sf_dir, lines, ["subject", "item", "cell", "src"], [V.BASELINE])
     per = base.groupBy("item", "cell", "subject").agg(F.count("*").alias("n"))
     full = per.groupBy("item", "cell").agg(F.sum("n").alias("n_obs"), F.count("*").alias("n_subjects")).select(
         "item", "cell", "n_obs", "n_subjects")

@@ -530,3 +530,39 @@ def test_cases_are_assembled_without_a_sort(spark, odd_lines):
     assert sorted(cases.columns) == names
     assert sorted(map(str, cases.select(names).collect())) == sorted(map(str, plain.select(names).collect()))
     assert "Sort" not in cases._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_round_are_picked_without_another_sort(spark, tmp_path):
+    from paneloom.plans.queries_describe import design_counts
+
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+    lines = [(o, None if o % 5 == 0 else o + n, None if o % 7 == 0 else n, None if o % 13 == 0 else n, None if n == 3 else float(o), 1.0 * o,
+              0.01 * n, 0.0, ("A", None)[o % 2]) for o in range(1, 61) for n in range(1, 9) if (o + n) % 4]
+    lines += [lines[0], lines[0]]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 4 or None) for o in range(1, 61)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def order(row):
+        return [(row[c] is not None, row[c] or 0) for c in V._ORDER]
+
+    rounds, want = {}, {}
+    for row in sorted((dict(zip(names, x)) for x in lines), key=order):
+        answer = (row["l_orderkey"] % 4 or None, row["l_returnflag"], row["l_linenumber"])
+        rounds[answer] = rounds.get(answer, 0) + 1
+        case = want.setdefault((*answer[:2], rounds[answer]), {})
+        if answer[2] in range(1, 8):
+            case[V.SOURCES[answer[2] - 1]] = row
+    for fields in (V._ORDER, V.ANSWER_FIELDS):
+        got = V.lines_wide(spark, str(tmp_path), fields)
+        rows = {(r.subject, r.item, r.round): {s: r[s].asDict() for s in V.SOURCES if r[s] is not None} for r in got.collect()}
+        assert rows == {k: {s: {f: row[f] for f in fields} for s, row in case.items()} for k, case in want.items()}
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    held = V.lines_wide(spark, str(tmp_path), V.ANSWER_FIELDS)
+    cells = ["subject", "item", "round", "source", "y", "r1", "r2", "r3", "order_seen"]
+    for view in (V.responses, V.panel):
+        plain = view(spark, str(tmp_path)).select(cells)
+        assert sorted(map(str, view(spark, "", held, cells).collect())) == sorted(map(str, plain.collect()))
+    first = [k for k, case in want.items() if V.BASELINE in case]
+    whole = design_counts(spark, "", held).where("item = 'all'").collect()[0]
+    assert (whole.n_obs, whole.n_subjects) == (len(first), len({k[0] for k in first}))
