@@ -9,6 +9,7 @@ import pytest
 from paneloom.operators.resample import N_FLIPS
 from paneloom.plans import catalog
 from paneloom.plans import tables as V
+from paneloom.plans.queries_resample import COMPARISONS
 
 
 def exact_p(differences):
@@ -61,3 +62,9 @@ def test_whole_design(spark, design):
     folder, cases = design
     rows = catalog.QUERIES["sta2_sign_flip_whole_design"](spark, folder).collect()
     held_against({(V.BASELINE, r.source): (r.n, r.mean_diff, r.p) for r in rows}, paired(cases, [(V.BASELINE, s) for s in V.CANDIDATES]))
+
+
+def test_comparison_registry(spark, design):
+    folder, cases = design
+    rows = catalog.QUERIES["sta3_comparison_registry"](spark, folder).collect()
+    held_against({(r.a, r.b): (r.n, r.observed_diff, r.p) for r in rows}, paired(cases, COMPARISONS))
