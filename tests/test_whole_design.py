@@ -1,7 +1,7 @@
 """The sign-flip queries take every paired case of the design, and a million flips of each group."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -68,3 +68,13 @@ def test_comparison_registry(spark, design):
     folder, cases = design
     rows = catalog.QUERIES["sta3_comparison_registry"](spark, folder).collect()
     held_against({(r.a, r.b): (r.n, r.observed_diff, r.p) for r in rows}, paired(cases, COMPARISONS))
+
+
+def test_effect_report(spark, design):
+    folder, cases = design
+    found = {(r.item, r.cell, r.source, r.test, r.statistic): r.value for r in catalog.QUERIES["sta29_effect_report"](spark, folder).collect()}
+    want = {(*names, s): paired([c for c in cases if names[0] in ("all", c[0]) and names[1] in ("all", c[1])], [(V.BASELINE, s)])[V.BASELINE, s]
+            for names in {("all", "all"), *((i, c) for i in V.ITEMS for c in ("all", *V.CELLS))} for s in V.CANDIDATES}
+    held_against({k[:3]: (v, found[*k[:3], "difference", "mean_diff"], found[*k[:3], "difference", "p"])
+                  for k, v in found.items() if k[3:] == ("difference", "n")}, want)
+    assert Counter(k[3] for k in found) == {"difference": 78 * 5, "stance": 78 * 4, "change": 78 * 4}
